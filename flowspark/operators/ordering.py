@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.session import parallelism
 
@@ -68,12 +69,18 @@ def hash_take(df: DataFrame, groups: Sequence[str], keys: Sequence[str], seed: i
     return whole.unionByName(edge).select(*df.columns)
 
 
+def _as_number(df: DataFrame, order: str) -> Column:
+    """The ordering column as a double; it only names the value range, ties are settled inside."""
+    kind = df.schema[order].dataType
+    value = F.col(order).cast("timestamp") if isinstance(kind, (T.TimestampNTZType, T.DateType)) else F.col(order)
+    return value.cast("double")
+
+
 def split_points(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
     """Quantiles of a column as fixed numbers, so that every later pass cuts alike."""
     n = buckets or max(4, 2 * parallelism(df.sparkSession))
     shares = [i / n for i in range(1, n)]
-    value = F.col(order).cast("double")
-    row = df.agg(F.percentile_approx(value, shares, max(10000, 20 * n)).alias("p")).first()
+    row = df.agg(F.percentile_approx(_as_number(df, order), shares, max(10000, 20 * n)).alias("p")).first()
     points = sorted({float(p) for p in (row["p"] or []) if p == p})
     return [p for p in points if abs(p) != float("inf")]
 
@@ -81,7 +88,7 @@ def split_points(df: DataFrame, order: str, buckets: int | None = None) -> list[
 def with_bucket(df: DataFrame, order: str, points: Sequence[float], out: str = "_b") -> DataFrame:
     """Number of the value range a row falls in; missing values go last."""
     splits = [-float("inf"), *points, float("inf")]
-    d = df.withColumn("_v", F.coalesce(F.col(order).cast("double"), F.lit(float("nan"))))
+    d = df.withColumn("_v", F.coalesce(_as_number(df, order), F.lit(float("nan"))))
     cut = Bucketizer(splits=splits, inputCol="_v", outputCol=out, handleInvalid="keep")
     return cut.transform(d).drop("_v").withColumn(out, F.col(out).cast("int"))
 
@@ -130,3 +137,23 @@ def running(df: DataFrame, groups: Sequence[str], order: str, columns: Sequence[
             total = F.greatest(near, far)
         out = out.withColumn(f"run_{c}", total)
     return out.drop("_g", "_b", *[f"_t_{c}" for c in columns])
+
+
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float], out: str = "q") -> DataFrame:
+    """Exact, linearly interpolated quantiles per group: columns `share` and `out`.
+
+    Equal values are counted together, the counts are summed up in value ranges, and only
+    the rows next to a wanted position remain.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    whole = counted.groupBy(*groups).agg(F.sum("n").alias("_all")).withColumn("_k", group_key(groups)).select("_k", "_all")
+    places = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), ((F.col("_all") - 1) * F.lit(float(s))).alias("at"))
+                                 for s in shares])).alias("_p")
+    ranked = running(counted, groups, value, ["n"]).withColumn("_k", group_key(groups)).join(whole, "_k")
+    first = F.col("run_n") - F.col("n")
+    d = ranked.select(*groups, value, F.col("run_n").alias("_end"), first.alias("_start"), places)
+    low, high = F.floor("_p.at"), F.ceil("_p.at")
+    on = lambda place: (place >= F.col("_start")) & (place < F.col("_end"))
+    near = d.filter(on(low) | on(high)).withColumn("share", F.col("_p.share"))
+    ends = near.groupBy(*groups, "share").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.first("_p.at").alias("_at"))
+    return ends.select(*groups, "share", (F.col("_lo") + (F.col("_at") - F.floor("_at")) * (F.col("_hi") - F.col("_lo"))).alias(out))
