@@ -1,3 +1,10 @@
 """Data work on labelled flow and event tables, as Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to Python workers travel whole, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from flowspark.catalog.base import ORACLES, QUERIES
 
-MODULES = ("sources", "cleaning", "profiles", "sampling", "evaluation", "selection", "planning")
+MODULES = ("sources", "cleaning", "profiles", "sampling", "evaluation", "selection", "planning", "learning")
 
 
 def load() -> None:

@@ -108,10 +108,10 @@ def convergence_generation(spark, sf_dir):
     return select.convergence_generation(_history(spark, sf_dir), "run", "gen", "f1")
 
 
-@query("a18_run_summary", f"""WITH {CONVERGED} SELECT run, max_by(f1, gen) AS final_f1, round(avg(f1), 6) AS mean_f1, count(*) AS generations,
+@query("a18_run_summary", f"""WITH {CONVERGED} SELECT run, max_by(f1, gen) AS final_f1, round(avg(f1), 9) AS mean_f1, count(*) AS generations,
   any_value(convergence_generation) AS convergence_generation FROM h JOIN conv USING (run) GROUP BY run""")
 def run_summary(spark, sf_dir):
-    return rounded(select.run_summary(_history(spark, sf_dir), "run", "gen", "f1"), 6)
+    return rounded(select.run_summary(_history(spark, sf_dir), "run", "gen", "f1"))
 
 
 @query("w9_improvement_streak", f"""WITH {HISTORY}, a AS (SELECT *, row_number() OVER w AS pos, max(f1) OVER (PARTITION BY run ORDER BY gen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
