@@ -4,7 +4,8 @@ from importlib import import_module
 
 from flowspark.catalog.base import ORACLES, QUERIES
 
-MODULES = ("sources", "cleaning", "profiles", "sampling", "evaluation", "selection", "planning", "learning")
+MODULES = ("sources", "cleaning", "profiles", "sampling", "evaluation", "selection", "planning", "learning",
+           "augmentation", "streams")
 
 
 def load() -> None:
