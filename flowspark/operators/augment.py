@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.operators.ordering import hash_ranked, running
+from flowspark.operators.ordering import hash_ranked, running, with_bucket
 from flowspark.operators.sample import class_aware_sample, class_counts, synthetic_quota
 
 TARGET = "attack_type"  # fixed value: label column of an augmented table
@@ -38,9 +38,7 @@ def synthetic_rows(df: DataFrame, label: str, features: Sequence[str], keys: Seq
         ends.append(total)
     if not total:
         return df.select(label, *features).limit(0)
-    numbers = spark.range(total).withColumn("_at", F.col("id").cast("double"))
-    cut = Bucketizer(splits=[-float("inf"), *[float(e) for e in ends[:-1]], float("inf")], inputCol="_at", outputCol="_c")
-    numbered = cut.transform(numbers).withColumn("_c", F.col("_c").cast("int"))
+    numbered = with_bucket(spark.range(total), "id", [float(e) for e in ends[:-1]], "_c")
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("_c"))
     size = pick([r["n"] for r in quotas])
     plan = numbered.select(

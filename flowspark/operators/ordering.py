@@ -86,7 +86,9 @@ def split_points(df: DataFrame, order: str, buckets: int | None = None) -> list[
 
 
 def with_bucket(df: DataFrame, order: str, points: Sequence[float], out: str = "_b") -> DataFrame:
-    """Number of the value range a row falls in; missing values go last."""
+    """Number of the value range a row falls in, from 0; missing values go last."""
+    if not points:
+        return df.withColumn(out, F.lit(0))
     splits = [-float("inf"), *points, float("inf")]
     d = df.withColumn("_v", F.coalesce(_as_number(df, order), F.lit(float("nan"))))
     cut = Bucketizer(splits=splits, inputCol="_v", outputCol=out, handleInvalid="keep")
