@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowspark.catalog.base import query, table
 from flowspark.operators import sample
-from flowspark.operators.ordering import running, value_ranked
+from flowspark.operators.ordering import numbered_copies
 
 RANKED = "row_number() OVER (PARTITION BY {by} ORDER BY md5('{seed}-' || {key}), {key})"
 
@@ -52,6 +52,18 @@ def plain_split(spark, sf_dir):
     return df.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
+@query("w3_split_without_key", f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag) - 1 AS copy FROM lineitem),
+  q AS {quota_sql("(SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)", 'l_returnflag', '(SELECT ceil(count(*) * 0.25::DOUBLE)::BIGINT FROM lineitem)')}
+  SELECT l_returnflag, part, count(*) AS n, sum(l_orderkey)::BIGINT AS orders, sum(l_linenumber * (copy + 1))::BIGINT AS lines FROM (
+    SELECT t.*, CASE WHEN row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('42-' || l_orderkey || '-' || l_linenumber || '-' || l_returnflag || '-' || copy)) <= quota
+      THEN 'test' ELSE 'train' END AS part FROM t JOIN q USING (l_returnflag)) GROUP BY 1, 2""")
+def split_without_key(spark, sf_dir):
+    rows = numbered_copies(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+    parts = sample.stratified_split(rows, "l_returnflag", rows.columns, 0.25)
+    return parts.groupBy("l_returnflag", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders"), F.sum(F.col("l_linenumber") * (F.col("copy") + 1)).alias("lines"))
+
+
 SOURCE = "(SELECT source, count(*) AS n FROM documents GROUP BY 1)"
 
 

@@ -9,8 +9,9 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.operators.ordering import hash_ranked, running, with_bucket
+from flowspark.operators.ordering import hash_ranked, running, split_points, with_bucket
 from flowspark.operators.sample import class_aware_sample, class_counts, synthetic_quota
+from flowspark.session import bounded
 
 TARGET = "attack_type"  # fixed value: label column of an augmented table
 RATIOS = (0.25, 0.5, 0.75, 1.0)  # fixed values: augmented-to-original row ratios
@@ -93,10 +94,10 @@ def ks_distance(original: DataFrame, generated: DataFrame, features: Sequence[st
     long = lambda d, side: d.select(cells).select("e.*", F.lit(side).alias("side"))
     both = long(original, 0).unionByName(long(generated, 1)).filter("value is not null and not isnan(value)")
     counted = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    ranked = running(counted, ["feature"], "value", ["a", "b"])
+    ranked = running(counted, ["feature"], "value", ["a", "b"], points=split_points(both, "value"))
     totals = counted.groupBy("feature").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b"))
     gap = F.abs(F.try_divide(F.col("run_a").cast("double"), F.col("_a")) - F.try_divide(F.col("run_b").cast("double"), F.col("_b")))
-    return ranked.join(totals, "feature").groupBy("feature").agg(F.max(gap).alias("ks"))
+    return ranked.join(bounded(totals), "feature").groupBy("feature").agg(F.max(gap).alias("ks"))
 
 
 def class_coverage(original: DataFrame, generated: DataFrame, label: str) -> DataFrame:

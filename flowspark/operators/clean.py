@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.functions.names import fractional_columns, numeric_columns, text_columns
-from flowspark.operators.ordering import running
+from flowspark.operators.ordering import running, split_points
 
 FLOAT32_MAX = 3.4028234663852886e38  # fixed value: largest finite 32-bit float
 INFINITY = float("inf")
@@ -150,7 +150,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
     wanted = F.create_map(*[x for i, _ in live for x in (
         F.lit(i), F.struct(F.lit((first[f"n{i}"] + 1) // 2 - below[f"b{i}"]).alias("lo"),
                            F.lit(first[f"n{i}"] // 2 + 1 - below[f"b{i}"]).alias("hi")))])
-    ranked = running(counted, ["i"], "v", ["n"]).withColumn("w", wanted[F.col("i")])
+    ranked = running(counted, ["i"], "v", ["n"], points=split_points(counted, "v")).withColumn("w", wanted[F.col("i")])
     hit = lambda side: (F.col(f"w.{side}") > F.col("run_n") - F.col("n")) & (F.col(f"w.{side}") <= F.col("run_n"))
     middle = (ranked.filter(hit("lo") | hit("hi")).groupBy("i")
               .agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect())

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.session import bounded
+
 
 def category_values(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Sorted values of text columns on the training side, in one pass.
@@ -43,7 +45,7 @@ def label_index(df: DataFrame, label: str, order: str | None = None) -> DataFram
 
 def encode_label(df: DataFrame, label: str, index: DataFrame, out: str, unseen: str = "error") -> DataFrame:
     """Add the class index. An unseen label raises when its row is computed, or gives null."""
-    d = df.join(index.withColumnRenamed("index", out), label, "left")
+    d = df.join(bounded(index.withColumnRenamed("index", out)), label, "left")
     if unseen == "error":
         message = F.concat(F.lit("unseen label: "), F.col(label).cast("string"))
         d = d.withColumn(out, F.when(F.col(out).isNull(), F.raise_error(message)).otherwise(F.col(out)))
@@ -53,4 +55,4 @@ def encode_label(df: DataFrame, label: str, index: DataFrame, out: str, unseen:
 def decode_label(df: DataFrame, code: str, index: DataFrame, out: str) -> DataFrame:
     """Add the label a class index stands for."""
     label = [c for c in index.columns if c != "index"][0]
-    return df.join(index.select(F.col("index").alias(code), F.col(label).alias(out)), code, "left")
+    return df.join(bounded(index.select(F.col("index").alias(code), F.col(label).alias(out))), code, "left")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.operators.ordering import running
+from flowspark.operators.ordering import running, split_points
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -135,7 +135,9 @@ def roc_auc(df: DataFrame, y: str, scores: Mapping[object, str], by: Sequence[st
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("Class"), (F.col(y) == F.lit(c)).cast("long").alias("pos"), F.col(s).cast("double").alias("score"))
         for c, s in scores.items()])).alias("p")
-    counted = (df.select(*by, pairs).select(*by, "p.*").groupBy(*by, "Class", "score")
+    long = df.select(*by, pairs).select(*by, "p.*")
+    points = split_points(long, "score") if points is None else points
+    counted = (long.groupBy(*by, "Class", "score")
                .agg(F.sum("pos").alias("p"), (F.count(F.lit(1)) - F.sum("pos")).alias("q")))
     groups = [*by, "Class"]
     ranked = running(counted, groups, "score", ["q"], inclusive=False, points=points)

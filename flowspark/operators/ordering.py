@@ -8,6 +8,7 @@ plain window; the largest task holds one bucket of a group, not the group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -15,10 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowspark.session import parallelism
-
-HASH_DIGITS = 3  # hex digits of the hash that name a bucket: 4096 buckets per group
-
+from flowspark.session import bounded, parallelism
 
 def hash_key(seed: int, keys: Sequence[str]) -> Column:
     """Seeded order of rows: md5 of the seed and the key columns as text."""
@@ -26,6 +24,11 @@ def hash_key(seed: int, keys: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *parts))
 
 
+def hash_digits(df: DataFrame) -> int:
+    """Hex digits of the hash that name a bucket: some sixteen buckets per shuffle partition."""
+    return max(2, math.ceil(math.log(16 * parallelism(df.sparkSession), 16)))
+
+
 def group_key(groups: Sequence[str]) -> Column:
     """One join key for the grouping columns; a struct compares nulls as equal."""
     return F.struct(*[F.col(g) for g in groups]) if groups else F.struct(F.lit(0).alias("all"))
@@ -38,35 +41,58 @@ def _bucket_offsets(d: DataFrame) -> DataFrame:
 
 
 def hash_ranked(df: DataFrame, groups: Sequence[str], keys: Sequence[str], seed: int,
-                rank: str = "rn", digits: int = HASH_DIGITS) -> DataFrame:
-    """Add the 1-based position of each row in its group, in seeded hash order of `keys`."""
+                rank: str = "rn") -> DataFrame:
+    """Add the 1-based position of each row in its group, in seeded hash order of `keys`.
+
+    The keys tell rows apart; see `numbered_copies` for a table without such columns.
+    """
     d = df.withColumn("_g", group_key(groups)).withColumn("_h", hash_key(seed, keys))
-    d = d.withColumn("_b", F.substring("_h", 1, digits))
+    d = d.withColumn("_b", F.substring("_h", 1, hash_digits(df)))
     inside = Window.partitionBy("_g", "_b").orderBy("_h", *keys)
     return (d.join(_bucket_offsets(d).drop("_n"), ["_g", "_b"])
             .withColumn(rank, F.row_number().over(inside) + F.col("_before"))
             .drop("_g", "_b", "_h", "_before"))
 
 
-def hash_take(df: DataFrame, groups: Sequence[str], keys: Sequence[str], seed: int,
-              quotas: DataFrame, quota: str = "quota", digits: int = HASH_DIGITS) -> DataFrame:
-    """Keep the first `quota` rows of each group in seeded hash order.
+def hash_marked(df: DataFrame, groups: Sequence[str], keys: Sequence[str], seed: int,
+                quotas: DataFrame, quota: str = "quota", out: str = "taken") -> DataFrame:
+    """Add whether a row is among the first `quota` rows of its group in seeded hash order.
 
-    Buckets that fit whole pass on a lookup alone; only the bucket that holds the cut is
-    sorted. Groups without a quota give no rows.
+    A bucket before the cut is taken whole, one after it not at all: a lookup in a small
+    table decides, and those rows are not moved. Only the buckets that hold a cut, one per
+    group, are sorted. Groups without a quota are not taken.
     """
     d = df.withColumn("_g", group_key(groups)).withColumn("_h", hash_key(seed, keys))
-    d = d.withColumn("_b", F.substring("_h", 1, digits))
+    d = d.withColumn("_b", F.substring("_h", 1, hash_digits(df)))
     wanted = quotas.select(group_key(groups).alias("_g"), F.col(quota).cast("long").alias("_q"))
-    cuts = (_bucket_offsets(d).join(wanted, "_g")
+    cuts = (_bucket_offsets(d.select("_g", "_b")).join(bounded(wanted), "_g")
             .withColumn("_take", F.least(F.col("_n"), F.col("_q") - F.col("_before")))
-            .filter("_take > 0").select("_g", "_b", "_n", "_take"))
-    picked = d.join(cuts, ["_g", "_b"])
+            .filter("_take > 0").select("_g", "_b", (F.col("_take") < F.col("_n")).alias("_edge"), "_take"))
+    looked = d.join(bounded(cuts), ["_g", "_b"], "left")
     inside = Window.partitionBy("_g", "_b").orderBy("_h", *keys)
-    whole = picked.filter("_take = _n")
-    edge = (picked.filter("_take < _n").withColumn("_r", F.row_number().over(inside))
-            .filter("_r <= _take").drop("_r"))
-    return whole.unionByName(edge).select(*df.columns)
+    edge = looked.filter("_edge").withColumn(out, F.row_number().over(inside) <= F.col("_take"))
+    clear = looked.filter("not coalesce(_edge, false)").withColumn(out, F.col("_take").isNotNull())
+    return clear.select(*df.columns, out).unionByName(edge.select(*df.columns, out))
+
+
+def hash_take(df: DataFrame, groups: Sequence[str], keys: Sequence[str], seed: int,
+              quotas: DataFrame, quota: str = "quota") -> DataFrame:
+    """Keep the first `quota` rows of each group in seeded hash order."""
+    return hash_marked(df, groups, keys, seed, quotas, quota, "_taken").filter("_taken").drop("_taken")
+
+
+def numbered_copies(df: DataFrame, out: str = "copy", step: int = 10_000) -> DataFrame:
+    """The same rows, with equal rows numbered from 0, so that all columns tell rows apart.
+
+    Equal rows are counted before the shuffle and written out again in steps, so a row with
+    very many copies takes part in many tasks.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    steps = counted.withColumn("_s", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / step))))
+    many = steps.filter(F.col("_n") > step).repartition("_s", *df.columns)
+    spread = steps.filter(F.col("_n") <= step).unionByName(many)
+    last = F.least(F.col("_n") - 1, (F.col("_s") + 1) * step - 1)
+    return spread.select(*df.columns, F.explode(F.sequence(F.col("_s") * step, last)).alias(out))
 
 
 def _as_number(df: DataFrame, order: str) -> Column:
@@ -77,7 +103,11 @@ def _as_number(df: DataFrame, order: str) -> Column:
 
 
 def split_points(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
-    """Quantiles of a column as fixed numbers, so that every later pass cuts alike."""
+    """Quantiles of a column as fixed numbers, so that every later pass cuts alike.
+
+    Take them from the raw rows: a sketch needs no shuffle, and a range with few rows has
+    few distinct values too.
+    """
     n = buckets or max(4, 2 * parallelism(df.sparkSession))
     shares = [i / n for i in range(1, n)]
     row = df.agg(F.percentile_approx(_as_number(df, order), shares, max(10000, 20 * n)).alias("p")).first()
@@ -151,7 +181,8 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, shares: Se
     whole = counted.groupBy(*groups).agg(F.sum("n").alias("_all")).withColumn("_k", group_key(groups)).select("_k", "_all")
     places = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), ((F.col("_all") - 1) * F.lit(float(s))).alias("at"))
                                  for s in shares])).alias("_p")
-    ranked = running(counted, groups, value, ["n"]).withColumn("_k", group_key(groups)).join(whole, "_k")
+    points = split_points(df, value)
+    ranked = running(counted, groups, value, ["n"], points=points).withColumn("_k", group_key(groups)).join(bounded(whole), "_k")
     first = F.col("run_n") - F.col("n")
     d = ranked.select(*groups, value, F.col("run_n").alias("_end"), first.alias("_start"), places)
     low, high = F.floor("_p.at"), F.ceil("_p.at")

@@ -26,15 +26,16 @@ SUMMARY_COLUMNS = (
 
 
 def profile_aggregates(df: DataFrame) -> list[Column]:
-    """The aggregates of a profile state; sums, minima and maxima only, so they merge."""
-    absent, endless = any_missing(df), any_infinite(df)
-    kept = ~absent & ~endless
-    aggregates = [F.count(F.lit(1)).alias("rows"), F.count_if(~absent).alias("rows_present"),
-                  F.count_if(kept).alias("rows_clean")]
+    """The aggregates of a profile state; sums, minima and maxima only, so they merge.
+
+    They read the row flags `_present` and `_clean`.
+    """
+    aggregates = [F.count(F.lit(1)).alias("rows"), F.count_if("_present").alias("rows_present"),
+                  F.count_if("_clean").alias("rows_clean")]
     for i, c in enumerate(df.columns):
         aggregates.append(F.count_if(missing(df, c)).alias(f"miss_{i}"))
         if c in numeric_columns(df):
-            value = F.when(kept, F.col(f"`{c}`"))
+            value = F.when(F.col("_clean"), F.col(f"`{c}`"))
             aggregates += [F.min(value).alias(f"low_{i}"), F.max(value).alias(f"high_{i}")]
     return aggregates
 
@@ -42,7 +43,8 @@ def profile_aggregates(df: DataFrame) -> list[Column]:
 def profile_state(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per (by, class) with all a profile needs. The grouping columns are not features."""
     features = df.drop(*by)
-    return (df.withColumn("_class", F.col(f"`{label}`").cast("string"))
+    present = ~any_missing(features)
+    return (df.withColumns({"_class": F.col(f"`{label}`").cast("string"), "_present": present, "_clean": present & ~any_infinite(features)})
             .groupBy(*by, "_class").agg(*profile_aggregates(features)))
 
 

@@ -14,6 +14,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.session import bounded
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -121,10 +123,9 @@ def rule_table(rules: Sequence[Rule], df: DataFrame) -> DataFrame:
 def match_rule_table(df: DataFrame, key: str, fields: Sequence[str], rules: DataFrame) -> DataFrame:
     """(key, rule) pairs that match: a clause holds when all its terms do. `key` is unique.
 
-    Terms meet rows by equality on (field, value); the rules are a small side that the
-    optimizer sizes itself.
+    Terms meet rows by equality on (field, value); a rule set of checked size is broadcast.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("c")
-    hits = df.select(key, cells).select(key, "c.field", "c.value").join(rules, ["field", "value"])
+    hits = df.select(key, cells).select(key, "c.field", "c.value").join(bounded(rules), ["field", "value"])
     full = hits.groupBy(key, "rule", "clause").agg(F.count(F.lit(1)).alias("met"), F.first("terms").alias("terms"))
     return full.filter("met = terms").select(key, "rule").distinct()

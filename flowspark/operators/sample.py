@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.operators.ordering import hash_key, hash_ranked, hash_take
+from flowspark.operators.ordering import hash_key, hash_marked, hash_ranked, hash_take
+from flowspark.session import bounded
+
+
+TOP_ROWS = 10_000  # largest sample taken as a top-k
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -107,8 +111,15 @@ def class_aware_sample(df: DataFrame, label: str, keys: Sequence[str], size: int
 
 
 def capped_sample(df: DataFrame, keys: Sequence[str], rows: int, seed: int = 42) -> DataFrame:
-    """At most `rows` rows in seeded hash order."""
-    return df.orderBy(hash_key(seed, keys), *keys).limit(rows)
+    """At most `rows` rows in seeded hash order.
+
+    A small sample is a top-k; a large one is cut by hash range, so that it never meets in
+    one task.
+    """
+    if rows <= TOP_ROWS:
+        return df.orderBy(hash_key(seed, keys), *keys).limit(rows)
+    quota = df.sparkSession.createDataFrame([(rows,)], "quota long")
+    return hash_take(df, [], keys, seed, quota)
 
 
 def stratified_split(df: DataFrame, label: str | None, keys: Sequence[str], test_share: float = 0.2, seed: int = 42,
@@ -120,15 +131,10 @@ def stratified_split(df: DataFrame, label: str | None, keys: Sequence[str], test
     """
     if clamp:
         test_share = min(max(test_share, clamp[0]), clamp[1])
-    groups = [label] if label else []
     d = df if label else df.withColumn("_all", F.lit(0))
     by = label or "_all"
-    counts = class_counts(d, by)
+    counts = bounded(class_counts(d, by))
     whole = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     budget = int(-(-whole * test_share // 1))
-    quotas = largest_remainder(counts, by, budget).select(by, "quota")
-    ranked = hash_ranked(d, groups or ["_all"], keys, seed, rank="_rn")
-    quotas = quotas.withColumnRenamed(by, "_class").withColumnRenamed("quota", "_quota")
-    joined = ranked.join(quotas, F.col(by).eqNullSafe(F.col("_class")), "left")
-    part = F.when(F.col("_rn") <= F.col("_quota"), "test").otherwise("train")
-    return joined.withColumn(out, part).select(*df.columns, out)
+    marked = hash_marked(d, [by], keys, seed, largest_remainder(counts, by, budget), out="_test")
+    return marked.withColumn(out, F.when(F.col("_test"), "test").otherwise("train")).select(*df.columns, out)

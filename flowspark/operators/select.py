@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.operators.ordering import exact_quantiles, running, value_ranked
+from flowspark.operators.ordering import exact_quantiles, running, split_points, value_ranked
+from flowspark.session import bounded
 
 # The corner the hypervolume is measured from.
 REFERENCE_F1, REFERENCE_FEATURES = 0.0, 100.0
@@ -73,17 +74,18 @@ def convergence_generation(history: DataFrame, run: str, generation: str, metric
     best = history.groupBy(run).agg(F.max(metric).alias("_best"), F.count(F.lit(1)).alias("_len"))
     ranked = value_ranked(history, [run], generation, [metric], rank="_at")
     reached = F.when((F.col("_best") > 0) & (F.col(metric) >= CONVERGED_SHARE * F.col("_best")), F.col("_at"))
-    return ranked.join(best, run).groupBy(run).agg(
+    return ranked.join(bounded(best), run).groupBy(run).agg(
         F.coalesce(F.min(reached), F.first("_len")).cast("long").alias("convergence_generation"))
 
 
 def improvement_streak(history: DataFrame, run: str, generation: str, metric: str, patience: int = 10) -> DataFrame:
     """Generations since the best last rose, per row, and whether the patience is used up."""
-    ranked = value_ranked(history, [run], generation, [], rank="at")
-    seen = running(ranked, [run], generation, [metric], "max", inclusive=False)
+    points = split_points(history, generation)
+    ranked = value_ranked(history, [run], generation, [], rank="at", points=points)
+    seen = running(ranked, [run], generation, [metric], "max", inclusive=False, points=points)
     better = F.col(f"run_{metric}").isNull() | (F.col(metric) > F.col(f"run_{metric}"))
     marked = seen.withColumn("rise", F.when(better, F.col("at")))
-    last = running(marked, [run], generation, ["rise"], "max")
+    last = running(marked, [run], generation, ["rise"], "max", points=points)
     return (last.withColumn("streak", (F.col("at") - F.col("run_rise")).cast("long"))
             .withColumn("stop", F.col("streak") >= patience).select(*history.columns, "streak", "stop"))
 
@@ -95,10 +97,10 @@ def pareto_front(points: DataFrame, gain: str, cost: str, by: Sequence[str] = ()
     before anything is ordered.
     """
     best = points.groupBy(*by, cost).agg(F.max(gain).alias("_best"))
-    cheaper = running(best, by, cost, ["_best"], "max", inclusive=False)
+    cheaper = running(best, by, cost, ["_best"], "max", inclusive=False, points=split_points(points, cost))
     edge = cheaper.filter(F.col("run__best").isNull() | (F.col("_best") > F.col("run__best"))).select(*by, cost, "_best")
     keys = [*by, cost]
-    return points.join(edge, keys).filter(F.col(gain) == F.col("_best")).select(*points.columns)
+    return points.join(bounded(edge), keys).filter(F.col(gain) == F.col("_best")).select(*points.columns)
 
 
 def hypervolume(points: DataFrame, gain: str, cost: str, by: Sequence[str] = (), mode: str = "reference") -> DataFrame:

@@ -12,6 +12,7 @@ from flowspark.functions.names import drop_metadata, numeric_columns, resolve_la
 from flowspark.functions.text import select_features
 from flowspark.operators.clean import drop_unusable, scale, scale_stats
 from flowspark.operators.encode import align_columns, category_values, encode_label, label_index, one_hot
+from flowspark.operators.ordering import numbered_copies
 from flowspark.operators.sample import capped_sample, stratified_split
 
 
@@ -31,8 +32,9 @@ def prepare(train: DataFrame, test: DataFrame | None = None, label: str | None =
             sample_rows: int | None = None) -> Prepared:
     """Drop identifiers, pick features, clean, split, encode, scale; learn on train only.
 
-    Without a test table the one table is split by class. `keys` order the split and are
-    carried along, not used as features. The label is encoded as `label_index` unless it is
+    Without a test table the one table is split by class. `keys` identify a row; they order
+    the split and are carried along, not used as features. Without keys, equal rows are
+    numbered for the split. The label is encoded as `label_index` unless it is
     a number already.
     """
     label = label or resolve_label(train, rule)
@@ -46,13 +48,17 @@ def prepare(train: DataFrame, test: DataFrame | None = None, label: str | None =
         return drop_unusable(d)
 
     whole = ready(train)
+    order = list(keys)
+    if not order and (sample_rows or test is None):
+        whole = numbered_copies(whole, "_copy")
+        order = whole.columns
     if sample_rows:
-        whole = capped_sample(whole, list(keys) or whole.columns, sample_rows, seed)
+        whole = capped_sample(whole, order, sample_rows, seed)
     if test is None:
-        parts = stratified_split(whole, label, list(keys) or whole.columns, test_share, seed)
-        left, right = (parts.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
+        parts = stratified_split(whole, label, order, test_share, seed)
+        left, right = (parts.filter(F.col("part") == p).drop("part", "_copy") for p in ("train", "test"))
     else:
-        left, right = whole, ready(test)
+        left, right = whole.drop("_copy"), ready(test)
     carried = [*keys, label]
     texts = [c for c, t in left.dtypes if t in ("string", "boolean") and c not in carried]
     values = category_values(left, texts) if texts else {}

@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 100_000  # most rows of a side table that every task may hold
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -57,6 +60,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A side table to join with: broadcast once it is known to be small, as it is otherwise.
+
+    The optimizer cannot foresee the size of an aggregate, so the rows are counted by
+    fetching at most one more than allowed. Beyond that the join shuffles.
+    """
+    head = df.limit(rows + 1).collect()
+    if len(head) > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle width the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,9 +145,10 @@ def read_common(spark: SparkSession, paths: Sequence[str], encoding: str | None
     Headers alone decide the columns. Files with one header form one scan, so the union has
     as many branches as there are distinct headers, not files. `source` adds the file path.
     """
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(lambda p: spark.read.option("header", True).csv(p).columns, paths))
     headers: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        header = spark.read.option("header", True).csv(p).columns
+    for p, header in zip(paths, found):
         headers.setdefault(tuple(c.strip() for c in header), []).append(p)
     first = next(iter(headers))
     common = [c for c in first if all(c in h for h in headers)]

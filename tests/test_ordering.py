@@ -67,3 +67,20 @@ def test_split_points_of_nothing(spark):
     empty = spark.createDataFrame([], "v double")
     assert ordering.split_points(empty, "v") == []
     assert ordering.value_ranked(empty, [], "v", []).count() == 0
+
+
+def test_numbered_copies(spark):
+    df = spark.createDataFrame([("a", 1)] * 25 + [("b", None)] * 3 + [("c", 2)], "k string, v int")
+    out = ordering.numbered_copies(df, step=10)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["k"], []).append(r["copy"])
+    assert {k: sorted(v) for k, v in got.items()} == {"a": list(range(25)), "b": [0, 1, 2], "c": [0]}
+
+
+def test_marks_without_broadcast(skewed, monkeypatch):
+    """Side tables above the size bound are joined, with the same rows."""
+    quotas = skewed.groupBy("g").agg((F.count(F.lit(1)) / 3).cast("long").alias("quota"))
+    small = sorted(ordering.hash_marked(skewed, ["g"], ["id"], 7, quotas).collect(), key=str)
+    monkeypatch.setattr(ordering, "bounded", lambda df: df)
+    assert sorted(ordering.hash_marked(skewed, ["g"], ["id"], 7, quotas).collect(), key=str) == small
