@@ -135,6 +135,14 @@ def numbered_lines(spark, sf_dir):
     return text.features_from_text(part.select(line.alias("value")))
 
 
+@query("u2_feature_rows", """SELECT p_brand, p_size::INTEGER AS position, p_name AS feature, CASE WHEN p_size > 25 THEN p_size END AS ranking, count(*) AS n
+  FROM part GROUP BY ALL""")
+def feature_rows(spark, sf_dir):
+    line = F.concat(F.col("p_size").cast("string"), F.lit(". "), "p_name", F.when(F.col("p_size") > 25, F.format_string(" (RFE Ranking %d)", "p_size")).otherwise(""))
+    texts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_join(F.collect_list(line), "\n").alias("listing"))
+    return text.feature_rows(texts, "listing").groupBy("p_brand", "position", "feature", "ranking").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("p12_select_features", "SELECT l_returnflag, round(avg(l_tax), 6) AS tax, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY 1")
 def select_features(spark, sf_dir):
     df = text.select_features(table(spark, sf_dir, "lineitem"), ["l_tax", "gone", "l_discount", "l_returnflag"], "known")

@@ -8,7 +8,7 @@ from flowspark.catalog.base import query, table
 from flowspark.catalog.evaluation import rounded
 from flowspark.catalog.sampling import PRIORITY, RANKED, quota_sql
 from flowspark.operators import explain, nearest, scoring
-from flowspark.operators.metrics import confusion_counts, score
+from flowspark.operators.metrics import confusion_counts, fold_spread, score
 from flowspark.operators.sample import stratified_folds, stratified_split
 from flowspark.operators.select import population_diversity, sweep_summary
 from flowspark.plans import features as selection
@@ -132,8 +132,6 @@ def mask_naive_bayes(spark, sf_dir):
   pred AS (SELECT fold, any_value(y) AS y, min_by(class, (d, class)) AS yhat FROM d GROUP BY o_orderkey, fold), {score_sql('pred', 'fold')}
   SELECT round(avg(f1), 9) AS mean, round(stddev_pop(f1), 9) AS std FROM sc""")
 def cross_validation(spark, sf_dir):
-    from flowspark.operators.metrics import fold_spread
-
     folds = stratified_folds(orders(spark, sf_dir), "y", ["o_orderkey"], 10)
     return rounded(fold_spread(scoring.cross_validate(folds, "fold", "y", ["price", "cust"]), []))
 
@@ -231,6 +229,11 @@ def approximate_rows(spark, sf_dir):
     return found.groupBy("vec_id").agg(F.min("distance").alias("nearest"))
 
 
+def fitted(train, test, line_up):
+    """Metric rows of some models, without the timings, which no two runs share."""
+    return rounded(models.train_and_score(train, test, line_up).drop("train_seconds", "test_seconds"))
+
+
 def vector_split(spark, sf_dir):
     """Vector tables of both sides of embeddings."""
     split = stratified_split(vectors(spark, sf_dir), "label", ["vec_id"], 0.2)
@@ -246,26 +249,26 @@ def toxic(spark, sf_dir):
 
 @query("m2_forest")
 def forest(spark, sf_dir):
-    return rounded(models.train_and_score(*vector_split(spark, sf_dir), {"Random Forest": models.forest(100, 5)}))
+    return fitted(*vector_split(spark, sf_dir), {"Random Forest": models.forest(100, 5)})
 
 
 @query("m3_boosted_trees")
 def boosted_trees(spark, sf_dir):
     split = stratified_split(toxic(spark, sf_dir), "toxic", ["doc_id"], 0.25)
     data = models.vector_table(split, "toxic", ["n_chars", "quality"], ["doc_id"], ["part"])
-    return rounded(models.train_and_score(data.filter("part = 'train'"), data.filter("part = 'test'"), {"Gradient Boosting": models.boosted(2, 10, 3)}))
+    return fitted(data.filter("part = 'train'"), data.filter("part = 'test'"), {"Gradient Boosting": models.boosted(2, 10, 3)})
 
 
 @query("m4_linear_models")
 def linear_models(spark, sf_dir):
     train, test = vector_split(spark, sf_dir)
     rows = train.count()
-    return rounded(models.train_and_score(train, test, {"Logistic Regression": models.logistic(rows=rows), "SVM": models.linear_svc(classes=10, rows=rows, rounds=10)}))
+    return fitted(train, test, {"Logistic Regression": models.logistic(rows=rows), "SVM": models.linear_svc(classes=10, rows=rows, rounds=10)})
 
 
 @query("m6_perceptron")
 def perceptron(spark, sf_dir):
-    return rounded(models.train_and_score(*vector_split(spark, sf_dir), {"MLP Neural Net": models.perceptron(SIZE, 10, rounds=50)}))
+    return fitted(*vector_split(spark, sf_dir), {"MLP Neural Net": models.perceptron(SIZE, 10, rounds=50)})
 
 
 @query("m7_stacked")
@@ -324,7 +327,7 @@ def grid_search(spark, sf_dir):
     make = {"Logistic Regression": lambda C, penalty, solver, l1_ratio: models.logistic(C, penalty, l1_ratio, rows, 20)}
     cache = spark.createDataFrame([("Logistic Regression", '{"C": 1, "l1_ratio": 0.0, "penalty": null, "solver": "lbfgs"}')], "model string, params_json string")
     results = tuning.grid_search(df, "label", NAMES, ["vec_id"], grids, make, cache, folds=2)
-    return tuning.winners(results)
+    return tuning.winners(results).drop("elapsed")
 
 
 @query("e3_stored_model")

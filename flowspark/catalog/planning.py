@@ -57,12 +57,12 @@ def pending_files(spark, sf_dir):
     return grid.pending_files(files, done, "c_custkey", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"])
 
 
-@query("j7_scaffold", """WITH f AS (SELECT l_suppkey, l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY ALL)
-  SELECT a.l_suppkey, b.l_returnflag, c.l_linestatus, d.l_linenumber, n FROM (SELECT DISTINCT l_suppkey FROM f) a CROSS JOIN (SELECT DISTINCT l_returnflag FROM f) b
-  CROSS JOIN (SELECT DISTINCT l_linestatus FROM f) c CROSS JOIN (SELECT DISTINCT l_linenumber FROM f) d LEFT JOIN f USING (l_suppkey, l_returnflag, l_linestatus, l_linenumber)""")
+@query("j7_scaffold", """WITH f AS (SELECT o_custkey, o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)
+  SELECT a.o_custkey, b.o_orderstatus, c.o_orderpriority, n FROM (SELECT DISTINCT o_custkey FROM f) a CROSS JOIN (SELECT DISTINCT o_orderstatus FROM f) b
+  CROSS JOIN (SELECT DISTINCT o_orderpriority FROM f) c LEFT JOIN f USING (o_custkey, o_orderstatus, o_orderpriority)""")
 def scaffold(spark, sf_dir):
-    dims = ["l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber"]
-    facts = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").groupBy(*dims).agg(F.count(F.lit(1)).alias("n"))
+    dims = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+    facts = table(spark, sf_dir, "orders").groupBy(*dims).agg(F.count(F.lit(1)).alias("n"))
     return grid.scaffold(facts, dims)
 
 

@@ -105,30 +105,31 @@ def mirrored_conversion(spark, sf_dir):
 
 
 RESULT_ROWS = """SELECT 'd' || o_custkey AS dataset_path, o_orderpriority AS tool, o_totalprice AS f1,
-  strftime(o_orderdate, '%Y-%m-%d_%H_%M_%S') AS stamp FROM orders WHERE o_orderstatus = '{s}'"""
+  strftime(o_orderdate, '%Y-%m-%d_%H_%M_%S') AS stamp FROM orders WHERE o_orderstatus {s} 'P'"""
 
 
-def _results(spark, sf_dir, status):
-    return table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == status).select(
+def _results(spark, sf_dir, new):
+    """Orders in state P as the new batch, all others as the stored table."""
+    return table(spark, sf_dir, "orders").filter((F.col("o_orderstatus") == "P") == F.lit(new)).select(
         F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("dataset_path"),
         F.col("o_orderpriority").alias("tool"), F.col("o_totalprice").alias("f1"),
         F.date_format("o_orderdate", results.STAMP_FORMAT).alias("stamp"))
 
 
-@query("s11_replace_rows", f"""WITH old AS ({RESULT_ROWS.format(s='F')}), new AS ({RESULT_ROWS.format(s='P')})
+@query("s11_replace_rows", f"""WITH old AS ({RESULT_ROWS.format(s='<>')}), new AS ({RESULT_ROWS.format(s='=')})
   SELECT * FROM old WHERE dataset_path NOT IN (SELECT dataset_path FROM new) UNION ALL SELECT * FROM new""")
 def replace_rows(spark, sf_dir):
     path = scratch_path(spark, "results")
-    results.swap_in(spark, _results(spark, sf_dir, "F"), path)
-    results.swap_in(spark, results.replace_rows(results.load_results(spark, path), _results(spark, sf_dir, "P")), path)
+    results.swap_in(spark, _results(spark, sf_dir, False), path)
+    results.swap_in(spark, results.replace_rows(results.load_results(spark, path), _results(spark, sf_dir, True)), path)
     return results.load_results(spark, path)
 
 
-@query("s11_append_rows", f"""WITH both_rows AS (SELECT dataset_path, stamp, f1 FROM ({RESULT_ROWS.format(s='F')})
-  UNION ALL SELECT dataset_path, stamp, NULL FROM ({RESULT_ROWS.format(s='P')}))
+@query("s11_append_rows", f"""WITH both_rows AS (SELECT dataset_path, stamp, f1 FROM ({RESULT_ROWS.format(s='<>')})
+  UNION ALL SELECT dataset_path, stamp, NULL FROM ({RESULT_ROWS.format(s='=')}))
   SELECT dataset_path, stamp AS timestamp, f1, NULL::VARCHAR AS note FROM both_rows""")
 def append_rows(spark, sf_dir):
-    old = _results(spark, sf_dir, "F").withColumnRenamed("stamp", "timestamp")
-    new = _results(spark, sf_dir, "P").withColumnRenamed("stamp", "timestamp").drop("f1")
+    old = _results(spark, sf_dir, False).withColumnRenamed("stamp", "timestamp")
+    new = _results(spark, sf_dir, True).withColumnRenamed("stamp", "timestamp").drop("f1")
     merged = results.append_rows(old, new, ["dataset_path", "timestamp", "f1", "note"])
     return merged.withColumn("f1", F.col("f1").cast("double"))

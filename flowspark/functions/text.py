@@ -38,10 +38,16 @@ def ranks_from_text(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def features_from_text(lines: DataFrame, column: str = "value") -> DataFrame:
     """(position, feature, ranking) from lines such as `1. name (RFE ranking 1)`."""
-    hit = F.rlike(F.col(column), F.lit(FEATURE_LINE))
-    part = lambda i: F.regexp_extract(column, FEATURE_LINE, i)
-    return lines.filter(hit).select(part(1).cast("int").alias("position"), F.trim(part(2)).alias("feature"),
-                                    F.nullif(part(3), F.lit("")).cast("int").alias("ranking"))
+    return feature_rows(lines.select(column), column)
+
+
+def feature_rows(df: DataFrame, column: str) -> DataFrame:
+    """A numbered feature text per row, as one row per feature; the other columns are repeated."""
+    others = [c for c in df.columns if c != column]
+    lines = df.select(*others, F.explode(F.split(column, "\n")).alias("_line"))
+    part = lambda i: F.regexp_extract("_line", FEATURE_LINE, i)
+    return lines.filter(F.rlike("_line", F.lit(FEATURE_LINE))).select(
+        *others, part(1).cast("int").alias("position"), F.trim(part(2)).alias("feature"), F.nullif(part(3), F.lit("")).cast("int").alias("ranking"))
 
 
 def ranks_from_json(df: DataFrame, column: str) -> DataFrame:

@@ -84,7 +84,8 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     parsed = F.from_csv("line", raw.simpleString()[7:-1].replace(":", " "), {
         "quote": "'", "escape": "\\", "nullValue": "?",
         "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
-    marker = F.lower(F.regexp_extract("line", r"^@(\w+)", 1)).isin("relation", "attribute", "data")
+    # A data row may begin with @ too; only the three markers are header lines.
+    marker = F.startswith("line", F.lit("@")) & F.rlike("line", F.lit(r"^@(?i:relation|attribute|data)\b"))
     data = lines.filter((F.col("line") != "") & ~F.startswith("line", F.lit("%")) & ~marker)
     rows = data.select(parsed.alias("r"))
     return rows.select(*[F.expr(f"try_cast(r.c{i} AS {f.dataType.simpleString()})").alias(f.name)

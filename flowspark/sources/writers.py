@@ -36,8 +36,8 @@ def write_arff(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     head = [f"@RELATION {ARFF_RELATION}", "", *[f"@ATTRIBUTE '{c}' STRING" for c in df.columns], "", "@DATA"]
     spark.createDataFrame([(line,) for line in head], "value string").coalesce(1).write.text(path)
-    quoted = lambda c: F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(
-        F.col(f"`{c}`").cast("string"), r"\\", r"\\\\"), "'", r"\\'"), F.lit("'"))
+    safe = lambda text: F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    quoted = lambda c: F.concat(F.lit("'"), safe(F.col(f"`{c}`").cast("string")), F.lit("'"))
     row = F.concat_ws(",", *[F.coalesce(quoted(c), F.lit("?")) for c in df.columns])
     df.select(row.alias("value")).write.mode("append").text(path)
 
