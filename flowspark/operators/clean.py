@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 
 from flowspark.functions.names import fractional_columns, numeric_columns, text_columns
 from flowspark.operators.ordering import running, split_points
+from flowspark.session import settle
 
 FLOAT32_MAX = 3.4028234663852886e38  # fixed value: largest finite 32-bit float
 INFINITY = float("inf")
+WIDE = 24  # columns above which a row is tested as an array
+SKETCH_ROWS = 200_000  # rows that bracket a median
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -33,14 +36,27 @@ def is_infinite(column: str) -> Column:
 
 
 def any_missing(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """Some column of the row is null or NaN."""
-    return _any([missing(df, c) for c in columns or df.columns])
+    """Some column of the row is null or NaN.
+
+    A long chain of tests makes a method too big for the JIT compiler, so wide rows are
+    tested as an array.
+    """
+    names = list(columns or df.columns)
+    if len(names) <= WIDE:
+        return _any([missing(df, c) for c in names])
+    numbers = [F.col(f"`{c}`").cast("double") for c in names if c in fractional_columns(df)]
+    others = [F.col(f"`{c}`").isNull() for c in names if c not in fractional_columns(df)]
+    tests = [F.exists(F.array(*numbers), lambda x: x.isNull() | F.isnan(x))] if numbers else []
+    return _any([*tests, *([F.array_contains(F.array(*others), True)] if others else [])])
 
 
 def any_infinite(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """Some numeric column of the row is infinite."""
     wanted = [c for c in fractional_columns(df) if columns is None or c in columns]
-    return _any([is_infinite(c) for c in wanted])
+    if len(wanted) <= WIDE:
+        return _any([is_infinite(c) for c in wanted])
+    values = F.array(*[F.coalesce(F.abs(F.col(f"`{c}`").cast("double")), F.lit(0.0)) for c in wanted])
+    return F.array_contains(values, F.lit(INFINITY))
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -124,33 +140,38 @@ def coerce_numeric(df: DataFrame) -> DataFrame:
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Exact median of each column over its present, finite values.
 
-    One pass brackets every median, a second counts what lies below the bracket, and only
-    the values inside it are counted and ranked, in value ranges. No task sees a column whole.
+    A sketch (of a sample, when the table is large) brackets every median, a second pass
+    counts what lies below and inside the bracket, and only the values inside are counted
+    and ranked, in value ranges. A bracket that misses is opened fully. No task sees a
+    column whole.
     """
-    slack = 0.002
-    finite = {c: F.when(~is_infinite(c) & ~F.isnan(F.col(f"`{c}`").cast("double")),
-                        F.col(f"`{c}`").cast("double")) for c in columns}
-    first = df.agg(
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(finite.values())],
-        *[F.percentile_approx(v, [0.5 - slack, 0.5 + slack], 10000).alias(f"p{i}")
-          for i, v in enumerate(finite.values())],
-    ).first()
-    live = [(i, c) for i, c in enumerate(columns) if first[f"n{i}"]]
+    rows = df.count()
+    slack = 0.002 if rows <= SKETCH_ROWS else min(0.4, 5 * (0.25 / SKETCH_ROWS) ** 0.5)
+    number = lambda c: F.col(f"`{c}`").cast("double")
+    d = df.select(*[F.when(F.abs(number(c)) < INFINITY, number(c)).alias(f"x{i}") for i, c in enumerate(columns)])
+    finite = {c: F.col(f"x{i}") for i, c in enumerate(columns)}
+    looked = d if rows <= SKETCH_ROWS else d.sample(SKETCH_ROWS / rows, seed=42)
+    sketch = looked.agg(*[F.percentile_approx(v, [0.5 - slack, 0.5 + slack], 10000).alias(f"p{i}")
+                          for i, v in enumerate(finite.values())]).first()
+    bracket = {i: sketch[f"p{i}"] or (-INFINITY, INFINITY) for i in range(len(finite))}
+    seen = d.agg(*[x for i, v in enumerate(finite.values()) for x in (
+        F.count(v).alias(f"n{i}"), F.count_if(v < bracket[i][0]).alias(f"b{i}"), F.count_if(v.between(*bracket[i])).alias(f"k{i}"))]).first()
     result: dict[str, float | None] = dict.fromkeys(columns)
-    if not live:
+    wanted, inside = [], []
+    for i, (c, v) in enumerate(finite.items()):
+        n, below = seen[f"n{i}"], seen[f"b{i}"]
+        if not n:
+            continue
+        low, high = (n + 1) // 2, n // 2 + 1
+        if not below < low <= high <= below + seen[f"k{i}"]:
+            bracket[i], below = (-INFINITY, INFINITY), 0
+        wanted += [F.lit(i), F.struct(F.lit(low - below).alias("lo"), F.lit(high - below).alias("hi"))]
+        inside.append(F.when(v.between(*bracket[i]), F.struct(F.lit(i).alias("i"), v.alias("v"))))
+    if not inside:
         return result
-    below = df.agg(*[F.sum(F.when(finite[c] < first[f"p{i}"][0], 1).otherwise(0)).alias(f"b{i}")
-                     for i, c in live]).first()
-    inside = [F.when((finite[c] >= first[f"p{i}"][0]) & (finite[c] <= first[f"p{i}"][1]), finite[c])
-              for i, c in live]
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v"))
-                                for (i, _), v in zip(live, inside)])).alias("e")
-    counted = (df.select(pairs).select("e.i", "e.v").filter("v is not null")
-               .groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
-    wanted = F.create_map(*[x for i, _ in live for x in (
-        F.lit(i), F.struct(F.lit((first[f"n{i}"] + 1) // 2 - below[f"b{i}"]).alias("lo"),
-                           F.lit(first[f"n{i}"] // 2 + 1 - below[f"b{i}"]).alias("hi")))])
-    ranked = running(counted, ["i"], "v", ["n"], points=split_points(counted, "v")).withColumn("w", wanted[F.col("i")])
+    pairs = d.select(F.explode(F.array_compact(F.array(*inside))).alias("e")).select("e.i", "e.v")
+    counted = settle(pairs.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")))
+    ranked = running(counted, ["i"], "v", ["n"], points=split_points(counted, "v")).withColumn("w", F.create_map(*wanted)[F.col("i")])
     hit = lambda side: (F.col(f"w.{side}") > F.col("run_n") - F.col("n")) & (F.col(f"w.{side}") <= F.col("run_n"))
     middle = (ranked.filter(hit("lo") | hit("hi")).groupBy("i")
               .agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect())

@@ -9,6 +9,7 @@ plain window; the largest task holds one bucket of a group, not the group.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -102,17 +103,21 @@ def _as_number(df: DataFrame, order: str) -> Column:
     return value.cast("double")
 
 
+def _quantiles(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
+    """Finite quantiles of a column, repeated where one value spans several."""
+    n = buckets or max(4, 2 * parallelism(df.sparkSession))
+    shares = [i / n for i in range(1, n)]
+    row = df.agg(F.percentile_approx(_as_number(df, order), shares, max(10000, 20 * n)).alias("p")).first()
+    return [float(p) for p in (row["p"] or []) if math.isfinite(p)]
+
+
 def split_points(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
     """Quantiles of a column as fixed numbers, so that every later pass cuts alike.
 
     Take them from the raw rows: a sketch needs no shuffle, and a range with few rows has
     few distinct values too.
     """
-    n = buckets or max(4, 2 * parallelism(df.sparkSession))
-    shares = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(_as_number(df, order), shares, max(10000, 20 * n)).alias("p")).first()
-    points = sorted({float(p) for p in (row["p"] or []) if p == p})
-    return [p for p in points if abs(p) != float("inf")]
+    return sorted(set(_quantiles(df, order, buckets)))
 
 
 def with_bucket(df: DataFrame, order: str, points: Sequence[float], out: str = "_b") -> DataFrame:
@@ -125,15 +130,32 @@ def with_bucket(df: DataFrame, order: str, points: Sequence[float], out: str = "
     return cut.transform(d).drop("_v").withColumn(out, F.col(out).cast("int"))
 
 
+def _with_tie_buckets(d: DataFrame, order: str, tie: str, hot: Sequence[float]) -> DataFrame:
+    """Cut the rows of values that fill whole ranges again, by the column that settles ties.
+
+    Rows of the same range with a greater value come after all of them.
+    """
+    value = F.coalesce(_as_number(d, order), F.lit(float("nan")))
+    at_hot = value.isin(*hot)
+    cuts = split_points(d.filter(at_hot), tie)
+    last = len(cuts) + 1
+    d = with_bucket(d, tie, cuts, "_t")
+    return d.withColumn("_b", F.col("_b") * (last + 1) + F.when(at_hot, F.least("_t", F.lit(last - 1))).otherwise(last)).drop("_t")
+
+
 def value_ranked(df: DataFrame, groups: Sequence[str], order: str, ties: Sequence[str],
                  rank: str = "rn", size: str | None = None,
                  points: Sequence[float] | None = None) -> DataFrame:
     """Add the 1-based position of each row in its group, ordered by a number or time column.
 
-    `ties` settles equal values. `size` names an optional column for the rows of the group.
+    `ties` settles equal values; a value that fills whole ranges is cut by the first of
+    them, when that is a number. `size` names an optional column for the rows of the group.
     """
-    points = split_points(df, order) if points is None else points
-    d = with_bucket(df.withColumn("_g", group_key(groups)), order, points)
+    spread = _quantiles(df, order) if points is None else list(points)
+    d = with_bucket(df.withColumn("_g", group_key(groups)), order, sorted(set(spread)))
+    hot = sorted(v for v, times in Counter(spread).items() if times > 1)
+    if hot and ties and isinstance(df.schema[ties[0]].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType)):
+        d = _with_tie_buckets(d, order, ties[0], hot)
     offsets = _bucket_offsets(d)
     if size:
         offsets = offsets.withColumn(size, F.sum("_n").over(Window.partitionBy("_g")))

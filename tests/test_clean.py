@@ -144,3 +144,15 @@ def test_summary_average(spark, dirty):
 def test_chunk_bounds():
     assert profile.chunk_bounds(10, 100, 4) == (3, 34)
     assert profile.chunk_bounds(3, 100, 4) == (1, 100)
+
+
+def test_wide_rows_are_tested_like_narrow_ones(spark, dirty, monkeypatch):
+    want = (ids(clean.drop_missing(dirty)), ids(clean.drop_infinite(dirty)), ids(clean.drop_unusable(dirty)))
+    monkeypatch.setattr(clean, "WIDE", 0)
+    assert (ids(clean.drop_missing(dirty)), ids(clean.drop_infinite(dirty)), ids(clean.drop_unusable(dirty))) == want
+
+
+def test_median_when_the_sample_misleads(spark, monkeypatch):
+    monkeypatch.setattr(clean, "SKETCH_ROWS", 3)
+    df = spark.range(2001).select((F.col("id") * 1.0).alias("x"), F.when(F.col("id") < 1500, 7.0).otherwise(9.0).alias("y"))
+    assert clean.exact_medians(df, ["x", "y"]) == {"x": 1000.0, "y": 7.0}

@@ -84,3 +84,15 @@ def test_marks_without_broadcast(skewed, monkeypatch):
     small = sorted(ordering.hash_marked(skewed, ["g"], ["id"], 7, quotas).collect(), key=str)
     monkeypatch.setattr(ordering, "bounded", lambda df: df)
     assert sorted(ordering.hash_marked(skewed, ["g"], ["id"], 7, quotas).collect(), key=str) == small
+
+
+def test_hot_value_is_cut_by_ties(spark):
+    """Most rows share one order value: the largest range still holds a fraction of them."""
+    df = spark.range(2000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") * 1.0).otherwise(700.0).alias("v"))
+    spread = ordering._quantiles(df, "v")
+    d = ordering.with_bucket(df, "v", sorted(set(spread)))
+    cut = ordering._with_tie_buckets(d, "v", "id", [700.0])
+    assert cut.groupBy("_b").count().agg(F.max("count")).first()[0] < 500
+    out = ordering.value_ranked(df, [], "v", ["id"])
+    plain = df.withColumn("rn", F.row_number().over(Window.orderBy("v", "id")))
+    assert sorted(out.select("id", "rn").collect()) == sorted(plain.select("id", "rn").collect())
