@@ -159,7 +159,7 @@ def value_ranked(df: DataFrame, groups: Sequence[str], order: str, ties: Sequenc
     offsets = _bucket_offsets(d)
     if size:
         offsets = offsets.withColumn(size, F.sum("_n").over(Window.partitionBy("_g")))
-    inside = Window.partitionBy("_g", "_b").orderBy(F.col(order).asc_nulls_last(), *ties)
+    inside = Window.partitionBy("_g", "_b").orderBy(*[F.col(c).asc_nulls_last() for c in (order, *ties)])
     return (d.join(offsets.drop("_n"), ["_g", "_b"])
             .withColumn(rank, F.row_number().over(inside) + F.col("_before"))
             .drop("_g", "_b", "_before"))
