@@ -13,6 +13,8 @@ SMALL_ROWS = 100_000  # most rows of a side table that every task may hold
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+_local_folder: dict[str, str] = {}  # by application: the fallback folder of a local master
+
 
 def local_session(cpus: int | str = "*", app: str = "flowspark", memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
@@ -42,9 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all nodes")
-    folder = tempfile.mkdtemp(prefix="flowspark-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    return _local_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="flowspark-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
