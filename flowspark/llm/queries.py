@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from flowspark.llm import mixing, simhash, url_rules
+from flowspark.llm import ann, caps, mixing, simhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors of equal label at cosine 0.98."""
+    return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate components of documents."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -34,6 +39,12 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products found for every twentieth vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 OP9_SQL = r"""
 WITH part AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -47,6 +58,6 @@ fit AS (
 SELECT page_id, COALESCE(host, '') AS host, COALESCE(path, '') AS path, rule, COALESCE(verdict, 'allow') AS verdict
 FROM cut LEFT JOIN fit USING (page_id)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_simhash, op7_mix, op9_url_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_caps, op5_simhash, op7_mix, op9_url_rules, op10_ann)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op9_url_rules": OP9_SQL}
