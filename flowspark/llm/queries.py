@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from flowspark.llm import ann, caps, mixing, simhash, url_rules
+from flowspark.llm import ann, caps, mixing, pieces, simhash, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -33,6 +33,11 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as piece ids with merge-dropout, decoded again for comparison."""
+    return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), check=True).drop("text")
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's address judged by nested host and path rules."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -58,6 +63,6 @@ fit AS (
 SELECT page_id, COALESCE(host, '') AS host, COALESCE(path, '') AS path, rule, COALESCE(verdict, 'allow') AS verdict
 FROM cut LEFT JOIN fit USING (page_id)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_caps, op5_simhash, op7_mix, op9_url_rules, op10_ann)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_caps, op5_simhash, op7_mix, op8_pieces, op9_url_rules, op10_ann)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op9_url_rules": OP9_SQL}
