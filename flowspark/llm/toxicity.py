@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from flowspark.llm.words import slices, words_of
 
 STEMS = (4, 5, 6)  # characters of the beginnings of words that are terms besides whole words
+MOST_WORDS = 4  # a beginning counts again as a term of its own from 2, 3 and 4 different words with it
 LEXICON = 8192  # most terms kept, those with the most evidence first
-LEAST_TEXTS = 3  # labelled texts a term must occur in
+LEAST_TEXTS = 2  # labelled texts a term must occur in
 FIT_ROWS = 100_000  # most labelled texts that the label model and the classifier are fitted on
 LEXICONS = 6  # lexicon voters per kind of term
 ROUNDS = 40  # of expectation maximisation
@@ -58,29 +59,39 @@ class Model:
         return 2 * LEXICONS + 4
 
 
-def evidence(text: str | None, terms: dict[bytes, int], voter: list[int], known: dict) -> tuple[list[int], np.ndarray]:
+def levels(terms: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
+    """Base term -> (words it takes, number) of the lexicon's terms that come from it."""
+    out: dict[bytes, list[tuple[int, int]]] = {}
+    for term, number in terms.items():
+        base, least = (term[1:], int(term[:1])) if term[:1].isdigit() else (term, 1)
+        out.setdefault(base, []).append((least, number))
+    return out
+
+
+def evidence(text: str | None, watched: dict[bytes, list], voter: list[int], known: dict) -> tuple[list[int], np.ndarray]:
     """Lexicon terms of a whole text, and the votes: 1 toxic, -1 clean, 0 abstains.
 
     Voters: lexicons of words and of word beginnings; words found in a lexicon once digits and
     signs are read as letters; shouting; an accumulation of several different terms; and the
     absence of every term, which votes clean.
     """
-    words = set(words_of(text))
-    hits = set()
+    counts: Counter = Counter()
     disguised = False
-    for word in words:
+    for word in set(words_of(text)):
         found = known.get(word)
         if found is None:
-            all_terms = Terms.__missing__({}, word)
-            plain = [terms[t] for t in all_terms if t in terms]
-            read = word.strip(EDGES).translate(DISGUISE)
-            hidden = not plain and read != word.strip(EDGES) and b"w" + read in terms and any(c.isalpha() for c in word.decode("utf-8", "replace"))
-            found = (tuple(plain) + ((terms[b"w" + read],) if hidden else ()), hidden)
+            plain = tuple(t for t in Terms.__missing__({}, word) if t in watched)
+            bare = word.strip(EDGES)
+            read = b"w" + bare.translate(DISGUISE)
+            hidden = not plain and read[1:] != bare and read in watched and any(c.isalpha() for c in bare.decode("utf-8", "replace"))
+            found = (plain + ((read,) if hidden else ()), hidden)
             if len(known) > 200_000:
                 known.clear()
             known[word] = found
-        hits.update(found[0])
-        disguised |= found[1]
+        if found[0]:
+            counts.update(found[0])
+            disguised |= found[1]
+    hits = sorted({number for base, n in counts.items() for least, number in watched[base] if n >= least})
     votes = np.zeros(2 * LEXICONS + 4, np.int8)
     for h in hits:
         votes[voter[h]] = 1
@@ -89,13 +100,13 @@ def evidence(text: str | None, terms: dict[bytes, int], voter: list[int], known:
     votes[-3] = bool(letters) and sum(c.isupper() for c in letters) > 0.5 * len(letters)
     votes[-2] = len(hits) > 2
     votes[-1] = 0 if hits else -1
-    return sorted(hits), votes
+    return hits, votes
 
 
 def induce_lexicon(labelled: DataFrame) -> tuple[dict[bytes, int], list[int]]:
     """Terms with evidence of toxicity and their voters, from all labelled texts (`text`, `toxic`).
 
-    A term is kept if at least LEAST_TEXTS toxic texts hold it and, with one clean text added, at
+    A term is kept if at least LEAST_TEXTS toxic texts hold it and, with half a clean text added, at
     least TRUST of its texts are toxic; of more than LEXICON terms those in most toxic texts
     stay. Terms are dealt to the lexicons of their kind by hash, so voters differ.
     """
@@ -104,17 +115,19 @@ def induce_lexicon(labelled: DataFrame) -> tuple[dict[bytes, int], list[int]]:
         for batch in slices(batches, "text", 4 * SLICE):
             toxic, clean = Counter(), Counter()
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                (toxic if label else clean).update({t for w in set(words_of(text)) for t in known[w]})
+                found = Counter(t for w in set(words_of(text)) for t in known[w])
+                often = [b"%d" % k + t for t, n in found.items() if n > 1 for k in range(2, min(n, MOST_WORDS) + 1)]
+                (toxic if label else clean).update([*found, *often])
             names = list(toxic.keys() | clean.keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([toxic[t] for t in names], pa.int64()),
                                               pa.array([clean[t] for t in names], pa.int64())], ["term", "toxic", "clean"])
 
     counts = labelled.select("text", "toxic").mapInArrow(count, "term binary, toxic bigint, clean bigint")
     kept = (counts.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-            .where((F.col("t") >= LEAST_TEXTS) & (F.col("t") >= TRUST * (F.col("t") + F.col("c") + 1)))
+            .where((F.col("t") >= LEAST_TEXTS) & (F.col("t") >= TRUST * (F.col("t") + F.col("c") + 0.5)))
             .orderBy(F.desc(F.col("t") / (F.col("c") + 1)), "term").limit(LEXICON).collect())
     terms = {bytes(r["term"]): i for i, r in enumerate(kept)}
-    return terms, [LEXICONS * (t[:1] == b"s") + sum(t) % LEXICONS for t in terms]
+    return terms, [LEXICONS * (t[:1] != b"w") + sum(t) % LEXICONS for t in terms]
 
 
 def label_model(votes: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,8 +194,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", fit_rows: int =
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
+        watched = levels(terms)
         for batch in slices(batches, "text", SLICE):
-            found = [evidence(t, terms, voter, known) for t in batch.column(0).to_pylist()]
+            found = [evidence(t, watched, voter, known) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.int32())),
                                               pa.array([f[1].tobytes() for f in found], pa.binary())], ["hits", "votes"])
 
@@ -209,11 +223,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", keep: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
+        watched = levels(m.terms)
         width, terms = m.voters, len(m.terms)
         for batch in slices(batches, "_text", SLICE):
             out = []
             for text in batch.column(len(kept)):
-                hits, votes = evidence(text.as_py(), m.terms, m.voter, known)
+                hits, votes = evidence(text.as_py(), watched, m.voter, known)
                 z = m.bias + m.weights[hits].sum() + m.weights[terms:terms + width][votes > 0].sum() + m.weights[terms + width:][votes < 0].sum()
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*kept, "score"])
