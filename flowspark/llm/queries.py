@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowspark.llm import ann, caps, mixing, pieces, simhash, toxicity, url_rules
+from flowspark.llm import ann, caps, lines, mixing, pieces, simhash, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -33,6 +33,11 @@ def op3_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that occur, exactly or nearly, in a document before or above."""
+    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate components of documents."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -74,6 +79,6 @@ fit AS (
 SELECT page_id, COALESCE(host, '') AS host, COALESCE(path, '') AS path, rule, COALESCE(verdict, 'allow') AS verdict
 FROM cut LEFT JOIN fit USING (page_id)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_caps, op5_simhash, op7_mix, op8_pieces, op9_url_rules, op10_ann)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_caps, op4_lines, op5_simhash, op7_mix, op8_pieces, op9_url_rules, op10_ann)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op9_url_rules": OP9_SQL}
