@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowspark.llm import ann, caps, lines, mixing, pieces, simhash, toxicity, url_rules
+from flowspark.llm import ann, caps, lines, mixing, pieces, pii, simhash, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -43,6 +43,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents: counts and digest of the fixed formats, and all spans."""
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["nr"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.as_text(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to source weights 3, 1, 2 and so on, half as many words again."""
     documents, _ = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -79,6 +88,6 @@ fit AS (
 SELECT page_id, COALESCE(host, '') AS host, COALESCE(path, '') AS path, rule, COALESCE(verdict, 'allow') AS verdict
 FROM cut LEFT JOIN fit USING (page_id)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_caps, op4_lines, op5_simhash, op7_mix, op8_pieces, op9_url_rules, op10_ann)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_caps, op4_lines, op5_simhash, op6_pii, op7_mix, op8_pieces, op9_url_rules, op10_ann)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op9_url_rules": OP9_SQL}
