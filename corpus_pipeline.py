@@ -3,10 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from flowspark.llm import lines, mixing, pieces, simhash, toxicity
 from flowspark.session import scratch_path
 
-STAGES: list = []
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labels of these documents, does not reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, keep=True).where(F.col("score") < toxicity.REJECT).select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that stand, exactly or nearly, in an earlier document or above. Documents stay."""
+    return _recounted(lines.dedup_lines(docs).select(*docs.columns))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of SimHash neighbours the document with the smallest id; of its repeated rows one."""
+    groups = simhash.near_duplicates(docs)
+    kept = groups.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that a mix of the sources takes, a row per document and pass."""
+    return _recounted(mixing.mixed_texts(docs))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of all texts beside the columns of documents."""
+    return pieces.encode(docs)
+
+
+STAGES = [("toxicity", toxic_documents), ("lines", repeated_lines), ("simhash", near_copies), ("mixing", mixed_sources), ("pieces", encoded)]
 ORACLE_SQL = None  # classifiers, fuzzy matching and keyed draws have no SQL form
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowspark.llm import ann, caps, lines, mixing, pieces, pii, simhash, toxicity, url_rules
+from flowspark.llm import ann, caps, lines, mixing, pieces, pii, pitman_yor, simhash, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -18,6 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of documents, learned from the nine tenths that are not held out."""
+    held_out = toxicity.crc_remainder(F.col("doc_id"), pitman_yor.HELD_OUT_PARTS) == 0
+    scored = pitman_yor.score_texts(_table(spark, sf_dir, "documents"), held_out)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of documents, learned without the third of the labels that is held out."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -88,6 +95,6 @@ fit AS (
 SELECT page_id, COALESCE(host, '') AS host, COALESCE(path, '') AS path, rule, COALESCE(verdict, 'allow') AS verdict
 FROM cut LEFT JOIN fit USING (page_id)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_caps, op4_lines, op5_simhash, op6_pii, op7_mix, op8_pieces, op9_url_rules, op10_ann)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pitman_yor, op2_toxicity, op3_caps, op4_lines, op5_simhash, op6_pii, op7_mix, op8_pieces, op9_url_rules, op10_ann)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op9_url_rules": OP9_SQL}
