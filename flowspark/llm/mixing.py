@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.session import settle
+from flowspark.session import parallelism, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 128  # words in a block
 SHARD_SLOTS = 131_072  # blocks in an output shard, some 17 million words
+RUN_SLOTS = 8192  # slots that one row stands for until it is dealt to a task
 ROUNDS = 24  # of the block permutation
 HASH_BUCKETS = 1024  # parts a source is cut into for running totals
 
@@ -139,8 +140,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: floa
               .join(F.broadcast(base), ["nr", "_b"]).withColumn("offset", F.col("_base") + F.col("_run")))
 
     draws = spark.createDataFrame(draw_shards(plan, shard_slots, seed), "shard long, nr long, first long, n long")
-    slots = (draws.repartition("shard", "nr").join(F.broadcast(facts.select("nr", "blocks")), "nr")
-             .select("shard", "nr", "blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("j")))
+    runs = draws.select("shard", "nr", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
+    runs = runs.select("shard", "nr", "hi", F.explode(F.expr(f"sequence(lo, hi - 1, {RUN_SLOTS}L)")).alias("lo"))
+    slots = (runs.repartition(parallelism(spark), "nr", "lo").join(F.broadcast(facts.select("nr", "blocks")), "nr")
+             .select("shard", "nr", "blocks", F.explode(F.expr(f"sequence(lo, least(lo + {RUN_SLOTS}L, hi) - 1)")).alias("j")))
     taken = slots.select("shard", "nr", _permuted_block(seed).alias("block"))
 
     spans = placed.where("size > 0").select(
