@@ -28,20 +28,22 @@ def _line_ids(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, first key, n, m0..): distinct lines with their minima; lines without a full shingle have none.
+    """(id, first key, n, bands): distinct lines with a hash per band of minima; lines without a full shingle have none.
 
-    A signature shingle is the ANCHORED characters from a word's start. One 64-bit hash per
+    A signature shingle is the ANCHORED characters from a word's start. One 32-bit hash per
     shingle gives all minima: each is taken over the hash XORed with a constant, which is an
     order of its own. Partial aggregation meets equal lines on the map side first.
     """
     lines = docs.select(F.col(key).alias("key"), F.explode(F.split(F.col(text), "\n")).alias("line")).select("key", normalized(F.col("line")).alias("line"))
     lines = lines.where("line <> ''").select(F.xxhash64("line").alias("id"), "key", F.regexp_extract_all("line", F.lit(rf"(?<![^ ])(?=([^ ].{{{ANCHORED - 1}}}))"), F.lit(1)).alias("s"))
     marks = random.Random(17)
-    masks = [(i << 59 | marks.getrandbits(59)) - (1 << 63) for i in marks.sample(range(32), BANDS * ROWS)]
+    masks = [(i << 27 | marks.getrandbits(27)) - (1 << 31) for i in marks.sample(range(32), BANDS * ROWS)]
     hashed = lines.select("id", "key", F.posexplode_outer("s").alias("at", "shingle")).select(
-        "id", "key", F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0).alias("one"), F.when(F.col("shingle").isNotNull(), F.xxhash64("shingle")).alias("h"))
-    return hashed.groupBy("id").agg(F.min("key").alias("first"), F.sum("one").alias("n"), *[
-        F.shiftright(F.min(F.col("h").bitwiseXOR(F.lit(m))), 32).cast("int").alias(f"m{i}") for i, m in enumerate(masks)])
+        "id", "key", F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0).alias("one"), F.when(F.col("shingle").isNotNull(), F.hash("shingle")).alias("h"))
+    least = hashed.groupBy("id").agg(F.min("key").alias("first"), F.sum("one").alias("n"), *[
+        F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{i}") for i, m in enumerate(masks)])
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    return least.select("id", "first", "n", F.when(F.col("m0").isNotNull(), bands).alias("bands"))
 
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
@@ -52,8 +54,7 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     lines of a crowd share several bands, each with hubs of its own, and a link through a hub
     joins the same component as a direct one.
     """
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"m{b * ROWS + r}" for r in range(ROWS)]).alias("k")) for b in range(BANDS)])
-    keyed = signed.where("m0 is not null").select("id", "n", F.explode(bands).alias("e")).select("id", "n", F.xxhash64("e.band", "e.k").alias("k"))
+    keyed = signed.select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("k")).repartition("k")  # once for both uses
     buckets = keyed.groupBy("k").agg(F.count("*").alias("size"), F.max_by("id", "n").alias("top"), F.min("id").alias("low"), F.max("id").alias("high"))
     met = keyed.join(buckets.where("size > 1"), "k")
     hubs = met.where(F.col("size") > CROWD).select("id", F.explode(F.array("top", "low", "high")).alias("other"))
@@ -82,12 +83,13 @@ def linked_lines(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> Data
     texts = settle(maybe.select("id", "line").dropDuplicates(["id"]).join(wanted, "id", "left_semi"))
 
     def shingles(line: str) -> Column:
-        return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+        return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
 
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    compared = pairs.join(left, "a").join(right, "b").select("a", "b", shingles("x").alias("x"), shingles("y").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return compared.where(common >= THRESHOLD * (F.size("x") + F.size("y") - common)).select("a", "b")
+    # the lambdas bind sets and sizes, so that each is computed once per pair
+    sets = F.array(F.struct(shingles("x").alias("x"), shingles("y").alias("y")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("common"), (F.size(s["x"]) + F.size(s["y"])).alias("all")))
+    return pairs.join(left, "a").join(right, "b").where(F.exists(sizes, lambda s: s["common"] >= THRESHOLD * (s["all"] - s["common"]))).select("a", "b")
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,10 +116,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     n_lines or n_dropped are replaced; empty tables give empty results.
     """
     classes = settle(line_classes(docs, key, text))
-    own = docs.select(F.col(key).alias("_key"), F.posexplode(_line_ids(F.col(text))).alias("_at", "id")).distinct()
-    marked = own.join(classes, "id").groupBy("_key").agg(F.collect_list(F.struct("_at", "root", "first")).alias("_marks"))
+    own = docs.select(F.col(key).alias("_key"), F.posexplode(_line_ids(F.col(text))).alias("_at", "id"))
+    marked = settle(own.join(classes, "id").groupBy("_key").agg(F.array_distinct(F.collect_list(F.struct("_at", "root", "first"))).alias("_marks")))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*kept).join(marked, F.col(key) == F.col("_key"), "left")
+    # documents that surely have no marked line pass by the shuffle: the filter never misses a marked one
+    words = _filter_words(marked.select(F.xxhash64("_key").alias("id")))
+    flagged = docs.select(*kept).withColumn("_id", F.xxhash64(key)).join(words.hint("broadcast"), F.expr(WORD_OF_ID.replace("id,", "_id,") + " = w"), "left")
+    flagged = flagged.withColumn("_maybe", F.expr(f"coalesce(bits & {BIT_OF_ID.replace('(id', '(_id')}, 0) <> 0"))
+    through = flagged.where("_maybe").select(*kept).join(marked, F.col(key) == F.col("_key"), "left")
+    past = flagged.where("not _maybe").select(*kept, *[F.lit(None).cast(marked.schema[c].dataType).alias(c) for c in ("_key", "_marks")])
+    joined = through.unionByName(past)
     marks = F.array_sort("_marks")
     roots = F.transform(marks, lambda m: m["root"])
     dropped = F.transform(F.filter(marks, lambda m, i: (m["first"] != F.col("_key")) | (F.array_position(roots, m["root"]) != i + 1)), lambda m: m["_at"])
