@@ -13,7 +13,7 @@ from flowspark.session import settle
 PROJECTIONS = 256
 THRESHOLD = 0.45  # share of the projections in which a vector must fall into the query's window
 FIRST_WINDOW, GROWTH = 0.25, 1.2  # half width of the first window; its growth per round
-SPARE = 0.05  # share of a block that may be verified beyond k before the windows stop growing
+VERIFIED, SPARE = 4, 0.05  # windows stop growing once this many times k vectors and this share of a block are verified
 BLOCK = 4096  # vectors in a block, and queries
 
 
@@ -45,7 +45,7 @@ class CollisionIndex:
             hits += np.bincount(np.concatenate(entered), minlength=n).astype(np.int32)
             lo, hi = new_lo, new_hi
             found = np.flatnonzero(hits >= need)
-            if len(found) >= min(n, k + 1 + spare * n):
+            if len(found) >= min(n, VERIFIED * k + 1 + spare * n):
                 break
             half *= GROWTH
         found = found[self.ids[found] != query_id]
@@ -62,7 +62,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     Vectors are dealt into blocks of about `block`; each block sorts its projections on
     `projections` random axes. Around a query's own projection a window opens on every axis; a
     vector that lies in the windows of at least `threshold` of the axes is verified by its exact
-    inner product. Until k vectors and `spare` of the block are verified, all windows grow by a
+    inner product. Until a few times k vectors and `spare` of the block are verified, all windows grow by a
     factor, which continues the count (virtual rehashing). Blocks of queries meet blocks of
     vectors in tasks of bounded memory; a task returns k rows per query, which are merged.
 

@@ -141,7 +141,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
              .withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
     met = entered.join(crowd, ["label", "filter"]).withColumn("block", F.pmod("id", "blocks").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.where("blocks = 1 or block <> other or block = 0").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    met = met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     cells = ["label", "filter", "i", "j"]
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -172,11 +172,11 @@ def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     The text holds the words that the pass takes, in order and with the blanks after them; a
     text that is taken whole stays as it is. Documents of which nothing is taken go.
     """
-    taken = mix(docs, key=key, **options)[0].where("taken > 0").select(F.col(key).alias("_key"), "size", "pieces").dropDuplicates(["_key"])
-    passes = F.explode(F.sequence(F.lit(1), F.array_max(F.transform("pieces", lambda p: p["times"])).cast("int")))
+    taken = mix(docs, key=key, **options)[0].where("taken > 0").select(F.col(key).alias("_key"), F.col("size").alias("_size"), F.col("pieces").alias("_pieces")).dropDuplicates(["_key"])
+    passes = F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_pieces", lambda p: p["times"])).cast("int")))
     found = docs.join(taken, F.col(key) == F.col("_key")).withColumn("_pass", passes)
-    own = F.filter("pieces", lambda p: p["times"] >= F.col("_pass"))
+    own = F.filter("_pieces", lambda p: p["times"] >= F.col("_pass"))
     words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.flatten(F.transform(own, lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["words"].cast("int")))), "")
-    whole = F.aggregate(own, F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col("size")
+    whole = F.aggregate(own, F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col("_size")
     return found.withColumn(text, F.when(whole, F.col(text)).otherwise(part)).select(*docs.columns)

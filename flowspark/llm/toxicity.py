@@ -140,11 +140,11 @@ def label_model(votes: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray
     """
     n, m = votes.shape
     onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
-    post = np.where((votes == 1).any(axis=1), 0.9, np.where((votes == -1).any(axis=1), 0.02, prior))
+    post = ((votes == 1).sum(axis=1) + prior) / ((votes != 0).sum(axis=1) + 1)
     say, corr = np.ones(m), np.zeros((m, m))
     for step in range(ROUNDS):
         rates = [(np.tensordot(w, onehot, axes=(0, 0)) + 0.5) / (w.sum() + 1.5) for w in (1 - post, post)]
-        if step % 8 == 4:
+        if step % 8 == 0:
             rest = votes - ((1 - post)[:, None] * (rates[0][:, 2] - rates[0][:, 0]) + post[:, None] * (rates[1][:, 2] - rates[1][:, 0]))
             spread = np.sqrt((rest ** 2).mean(axis=0)) + 1e-6
             corr = np.clip((rest.T @ rest) / n / np.outer(spread, spread), 0, 1)
