@@ -10,11 +10,11 @@ from flowspark.catalog.learning import ORDERS, orders
 from flowspark.catalog.sampling import RANKED, SYNTHETIC, quota_sql
 from flowspark.operators import augment
 
-DRAW = "('0x' || substr(md5('42-{p}-' || id), 1, 8))::BIGINT"
+DRAW = "('0x' || substr(md5('42-{p}-' || id), 1, 15))::BIGINT"
 MADE = f"""{ORDERS}, q AS {SYNTHETIC.format(counts='(SELECT y, count(*) AS n FROM o GROUP BY 1)', label='y', amount=0.5, small=100, floor=10)},
   e AS (SELECT *, sum(quota) OVER (ORDER BY y) - quota AS before FROM q),
   i AS (SELECT y, n, before + unnest(range(quota)) AS id FROM e),
-  d AS (SELECT id, y, {DRAW.format(p='a')} % n + 1 AS ra, {DRAW.format(p='b')} % n + 1 AS rb, {DRAW.format(p='u')} / 4294967296.0::DOUBLE AS u FROM i),
+  d AS (SELECT id, y, {DRAW.format(p='a')} % n + 1 AS ra, {DRAW.format(p='b')} % n + 1 AS rb, {DRAW.format(p='u')} / 1152921504606846976.0::DOUBLE AS u FROM i),
   r AS (SELECT *, {RANKED.format(by='y', seed=42, key='o_orderkey')} AS rn FROM o),
   made AS (SELECT d.id::BIGINT AS id, d.y, a.price + u * (b.price - a.price) AS price, a.cust + u * (b.cust - a.cust) AS cust
     FROM d JOIN r a ON a.y = d.y AND a.rn = d.ra JOIN r b ON b.y = d.y AND b.rn = d.rb)"""

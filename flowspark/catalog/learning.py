@@ -268,7 +268,7 @@ def linear_models(spark, sf_dir):
 
 @query("m6_perceptron")
 def perceptron(spark, sf_dir):
-    return fitted(*vector_split(spark, sf_dir), {"MLP Neural Net": models.perceptron(SIZE, 10, rounds=50)})
+    return fitted(*vector_split(spark, sf_dir), {"MLP (Neural Net)": models.perceptron(SIZE, 10, rounds=50)})
 
 
 @query("m7_stacked")

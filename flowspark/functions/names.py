@@ -60,8 +60,8 @@ def normalized(name: Column, rule: str = "trees") -> Column:
 
 def normalized_text(name: str) -> str:
     """The `trees` rule for one schema name."""
-    bare = re.sub(f"[{BLANK_CODE_POINTS}]", "", name)
-    return re.sub(" +", " ", bare.strip()).lower()
+    kept = re.compile(f"[{BLANK_CODE_POINTS}]").sub("", name).strip()
+    return " ".join(filter(None, kept.split(" "))).lower()
 
 
 def drop_metadata(df: DataFrame, names: Sequence[str] = METADATA_COLUMNS, rule: str = "exact") -> DataFrame:
@@ -72,36 +72,32 @@ def drop_metadata(df: DataFrame, names: Sequence[str] = METADATA_COLUMNS, rule:
     return df.drop(*[c for c in df.columns if normalized_text(c) in folded])
 
 
-def resolve_label(df: DataFrame, rule: str = "main") -> str | None:
-    """Name of the label column under one of four rules; None when the rule finds none."""
-    folded = {c: c.strip().lower() for c in df.columns}
+def _label_rank(rule: str, field: T.StructField, last: bool) -> int | None:
+    """How strongly a rule prefers a column as label, 0 most; None when it does not take it."""
+    name = field.name.strip().lower()
     if rule == "main":
-        for wanted in LABEL_PRIORITY:
-            for column, name in folded.items():
-                if name == wanted:
-                    return column
-        return None
+        wanted = dict(zip(LABEL_PRIORITY, range(len(LABEL_PRIORITY))))
+        return wanted.get(name)
     if rule == "descriptor":
-        for column, name in folded.items():
-            if name in DESCRIPTOR_LABELS:
-                return column
-        for column, name in folded.items():
-            if "target" in name or "label" in name:
-                return column
-        last = df.schema.fields[-1] if df.columns else None
-        if last is not None and isinstance(last.dataType, (T.StringType, T.BooleanType)):
-            return last.name
-        return None
+        tests = (name in DESCRIPTOR_LABELS, "target" in name or "label" in name, last and isinstance(field.dataType, (T.StringType, T.BooleanType)))
+        return tests.index(True) if any(tests) else None
     if rule == "alias":
-        for alias in LABEL_ALIASES:
-            if alias in df.columns:
-                return alias
-        return df.columns[-1] if df.columns else None
+        wanted = dict(zip(LABEL_ALIASES, range(len(LABEL_ALIASES))))
+        return wanted.get(field.name, len(wanted) if last else None)
     if rule == "last":
-        return df.columns[-1] if df.columns else None
+        return 0 if last else None
     raise ValueError(f"unknown rule {rule!r}")
 
 
+def resolve_label(df: DataFrame, rule: str = "main") -> str | None:
+    """Name of the label column under one of four rules: the best-ranked one, the earliest of equals; None without one."""
+    if rule not in ("main", "descriptor", "alias", "last"):
+        raise ValueError(f"unknown rule {rule!r}")
+    fields = df.schema.fields
+    ranked = [(rank, at) for at, field in enumerate(fields) if (rank := _label_rank(rule, field, at == len(fields) - 1)) is not None]
+    return fields[min(ranked)[1]].name if ranked else None
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     """Columns of a numeric type, in order."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

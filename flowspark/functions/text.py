@@ -11,8 +11,10 @@ def truncated(column: str | Column) -> Column:
     """Four decimals cut toward zero, as text; null for what is no number."""
     text = (F.col(column) if isinstance(column, str) else column).cast("string")
     value = text.try_cast("double")
-    cut = F.signum(value) * F.floor(F.abs(value) * 10000) / 10000
-    return F.when(value.isNotNull() & ~F.isnan(value), F.format_string("%.4f", cut))
+    units = F.abs(value) * 10000  # cut in double precision: a long would clip large values
+    cut = F.signum(value) * (units - units % 1) / 10000
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(finite, F.format_string("%.4f", F.when(cut == 0, F.lit(0.0)).otherwise(cut)))
 
 
 def state_id(*parts: Column) -> Column:

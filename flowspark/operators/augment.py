@@ -18,9 +18,9 @@ RATIOS = (0.25, 0.5, 0.75, 1.0)  # fixed values: augmented-to-original row ratio
 
 
 def _draw(seed: int, purpose: str, number: Column) -> Column:
-    """A 32-bit number drawn from the seed, the purpose and the row number."""
+    """A 60-bit number drawn from the seed, the purpose and the row number."""
     text = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(purpose), number.cast("string")))
-    return F.conv(F.substring(text, 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(text, 1, 15), 16, 10).cast("long")
 
 
 def synthetic_rows(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str], amount: float, seed: int = 42,
@@ -44,7 +44,7 @@ def synthetic_rows(df: DataFrame, label: str, features: Sequence[str], keys: Seq
     size = pick([r["n"] for r in quotas])
     plan = numbered.select(
         "id", pick([r[label] for r in quotas]).alias(label), (_draw(seed, "a", F.col("id")) % size + 1).alias("_ra"),
-        (_draw(seed, "b", F.col("id")) % size + 1).alias("_rb"), (_draw(seed, "u", F.col("id")) / F.lit(2.0 ** 32)).alias("_u"))
+        (_draw(seed, "b", F.col("id")) % size + 1).alias("_rb"), (_draw(seed, "u", F.col("id")) / F.lit(2.0 ** 60)).alias("_u"))
     ranked = hash_ranked(df.select(*dict.fromkeys([*keys, label, *features])), [label], keys, seed, rank="_r")
     side = lambda s: ranked.select(label, F.col("_r").alias(f"_r{s}"), *[F.col(f).cast("double").alias(f"_{s}_{i}") for i, f in enumerate(features)])
     made = plan.join(side("a"), [label, "_ra"]).join(side("b"), [label, "_rb"])

@@ -6,6 +6,8 @@ A rule reads `a & b || c`: clauses joined by `||`, terms joined by `&`. A term i
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -17,83 +19,83 @@ from pyspark.sql import functions as F
 from flowspark.session import bounded
 
 
+TERM = re.compile(r"\s*(?P<sign>\|\||&)|\s*(?P<term>[^&|()!]+)")
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Alternative clauses, each a set of (field, value) equalities."""
+    """Alternative clauses, each a set of (field, value) equalities in field order."""
 
     clauses: tuple[tuple[tuple[str, object], ...], ...]
 
     @property
     def text(self) -> str:
         """The rule in canonical form."""
-        return "||".join("&".join(str(v) for _, v in clause) for clause in self.clauses)
+        return "||".join("&".join(str(value) for _, value in clause) for clause in self.clauses)
 
     @property
     def column(self) -> Column:
         """The rule as one predicate, so that it runs inside the scan's filter."""
-        terms = [[F.col(f).eqNullSafe(F.lit(v)) for f, v in clause] for clause in self.clauses]
-        return reduce(or_, [reduce(and_, t) for t in terms])
+        held = [reduce(and_, (F.col(f).eqNullSafe(F.lit(v)) for f, v in clause)) for clause in self.clauses]
+        return reduce(or_, held)
 
 
-def token(value: object) -> str:
-    """Lower-case letters and digits only."""
-    return "".join(c for c in str(value).lower() if c.isalnum())
+def folded(value: object) -> str:
+    """Spelling without case, blanks and signs."""
+    return "".join(filter(str.isalnum, str(value).lower()))
 
 
 class Vocabulary:
-    """What rules may say: per field its values with aliases; percent fields take 0..100."""
+    """What rules may say: per field its values with aliases; percent fields take 0..100.
+
+    All of it is one table of meanings: (field or None for a bare term, spelling) to the
+    equalities it can stand for.
+    """
 
     def __init__(self, values: Mapping[str, Mapping[object, Sequence[str]]], field_aliases: Mapping[str, str] | None = None,
                  percent_fields: Sequence[str] = ()):
-        self.order = [*values, *[p for p in percent_fields if p not in values]]
-        self.percent_fields = list(percent_fields)
-        self.fields = {token(f): f for f in self.order} | {token(a): f for a, f in (field_aliases or {}).items()}
-        self.lookup: dict[str, set[tuple[str, object]]] = {}
-        for field, known in values.items():
-            for value, aliases in known.items():
-                for alias in (value, *aliases):
-                    self.lookup.setdefault(token(alias), set()).add((field, value))
-
-    def _percent(self, text: str) -> int:
-        if not text.isdigit() or int(text) > 100:
-            raise ValueError(f"not a whole percentage: {text!r}")
-        return int(text)
+        self.order = list(dict.fromkeys([*values, *percent_fields]))
+        self.names = {folded(spelling): field for spelling, field in [*zip(self.order, self.order), *(field_aliases or {}).items()]}
+        spelled = [(field, value, folded(s)) for field, known in values.items() for value, aliases in known.items() for s in (value, *aliases)]
+        spelled += [(field, number, str(number)) for field in percent_fields for number in range(101)]
+        self.meanings: dict[tuple[str | None, str], set[tuple[str, object]]] = defaultdict(set)
+        for field, value, spelling in spelled:
+            self.meanings[field, spelling].add((field, value))
+            if field not in percent_fields:
+                self.meanings[None, spelling].add((field, value))
+        for number in range(101 if percent_fields else 0):  # a bare number is the first percentage
+            self.meanings[None, str(number)] = {(percent_fields[0], number)}
 
     def term(self, text: str) -> tuple[str, object]:
         """Field and value of one term."""
-        if "=" in text:
-            left, right = (part.strip() for part in text.split("=", 1))
-            field = self.fields.get(token(left))
-            if field is None:
-                raise ValueError(f"unknown field: {left!r}")
-            if field in self.percent_fields:
-                return field, self._percent(right)
-            hits = [hit for hit in self.lookup.get(token(right), ()) if hit[0] == field]
-        elif text.isdigit() and self.percent_fields:
-            return self.percent_fields[0], self._percent(text)
-        else:
-            hits = sorted(self.lookup.get(token(text), ()), key=str)
-            if len({f for f, _ in hits}) > 1:
-                raise ValueError(f"ambiguous term: {text!r}")
-        if not hits:
-            raise ValueError(f"unknown term: {text!r}")
-        return hits[0]
+        name, equals, spelling = text.rpartition("=")
+        field = self.names.get(folded(name)) if equals else None
+        if equals and field is None:
+            raise ValueError(f"unknown field: {name.strip()!r}")
+        found = self.meanings.get((field, folded(spelling)), set())
+        if len(found) != 1:
+            raise ValueError(f"{'ambiguous' if found else 'unknown'} term: {text!r}")
+        return next(iter(found))
 
     def rule(self, text: str) -> Rule:
-        """One rule from its text; malformed or contradictory rules raise."""
-        if any(c in text for c in "()!") or "&&" in text or "|" in text.replace("||", ""):
-            raise ValueError(f"unsupported syntax: {text!r}")
-        clauses = []
-        for part in text.split("||"):
-            found: dict[str, object] = {}
-            for term in part.split("&"):
-                if not term.strip():
-                    raise ValueError(f"empty term in {text!r}")
-                field, value = self.term(term.strip())
-                if found.setdefault(field, value) != value:
+        """One rule from its text: terms and signs must alternate, and a clause must not contradict itself."""
+        clauses: list[dict[str, object]] = [{}]
+        at, before = 0, "sign"
+        while at < len(text.rstrip()):
+            found = TERM.match(text, at)
+            kind = found.lastgroup if found else "nothing"
+            if kind == before or kind == "nothing" or not found[kind].strip():
+                raise ValueError(f"unsupported syntax at {text[at:]!r} in {text!r}")
+            if found[kind] == "||":
+                clauses.append({})
+            elif kind == "term":
+                field, value = self.term(found[kind].strip())
+                if clauses[-1].setdefault(field, value) != value:
                     raise ValueError(f"contradictory {field} in {text!r}")
-            clauses.append(tuple((f, found[f]) for f in self.order if f in found))
-        return Rule(tuple(clauses))
+            at, before = found.end(), kind
+        if before == "sign":
+            raise ValueError(f"a term is missing at the end of {text!r}")
+        return Rule(tuple(tuple(sorted(clause.items(), key=lambda item: self.order.index(item[0]))) for clause in clauses))
 
 
 def _either(rules: Sequence[Rule]) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -38,7 +40,7 @@ def _columns(**extra):
     return {"featuresCol": FEATURES, "labelCol": LABEL, **extra}
 
 
-def forest(trees: int = 100, depth: int = 10, **extra):
+def forest(trees: int = 100, depth: int = 30, **extra):
     """Random forest. MLlib grows at most 30 levels."""
     return RandomForestClassifier(**_columns(numTrees=trees, maxDepth=depth, seed=SEED, **extra))
 
@@ -76,7 +78,7 @@ def default_models(inputs: int, classes: int, rows: int) -> dict[str, object]:
     """The model line-up that MLlib can fit."""
     return {
         "Random Forest": forest(), "Gradient Boosting": boosted(classes), "Logistic Regression": logistic(rows=rows),
-        "SVM": linear_svc(classes=classes, rows=rows), "MLP Neural Net": perceptron(inputs, classes),
+        "SVM": linear_svc(classes=classes, rows=rows), "MLP (Neural Net)": perceptron(inputs, classes),
     }
 
 
@@ -96,16 +98,27 @@ def train_and_score(train: DataFrame, test: DataFrame, models: Mapping[str, obje
 
 
 def pipeline(features: Sequence[str], estimator) -> Pipeline:
-    """Raw feature columns to prediction: assemble, scale, classify."""
+    """Raw feature columns to prediction: assemble, scale, classify. Fitting passes over rows that lack a feature."""
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip"),
         StandardScaler(inputCol="_raw", outputCol=FEATURES, withMean=True, withStd=True), estimator])
 
 
+def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Every row of a table with its prediction, null where a feature is missing."""
+    inputs = model.stages[0].getInputCols()
+    present = {c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in inputs}
+    own = df.withColumns({f"_own_{c}": F.col(c) for c in inputs} | {"_usable": reduce(and_, present.values())})
+    filled = own.withColumns({c: F.when(present[c], F.col(c)).otherwise(0) for c in inputs})
+    scored = model.transform(filled).withColumn("prediction", F.when(F.col("_usable"), F.col("prediction")))
+    return scored.withColumns({c: F.col(f"_own_{c}") for c in inputs}).drop("_usable", *[f"_own_{c}" for c in inputs])
+
+
 def score_stored(path: str, df: DataFrame, label: str, metrics: Sequence[str] = ("weighted", "rates")) -> DataFrame:
-    """Metrics of a saved pipeline on a table."""
-    predicted = PipelineModel.load(path).transform(df.withColumn(LABEL, F.col(label).cast("double")))
-    return score(predicted, LABEL, "prediction", metrics)
+    """Metrics of a saved pipeline on the rows it can score, and how many it cannot (`unusable`)."""
+    predicted = settle(predict(PipelineModel.load(path), df.withColumn(LABEL, F.col(label).cast("double"))).select(LABEL, "prediction"))
+    unusable = predicted.where("prediction is null").count()
+    return score(predicted.where("prediction is not null"), LABEL, "prediction", metrics).withColumn("unusable", F.lit(unusable).cast("long"))
 
 
 def stacked(train: DataFrame, test: DataFrame, keys: Sequence[str], bases: Mapping[str, Callable[[], object]], k: int = 3,

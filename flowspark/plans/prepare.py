@@ -52,13 +52,14 @@ def prepare(train: DataFrame, test: DataFrame | None = None, label: str | None =
     if not order and (sample_rows or test is None):
         whole = numbered_copies(whole, "_copy")
         order = whole.columns
-    if sample_rows:
-        whole = capped_sample(whole, order, sample_rows, seed)
     if test is None:
         parts = stratified_split(whole, label, order, test_share, seed)
-        left, right = (parts.filter(F.col("part") == p).drop("part", "_copy") for p in ("train", "test"))
+        left, right = (parts.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
     else:
-        left, right = whole.drop("_copy"), ready(test)
+        left, right = whole, ready(test)
+    if sample_rows:  # bounds what is fitted on; every test row stays
+        left = capped_sample(left, order, sample_rows, seed)
+    left, right = left.drop("_copy"), right.drop("_copy")
     carried = [*keys, label]
     texts = [c for c, t in left.dtypes if t in ("string", "boolean") and c not in carried]
     values = category_values(left, texts) if texts else {}

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from flowspark.operators.clean import drop_missing, drop_out_of_range, drop_unusable
 from flowspark.operators.profile import merge_states, profile_from_state, profile_state
-from flowspark.session import scratch_path
+from flowspark.plans.models import predict
 
 
 def landing(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files: int | None = None) -> DataFrame:
@@ -20,19 +20,27 @@ def landing(spark: SparkSession, folder: str, schema: T.StructType, pattern: str
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(folder)
 
 
+def progress_of(path: str) -> str:
+    """Where a result keeps its stream's progress; readers pass over names with an underscore."""
+    return f"{path.rstrip('/')}/_progress"
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str | None = None) -> DataFrame:
-    """Process what is there, append it to Parquet, and return the result as a table."""
+    """Process what is there, append it to Parquet, and return the result as a table.
+
+    Progress is kept beside the output unless told otherwise: the file sink counts batches by
+    the output, so a second call must go on where the first one stopped.
+    """
     spark = stream.sparkSession
     (stream.writeStream.format("parquet").outputMode("append").option("path", path)
-     .option("checkpointLocation", checkpoint or scratch_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination())
+     .option("checkpointLocation", checkpoint or progress_of(path)).trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str | None = None, mode: str = "append") -> None:
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Process what is there, batch by batch; `each` must give the same result when a batch repeats."""
-    spark = stream.sparkSession
     (stream.writeStream.foreachBatch(each).outputMode(mode)
-     .option("checkpointLocation", checkpoint or scratch_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination())
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
 def keep_profile(stream: DataFrame, label: str, state_path: str, by: Sequence[str] = (), checkpoint: str | None = None) -> None:
@@ -41,7 +49,7 @@ def keep_profile(stream: DataFrame, label: str, state_path: str, by: Sequence[st
     def each(batch: DataFrame, number: int) -> None:
         profile_state(batch, label, by).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
 
-    run_batches(stream, each, checkpoint)
+    run_batches(stream, each, checkpoint or progress_of(state_path))
 
 
 def current_profile(spark: SparkSession, state_path: str, schema_of: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -80,5 +88,5 @@ def class_counts_in_sessions(stream: DataFrame, time: str, keys: Sequence[str],
 
 
 def score_stream(stream: DataFrame, model_path: str, keep: Sequence[str]) -> DataFrame:
-    """Predictions of a stored pipeline on a stream."""
-    return PipelineModel.load(model_path).transform(stream).select(*keep, "prediction")
+    """Predictions of a stored pipeline on a stream; null for a row that lacks a feature."""
+    return predict(PipelineModel.load(model_path), stream).select(*keep, "prediction")
