@@ -56,7 +56,7 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     """
     keyed = signed.select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("k")).repartition("k")  # once for both uses
     buckets = keyed.groupBy("k").agg(F.count("*").alias("size"), F.max_by("id", "n").alias("top"), F.min("id").alias("low"), F.max("id").alias("high"))
-    met = keyed.join(buckets.where("size > 1"), "k")
+    met = settle(keyed.join(buckets.where("size > 1"), "k"))  # most lines share no band and stop here
     hubs = met.where(F.col("size") > CROWD).select("id", F.explode(F.array("top", "low", "high")).alias("other"))
     small = met.where(F.col("size") <= CROWD).groupBy("k").agg(F.collect_list("id").alias("ids"))
     both = small.select("ids", F.explode("ids").alias("id")).select("id", F.explode("ids").alias("other"))
@@ -80,16 +80,14 @@ def linked_lines(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> Data
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(normalized(F.col("line")).alias("line")).where("line <> ''")
     lines = lines.withColumn("id", F.xxhash64("line"))
     maybe = lines.join(words, F.expr(f"{WORD_OF_ID} = w")).where(f"bits & {BIT_OF_ID} <> 0")
-    texts = settle(maybe.select("id", "line").dropDuplicates(["id"]).join(wanted, "id", "left_semi"))
-
-    def shingles(line: str) -> Column:
-        return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
-
-    left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    # the lambdas bind sets and sizes, so that each is computed once per pair
-    sets = F.array(F.struct(shingles("x").alias("x"), shingles("y").alias("y")))
-    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("common"), (F.size(s["x"]) + F.size(s["y"])).alias("all")))
-    return pairs.join(left, "a").join(right, "b").where(F.exists(sizes, lambda s: s["common"] >= THRESHOLD * (s["all"] - s["common"]))).select("a", "b")
+    shingles = F.transform(F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s))
+    sets = settle(maybe.select("id", "line").dropDuplicates(["id"]).join(wanted, "id", "left_semi")
+                  .select("id", F.array_distinct(shingles).alias("s")))  # once per line, however many pairs it has
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    # sets of too different sizes are out before any element is compared
+    met = met.where(F.least(F.size("x"), F.size("y")) >= THRESHOLD * F.greatest(F.size("x"), F.size("y")))
+    common = F.transform(F.array(F.size(F.array_intersect("x", "y"))), lambda c: c >= THRESHOLD * (F.size("x") + F.size("y") - c))
+    return met.where(common[0]).select("a", "b")
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
