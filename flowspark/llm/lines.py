@@ -80,14 +80,15 @@ def linked_lines(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> Data
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(normalized(F.col("line")).alias("line")).where("line <> ''")
     lines = lines.withColumn("id", F.xxhash64("line"))
     maybe = lines.join(words, F.expr(f"{WORD_OF_ID} = w")).where(f"bits & {BIT_OF_ID} <> 0")
-    shingles = F.transform(F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s))
-    sets = settle(maybe.select("id", "line").dropDuplicates(["id"]).join(wanted, "id", "left_semi")
-                  .select("id", F.array_distinct(shingles).alias("s")))  # once per line, however many pairs it has
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    # sets of too different sizes are out before any element is compared
-    met = met.where(F.least(F.size("x"), F.size("y")) >= THRESHOLD * F.greatest(F.size("x"), F.size("y")))
-    common = F.transform(F.array(F.size(F.array_intersect("x", "y"))), lambda c: c >= THRESHOLD * (F.size("x") + F.size("y") - c))
-    return met.where(common[0]).select("a", "b")
+    shingles = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
+    texts = settle(maybe.select("id", "line").dropDuplicates(["id"]).join(wanted, "id", "left_semi").select("id", "line", F.size(shingles).alias("size")))
+    # texts travel, as sets are many times larger: those of `b` are built behind the shuffle, once per line
+    left = texts.select(F.col("id").alias("a"), "line", F.col("size").alias("m"))
+    right = texts.repartition("id").select(F.col("id").alias("b"), shingles.alias("y"), F.col("size").alias("n"))
+    met = pairs.join(left, "a").join(right, "b")
+    alike = F.least("m", "n") >= THRESHOLD * F.greatest("m", "n")  # too different sizes are out before any set is built
+    common = F.transform(F.array(F.size(F.array_intersect(shingles, "y"))), lambda c: c >= THRESHOLD * (F.col("m") + F.col("n") - c))
+    return met.where(alike & common[0]).select("a", "b")
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
