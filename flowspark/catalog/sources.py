@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.catalog.base import query, table
 from flowspark.session import scratch_path
@@ -28,6 +32,42 @@ def csv_scan(spark, sf_dir):
     return check(readers.read_flows(spark, path))
 
 
+@query("s1_quoted_text", """SELECT 'documents' AS source, doc_id AS id, md5(text) AS digest FROM documents
+  UNION ALL SELECT 'pages', page_id, md5(html) FROM pages""")
+def quoted_text(spark, sf_dir):
+    out = None
+    for name, key, column in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
+        path = scratch_path(spark, "quoted")
+        writers.write_csv(table(spark, sf_dir, name).select(key, F.col(column).cast("string").alias(column)), path)
+        back = readers.read_flows(spark, path, T.StructType().add(key, T.LongType()).add(column, T.StringType()))
+        part = back.select(F.lit(name).alias("source"), F.col(key).alias("id"), F.md5(F.col(column).cast("binary")).alias("digest"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _halves(df):
+    return [df.where(F.col("c_custkey") % 2 == i) for i in (0, 1)]
+
+
+@query("s1_mixed_headers", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS c_nationkey FROM customer")
+def mixed_headers(spark, sf_dir):
+    path = scratch_path(spark, "headers")
+    even, odd = _halves(table(spark, sf_dir, "customer"))
+    writers.write_csv(even.select("c_nationkey", "c_custkey", "c_name"), f"{path}/even")
+    writers.write_csv(odd.select("c_name", "c_custkey"), f"{path}/odd")
+    back = readers.read_flows(spark, f"{path}/*")
+    return back.select(F.col("c_custkey").cast("long"), "c_name", F.col("c_nationkey").cast("long"))
+
+
+@query("s1_mixed_encodings", "SELECT c_custkey, 'é ' || c_name AS c_name FROM customer")
+def mixed_encodings(spark, sf_dir):
+    path = scratch_path(spark, "encodings")
+    for i, half in enumerate(_halves(table(spark, sf_dir, "customer"))):
+        named = half.select("c_custkey", F.concat(F.lit("é "), "c_name").alias("c_name"))
+        named.write.option("header", True).option("encoding", readers.ENCODINGS[i]).csv(f"{path}/{i}")
+    return readers.read_flows(spark, f"{path}/*").select(F.col("c_custkey").cast("long"), "c_name")
+
+
 @query("s2_tab_scan", CHECK)
 def tab_scan(spark, sf_dir):
     path = scratch_path(spark, "tab")
@@ -104,6 +144,17 @@ def mirrored_conversion(spark, sf_dir):
     return out
 
 
+@query("s10_in_place", "SELECT kind, n_nationkey, n_name FROM nation, (VALUES ('csv'), ('txt'), ('arff'), ('parquet')) AS k(kind)")
+def converted_in_place(spark, sf_dir):
+    root = scratch_path(spark, "place")
+    writers.write_parquet(table(spark, sf_dir, "nation"), f"{root}/nation.parquet")
+    writers.convert(spark, root, root)
+    writers.convert(spark, root, root)  # all formats are there: nothing changes
+    parts = [writers.READERS[kind](spark, f"{root}/{found}").select(F.lit(kind).alias("kind"), F.col("n_nationkey").cast("long"), "n_name")
+             for found, kind in writers.inputs(spark, root)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 RESULT_ROWS = """SELECT 'd' || o_custkey AS dataset_path, o_orderpriority AS tool, o_totalprice AS f1,
   strftime(o_orderdate, '%Y-%m-%d_%H_%M_%S') AS stamp FROM orders WHERE o_orderstatus {s} 'P'"""
 

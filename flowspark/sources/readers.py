@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,9 @@ from pyspark.sql import types as T
 # Order in which text encodings are tried.
 ENCODINGS = ("UTF-8", "ISO-8859-1")
 
+# Characters of a quoted ARFF text and how they are written.
+ARFF_ESCAPES = (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"))
+
 
 def trimmed(df: DataFrame) -> DataFrame:
     """The table with blanks round its column names removed."""
@@ -20,31 +25,77 @@ def trimmed(df: DataFrame) -> DataFrame:
 
 
 def detect_encoding(spark: SparkSession, paths: str | Sequence[str]) -> str:
-    """UTF-8 when every line of every file is valid UTF-8, else Latin-1.
+    """UTF-8 when every line of every file is valid UTF-8, else Latin-1."""
+    return ENCODINGS[0] if all(encoding == ENCODINGS[0] for _, encoding, _ in file_groups(spark, paths)) else ENCODINGS[1]
+
+
+def file_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[list[str], str, bool]]:
+    """(files, encoding, multi-line) for files of one header, one encoding and one way to read line ends.
 
-    The lines are checked where they lie; only a yes or no reaches the driver.
+    One pass over all files. A file is UTF-8 when every line is valid UTF-8, else Latin-1. A
+    line with an odd number of quotes opens a quoted line end: only such files give up being
+    split. The driver gets the names of the files, no text.
     """
-    lines = spark.read.text(paths)
-    return ENCODINGS[0] if lines.filter(~F.is_valid_utf8("value")).isEmpty() else ENCODINGS[1]
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    files = lines.groupBy("path").agg(F.min_by("value", "place").alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("valid"),
+                                      F.bool_or(quotes % 2 == 1).alias("open"))
+    groups = files.groupBy("header", "valid", "open").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    # names come as addresses; as paths to read they may hold no pattern
+    plain = [([re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(p)) for p in g["paths"]], ENCODINGS[0 if g["valid"] else 1], g["open"])
+             for g in groups.select("paths", "valid", "open").collect()]
+    return sorted(plain)
+
+
+def stacked(tables: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
+    """Rows of all tables on the columns by name: null where a table lacks one, text where the types do not mix."""
+    types: dict[str, set[str]] = {c: {t.schema[c].dataType.simpleString() for t in tables if c in t.columns} for c in columns}
+    numbers = {"int", "bigint", "double"}
+
+    def column(t: DataFrame, c: str) -> Column:
+        kind = next(iter(types[c])) if len(types[c]) == 1 else "double" if types[c] <= numbers else "string"
+        return (F.col(f"`{c}`") if c in t.columns else F.lit(None)).cast(kind).alias(c)
+
+    return reduce(DataFrame.unionByName, [t.select(*[column(t, c) for c in columns]) for t in tables])
+
+
+def _group_table(spark: SparkSession, paths: list[str], sep: str, schema: T.StructType | None, encoding: str, multi_line: bool) -> DataFrame:
+    # a doubled quote stands for a quote, as other programs write it
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"').option("multiLine", multi_line)
+    if not schema:
+        return trimmed(reader.option("inferSchema", True).csv(paths))
+    types = {f.name: f.dataType for f in schema.fields}
+    found = [c.strip() for c in reader.csv(paths).columns]
+    return reader.schema(T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in found])).csv(paths)
 
 
 def _delimited(spark: SparkSession, paths, sep: str, schema: T.StructType | None, encoding: str | None) -> DataFrame | None:
     try:
-        chosen = encoding or detect_encoding(spark, paths)
-        reader = spark.read.option("header", True).option("sep", sep).option("encoding", chosen)
-        reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-        return trimmed(reader.csv(paths))
+        tables = [_group_table(spark, files, sep, schema, encoding or found, multi_line) for files, found, multi_line in file_groups(spark, paths)]
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
         raise
+    if not tables:
+        return None
+    if len(tables) == 1 and not schema:
+        return tables[0]
+    if schema:
+        lacking = [t.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in t.columns]) for t in tables]
+        return stacked(lacking, schema.names)
+    return stacked(tables, list(dict.fromkeys(c for t in tables for c in t.columns)))
 
 
 def read_flows(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None,
                encoding: str | None = None) -> DataFrame | None:
     """Comma-separated files with a header. None when nothing can be read.
 
-    Give `schema` and `encoding` for large inputs: each of the two saves a pass.
+    Columns are matched by name, each file is read in its own encoding, and quoted text may hold
+    quotes, separators and line ends. A column that a file lacks is null there. One pass finds
+    headers and encodings; give `schema` for large inputs, which saves the pass for types.
+    Empty text is null, quoted or not.
     """
     return _delimited(spark, paths, ",", schema, encoding)
 
@@ -81,8 +132,11 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     fields = [T.StructField(h["name"].strip("'\"").replace("\\'", "'").strip(), _arff_type(h["kind"])) for h in header]
     schema = T.StructType(fields)
     raw = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(fields))])
-    parsed = F.from_csv("line", raw.simpleString()[7:-1].replace(":", " "), {
-        "quote": "'", "escape": "\\", "nullValue": "?",
+    line = F.col("line")
+    for end in "\n\r":  # line ends come back before the other escapes, which an even number of backslashes tells apart
+        line = F.regexp_replace(line, rf"(?<!\\)((?:\\\\)*)\\{'n' if end == chr(10) else 'r'}", "$1" + end)
+    parsed = F.from_csv(line, raw.simpleString()[7:-1].replace(":", " "), {
+        "quote": "'", "escape": "\\", "nullValue": "?", "multiLine": "true",
         "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
     # A data row may begin with @ too; only the three markers are header lines.
     marker = F.startswith("line", F.lit("@")) & F.rlike("line", F.lit(r"^@(?i:relation|attribute|data)\b"))
@@ -140,29 +194,19 @@ def discover(spark: SparkSession, root: str, extension: str, ignore: Sequence[st
     return [r["path"] for r in files.orderBy(*orders[order]).collect()]
 
 
-def read_common(spark: SparkSession, paths: Sequence[str], encoding: str | None = "UTF-8", source: str | None = None) -> DataFrame:
+def read_common(spark: SparkSession, paths: Sequence[str], encoding: str | None = None, source: str | None = None) -> DataFrame:
     """Rows of many CSV files on the columns every file has, in first-file order.
 
     Headers alone decide the columns. Files with one header form one scan, so the union has
-    as many branches as there are distinct headers, not files. `source` adds the file path.
+    as many branches as there are distinct headers, not files; files without a line are passed
+    over. `source` adds the file path.
     """
-    with ThreadPoolExecutor(8) as pool:
-        found = list(pool.map(lambda p: spark.read.option("header", True).csv(p).columns, paths))
-    headers: dict[tuple[str, ...], list[str]] = {}
-    for p, header in zip(paths, found):
-        headers.setdefault(tuple(c.strip() for c in header), []).append(p)
-    first = next(iter(headers))
-    common = [c for c in first if all(c in h for h in headers)]
+    tables = [_group_table(spark, files, ",", None, encoding or found, multi_line) for files, found, multi_line in file_groups(spark, paths)]
+    headers = (spark.read.option("header", True).option("escape", '"').csv(p).columns for p in paths)
+    order = [c.strip() for c in next((h for h in headers if h), [])]
+    common = [c for c in order if tables and all(c in t.columns for t in tables)]
     if not common:
         raise ValueError("the files share no column")
-    parts: list[DataFrame] = []
-    for group in headers.values():
-        table = _delimited(spark, group, ",", None, encoding)
-        wanted: list[Column] = [F.col(f"`{c}`") for c in common]
-        if source:
-            wanted.append(F.col("_metadata.file_path").alias(source))
-        parts.append(table.select(*wanted))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if source:
+        tables = [t.withColumn(source, F.col("_metadata.file_path")) for t in tables]
+    return stacked(tables, [*common, source] if source else common)

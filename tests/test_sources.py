@@ -111,3 +111,28 @@ def test_text_functions(spark):
     assert text.select_features(wide, ["zz"], "known").columns == ["a", "b"]
     with pytest.raises(ValueError):
         text.select_features(wide, ["zz"])
+
+
+def test_texts_survive_csv_and_arff(spark, folder):
+    rows = [("a\\nb", "x\ny"), ("it's \\", "c\r\nd"), ('q "z", w', "  b  "), ("\\\\n", None), ("?!", "e\\\n'")]
+    df = spark.createDataFrame(rows, "v string, w string")
+    for write, read, name in ((writers.write_csv, readers.read_flows, "t.csv"), (writers.write_arff, readers.read_arff, "t.arff")):
+        write(df, f"{folder}/{name}")
+        write(df.limit(1), f"{folder}/{name}")  # an existing target stays
+        assert {tuple(r) for r in read(spark, f"{folder}/{name}").collect()} == set(rows)
+
+
+def test_files_are_matched_by_column_name(spark, folder):
+    for name, text in (("a", "x,y\n1,2\n"), ("b", "y, x \n20,10\n"), ("c", "x,z\n5,\"caf\u00e9 \"\"s\"\"\nt\"\n"), ("d", "")):
+        with open(f"{folder}/{name}.csv", "wb") as f:
+            f.write(text.encode("latin-1" if name == "c" else "utf-8"))
+    got = readers.read_flows(spark, f"{folder}/*.csv")
+    assert {(r["x"], r["y"], r["z"]) for r in got.collect()} == {(1, 2, None), (10, 20, None), (5, None, 'caf\u00e9 "s"\nt')}
+
+
+def test_conversion_in_place_reads_no_output(spark, folder):
+    spark.createDataFrame([(1, "a"), (2, "b")], "n int, t string").write.parquet(f"{folder}/in.parquet")
+    assert len(writers.convert(spark, folder, folder)) == 3
+    writers.convert(spark, folder, folder)
+    assert sorted(writers.inputs(spark, folder)) == [("in.arff", "arff"), ("in.csv", "csv"), ("in.parquet", "parquet"), ("in.txt", "txt")]
+    assert readers.read_flows(spark, f"{folder}/in.csv").count() == 2
