@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from flowspark.llm.components import components
 from flowspark.session import settle
 
-ANCHORED = 10  # characters of a signature shingle; one starts at each word
-SHINGLE = 5  # characters of a shingle in the exact comparison
+SHINGLE = 5  # characters of a shingle, in signatures and in the exact comparison
+SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}))"  # one from every position
 THRESHOLD = 0.8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 8, 3  # two lines of similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997
 CROWD = 16  # lines in a bucket up to which all of them are compared with each other
 FILTER_WORDS = 1 << 16  # 64-bit words of the filter that keeps texts out of a shuffle
 
@@ -30,18 +30,19 @@ def _line_ids(text: Column) -> Column:
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, first key, n, bands): distinct lines with a hash per band of minima; lines without a full shingle have none.
 
-    A signature shingle is the ANCHORED characters from a word's start. One 32-bit hash per
-    shingle gives all minima: each is taken over the hash XORed with a constant, which is an
-    order of its own. Partial aggregation meets equal lines on the map side first.
+    Minima are over the shingles that are compared later, so a row of a band agrees with a
+    probability equal to the similarity, whatever the line's length and blanks. One 32-bit hash
+    per shingle gives all of them: each is taken over the hash of it XORed with a constant (the
+    XOR alone orders small sets alike). Partial aggregation meets equal lines on the map side first.
     """
     lines = docs.select(F.col(key).alias("key"), F.explode(F.split(F.col(text), "\n")).alias("line")).select("key", normalized(F.col("line")).alias("line"))
-    lines = lines.where("line <> ''").select(F.xxhash64("line").alias("id"), "key", F.regexp_extract_all("line", F.lit(rf"(?<![^ ])(?=([^ ].{{{ANCHORED - 1}}}))"), F.lit(1)).alias("s"))
+    lines = lines.where("line <> ''").select(F.xxhash64("line").alias("id"), "key", F.regexp_extract_all("line", F.lit(SHINGLES), F.lit(1)).alias("s"))
     marks = random.Random(17)
-    masks = [(i << 27 | marks.getrandbits(27)) - (1 << 31) for i in marks.sample(range(32), BANDS * ROWS)]
+    masks = [marks.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
     hashed = lines.select("id", "key", F.posexplode_outer("s").alias("at", "shingle")).select(
         "id", "key", F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0).alias("one"), F.when(F.col("shingle").isNotNull(), F.hash("shingle")).alias("h"))
     least = hashed.groupBy("id").agg(F.min("key").alias("first"), F.sum("one").alias("n"), *[
-        F.min(F.col("h").bitwiseXOR(F.lit(m).cast("int"))).alias(f"m{i}") for i, m in enumerate(masks)])
+        F.min(F.when(F.col("h").isNotNull(), F.hash(F.col("h").bitwiseXOR(F.lit(m).cast("int"))))).alias(f"m{i}") for i, m in enumerate(masks)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
     return least.select("id", "first", "n", F.when(F.col("m0").isNotNull(), bands).alias("bands"))
 
@@ -80,7 +81,7 @@ def linked_lines(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> Data
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(normalized(F.col("line")).alias("line")).where("line <> ''")
     lines = lines.withColumn("id", F.xxhash64("line"))
     maybe = lines.join(words, F.expr(f"{WORD_OF_ID} = w")).where(f"bits & {BIT_OF_ID} <> 0")
-    shingles = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
+    shingles = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(SHINGLES), F.lit(1)), lambda s: F.xxhash64(s)))
     texts = settle(maybe.select("id", "line").dropDuplicates(["id"]).join(wanted, "id", "left_semi").select("id", "line", F.size(shingles).alias("size")))
     # texts travel, as sets are many times larger: those of `b` are built behind the shuffle, once per line
     left = texts.select(F.col("id").alias("a"), "line", F.col("size").alias("m"))
@@ -108,7 +109,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Lines are equal if they are without blanks at the ends and case; fuzzy duplicates share at
     least THRESHOLD of their character shingles, directly or over other lines. Of each
     component the first line of the smallest key stays and all others go. Blank lines stay.
-    Lines too short for a signature have only exact duplicates.
+    Lines of fewer than SHINGLE characters are one shingle, so they have only exact duplicates.
 
     Null text stays null with 0 lines; empty text is one blank line; rows of one key are told
     apart as one document each, so repeated rows keep the same lines; input columns called

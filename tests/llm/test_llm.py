@@ -215,6 +215,33 @@ def test_op4_odd_rows(spark):
     assert lines.dedup_lines(empty_docs(spark)).count() == 0
 
 
+def similarity(a, b):
+    a, b = ({x[i:i + 5] for i in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_op4_lines_without_spaces_short_and_with_one_typo(spark):
+    """Pairs of lines that nothing else resembles: the second of each goes if they are similar enough, at a recall of 0.99."""
+    rng, pairs = np.random.default_rng(3), [("abcdefgh", "abcdefghi")]
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789/", "\u4e00\u4eba\u5927\u5c0f\u4e2d\u56fd\u6c34\u706b\u5c71\u77f3\u7530\u571f\u65e5\u6708\u91d1\u6728\u624b\u8db3\u53e3\u76ee"):
+        for k in range(60):
+            line = "".join(rng.choice(list(alphabet), 60))
+            pairs.append((line, line[:k % 10] + "#" + line[k % 10 + 1:]))  # in the first ten characters
+    for k in range(60):
+        line = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 8 + k % 2))
+        pairs.append((line, line + "#"))  # 0.8 and a little more
+    for k in range(60):
+        line = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(12))
+        pairs.append((line, line[:7 + k % 40] + "#" + line[8 + k % 40:]))
+    near = [p for p in pairs if similarity(*p) >= 0.8]
+    assert len(near) > 200
+    docs = spark.createDataFrame([(2 * i + j, line) for i, p in enumerate(near) for j, line in enumerate(p)], "doc_id long, text string")
+    dropped = {r["doc_id"] for r in lines.dedup_lines(docs).where("n_dropped = 1").collect()}
+    assert dropped <= {2 * i + 1 for i in range(len(near))} and 1 in dropped and len(dropped) >= 0.99 * len(near)
+    apart = spark.createDataFrame([(i, x) for i, x in enumerate(["abcd", "abce", "abcdx", "", "abcd "])], "doc_id long, text string")
+    assert {r["doc_id"] for r in lines.dedup_lines(apart).where("n_dropped = 1").collect()} == {4}
+
+
 # ---- 5
 def simhash_plain(text):
     words = [w.encode() for w in WORDS.findall(lower(text))]
