@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.components import components
-from flowspark.session import settle
+from flowspark.session import parallelism, settle
 
 SHINGLE = 5  # characters of a shingle, in signatures and in the exact comparison
 SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}))"  # one from every position
 THRESHOLD = 0.8
-BANDS, ROWS = 8, 3  # two lines of similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997
-CROWD = 16  # lines in a bucket up to which all of them are compared with each other
+BANDS, ROWS = 12, 5  # two lines of similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 5) ** 12 = 0.991
+CROWD = 16  # lines of a band or shingle up to which all of them become pairs
+BLOCK = 128  # lines of a crowded shingle that meet at a time
+COUNTERS = 1 << 16  # slots in which shingles of crowds are counted, to find the rare ones
 FILTER_WORDS = 1 << 16  # 64-bit words of the filter that keeps texts out of a shuffle
 
 
@@ -47,22 +49,17 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return least.select("id", "first", "n", F.when(F.col("m0").isNotNull(), bands).alias("bands"))
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of line ids that share a band.
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """(id, k, size): the bands that several lines have, with their number."""
+    keyed = signed.select("id", F.explode("bands").alias("k")).repartition("k")  # once for both uses
+    return settle(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "k"))  # most lines share no band and stop here
 
-    In a bucket of at most CROWD lines all meet. In a larger one every line meets three hubs:
-    the most frequent line, of which variants are mostly made, and both ends of the id order;
-    lines of a crowd share several bands, each with hubs of its own, and a link through a hub
-    joins the same component as a direct one.
-    """
-    keyed = signed.select("id", F.col("n").cast("int").alias("n"), F.explode("bands").alias("k")).repartition("k")  # once for both uses
-    buckets = keyed.groupBy("k").agg(F.count("*").alias("size"), F.max_by("id", "n").alias("top"), F.min("id").alias("low"), F.max("id").alias("high"))
-    met = settle(keyed.join(buckets.where("size > 1"), "k"))  # most lines share no band and stop here
-    hubs = met.where(F.col("size") > CROWD).select("id", F.explode(F.array("top", "low", "high")).alias("other"))
-    small = met.where(F.col("size") <= CROWD).groupBy("k").agg(F.collect_list("id").alias("ids"))
-    both = small.select("ids", F.explode("ids").alias("id")).select("id", F.explode("ids").alias("other"))
-    return (hubs.unionByName(both).where("id <> other")
-            .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+
+def all_pairs(members: DataFrame, by: str) -> DataFrame:
+    """Distinct pairs (a, b) of ids that share a value of `by`, for values of few ids."""
+    lists = members.groupBy(by).agg(F.collect_list("id").alias("ids"))
+    both = lists.select("ids", F.explode("ids").alias("id")).select("id", F.explode("ids").alias("other"))
+    return both.where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
 
 
 WORD_OF_ID = f"cast(pmod(id, {FILTER_WORDS}) as int)"
@@ -74,29 +71,116 @@ def _filter_words(ids: DataFrame) -> DataFrame:
     return ids.groupBy(F.expr(WORD_OF_ID).alias("w")).agg(F.expr(f"bit_or({BIT_OF_ID})").alias("bits"))
 
 
-def linked_lines(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs whose sets of SHINGLE-character shingles have a Jaccard similarity of THRESHOLD or more."""
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def texts_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(id, line, size): the wanted lines, once each, with their number of shingles."""
     words = _filter_words(wanted).hint("broadcast")
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(normalized(F.col("line")).alias("line")).where("line <> ''")
     lines = lines.withColumn("id", F.xxhash64("line"))
     maybe = lines.join(words, F.expr(f"{WORD_OF_ID} = w")).where(f"bits & {BIT_OF_ID} <> 0")
-    shingles = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(SHINGLES), F.lit(1)), lambda s: F.xxhash64(s)))
-    texts = settle(maybe.select("id", "line").dropDuplicates(["id"]).join(wanted, "id", "left_semi").select("id", "line", F.size(shingles).alias("size")))
+    return settle(maybe.select("id", "line").dropDuplicates(["id"]).join(wanted, "id", "left_semi").select("id", "line", F.size(_shingles()).alias("size")))
+
+
+def _shingles() -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(SHINGLES), F.lit(1)), lambda s: F.xxhash64(s)))
+
+
+def _alike(m: Column, n: Column) -> Column:
+    return F.least(m, n) >= THRESHOLD * F.greatest(m, n)  # too different sizes are out before sets are met
+
+
+def _similar(x: Column, y: Column, m: Column, n: Column) -> Column:
+    return F.transform(F.array(F.size(F.array_intersect(x, y))), lambda c: c >= THRESHOLD * (m + n - c))[0]
+
+
+def linked_lines(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets of SHINGLE-character shingles have a Jaccard similarity of THRESHOLD or more."""
     # texts travel, as sets are many times larger: those of `b` are built behind the shuffle, once per line
     left = texts.select(F.col("id").alias("a"), "line", F.col("size").alias("m"))
-    right = texts.repartition("id").select(F.col("id").alias("b"), shingles.alias("y"), F.col("size").alias("n"))
+    right = texts.repartition("id").select(F.col("id").alias("b"), _shingles().alias("y"), F.col("size").alias("n"))
+    m, n = F.col("m"), F.col("n")
     met = pairs.join(left, "a").join(right, "b")
-    alike = F.least("m", "n") >= THRESHOLD * F.greatest("m", "n")  # too different sizes are out before any set is built
-    common = F.transform(F.array(F.size(F.array_intersect(shingles, "y"))), lambda c: c >= THRESHOLD * (F.col("m") + F.col("n") - c))
-    return met.where(alike & common[0]).select("a", "b")
+    return met.where(_alike(m, n) & _similar(_shingles(), F.col("y"), m, n)).select("a", "b")
+
+
+def rare_shingles(crowd: DataFrame) -> DataFrame:
+    """(id, t): the rarest shingles of each line, enough of them that any two similar lines share one.
+
+    Lines of similarity THRESHOLD have at least that share of either's shingles in common, so
+    whatever order the shingles have, the same for all lines, the first n * (1 - THRESHOLD) + 1
+    of both meet. The order is by the number of lines, counted in COUNTERS hash slots, so
+    what many lines share comes last.
+    """
+    slot = F.pmod("t", F.lit(COUNTERS)).cast("int").alias("w")
+    tokens = crowd.repartition("id").select("id", "size", F.explode(_shingles()).alias("t")).withColumn("w", slot)
+    often = tokens.groupBy("w").agg(F.count("*").alias("often"))
+    ranked = tokens.join(often.hint("broadcast"), "w").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ts"))
+    first = F.floor(F.col("size") * (1 - THRESHOLD) + 1e-6).cast("int") + 1
+    return ranked.select("id", F.explode(F.slice("ts", F.lit(1), first)).alias("s")).select("id", F.col("s.t").alias("t"))
+
+
+def _spanning(xs: Column, ys: Column) -> Column:
+    """Root by member of `xs` and then of `ys`, after every member of one has met every one of the other: structs (id, root, size, y)."""
+    all_ = F.concat(xs, ys)
+
+    def meet(roots: Column, i: Column, j: Column) -> Column:
+        a, b = F.get(roots, i), F.get(roots, j)
+        x, y = F.get(all_, i), F.get(all_, j)
+        new = _alike(x["size"], y["size"]) & _similar(x["y"], y["y"], x["size"], y["size"])
+        return F.when(a == b, roots).when(new, F.transform(roots, lambda r: F.when(r == b, a).otherwise(r))).otherwise(roots)
+
+    def row(roots: Column, i: Column) -> Column:
+        return F.aggregate(F.sequence(F.size(xs), F.size(all_) - 1), roots, lambda state, j: meet(state, i, j))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(xs) - 1), F.transform(all_, lambda m: m["root"]), row)
+
+
+def crowd_links(members: DataFrame, texts: DataFrame, stars: DataFrame) -> DataFrame:
+    """Links (a, b) that join what `stars` (id, root) leaves apart among the lines (id, t) of each crowded shingle.
+
+    A shingle whose lines all have one root is settled, and of shingles with the same lines one
+    is enough. The others' lines are dealt into blocks of BLOCK; every block meets itself and each
+    other, and a pair of blocks gives only links that join two roots.
+    """
+    named = members.join(stars, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = named.groupBy("t").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("set"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ = open_.where("low <> high").groupBy("n", "set").agg(F.min("t").alias("t")).select("t", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    held = texts.repartition("id").select("id", "size", _shingles().alias("y"))
+    dealt = named.join(open_, "t").join(held, "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    blocks = settle(dealt.groupBy("t", "blocks", "block").agg(F.collect_list(F.struct("id", "root", "size", "y")).alias("xs")))
+    later = blocks.select("t", "xs", F.explode(F.expr("sequence(block, blocks - 1)")).alias("block"))
+    met = later.join(blocks.select("t", "block", F.col("xs").alias("ys")), ["t", "block"]).repartition(parallelism(blocks.sparkSession))
+    before = F.transform(F.concat("xs", "ys"), lambda m: m["root"])
+    joined = met.select(F.explode(F.arrays_zip(before.alias("a"), _spanning(F.col("xs"), F.col("ys")).alias("b"))).alias("l"))
+    return joined.select("l.a", "l.b").where("a <> b").distinct()
+
+
+def components_of(bands: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(id, root): lines linked to another, directly or over others, among those that share a band.
+
+    In a band of at most CROWD lines all meet. The lines of larger bands meet over their rare
+    shingles instead, which no similar pair lacks; a shingle that is crowded itself first meets
+    over two hubs, which settles variants of one line, and the rest meets block by block.
+    """
+    pairs, crowd = all_pairs(bands.where(F.col("size") <= CROWD), "k"), bands.where(F.col("size") > CROWD).select("id").distinct()
+    pairs, crowd = settle(pairs), settle(crowd)
+    texts = texts_of(docs, settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd).distinct()), text)
+    tokens = settle(rare_shingles(texts.join(crowd, "id", "left_semi")))
+    groups = tokens.groupBy("t").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("size > 1")
+    shared = settle(tokens.join(groups, "t"))
+    hubs = shared.where(F.col("size") > CROWD).select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
+    hubs = hubs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    every = pairs.unionByName(all_pairs(shared.where(F.col("size") <= CROWD), "t")).unionByName(hubs).distinct()
+    stars = components(linked_lines(texts, every)).withColumnRenamed("component_id", "root")
+    more = settle(crowd_links(shared.where(F.col("size") > CROWD).select("id", "t"), texts, stars))
+    if more.isEmpty():
+        return stars
+    return components(more.unionByName(stars.select(F.col("id").alias("a"), F.col("root").alias("b")))).withColumnRenamed("component_id", "root")
 
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, root, first): lines that occur more than once or are linked, their component and the smallest key that holds it."""
     signed = settle(signatures(docs, key, text))
-    pairs = settle(candidate_pairs(signed))
-    roots = components(linked_lines(docs, pairs, key, text)).withColumnRenamed("component_id", "root")
+    roots = components_of(shared_bands(signed), docs, text)
     named = signed.select("id", "first", "n").join(roots, "id", "left").where("n > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "id"))
     firsts = named.groupBy("root").agg(F.min("first").alias("first"))

@@ -242,6 +242,39 @@ def test_op4_lines_without_spaces_short_and_with_one_typo(spark):
     assert {r["doc_id"] for r in lines.dedup_lines(apart).where("n_dropped = 1").collect()} == {4}
 
 
+def test_op4_crowds_of_families_equal_brute_force(spark, monkeypatch):
+    """Two families in one crowd, pairs under common boilerplate, and a chain: no hub resembles them all."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    boiler = " ".join(word(7) for _ in range(12))
+    rows = []
+    for _ in range(150):  # near copies in twos, about 65 % boilerplate
+        own = word(42)
+        rows += [boiler + own, boiler + own[:20] + "#" + own[21:]]
+    for family in range(2):
+        stem = boiler + word(40)
+        rows += [stem + word(6) for _ in range(150)]
+    chain = list(boiler + word(50))
+    for at in range(60):
+        rows.append("".join(chain))
+        chain[len(boiler) - 20 + at:len(boiler) - 18 + at] = word(2)
+    rows = sorted(set(rows))
+    order = rng.permutation(len(rows))
+    rows = [rows[i] for i in order]
+    grams = [{x[i:i + 5] for i in range(len(x) - 4)} for x in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    roots = union_find(range(len(rows)), pairs)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    # one band for all: what the crowd step makes of it is then exact
+    bands = docs.select(F.xxhash64("text").alias("id"), F.lit(1).alias("k"), F.lit(len(rows)).alias("size"))
+    number = {r["id"]: r["doc_id"] for r in docs.select("doc_id", F.xxhash64("text").alias("id")).collect()}
+    for block in (128, 32):
+        monkeypatch.setattr(lines, "BLOCK", block)
+        found = {number[r["id"]]: number[r["root"]] for r in lines.components_of(bands, docs, "text").collect()}
+        assert len({roots[i] for i in roots}) > 150 and len(found) == sum(n for n in Counter(roots.values()).values() if n > 1)
+        assert {frozenset(i for i in found if found[i] == r) for r in set(found.values())} == {frozenset(i for i in found if roots[i] == r) for r in {roots[i] for i in found}}
+
+
 # ---- 5
 def simhash_plain(text):
     words = [w.encode() for w in WORDS.findall(lower(text))]
