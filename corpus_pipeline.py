@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm import lines, mixing, pieces, simhash, toxicity
@@ -37,8 +37,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of all texts beside the columns of documents."""
-    return pieces.encode(docs)
+    """Piece ids of all texts beside the columns of documents; passes over a document are cut apart."""
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    return pieces.encode(docs.withColumn("_copy", F.row_number().over(same)), copy="_copy")
 
 
 STAGES = [("toxicity", toxic_documents), ("lines", repeated_lines), ("simhash", near_copies), ("mixing", mixed_sources), ("pieces", encoded)]

@@ -17,10 +17,9 @@ from flowspark.llm.words import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # of a public tokenizer; every node has it or the driver alone
 SPACE = "▁"
 DROPOUT = 0.1
-VARIANTS = 2  # segmentations of one word in different documents
-CACHED = 300_000  # segments remembered by a task for each variant
+CACHED = 300_000  # segments whose merge without dropout is remembered by a task
 MANY = 20_000  # segments merged at a time
-SLICE = 8 << 20  # bytes of text encoded at a time
+SLICE = 2 << 20  # bytes of text encoded at a time
 MASK = (1 << 64) - 1
 SHORT = 24  # characters up to which segments are merged many at a time
 NEVER = np.iinfo(np.int32).max
@@ -31,6 +30,19 @@ def skipped(base: int, start: int, end: int, bar: int) -> bool:
     return ((base ^ (start * 0x9E3779B97F4A7C15 + end * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93 & MASK) >> 32 < bar
 
 
+def both_ends(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What `skipped` joins with the base, for many merges."""
+    return start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + end.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def occurrence_bases(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A 64-bit hash per occurrence of a segment from its document's hash and its place there."""
+    x = doc + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
 def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
@@ -70,14 +82,15 @@ class Pieces:
                 table.append(piece.replace(SPACE, " ").encode())
         return cls(ids, scores, byte_ids, table)
 
-    def merge(self, segment: str, dropout: float = 0.0, key: int = 0) -> list[int]:
+    def merge(self, segment: str, dropout: float = 0.0, key: int = 0, base: int | None = None) -> list[int]:
         """Ids of one segment: the agenda yields the best-scored merge, leftmost first.
 
         With dropout, a candidate merge of the characters from `start` to `end` is skipped when
-        a hash of the key, the segment and both ends falls below the rate.
+        a hash of the base and both ends falls below the rate. The base is given or a hash of
+        the key and the segment.
         """
         out = []
-        for piece in self._merge_heap(segment, int(dropout * (1 << 32)), self.base(segment, key)):
+        for piece in self._merge_heap(segment, int(dropout * (1 << 32)), self.base(segment, key) if base is None else base):
             found = self.ids.get(piece)
             if found is not None:
                 out.append(found)
@@ -89,17 +102,19 @@ class Pieces:
     def base(segment: str, key: int) -> int:
         return xxhash.xxh64_intdigest(segment.encode("utf-8", "surrogatepass"), key)
 
-    def merge_many(self, segments: list[str], dropout: float = 0.0, key: int = 0) -> list[bytes]:
+    def merge_many(self, segments: list[str], dropout: float = 0.0, key: int = 0, base: np.ndarray | None = None, path: list | None = None) -> list[bytes]:
         """`merge` of many short segments at once, as 32-bit ids: each round takes the best merge of every segment.
 
         A row per segment holds its symbols (a piece's id, or beyond them the code point of a
         character that is none), links to the next and previous symbol, and as agenda the rank
-        of the merge each symbol would make with the next.
+        of the merge each symbol would make with the next. The merges made go to `path`, if
+        given, as pairs of arrays (row, what `skipped` hashes of both ends).
         """
         sizes = np.array([len(x) for x in segments])
         n, width, rows = len(segments), int(sizes.max()), np.arange(len(segments))
         bar = int(dropout * (1 << 32))
-        base = np.array([self.base(x, key) for x in segments], np.uint64) if bar else np.zeros(n, np.uint64)
+        if base is None:
+            base = np.array([self.base(x, key) for x in segments], np.uint64) if bar else np.zeros(n, np.uint64)
         inside = np.arange(width) < sizes[:, None]
         symbol = np.zeros((n, width), np.int64)
         symbol[inside] = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -117,7 +132,7 @@ class Pieces:
             at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
             hit = self.pair_codes[at] == code
             if bar:
-                ends = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + stop[r, b].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                ends = both_ends(a, stop[r, b])
                 hit &= ((base[r] ^ ends) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) >= bar
             agenda[r, a] = np.where(hit, self.pair_ranks[at], NEVER)
             result[r, a] = self.pair_results[at]
@@ -131,6 +146,8 @@ class Pieces:
             b = after[live, a]
             symbol[live, a], stop[live, a], after[live, a] = result[live, a], stop[live, b], after[live, b]
             agenda[live, b], inside[live, b] = NEVER, False
+            if path is not None:
+                path.append((live, both_ends(a, stop[live, a])))
             has_next = after[live, a] < sizes[live]
             before[live[has_next], after[live, a][has_next]] = a[has_next]
             offer(live, a)
@@ -179,17 +196,41 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes texts of one variant and remembers their short segments."""
+    """Encodes texts, every occurrence of a segment with a dropout of its own.
+
+    Short segments are remembered as merged without dropout, with the merges made. Skipping a
+    merge that is not made changes nothing, so only occurrences for which the hash skips a
+    made one are merged again.
+    """
 
-    def __init__(self, pieces: Pieces, dropout: float, key: int):
-        self.pieces, self.dropout, self.key, self.known = pieces, dropout, key, {}
+    def __init__(self, pieces: Pieces, dropout: float):
+        self.pieces, self.dropout, self.known, self.paths = pieces, dropout, {}, {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes | None]:
-        """32-bit ids of each text. A U+2581 of the text itself becomes bytes, so that decoding tells it from a space."""
-        pieces, known = self.pieces, self.known
-        mark = packed([pieces.byte_ids[x] for x in SPACE.encode()])
+    def _remember(self, segments: list[str]) -> None:
+        for at in range(0, len(segments), MANY):
+            part = sorted(segments[at:at + MANY], key=len)
+            for some in (part[: len(part) // 2], part[len(part) // 2:]):
+                if some:
+                    path: list = []
+                    self.known.update(zip(some, self.pieces.merge_many(some, path=path)))
+                    row, ends = (np.concatenate(x) for x in zip(*path)) if path else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                    cuts = np.cumsum(np.bincount(row, minlength=len(some)))[:-1]
+                    self.paths.update(zip(some, np.split(ends[np.argsort(row, kind="stable")], cuts)))
+
+    def _skips(self, number: np.ndarray, paths: list[np.ndarray], base: np.ndarray) -> np.ndarray:
+        """Places of the occurrences that lose a made merge."""
+        sizes = np.array([len(p) for p in paths], np.int64)
+        start, each = np.cumsum(sizes) - sizes, sizes[number]
+        owner = np.repeat(np.arange(len(number)), each)
+        at = np.arange(len(owner)) + np.repeat(start[number] - (np.cumsum(each) - each), each)
+        hashed = (base[owner] ^ np.concatenate(paths)[at]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
+        return np.unique(owner[hashed < np.uint64(int(self.dropout * (1 << 32)))])
+
+    def encode(self, texts: list[str | None], docs: list[int]) -> list[bytes | None]:
+        """32-bit ids of each text, with its document's hash in `docs`. A U+2581 of the text itself becomes bytes, so that decoding tells it from a space."""
+        pieces, known, paths = self.pieces, self.known, self.paths
         parts = [(SPACE + t).replace(" ", SPACE) if t and SPACE not in t else None for t in texts]
-        cut = [pieces.segments.findall(p) if p else None for p in parts]
+        cut = [pieces.segments.findall(p) if p else [] for p in parts]
         for i, t in enumerate(texts):
             if t and SPACE in t:
                 first, *rest = t.split(SPACE)
@@ -198,20 +239,28 @@ class Encoder:
                     cut[i] += [""] + pieces.segments.findall(part.replace(" ", SPACE))
         if len(known) > CACHED:
             known.clear()
-        known[""] = mark
-        new = list(set(chain.from_iterable(c for c in cut if c)).difference(known))
-        short = [x for x in new if len(x) <= SHORT]
-        for at in range(0, len(short), MANY):
-            part = sorted(short[at:at + MANY], key=len)
-            for some in (part[: len(part) // 2], part[len(part) // 2:]):
-                if some:
-                    known.update(zip(some, pieces.merge_many(some, self.dropout, self.key)))
-        long = {x: packed(pieces.merge(x, self.dropout, self.key)) for x in new if len(x) > SHORT}
-        known.update(long)
-        out = [None if t is None else b"".join(map(known.__getitem__, c or ())) for t, c in zip(texts, cut)]
-        for x in long:
-            del known[x]
-        return out
+            paths.clear()
+        known[""], paths[""] = packed([pieces.byte_ids[x] for x in SPACE.encode()]), np.zeros(0, np.uint64)
+        words, counts = list(chain.from_iterable(cut)), np.array([len(c) for c in cut], np.int64)
+        distinct = {x: i for i, x in enumerate(dict.fromkeys(words))}
+        self._remember([x for x in distinct if len(x) <= SHORT and x not in known])
+        starts = np.cumsum(counts) - counts
+        base = occurrence_bases(np.repeat(np.array(docs, np.uint64), counts), np.arange(len(words)) - np.repeat(starts, counts))
+        long = {x: packed(pieces.merge(x)) for x in distinct if len(x) > SHORT} if not self.dropout else {}
+        done = [known.get(x) or long.get(x) for x in words]
+        if self.dropout and words:
+            number = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
+            none = paths[""]
+            again = self._skips(number, [paths.get(x, none) for x in distinct], base).tolist()
+            again.sort(key=lambda i: len(words[i]))
+            for at in range(0, len(again), MANY):
+                some = again[at:at + MANY]
+                for i, ids in zip(some, pieces.merge_many([words[i] for i in some], self.dropout, base=base[some])):
+                    done[i] = ids
+            for i, x in enumerate(words):
+                if len(x) > SHORT:
+                    done[i] = packed(pieces.merge(x, self.dropout, base=int(base[i])))
+        return [None if t is None else b"".join(done[at:at + n]) for t, at, n in zip(texts, starts.tolist(), counts.tolist())]
 
 
 def _pieces(spark: SparkSession, path: str):
@@ -219,47 +268,47 @@ def _pieces(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Pieces.load(path))
 
 
-def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = 13, variants: int = VARIANTS,
-           key: str = "doc_id", text: str = "text", check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = 13,
+           key: str = "doc_id", text: str = "text", check: bool = False, copy: str | None = None) -> DataFrame:
     """All columns of `docs` that are not clashing, plus `ids` (array<int>) and `n_pieces`; with `check`, `lossless`.
 
     A text is cut where no piece of the vocabulary can join, its segments are merged by score
     with merge-dropout, and what the vocabulary lacks becomes bytes. The dropout key comes from
-    the seed and one of `variants` classes of the document key, so documents differ in how a
-    word is cut, reruns agree, and a task remembers each word it has cut. Rate 0 gives the
-    model's own segmentation. Decoding gives the text back, character for character.
+    the seed, the document's key and text and the place of the segment in it, so every
+    occurrence of a word has a draw of its own and reruns agree. A column named by `copy` (not
+    in the result) tells equal rows of one key apart, as passes over a document. Rate 0 gives
+    the model's own segmentation. Decoding gives the text back, character for character.
 
-    Null text gives null ids and 0 pieces, empty text no ids; repeated rows with one key are cut
-    alike; input columns called ids, n_pieces or lossless are replaced; empty tables stay empty.
+    Null text gives null ids and 0 pieces, empty text no ids; without `copy` equal rows
+    are cut alike; input columns called ids, n_pieces or lossless are replaced; empty tables stay empty.
     """
     shared = _pieces(docs.sparkSession, model)
-    kept = [c for c in docs.columns if c not in ("ids", "n_pieces", "lossless")]
+    kept = [c for c in docs.columns if c not in ("ids", "n_pieces", "lossless", copy)]
+    given = docs.select(*kept, *([copy] if copy else []))
     docs = docs.select(*kept)
     at_key, at_text = kept.index(key), kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
-        encoders = [Encoder(pieces, dropout, xxhash.xxh64_intdigest(f"{seed}:{v}")) for v in range(variants)]
+        encoder = Encoder(pieces, dropout)
         for batch in slices(batches, text, SLICE):
             texts = batch.column(at_text).to_pylist()
-            which = [xxhash.xxh64_intdigest(str(k)) % variants for k in batch.column(at_key).to_pylist()]
-            ids: list = [None] * len(texts)
-            for v, encoder in enumerate(encoders):
-                own = [i for i, w in enumerate(which) if w == v]
-                for i, x in zip(own, encoder.encode([texts[i] for i in own])):
-                    ids[i] = x
+            copies = batch.column(len(kept)).to_pylist() if copy else [0] * len(texts)
+            hashes = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest(f"{seed}:{k}:{c}"))
+                      for t, k, c in zip(texts, batch.column(at_key).to_pylist(), copies)]
+            ids = encoder.encode(texts, hashes)
             sizes = np.array([0 if x is None else len(x) // 4 for x in ids], np.int32)
             flat = np.frombuffer(b"".join(x for x in ids if x), "<i4")
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             missing = pa.array([x is None for x in ids]) if any(x is None for x in ids) else None
-            columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=missing), pa.array(sizes)]
+            columns = [*batch.columns[:len(kept)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=missing), pa.array(sizes)]
             if check:
                 columns.append(pa.array([x is None or pieces.decode(np.frombuffer(x, "<i4").tolist()) == t for x, t in zip(ids, texts)]))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [*kept, "ids", "n_pieces"] + ["lossless"] * check
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, ids array<int>, n_pieces int" + ", lossless boolean" * check)
+    return given.mapInArrow(run, f"{fields}, ids array<int>, n_pieces int" + ", lossless boolean" * check)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "text") -> DataFrame:

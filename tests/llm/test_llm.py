@@ -416,6 +416,23 @@ def test_op8_many_equal_one():
         assert vocabulary.merge_many(segments, rate, 5) == [pieces.packed(vocabulary.merge(s, rate, 5)) for s in segments]
 
 
+def test_op8_every_occurrence_has_its_own_draw(spark):
+    """Occurrences of a word in a document, documents and passes are cut in many ways, each as the agenda alone cuts it."""
+    word = "unbelievable"
+    docs = spark.createDataFrame([(i, " ".join([word] * 200)) for i in range(6)] + [(0, " ".join([word] * 200))], "doc_id long, text string")
+    rows = corpus_pipeline.encoded(spark, docs, SF).collect()
+    assert all(len(r["ids"]) == r["n_pieces"] for r in rows) and len({tuple(r["ids"]) for r in rows}) == 7
+    vocabulary = pieces.Pieces.load(pieces.MODEL)
+    encoder = pieces.Encoder(vocabulary, 0.1)
+    texts = [" ".join([word] * 300) + " \u2581 " + "x" * 40, None, "", "one two\tthree \u4eba \U0001f389 " * 20]
+    got = encoder.encode(texts, [5, 6, 7, 2 ** 64 - 8])
+    assert got[1] is None and got[2] == b""
+    assert [vocabulary.decode(np.frombuffer(g, "<i4").tolist()) for g in (got[0], got[3])] == [texts[0], texts[3]]
+    base = pieces.occurrence_bases(np.full(300, 5, np.uint64), np.arange(300))
+    alone = [pieces.packed(vocabulary.merge("\u2581" + word, 0.1, base=int(b))) for b in base]
+    assert got[0].startswith(b"".join(alone)) and len(set(alone)) > 4
+
+
 def test_op8_odd_rows(spark):
     got = {r["doc_id"]: r for r in pieces.encode(odd_docs(spark), check=True).collect()}
     assert got[1]["ids"] is None and got[2]["ids"] == [] and all(r["lossless"] for r in got.values()) and got[1]["root"] == 7
