@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowspark.llm import ann, caps, lines, mixing, pieces, pii, pitman_yor, simhash, toxicity, url_rules
+from flowspark.llm import align, ann, caps, lines, mixing, pieces, pii, pitman_yor, quality, runs, simhash, toxicity, url_rules
+from flowspark.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -82,6 +84,42 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers grouped where both end, with corpus-wide counts of linked ids."""
+    found = align.align_counted(_table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of documents, learned from preference pairs without the third of the labels that is held out."""
+    held_out = toxicity.crc_remainder(F.col("doc_id"), 3) == 1
+    found = settle(quality.features(_table(spark, sf_dir, "documents")))
+    model = quality.fit(found, _table(spark, sf_dir, "labels").where(~held_out))
+    return quality.score(found, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def repeated_tail(doc_id: int | None, words: int) -> tuple[int, int] | None:
+    """(a, p): for a tenth of the documents, words from a on repeat with period p."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10:
+        return None
+    g = h // 10
+    return g % words, 1 + (words - g % words) // (3 + g % 8)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of documents, a tenth of which get a repeated tail first, and the texts without them."""
+    found = runs.periodic_runs(_table(spark, sf_dir, "documents"), tail=repeated_tail)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))).alias("best")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    digest = F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256)
+    top = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best, digest.alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.col3")
+    return top.select("doc_id", "n_runs", (-F.col("best.col2")).alias("start"), length.alias("length"), period.alias("period"),
+                      F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 OP9_SQL = r"""
 WITH part AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -95,6 +133,7 @@ fit AS (
 SELECT page_id, COALESCE(host, '') AS host, COALESCE(path, '') AS path, rule, COALESCE(verdict, 'allow') AS verdict
 FROM cut LEFT JOIN fit USING (page_id)"""
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pitman_yor, op2_toxicity, op3_caps, op4_lines, op5_simhash, op6_pii, op7_mix, op8_pieces, op9_url_rules, op10_ann)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pitman_yor, op2_toxicity, op3_caps, op4_lines, op5_simhash, op6_pii, op7_mix, op8_pieces, op9_url_rules, op10_ann,
+                                                          op11_align, op12_quality, op13_runs)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {"op9_url_rules": OP9_SQL}
