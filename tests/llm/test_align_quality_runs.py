@@ -138,7 +138,7 @@ def test_op12_odd_rows(spark):
     none = quality.fit(found, spark.createDataFrame([], "doc_id long, quality int"))
     one = quality.fit(found, spark.createDataFrame([(4, 1), (7, 1)], "doc_id long, quality int"))
     assert {r["score"] for m in (none, one) for r in quality.score(found, m).collect()} == {0.5}
-    both = quality.fit(found, spark.createDataFrame([(4, 1), (8, 1), (3, 1), (5, 0), (1, 0)], "doc_id long, quality int, f int"))
+    both = quality.fit(found, spark.createDataFrame([(4, 1), (8, 1), (3, 1), (5, 0), (1, 0)], "doc_id long, quality int").withColumn("f", F.lit(1)))
     rows = quality.score(found, both).collect()
     assert len(rows) == docs.count() and len({r["score"] for r in rows if r["doc_id"] == 3}) == 1
     assert len({r["score"] for r in rows if r["doc_id"] in (1, 2)}) == 1
