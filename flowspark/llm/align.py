@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,11 @@ from flowspark.session import scratch_path
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"  # of public tokenizers; every node has them
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE = 8192  # steps of the merge path in one piece
-SLICE = 2 << 20
+SLICE = 1 << 20
+# The word pattern of byte-level vocabularies, and the first character of those not left to it.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SIMPLE = "\u0250"
+NONE = np.zeros(0, np.int64)
 PAIR = 1 << 16  # more than the ids of either vocabulary: a pair is a * PAIR + b
 
 
@@ -30,35 +35,62 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-class Tokenizers(NamedTuple):
-    """Both tokenizers, with the bytes of every token and its length."""
+class Tokenizers:
+    """Both tokenizers, with the bytes of every token and its length.
 
-    a: object
-    b: object
-    bytes_a: list[bytes]
-    bytes_b: list[bytes]
-    sizes_a: np.ndarray
-    sizes_b: np.ndarray
+    A text of characters below U+0250 is encoded by A's vocabulary as ranks, which is several times faster and
+    needs no second copy of the merges; other texts, and a vocabulary whose numbers do not follow its merges, by A itself.
+    """
+
+    def __init__(self, path_a: str, path_b: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import sentencepiece
+
+        self.path_a, self._a = path_a, None
+        with open(path_a, encoding="utf-8") as file:
+            stored = json.load(file)
+        alphabet = byte_alphabet()
+        special = {t["id"]: t["content"].encode() for t in stored["added_tokens"]}
+        words = {i: special.get(i) or bytes(alphabet[c] for c in w) for w, i in stored["model"]["vocab"].items()} | special
+        self.bytes_a = [words.get(i, b"") for i in range(max(words) + 1)]
+        self.ranks = self._by_rank(stored, {w: i for i, w in words.items() if i not in special})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
+                        for i in range(self.b.vocab_size())]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in names]) for names in (self.bytes_a, self.bytes_b))
+
+    @staticmethod
+    def _by_rank(stored: dict, ids: dict[bytes, int]):
+        """An encoder by ranks, if the numbers of merged tokens rise with the merges and words are cut by the usual pattern."""
+        vocab, merges = stored["model"]["vocab"], stored["model"]["merges"]
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        cut = stored["pre_tokenizer"]
+        plain = cut["type"] == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and stored["normalizer"] is None
+        if not plain or any(x >= y for x, y in zip(made, made[1:])) or min(made) < 256:
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ids, special_tokens={})
+
+    @property
+    def a(self):
+        if self._a is None:
+            import tokenizers
+
+            self._a = tokenizers.Tokenizer.from_file(self.path_a)
+            self._a.encode_special_tokens = True
+        return self._a
+
+    def encode_a(self, text: str) -> np.ndarray:
+        if self.ranks is not None and (text.isascii() or max(text) < SIMPLE):
+            return self.ranks.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
 def load(path_a: str, path_b: str) -> Tokenizers:
     """The tokenizers of a worker, read once in each."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    import sentencepiece
-    import tokenizers
-
-    a = tokenizers.Tokenizer.from_file(path_a)
-    a.encode_special_tokens = True
-    alphabet = byte_alphabet()
-    special = {t["id"] for t in json.loads(a.to_str())["added_tokens"]}
-    words = a.get_vocab(with_added_tokens=True)
-    bytes_a = [b""] * (max(words.values()) + 1)
-    for word, i in words.items():
-        bytes_a[i] = word.encode() if i in special else bytes(alphabet[c] for c in word)
-    b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-    bytes_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.vocab_size())]
-    return Tokenizers(a, b, bytes_a, bytes_b, np.array([len(x) for x in bytes_a]), np.array([len(x) for x in bytes_b]))
+    return Tokenizers(path_a, path_b)
 
 
 def merge_path(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> np.ndarray:
@@ -84,7 +116,7 @@ def common_ends(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.nd
     and b the first of a later one, is stitched: it can only be the last a before the crossing and the first b behind it.
     """
     if not len(a) or not len(b):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return NONE, NONE
     cross = merge_path(a, b, piece)
     found_a, found_b = [], []
     for (i, j), (k, m) in zip(cross[:-1].tolist(), cross[1:].tolist()):
@@ -117,16 +149,15 @@ def aligned(texts: list[str | None], t: Tokenizers, piece: int = PIECE) -> list[
     """
     full = [i for i, x in enumerate(texts) if x]
     whole = [" " + texts[i] for i in full]
-    ids_a = [e.ids for e in t.a.encode_batch_fast(whole, add_special_tokens=False)] if full else []
+    ids_a = [t.encode_a(x) for x in whole]
     ids_b = t.b.encode([texts[i] for i in full], num_threads=1) if full else []
-    kept = [n for n, x in enumerate(whole) if (raw := x.encode()) == b"".join([t.bytes_a[i] for i in ids_a[n]]) == b"".join([t.bytes_b[i] for i in ids_b[n]])
-            and raw]
-    out: list[tuple] = [(0, 0, "", [])] * len(texts)
+    kept = [n for n, x in enumerate(whole) if x.encode() == b"".join([t.bytes_a[i] for i in ids_a[n].tolist()]) == b"".join([t.bytes_b[i] for i in ids_b[n]])]
+    out: list[tuple] = [(0, 0, "", NONE)] * len(texts)
     if not kept:
         return out
     n_a, n_b = np.array([len(ids_a[n]) for n in kept]), np.array([len(ids_b[n]) for n in kept])
-    all_a = np.fromiter((i for n in kept for i in ids_a[n]), np.int64, n_a.sum())
-    all_b = np.fromiter((i for n in kept for i in ids_b[n]), np.int64, n_b.sum())
+    all_a = np.concatenate([ids_a[n] for n in kept]).astype(np.int64)
+    all_b = np.fromiter(chain.from_iterable(ids_b[n] for n in kept), np.int64, n_b.sum())
     i, j = common_ends(np.cumsum(t.sizes_a[all_a]), np.cumsum(t.sizes_b[all_b]), piece)
     pairs = all_a[i] * PAIR + all_b[j]
     last_a, last_b = np.zeros(len(all_a), bool), np.zeros(len(all_b), bool)
@@ -150,28 +181,31 @@ def aligned(texts: list[str | None], t: Tokenizers, piece: int = PIECE) -> list[
     return out
 
 
-def align(docs: DataFrame, key: str = "doc_id", model_a: str = MODEL_A, model_b: str = MODEL_B) -> DataFrame:
+def align(docs: DataFrame, key: str = "doc_id", model_a: str = MODEL_A, model_b: str = MODEL_B, digest: bool = False) -> DataFrame:
     """(key, n_a, n_b, groups, links) of every row: tokens of both, the groups as text, and linked id pairs in order.
 
     Ends that A and B share cut the tokens into groups `a1,a2|b1;a3|b2,b3`. No token is empty, so every shared
     end links just the A token and the B token that end there; a link is a * PAIR + b. Rows are worked on alone and
     nothing is shuffled. Null and empty texts, and texts that a tokenizer changes, have 0 tokens, '' and no links.
     Repeated rows give equal rows, a null key is passed on, an empty table gives an empty one, other columns are not looked at.
+    With `digest`, `groups_sha256` (hexadecimal, '' without tokens) stands in place of `groups`, which then never leave the task.
     """
+    named = "groups_sha256" if digest else "groups"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(model_a, model_b)
         for batch in slices(batches, "_text", SLICE):
             rows = aligned(batch.column(1).to_pylist(), t)
             offsets = np.append(0, np.cumsum([len(r[3]) for r in rows]))
-            flat = np.concatenate([np.asarray(r[3], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+            texts = [hashlib.sha256(r[2].encode()).hexdigest() if digest and r[2] else r[2] for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                ["key", "n_a", "n_b", "groups", "links"])
+                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(texts, pa.string()),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([r[3] for r in rows])))],
+                ["key", "n_a", "n_b", named, "links"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("key"), docs["text"].alias("_text"))
-    return rows.mapInArrow(run, f"key {kind}, n_a bigint, n_b bigint, groups string, links array<bigint>").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, n_a bigint, n_b bigint, {named} string, links array<bigint>").withColumnRenamed("key", key)
 
 
 def link_counts(found: DataFrame) -> DataFrame:
@@ -224,13 +258,10 @@ def with_counts(found: DataFrame, counts: DataFrame) -> DataFrame:
 def align_counted(docs: DataFrame, key: str = "doc_id", model_a: str = MODEL_A, model_b: str = MODEL_B, digest: bool = False) -> DataFrame:
     """`align` with the corpus-wide counts of `with_counts`; texts are encoded once, the result waits as Parquet.
 
-    With `digest` the groups' SHA-256 (empty for a row without tokens) is kept as `groups_sha256` instead of the groups.
+    `digest` as for `align`.
     """
     spark = docs.sparkSession
-    found = align(docs, key, model_a, model_b)
-    if digest:
-        found = found.withColumn("groups", F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")).withColumnRenamed("groups", "groups_sha256")
     path = scratch_path(spark, "aligned")
-    found.write.parquet(path)
+    align(docs, key, model_a, model_b, digest).write.parquet(path)
     found = spark.read.parquet(path)
     return with_counts(found, link_counts(found))

@@ -96,6 +96,16 @@ def test_op11_odd_texts(spark):
     assert align.align_counted(empty_docs(spark)).count() == 0
 
 
+def test_op11_ranks_are_the_vocabulary():
+    t = align.load(align.MODEL_A, align.MODEL_B)
+    assert t.ranks is not None
+    for c in map(chr, range(0x250)):
+        for text in (f"a{c}b", f" {c} ", f"{c}{c}1{c}", f"x {c}\n{c}\t {c}'s", f"  {c}  {c}"):
+            assert t.encode_a(text).tolist() == t.a.encode(text, add_special_tokens=False).ids
+    for c in "\u0250\u2028\u3000中🎉":
+        assert t.encode_a(f"a {c} b").tolist() == t.a.encode(f"a {c} b", add_special_tokens=False).ids
+
+
 def test_op11_pairs_end_alike(spark):
     """The bound of the broadcast counts: of two linked tokens one's bytes end the other's."""
     t = align.load(align.MODEL_A, align.MODEL_B)
