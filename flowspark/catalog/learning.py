@@ -8,11 +8,12 @@ from flowspark.catalog.base import query, table
 from flowspark.catalog.evaluation import rounded
 from flowspark.catalog.sampling import PRIORITY, RANKED, quota_sql
 from flowspark.operators import explain, nearest, scoring
+from flowspark.operators.grid import PARAMETER_GRIDS
 from flowspark.operators.metrics import confusion_counts, fold_spread, score
 from flowspark.operators.sample import stratified_folds, stratified_split
 from flowspark.operators.select import population_diversity, sweep_summary
 from flowspark.plans import features as selection
-from flowspark.plans import models, search, tuning
+from flowspark.plans import fitness, models, search, tuning
 from flowspark.plans.prepare import prepare
 from flowspark.session import scratch_path, settle
 
@@ -72,6 +73,14 @@ def nearest_centroid(spark, sf_dir):
     return confusion_counts(scoring.predict_centroid(df, model, ["price", "cust"]), "y", "prediction")
 
 
+@query("m5_own_estimators")
+def own_estimators(spark, sf_dir):
+    """Nearest centroid and neighbours as estimators, saved, read again and scored on the test side."""
+    train, test = vector_split(spark, sf_dir)
+    line_up = {"Nearest Centroid": models.nearest_centroid(), "Shrunken": models.nearest_centroid(shrink_threshold=0.5), "KNN": models.neighbours()}
+    return fitted(train, test, line_up)
+
+
 @query("m5_nearest_median", f"""WITH {ORDERS}, c AS (SELECT y AS class, median(price) AS mp, median(cust) AS mc FROM o GROUP BY 1),
   d AS (SELECT o_orderkey, y, class, abs(price - mp) + abs(cust - mc) AS d FROM o, c)
   SELECT y, yhat, count(*) AS n FROM (SELECT o_orderkey, any_value(y) AS y, min_by(class, (d, class)) AS yhat FROM d GROUP BY 1) GROUP BY 1, 2""")
@@ -126,6 +135,43 @@ def mask_naive_bayes(spark, sf_dir):
     return rounded(scoring.score_masks(folded_vectors(spark, sf_dir), "fold", "label", NAMES, MASKS, "naive_bayes", early_accuracy=0.0))
 
 
+def _estimator_table(spark, sf_dir):
+    return fitness.fitness_table(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], 5, None)
+
+
+@query("m11_mask_estimator", FITNESS.replace("LIMIT_ACC", "0.0"))
+def mask_estimator(spark, sf_dir):
+    return rounded(fitness.estimator_scores(_estimator_table(spark, sf_dir), MASKS, models.nearest_centroid, early_accuracy=0.0))
+
+
+@query("m11_mask_estimator_early", FITNESS.replace("LIMIT_ACC", "0.2"))
+def mask_estimator_early(spark, sf_dir):
+    return rounded(fitness.estimator_scores(_estimator_table(spark, sf_dir), MASKS, models.nearest_centroid, early_accuracy=0.2))
+
+
+TOXIC_MASKS = [(1, 1), (1, 0), (0, 1)]
+
+
+def _toxic_table(spark, sf_dir):
+    return fitness.fitness_table(toxic(spark, sf_dir), "toxic", ["n_chars", "quality"], ["doc_id"])
+
+
+@query("m11_mask_forest")
+def mask_forest(spark, sf_dir):
+    return rounded(fitness.estimator_scores(_toxic_table(spark, sf_dir), TOXIC_MASKS, test=True))
+
+
+@query("m11_mask_forest_folds", f"""WITH d AS (SELECT doc_id, toxic FROM labels JOIN documents USING (doc_id)),
+  q AS {quota_sql('(SELECT toxic, count(*) AS n FROM d GROUP BY 1)', 'toxic', '(SELECT ceil(count(*) * 0.2::DOUBLE)::BIGINT FROM d)')},
+  s AS (SELECT *, {RANKED.format(by='toxic', seed=42, key='doc_id')} AS rn FROM d JOIN q USING (toxic)),
+  k AS (SELECT least(10, min(c)) AS k FROM (SELECT count(*) FILTER (rn > quota) AS c FROM s GROUP BY toxic))
+  SELECT m.i::INTEGER AS mask, (CASE WHEN rn <= quota THEN -2 ELSE (rn - quota - 1) % k END)::INTEGER AS fold, toxic::DOUBLE AS y, count(*) AS n
+  FROM s, k, range(3) m(i) GROUP BY ALL""")
+def mask_forest_folds(spark, sf_dir):
+    counts = fitness.estimator_counts(_toxic_table(spark, sf_dir), TOXIC_MASKS, early_accuracy=0.0, test=True)
+    return counts.groupBy("mask", "fold", "y").agg(F.sum("n").alias("n"))
+
+
 @query("e2_cross_validation", f"""WITH {ORDERS}, f AS (SELECT *, ({RANKED.format(by='y', seed=42, key='o_orderkey')} - 1) % 10 AS fold FROM o),
   c AS (SELECT t.fold, f.y AS class, avg(price) AS mp, avg(cust) AS mc FROM (SELECT DISTINCT fold FROM f) t JOIN f ON f.fold <> t.fold GROUP BY 1, 2),
   d AS (SELECT o_orderkey, fold, y, class, (price - mp) * (price - mp) + (cust - mc) * (cust - mc) AS d FROM f JOIN c USING (fold)),
@@ -249,32 +295,32 @@ def toxic(spark, sf_dir):
 
 @query("m2_forest")
 def forest(spark, sf_dir):
-    return fitted(*vector_split(spark, sf_dir), {"Random Forest": models.forest(100, 5)})
+    return fitted(*vector_split(spark, sf_dir), {"Random Forest": models.forest()})
 
 
 @query("m3_boosted_trees")
 def boosted_trees(spark, sf_dir):
     split = stratified_split(toxic(spark, sf_dir), "toxic", ["doc_id"], 0.25)
     data = models.vector_table(split, "toxic", ["n_chars", "quality"], ["doc_id"], ["part"])
-    return fitted(data.filter("part = 'train'"), data.filter("part = 'test'"), {"Gradient Boosting": models.boosted(2, 10, 3)})
+    return fitted(data.filter("part = 'train'"), data.filter("part = 'test'"), {"Gradient Boosting": models.boosted()})
 
 
 @query("m4_linear_models")
 def linear_models(spark, sf_dir):
     train, test = vector_split(spark, sf_dir)
     rows = train.count()
-    return fitted(train, test, {"Logistic Regression": models.logistic(rows=rows), "SVM": models.linear_svc(classes=10, rows=rows, rounds=10)})
+    return fitted(train, test, {"Logistic Regression": models.logistic(rows=rows), "SVM": models.linear_svc(classes=10, rows=rows)})
 
 
 @query("m6_perceptron")
 def perceptron(spark, sf_dir):
-    return fitted(*vector_split(spark, sf_dir), {"MLP (Neural Net)": models.perceptron(SIZE, 10, rounds=50)})
+    return fitted(*vector_split(spark, sf_dir), {"MLP (Neural Net)": models.perceptron(SIZE, 10)})
 
 
 @query("m7_stacked")
 def stacked(spark, sf_dir):
     train, test = vector_split(spark, sf_dir)
-    predicted = models.stacked(train, test, ["vec_id"], {"lr": lambda: models.logistic(rounds=20), "rf": lambda: models.forest(20, 5)}, 3)
+    predicted = models.stacked(train, test, ["vec_id"], {"lr": models.logistic, "rf": models.forest}, 3)
     return rounded(score(predicted, "y", "prediction"))
 
 
@@ -291,31 +337,63 @@ ORDER_FEATURES = ["quantity", "price", "discount", "tax", "lines", "top_line"]
 
 @query("m8_recursive_elimination")
 def recursive_elimination(spark, sf_dir):
-    votes, _, _ = selection.recursive_elimination(lineitem_features(spark, sf_dir), "label", ORDER_FEATURES, ["l_orderkey"], keep=3, folds=2, make=lambda: models.forest(10, 4))
+    votes, _, _ = selection.recursive_elimination(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], step=18)
     return votes
 
 
-@query("m9_forest_importance")
-def forest_importance(spark, sf_dir):
-    return selection.forest_importance(lineitem_features(spark, sf_dir), "label", ORDER_FEATURES, 4, 50, 5)
+@query("m8_elimination_result")
+def elimination_result(spark, sf_dir):
+    return rounded(selection.elimination_result(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], step=27)).drop("features")
+
+
+@query("m9_extra_trees_importance")
+def extra_trees_importance(spark, sf_dir):
+    ranked, _ = selection.tree_importance(lineitem_features(spark, sf_dir), "label", ORDER_FEATURES, ["l_orderkey"], 4)
+    return rounded(ranked)
+
+
+@query("m9_extra_trees_result")
+def extra_trees_result(spark, sf_dir):
+    return rounded(selection.tree_importance(vectors(spark, sf_dir), "label", NAMES, ["vec_id"])[1])
 
 
 @query("m10_component_sweep")
 def component_sweep(spark, sf_dir):
-    return rounded(selection.component_sweep(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], [8, 16, 128], 2, make=lambda: models.forest(20, 5)))
+    return rounded(selection.component_sweep(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], [8, 16, 32, 128]))
+
+
+@query("m10_best_components")
+def best_components(spark, sf_dir):
+    return rounded(selection.best_components(selection.component_sweep(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], [8, 16])))
 
 
 @query("m12_subset_search")
 def subset_search(spark, sf_dir):
-    data = settle(stratified_folds(lineitem_features(spark, sf_dir), "label", ["l_orderkey"], 5))
-    result = search.evolve(data, "fold", "label", ORDER_FEATURES, 10, 6, 4, early_accuracy=0.0)
-    return result.history_table(spark)
+    data = settle(stratified_folds(lineitem_features(spark, sf_dir), "label", ["l_orderkey"], 10))
+    return search.evolve(data, "fold", "label", ORDER_FEATURES, early_accuracy=0.0).history_table(spark)
+
+
+@query("m12_resume")
+def resumed_search(spark, sf_dir):
+    """A search that stops behind its third generation and is started again from its store."""
+    data = settle(stratified_folds(lineitem_features(spark, sf_dir), "label", ["l_orderkey"], 10))
+    store = fitness.new_store(spark, "orders")
+    search.evolve(data, "fold", "label", ORDER_FEATURES, generations=3, early_accuracy=0.0, store=store)
+    return search.evolve(data, "fold", "label", ORDER_FEATURES, early_accuracy=0.0, store=store).history_table(spark)
+
+
+@query("m12_estimator_search")
+def estimator_search(spark, sf_dir):
+    """Subsets rated by forests on the train side, ten folds each."""
+    table = _toxic_table(spark, sf_dir)
+    rate = lambda masks: fitness.estimator_scores(table, masks)
+    return search.evolve(None, "fold", "toxic", ["n_chars", "quality"], 4, fitness=rate, store=fitness.new_store(spark, "toxic")).history_table(spark)
 
 
 @query("m12_population_sweep")
 def population_sweep(spark, sf_dir):
-    data = settle(stratified_folds(lineitem_features(spark, sf_dir), "label", ["l_orderkey"], 3))
-    runs = search.sweep(data, "fold", "label", ORDER_FEATURES, [4, 6], 2, generations=2, early_accuracy=0.0)
+    data = settle(stratified_folds(lineitem_features(spark, sf_dir), "label", ["l_orderkey"], 10))
+    runs = search.sweep(data, "fold", "label", ORDER_FEATURES, [10, 20], early_accuracy=0.0)
     return sweep_summary(runs, "size", "run", "f1", "feature")
 
 
@@ -323,11 +401,10 @@ def population_sweep(spark, sf_dir):
 def grid_search(spark, sf_dir):
     df = vectors(spark, sf_dir)
     rows = df.count()
-    grids = {"Logistic Regression": {"C": [1, 100], "penalty": ["l2", None], "solver": ["lbfgs"], "l1_ratio": [0.0]}}
-    make = {"Logistic Regression": lambda C, penalty, solver, l1_ratio: models.logistic(C, penalty, l1_ratio, rows, 20)}
+    grids = {"Logistic Regression": {"C": [1, 100], "penalty": ["l2", None], "solver": ["lbfgs"], "l1_ratio": [0.0]}, "Nearest Centroid": PARAMETER_GRIDS["Nearest Centroid"]}
+    make = {**tuning.OWN_MAKERS, "Logistic Regression": lambda C, penalty, solver, l1_ratio: models.logistic(C, penalty, l1_ratio, rows)}
     cache = spark.createDataFrame([("Logistic Regression", '{"C": 1, "l1_ratio": 0.0, "penalty": null, "solver": "lbfgs"}')], "model string, params_json string")
-    results = tuning.grid_search(df, "label", NAMES, ["vec_id"], grids, make, cache, folds=2)
-    return tuning.winners(results).drop("elapsed")
+    return tuning.winners(tuning.grid_search(df, "label", NAMES, ["vec_id"], grids, make, cache)).drop("elapsed")
 
 
 @query("e3_stored_model")

@@ -13,11 +13,15 @@ from flowspark.session import scratch_path
 from flowspark.streaming import jobs, windows
 
 
-def _landed(spark, df, files=4):
-    """A table split over several files of a fresh folder, read back as a stream."""
+FILES = 4  # files of a micro-batch
+
+
+def _landed(spark, *parts):
+    """Tables that land one after the other, each as several files that make one micro-batch, read back as a stream."""
     folder = scratch_path(spark, "landing")
-    df.repartition(files).write.parquet(folder)
-    return jobs.landing(spark, folder, spark.read.parquet(folder).schema, files=1)
+    for df in parts:
+        df.repartition(FILES).write.mode("append").parquet(folder)
+    return jobs.landing(spark, folder, spark.read.parquet(folder).schema, files=FILES)
 
 
 def _dirty_events(spark, sf_dir):
@@ -38,7 +42,7 @@ DIRTY_EVENTS = """d AS (SELECT event_id, user_id, event_type, CASE WHEN value >=
 def incremental_profile(spark, sf_dir):
     df = _dirty_events(spark, sf_dir)
     state = scratch_path(spark, "state")
-    jobs.keep_profile(_landed(spark, df), "event_type", state)
+    jobs.keep_profile(_landed(spark, *[df.where(F.col("event_id") % 3 == i) for i in range(3)]), "event_type", state)
     return jobs.current_profile(spark, state, df, "event_type").select(
         "samples", "features", "original_num_rows", "removed_rows_nan", "removed_rows_inf", "classes", "missing_values")
 
@@ -53,31 +57,50 @@ def _timed(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id")
 
 
-def _closed(stream, spark):
-    out = jobs.run_to_files(stream, scratch_path(spark, "windows"))
+def _in_order(spark, df, by):
+    """The table in three parts, by ranges of a column."""
+    low, high = df.approxQuantile(by, [0.33, 0.66], 0.01)
+    return [df.filter(F.col(by) <= low), df.filter((F.col(by) > low) & (F.col(by) <= high)), df.filter(F.col(by) > high)]
+
+
+def _days(spark, sf_dir):
+    """events in three parts by time, the last of them still within its windows."""
+    timed = _timed(spark, sf_dir).withColumn("_s", F.unix_timestamp("ts"))
+    return [d.drop("_s") for d in _in_order(spark, timed, "_s")]
+
+
+def _named(out):
     return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start", "end")})
 
 
-@query("t3_tumbling_counts", """WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS s, event_type, count(*) AS n FROM events GROUP BY 1, 2)
-  SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS end, event_type, n FROM w
-  WHERE s + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+@query("t3_tumbling_counts", """SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS end, event_type, n
+  FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS s, event_type, count(*) AS n FROM events GROUP BY 1, 2)""")
 def tumbling_counts(spark, sf_dir):
-    return _closed(jobs.class_counts_in_time(_landed(spark, _timed(spark, sf_dir), 1), "ts", "event_type", "6 hours"), spark)
+    return _named(jobs.keep_class_counts(_landed(spark, *_days(spark, sf_dir)), scratch_path(spark, "windows"), "ts", "event_type", "6 hours"))
 
 
-@query("t3_sliding_counts", """WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS s, event_type, count(*) AS n FROM events, range(2) r(k) GROUP BY 1, 2)
-  SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS end, event_type, n FROM w
-  WHERE s + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+@query("t3_sliding_counts", """SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS end, event_type, n
+  FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS s, event_type, count(*) AS n FROM events, range(2) r(k) GROUP BY 1, 2)""")
 def sliding_counts(spark, sf_dir):
-    return _closed(jobs.class_counts_in_time(_landed(spark, _timed(spark, sf_dir), 1), "ts", "event_type", "12 hours", "6 hours"), spark)
+    return _named(jobs.keep_class_counts(_landed(spark, *_days(spark, sf_dir)), scratch_path(spark, "windows"), "ts", "event_type", "12 hours", "6 hours"))
+
+
+@query("t3_late_rows", """WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS passed FROM events WHERE event_id % 50 > 1)
+  SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS end, event_type, count(*) AS n
+  FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS s, event_type, event_id FROM events), m WHERE event_id % 50 <> 0 OR s + INTERVAL 6 HOUR > passed GROUP BY ALL""")
+def late_rows(spark, sf_dir):
+    """Every fiftieth event lands two batches behind the others; those of windows that are over are dropped."""
+    timed = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+    stream = _landed(spark, *[timed.where(f"event_id % 50 {part}") for part in ("> 1", "= 1", "= 0")])
+    return _named(jobs.keep_class_counts(stream, scratch_path(spark, "windows"), "ts", "event_type", "6 hours"))
 
 
 @query("t3_session_counts", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
   a AS (SELECT user_id, sid, min(ts) AS s, max(ts) + INTERVAL 8 HOUR AS e, count(*) AS n FROM s GROUP BY 1, 2)
-  SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(e, '%Y-%m-%d %H:%M:%S') AS end, user_id, n FROM a WHERE e <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+  SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(e, '%Y-%m-%d %H:%M:%S') AS end, user_id, n FROM a""")
 def session_counts(spark, sf_dir):
-    return _closed(jobs.class_counts_in_sessions(_landed(spark, _timed(spark, sf_dir), 1), "ts", ["user_id"], "8 hours"), spark)
+    return _named(jobs.keep_sessions(_landed(spark, *_days(spark, sf_dir)), scratch_path(spark, "sessions"), "ts", ["user_id"], "8 hours"))
 
 
 @query("t4_stream_row_windows", """WITH r AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n,
@@ -86,14 +109,8 @@ def session_counts(spark, sf_dir):
   SELECT user_id, pos AS start, label, len(list_distinct(labels)) > 1 AS mixed, round(total, 6) AS total FROM r WHERE n >= 10 AND pos % 3 = 0 AND pos + 8 <= n""")
 def stream_row_windows(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type")
-    folder = scratch_path(spark, "landing")
-    low, high = events.approxQuantile("event_id", [0.33, 0.66], 0.01)
-    spans = [F.col("event_id") <= low, (F.col("event_id") > low) & (F.col("event_id") <= high), F.col("event_id") > high]
-    for span in spans:  # one file after the other, in event order; together they are the whole table
-        events.filter(span).coalesce(1).write.mode("append").parquet(folder)
-    stream = jobs.landing(spark, folder, events.schema, files=1)
-    made = windows.stream_row_windows(stream, "user_id", "event_id", ["value"], "event_type", 8, 3, 10)
-    out = jobs.run_to_files(made, scratch_path(spark, "rowwindows"))
+    stream = _landed(spark, *_in_order(spark, events, "event_id"))
+    out = windows.keep_row_windows(stream, scratch_path(spark, "rowwindows"), "user_id", "event_id", [], ["value"], "event_type", 8, 3, 10)
     total = F.aggregate("features", F.lit(0.0), lambda a, r: a + r[0])
     return out.select("user_id", "start", "label", "mixed", F.round(total, 6).alias("total"))
 

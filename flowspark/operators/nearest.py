@@ -1,156 +1,185 @@
 """Exact nearest neighbours without comparing every pair of rows.
 
-Training rows are grouped round pivots. A group can hold a neighbour only if the triangle
-inequality allows it, so each query row visits the groups that may matter: first the ones
-that certainly cover k rows, then those the found distance does not rule out. Groups are cut
-into blocks of bounded size, and a block returns k rows per query row, never its pairs.
+Training rows are grouped round pivots, about the square root of their number. A group can hold a
+neighbour only if the triangle inequality allows it, so each query row visits the groups that may
+matter: first the ones that certainly cover k rows, then those the found distance does not rule out.
+Groups are cut into blocks of bounded size. A block keeps the k best rows so far while it goes through
+its rows in chunks, and returns k rows per query row, never its pairs; the best of all blocks are
+found by a window that cuts to k rows before its shuffle as well as behind it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import isqrt
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.operators.ordering import hash_key
+from flowspark.session import settle
 
 BLOCK_ROWS = 20_000  # training rows in one block
 SLICE_ROWS = 20_000  # query rows that meet a block in one task
+CHUNK_ROWS = 4096  # training rows compared at a time
+NUMBERS = 4_000_000  # doubles in a temporary array
+MOST_PIVOTS = 1024
 SLACK = 1e-9  # room for rounding when a bound rules a group out
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.ndarray:
-    """All distances between two sets of vectors, in row chunks."""
+    """All distances between two sets of vectors; temporary arrays stay below NUMBERS doubles."""
+    if metric not in ("euclidean", "manhattan", "minkowski"):
+        raise ValueError(f"unknown metric {metric!r}")
     out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
+    step = max(1, NUMBERS // max(1, b.size))
     for at in range(0, len(a), step):
         gap = np.abs(a[at:at + step, None, :] - b[None, :, :])
         if metric == "euclidean":
             out[at:at + step] = np.sqrt((gap ** 2).sum(axis=2))
         elif metric == "manhattan":
             out[at:at + step] = gap.sum(axis=2)
-        elif metric == "minkowski":
-            out[at:at + step] = (gap ** p).sum(axis=2) ** (1.0 / p)
         else:
-            raise ValueError(f"unknown metric {metric!r}")
+            out[at:at + step] = (gap ** p).sum(axis=2) ** (1.0 / p)
     return out
 
 
+def _first_k(row: np.ndarray, far: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k entries of each row with the least distance, ties by place, in that order."""
+    order = np.lexsort((at, far, row))
+    row, far, at = row[order], far[order], at[order]
+    starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+    rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+    return row[rank < k], far[rank < k], at[rank < k]
+
+
+def nearest_places(asked: np.ndarray, stored: np.ndarray, k: int, metric: str, p: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of asked, distance, place in stored) of the k nearest each, ties to the smaller place.
+
+    Only a chunk of distances and the best so far are held, whatever the sizes.
+    """
+    parts = []
+    step = max(1, NUMBERS // max(1, min(len(stored), CHUNK_ROWS) * stored.shape[1]))
+    for low in range(0, len(asked), step):
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        for at in range(0, len(stored), CHUNK_ROWS):
+            d = distances(asked[low:low + step], stored[at:at + CHUNK_ROWS], metric, p)
+            bound = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1:][:, :1]
+            r, c = np.nonzero(~(d > bound))
+            best = _first_k(*(np.concatenate(x) for x in zip(best, (r, d[r, c], c + at))), k)
+        parts.append((best[0] + low, best[1], best[2]))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else best_of_none()
+
+
+def best_of_none() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+
 def _stack(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(float)
 
 
+def _in_chunks(v: pd.Series, width: int, each: Callable[[np.ndarray, int], list]) -> list:
+    """Results of `each` over row chunks whose distances to `width` points stay below NUMBERS."""
+    x, step = _stack(v), max(1, NUMBERS // (8 * max(1, width)))
+    return [r for at in range(0, len(x), step) for r in each(x[at:at + step], at)]
+
+
 def _assign(df: DataFrame, pivots: np.ndarray, metric: str, p: float) -> DataFrame:
     """Nearest pivot of each row and the distance to it."""
 
+    def own(x: np.ndarray, at: int) -> list:
+        d = distances(x, pivots, metric, p)
+        return list(zip(d.argmin(axis=1).tolist(), d.min(axis=1).tolist()))
+
     @F.pandas_udf("cell int, radius double")
     def place(v: pd.Series) -> pd.DataFrame:
-        if not len(v):
-            return pd.DataFrame({"cell": [], "radius": []})
-        d = distances(_stack(v), pivots, metric, p)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "radius": d[np.arange(len(d)), cell]})
+        found = _in_chunks(v, len(pivots), own) if len(v) else []
+        return pd.DataFrame(found, columns=["cell", "radius"]).astype({"cell": "int32", "radius": float})
 
     return df.withColumn("_place", place("vector")).select("*", "_place.cell", "_place.radius").drop("_place")
 
 
 def nearest_rows(queries: DataFrame, training: DataFrame, key: str, vector: str, label: str, k: int, metric: str = "euclidean",
-                 p: float = 2.0, pivots: int = 16, seed: int = 42, block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+                 p: float = 2.0, pivots: int | None = None, seed: int = 42, block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The k nearest training rows of each query row: (key, distance, neighbor, label), ties by neighbor key.
 
-    Both keys are unique.
+    Both keys are unique. Pivots default to the square root of the training rows, MOST_PIVOTS at most.
     """
     spark = queries.sparkSession
     as_doubles = F.col(vector).cast("array<double>").alias("vector")
     q = queries.select(F.col(key).alias("qkey"), as_doubles)
     t = training.select(F.col(key).alias("tkey"), as_doubles, F.col(label).alias("tlabel"))
-    chosen = t.orderBy(hash_key(seed, ["tkey"]), "tkey").limit(pivots).collect()
+    candidate_schema = f"qkey {dict(q.dtypes)['qkey']}, distance double, tkey {dict(t.dtypes)['tkey']}, tlabel {dict(t.dtypes)['tlabel']}"
+    chosen = t.orderBy(hash_key(seed, ["tkey"]), "tkey").limit(pivots or max(1, min(isqrt(t.count()), MOST_PIVOTS))).collect()
+    if not chosen:
+        return spark.createDataFrame([], f"{key} {dict(q.dtypes)['qkey']}, rank int, distance double, neighbor {dict(t.dtypes)['tkey']}, label {dict(t.dtypes)['tlabel']}")
     centers = np.array([r["vector"] for r in chosen], dtype=float)
-    placed = _assign(t, centers, metric, p)
+    placed = settle(_assign(t, centers, metric, p))
     groups = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")).collect()
     cells = sorted((r["cell"], r["n"], r["low"], r["high"]) for r in groups)
     ids = np.array([c[0] for c in cells])
     sizes, low, high = (np.array([c[i] for c in cells], dtype=float) for i in (1, 2, 3))
     need = min(k, int(sizes.sum()))
-    blocks = {int(c): int(-(-n // block_rows)) for c, n in zip(ids, sizes)}
+    blocks = F.broadcast(spark.createDataFrame([(c[0], -(-c[1] // block_rows)) for c in cells], "cell int, blocks long"))  # MOST_PIVOTS rows at most
+    stored = placed.join(blocks, "cell").select("tkey", "vector", "tlabel", "cell", F.pmod(F.xxhash64("tkey"), "blocks").alias("block"))
+
+    def bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Least and greatest distance to the rows of each group, groups by least distance, and how many of them cover k rows."""
+        d = distances(x, centers[ids], metric, p)
+        lower = np.maximum(np.maximum(d - high, low - d), 0)
+        order = lower.argsort(axis=1, kind="stable")
+        return lower, d + high, order, (np.cumsum(sizes[order], axis=1) >= need).argmax(axis=1)
 
-    def bounds(v: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        d = distances(_stack(v), centers[ids], metric, p)
-        return np.maximum(np.maximum(d - high, low - d), 0), d + high
+    def covering(x: np.ndarray, at: int) -> list:
+        _, _, order, last = bounds(x)
+        return [ids[o[:m + 1]].tolist() for o, m in zip(order, last)]
 
-    def surely(upper: np.ndarray) -> np.ndarray:
-        """Distance within which k training rows must lie."""
-        order = upper.argsort(axis=1)
-        reach = np.cumsum(sizes[order], axis=1) >= need
-        return np.take_along_axis(upper, order, axis=1)[np.arange(len(upper)), reach.argmax(axis=1)]
+    def remaining(found: np.ndarray) -> Callable[[np.ndarray, int], list]:
+        def pick(x: np.ndarray, at: int) -> list:
+            lower, upper, order, last = bounds(x)
+            ranked = upper.argsort(axis=1)  # distance within which k rows must lie
+            sure = np.take_along_axis(upper, ranked, axis=1)[np.arange(len(x)), (np.cumsum(sizes[ranked], axis=1) >= need).argmax(axis=1)]
+            reach = np.minimum(sure, found[at:at + len(x)]) * (1 + SLACK) + SLACK
+            return [ids[o[m + 1:][lo[o[m + 1:]] <= r]].tolist() for o, m, lo, r in zip(order, last, lower, reach)]
+        return pick
 
     @F.pandas_udf("array<int>")
     def first_cells(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        lower, upper = bounds(v)
-        order = lower.argsort(axis=1, kind="stable")
-        last = (np.cumsum(sizes[order], axis=1) >= need).argmax(axis=1)
-        return pd.Series([ids[o[:m + 1]].tolist() for o, m in zip(order, last)])
+        return pd.Series(_in_chunks(v, len(ids), covering) if len(v) else [], dtype=object)
 
     @F.pandas_udf("array<int>")
     def other_cells(v: pd.Series, found: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        lower, upper = bounds(v)
-        reach = np.minimum(surely(upper), found.to_numpy()) * (1 + SLACK) + SLACK
-        order = lower.argsort(axis=1, kind="stable")
-        last = (np.cumsum(sizes[order], axis=1) >= need).argmax(axis=1)
-        out = []
-        for o, m, lo, r in zip(order, last, lower, reach):
-            rest = o[m + 1:]
-            out.append(ids[rest[lo[rest] <= r]].tolist())
-        return pd.Series(out)
+        return pd.Series(_in_chunks(v, len(ids), remaining(found.to_numpy())) if len(v) else [], dtype=object)
 
-    block_map = F.create_map(*[x for c, b in blocks.items() for x in (F.lit(c), F.lit(b))])
-    part = F.pmod(F.xxhash64("tkey"), block_map[F.col("cell")]).cast("int")
-    stored = placed.select("tkey", "vector", "tlabel", "cell", part.alias("block"))
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"qkey": [], "distance": [], "tkey": [], "tlabel": []})
+        right = right.sort_values("tkey", kind="stable")
+        row, far, at = nearest_places(_stack(left["vector"]), _stack(right["vector"]), k, metric, p)
+        return pd.DataFrame({"qkey": left["qkey"].to_numpy()[row], "distance": far, "tkey": right["tkey"].to_numpy()[at], "tlabel": right["tlabel"].to_numpy()[at]})
 
-    def search(visits: DataFrame) -> DataFrame:
-        """k best rows per query row over the groups it visits."""
-        visits = visits.filter(F.size("cells") > 0).select("qkey", "vector", F.explode("cells").alias("cell"))
-        load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not load:
-            return spark.createDataFrame([], candidate_schema)
-        slices = F.create_map(*[x for c, n in load.items() for x in (F.lit(c), F.lit(int(-(-n // slice_rows))))])
-        asked = (visits.withColumn("slice", F.pmod(F.xxhash64("qkey"), slices[F.col("cell")]).cast("int"))
-                 .withColumn("block", F.explode(F.sequence(F.lit(0), block_map[F.col("cell")] - 1))))
-        held = (stored.filter(F.col("cell").isin(*load)).withColumn("slice", F.explode(F.sequence(F.lit(0), slices[F.col("cell")] - 1))))
-
-        def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame({"qkey": [], "distance": [], "tkey": [], "tlabel": []})
-            right = right.sort_values("tkey", kind="stable")
-            d = distances(_stack(left["vector"]), _stack(right["vector"]), metric, p)
-            near = d.argsort(axis=1, kind="stable")[:, :k]
-            width = near.shape[1]
-            return pd.DataFrame({
-                "qkey": np.repeat(left["qkey"].to_numpy(), width), "distance": np.take_along_axis(d, near, axis=1).ravel(),
-                "tkey": right["tkey"].to_numpy()[near.ravel()], "tlabel": right["tlabel"].to_numpy()[near.ravel()]})
+    nearest_first = Window.partitionBy("qkey").orderBy("distance", "tkey")
 
+    def search(visits: DataFrame) -> DataFrame:
+        """k best rows per query row over the groups it visits, numbered; settled."""
+        visits = settle(visits.select("qkey", "vector", F.explode("cells").alias("cell")))
+        load = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / slice_rows).alias("slices"))
+        plan = F.broadcast(load.join(blocks, "cell"))  # a row per group
+        asked = (visits.join(plan, "cell").withColumn("slice", F.pmod(F.xxhash64("qkey"), "slices"))
+                 .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))).drop("slices", "blocks")
+        held = stored.join(F.broadcast(load), "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
         spots = ["cell", "block", "slice"]
-        return asked.groupBy(*spots).cogroup(held.groupBy(*spots)).applyInPandas(best, candidate_schema)
-
-    types = dict(t.dtypes)
-    candidate_schema = f"qkey {dict(q.dtypes)['qkey']}, distance double, tkey {types['tkey']}, tlabel {types['tlabel']}"
-
-    def keep(candidates: DataFrame) -> DataFrame:
-        entry = F.struct("distance", "tkey", "tlabel")
-        return candidates.groupBy("qkey").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("near"))
-
-    first = keep(search(q.withColumn("cells", first_cells("vector"))))
-    reached = F.when(F.size("near") >= need, F.element_at("near", -1)["distance"]).otherwise(float("inf"))
-    second = search(q.join(first.select("qkey", reached.alias("found")), "qkey").withColumn("cells", other_cells("vector", "found")))
-    everything = first.select("qkey", F.explode("near").alias("e")).select("qkey", "e.*").unionByName(second)
-    final = keep(everything).select(F.col("qkey").alias(key), F.posexplode("near").alias("rank", "e"))
-    return final.select(key, (F.col("rank") + 1).alias("rank"), F.col("e.distance").alias("distance"),
-                        F.col("e.tkey").alias("neighbor"), F.col("e.tlabel").alias("label"))
+        found = asked.groupBy(*spots).cogroup(held.groupBy(*spots)).applyInPandas(best, candidate_schema)
+        return settle(found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k))
+
+    first = search(q.withColumn("cells", first_cells("vector")))
+    reached = first.groupBy("qkey").agg(F.when(F.count(F.lit(1)) >= need, F.max("distance")).otherwise(float("inf")).alias("found"))
+    second = search(q.join(reached, "qkey").withColumn("cells", other_cells("vector", "found")))
+    final = first.unionByName(second).withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+    return final.select(F.col("qkey").alias(key), "rank", "distance", F.col("tkey").alias("neighbor"), F.col("tlabel").alias("label"))
 
 
 def vote(neighbors: DataFrame, key: str, weights: str = "uniform") -> DataFrame:

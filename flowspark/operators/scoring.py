@@ -106,8 +106,8 @@ class FoldStatistics:
 
 
 def fold_statistics(df: DataFrame, fold: str, label: str, features: Sequence[str]) -> FoldStatistics:
-    """One aggregate over the table; folds x classes rows come back."""
-    rows = df.groupBy(fold, label).agg(
+    """One aggregate over the table; folds x classes rows come back. Rows without a label or fold are passed over."""
+    rows = df.where(F.col(fold).isNotNull() & F.col(label).isNotNull()).groupBy(fold, label).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f).cast("double")).alias(f"s{i}") for i, f in enumerate(features)],
         *[F.sum(F.col(f).cast("double") * F.col(f)).alias(f"q{i}") for i, f in enumerate(features)]).collect()
     folds, labels = sorted({r[fold] for r in rows}), sorted({r[label] for r in rows})
@@ -139,13 +139,15 @@ def _per_feature_cost(scorer: str, stats: FoldStatistics) -> Callable[[int, np.n
 
 
 def mask_counts(df: DataFrame, fold: str, label: str, features: Sequence[str], masks: Sequence[Sequence[int]],
-                scorer: str = "centroid") -> DataFrame:
-    """Confusion counts (mask, fold, y, yhat, n) of every feature subset, from two passes in all.
+                scorer: str = "centroid", stats: FoldStatistics | None = None) -> DataFrame:
+    """Confusion counts (mask, fold, y, yhat, n) of every feature subset, from two passes in all, or one
+    when the class statistics are given.
 
     Costs add up over features, so one matrix product scores all subsets of a batch. A task
-    keeps one small count array, whatever the number of rows.
+    keeps one small count array, whatever the number of rows. Rows without a label or fold are passed over.
     """
-    stats = fold_statistics(df, fold, label, features)
+    df = df.where(F.col(fold).isNotNull() & F.col(label).isNotNull())
+    stats = stats or fold_statistics(df, fold, label, features)
     cost = _per_feature_cost(scorer, stats)
     chosen = np.array(masks, dtype=float)
     places = {v: i for i, v in enumerate(stats.labels)}
@@ -180,7 +182,7 @@ def fold_scores(counts: DataFrame, by: Sequence[str] = ("mask", "fold")) -> Data
 
 
 def score_masks(df: DataFrame, fold: str, label: str, features: Sequence[str], masks: Sequence[Sequence[int]],
-                scorer: str = "centroid", early_folds: int = 3, early_accuracy: float = 0.75) -> DataFrame:
+                scorer: str = "centroid", early_folds: int = 3, early_accuracy: float = 0.75, stats: FoldStatistics | None = None) -> DataFrame:
     """Fitness of feature subsets: mean fold metrics and the number of features.
 
     An empty subset, or one whose first folds fall below the accuracy bound, gets the worst
@@ -195,7 +197,7 @@ def score_masks(df: DataFrame, fold: str, label: str, features: Sequence[str], m
     wanted = spark.createDataFrame(rows, "id int, mask int, n_features int")
     if not live:
         return wanted.select("id", *[F.lit(v).alias(c) for c, v in PENALTY.items()], "n_features")
-    folds = fold_scores(mask_counts(df, fold, label, features, live, scorer))
+    folds = fold_scores(mask_counts(df, fold, label, features, live, scorer, stats))
     weak = (F.col("fold") < early_folds) & (F.col("accuracy") < early_accuracy)
     means = folds.groupBy("mask").agg(F.max(weak).alias("_weak"), *[F.avg(c).alias(c) for c in names])
     means = means.select("mask", *[F.when(F.col("_weak"), F.lit(PENALTY[c])).otherwise(F.col(c)).alias(c) for c in names])

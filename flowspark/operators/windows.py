@@ -32,14 +32,27 @@ def row_windows(df: DataFrame, source: str, order: str, ties: Sequence[str], fea
     labels: keep, drop or reject. A long source is cut into blocks that overlap by
     length - 1 rows, so no task holds a source whole.
     """
+    minimum = checked_shape(length, stride, minimum, mixed)
+    row = F.struct(F.array(*[F.col(f).cast("double") for f in features]).alias("features"), F.col(label).alias("label"))
+    d = value_ranked(df, [source], order, ties, rank="_rn", size="_all", points=points).filter(F.col("_all") >= minimum)
+    return windows_of_positions(d.select(source, (F.col("_rn") - 1).alias("_at"), "_all", row.alias("_row")), source, length, stride, mixed)
+
+
+def checked_shape(length: int, stride: int, minimum: int | None, mixed: str) -> int:
+    """The least rows of a source, once length, stride and policy make sense."""
     minimum = length if minimum is None else minimum
     if length < 2 or stride < 1 or minimum < length:
         raise ValueError("need length >= 2, stride >= 1 and minimum >= length")
     if mixed not in ("keep", "drop", "reject"):
         raise ValueError(f"unknown policy {mixed!r}")
-    row = F.struct(F.array(*[F.col(f).cast("double") for f in features]).alias("features"), F.col(label).alias("label"))
-    d = value_ranked(df, [source], order, ties, rank="_rn", size="_all", points=points).filter(F.col("_all") >= minimum)
-    d = d.select(source, (F.col("_rn") - 1).alias("_at"), "_all", row.alias("_row"))
+    return minimum
+
+
+def windows_of_positions(d: DataFrame, source: str, length: int, stride: int, mixed: str) -> DataFrame:
+    """Windows of rows that know their place: `_at` from 0 without gaps from the first place given, `_all` rows of the source, `_row`.
+
+    A source may begin at a later place, a multiple of the stride, when its windows before that are made already.
+    """
     if stride >= length:
         inside = d.filter((F.col("_at") % stride < length) & (F.floor(F.col("_at") / stride) * stride + length <= F.col("_all")))
         start = (F.floor(F.col("_at") / stride) * stride).cast("long").alias("start")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import PCA, VectorSlicer
@@ -10,28 +12,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.operators.clean import scale, scale_stats
-from flowspark.operators.metrics import fold_mean, score
+from flowspark.operators.metrics import confusion_counts, error_rates, fold_mean, score, weighted_scores
 from flowspark.operators.sample import class_counts, fold_count, stratified_folds, stratified_split
 from flowspark.operators.select import importance_rank, majority_features
+from flowspark.plans import extra_trees
 from flowspark.plans.models import FEATURES, LABEL, forest, vector_table
+from flowspark.session import settle
 
 SCORES = ("accuracy", "precision", "recall", "f1", "fpr", "fnr")  # metric columns of a result row
 
 
-def forest_importance(df: DataFrame, label: str, features: Sequence[str], top: int = 20, trees: int = 200, depth: int = 10) -> DataFrame:
-    """Importance, rank and selection flag per feature.
+def tree_importance(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str], top: int = 20, trees: int = 200,
+                    depth: int = extra_trees.DEPTH, folds: int = 3, test_share: float = 0.2, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Extremely randomized trees on the train side: (importance, rank and selection flag per feature, one result row).
 
-    MLlib has no extremely randomized trees; a forest with square-root feature subsets
-    stands in for them.
+    The result row has the mean metrics `cv_*` of folds of the train side, null when a class is too small for two, and the
+    metrics `test_*` of the trees of the whole train side on the test side.
     """
     if len(features) < top:
         raise ValueError(f"{len(features)} features, {top} asked for")
     if class_counts(df, label).count() < 2:
         raise ValueError("need at least two classes")
-    model = forest(trees, depth, featureSubsetStrategy="sqrt", impurity="gini").fit(vector_table(df, label, features))
-    rows = [(f, i, float(v)) for i, (f, v) in enumerate(zip(features, model.featureImportances.toArray()))]
-    scores = df.sparkSession.createDataFrame(rows, "feature string, position int, importance double")
-    return importance_rank(scores, "importance", "position", top)
+    split = settle(stratified_split(df, label, keys, test_share))
+    train, test = (split.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+    k = fold_count(train, label, folds)
+    parts = settle(stratified_folds(train, label, keys, k)) if k else train
+    sides = [(-1, train, test)] + [(f, parts.where(F.col("fold") != f), parts.where(F.col("fold") == f)) for f in range(k or 0)]
+    with ThreadPoolExecutor(parallel) as pool:
+        models = list(pool.map(lambda side: extra_trees.grow(side[1], label, features, trees, depth), sides))
+    rows = [(f, i, float(v)) for i, (f, v) in enumerate(zip(features, models[0].importance))]
+    ranked = importance_rank(df.sparkSession.createDataFrame(rows, "feature string, position int, importance double"), "importance", "position", top)
+    cells = [confusion_counts(extra_trees.predict(held, model).where("prediction is not null"), label, "prediction").withColumn("fold", F.lit(f))
+             for (f, _, held), model in zip(sides, models)]
+    counts = settle(reduce(DataFrame.unionByName, cells))
+    scored = weighted_scores(counts, ["fold"]).join(error_rates(counts, "binary_or_weighted", ["fold"]), "fold")
+    mean = lambda c: F.avg(F.when(F.col("fold") >= 0, F.col(c))).alias(f"cv_{c}")
+    tested = lambda c: F.max(F.when(F.col("fold") < 0, F.col(c))).alias(f"test_{c}")
+    return ranked, scored.agg(*[mean(c) for c in SCORES], *[tested(c) for c in SCORES])
 
 
 def eliminate(table: DataFrame, names: Sequence[str], keep: int = 10, step: int = 1,
@@ -55,9 +72,10 @@ def eliminate(table: DataFrame, names: Sequence[str], keep: int = 10, step: int
 
 
 def recursive_elimination(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str], keep: int = 10, step: int = 1,
-                          folds: int = 10, make: Callable[[], object] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+                          folds: int = 10, make: Callable[[], object] | None = None, parallel: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Elimination per fold: (votes, fold rows, fold metrics).
 
+    Folds run side by side from a pool of driver threads, the rounds of a fold one after the other.
     A feature is kept when at least half the folds plus one chose it. Too few rows in a
     class for two folds: one split instead.
     """
@@ -70,24 +88,50 @@ def recursive_elimination(df: DataFrame, label: str, features: Sequence[str], ke
     else:
         parts = vector_table(stratified_split(df, None, keys, 0.2), label, features, keys, ["part"])
         rounds = [(0, parts.filter("part = 'train'"), parts.filter("part = 'test'"))]
-    picked, metrics = [], None
-    for f, train, held in rounds:
+
+    def run(item: tuple) -> tuple[list[tuple], DataFrame]:
+        f, train, held = item
         result = eliminate(train, features, keep, step, make)
-        picked += [(f, n, chosen, rank) for n, chosen, rank in result]
         slicer = VectorSlicer(inputCol=FEATURES, outputCol="_s", indices=[i for i, r in enumerate(result) if r[1]])
         swap = lambda d: slicer.transform(d).drop(FEATURES).withColumnRenamed("_s", FEATURES)
-        row = score(make().fit(swap(train)).transform(swap(held)), LABEL, "prediction", ("weighted", "rates")).withColumn("fold", F.lit(f))
-        metrics = row if metrics is None else metrics.unionByName(row)
-    rows = spark.createDataFrame(picked, "fold int, feature string, selected boolean, ranking int")
+        scored = make().fit(swap(train)).transform(swap(held))
+        return [(f, n, chosen, rank) for n, chosen, rank in result], confusion_counts(scored, LABEL, "prediction").withColumn("fold", F.lit(f))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        done = list(pool.map(run, rounds))
+    rows = spark.createDataFrame([r for part, _ in done for r in part], "fold int, feature string, selected boolean, ranking int")
+    cells = settle(reduce(DataFrame.unionByName, [c for _, c in done]))
+    metrics = weighted_scores(cells, ["fold"]).join(error_rates(cells, "binary_or_weighted", ["fold"]), "fold")
     return majority_features(rows, "feature", "fold", "selected", "ranking"), rows, metrics
 
 
+def elimination_result(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str], keep: int = 10, step: int = 1,
+                       folds: int = 10, test_share: float = 0.2, make: Callable[[], object] | None = None, parallel: int = 4) -> DataFrame:
+    """One result row: chosen features, how many, mean fold metrics `cv_*` and the metrics `test_*` of a model on them.
+
+    Folds are made on the train side; the chosen features are those that most folds kept.
+    """
+    make = make or forest
+    split = settle(stratified_split(df, label, keys, test_share))
+    train = split.where("part = 'train'").drop("part")
+    votes, _, metrics = recursive_elimination(train, label, features, keys, keep, step, folds, make, parallel)
+    order = {f: i for i, f in enumerate(features)}
+    chosen = sorted((r["feature"] for r in votes.where("kept").collect()), key=order.get)  # at most as many as there are columns
+    if not chosen:
+        raise ValueError("no feature was kept by most folds")
+    table = vector_table(split, label, chosen, keys, ["part"])
+    scored = make().fit(table.where("part = 'train'")).transform(table.where("part = 'test'"))
+    cv = fold_mean(metrics, [], SCORES).select(F.lit(1).alias("_1"), *[F.col(c).alias(f"cv_{c}") for c in SCORES])
+    test = score(scored, LABEL, "prediction", ("weighted", "rates")).select(F.lit(1).alias("_1"), *[F.col(c).alias(f"test_{c}") for c in SCORES])
+    return cv.join(test, "_1").drop("_1").withColumns({"features": F.array(*[F.lit(f) for f in chosen]), "n_features": F.lit(len(chosen))})
+
+
 def component_sweep(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str], sizes: Sequence[int], folds: int = 10,
-                    test_share: float = 0.2, make: Callable[[], object] | None = None) -> DataFrame:
+                    test_share: float = 0.2, make: Callable[[], object] | None = None, parallel: int = 4) -> DataFrame:
     """One row per component count: explained variance, mean fold metrics, test metrics.
 
     Counts above the number of features are left out. One decomposition at the largest
-    count serves all smaller ones, since components come in order.
+    count serves all smaller ones, since components come in order. Counts run side by side.
     """
     make = make or forest
     usable = sorted({k for k in sizes if 1 <= k <= len(features)})
@@ -103,19 +147,26 @@ def component_sweep(df: DataFrame, label: str, features: Sequence[str], keys: Se
     model = PCA(k=usable[-1], inputCol=FEATURES, outputCol="_pc").fit(table.filter("part = 'train'"))
     projected = model.transform(table).drop(FEATURES)
     variance = np.cumsum(model.explainedVariance.toArray())
-    out = None
-    for size in usable:
+
+    def run(size: int) -> DataFrame:
         sliced = VectorSlicer(inputCol="_pc", outputCol=FEATURES, indices=list(range(size))).transform(projected)
         train_side, test_side = sliced.filter("part = 'train'"), sliced.filter("part = 'test'")
-        held = None
-        for f in range(k):
-            fitted = make().fit(train_side.filter(F.col("fold") != f))
-            part = fitted.transform(train_side.filter(F.col("fold") == f)).select("fold", LABEL, "prediction")
-            held = part if held is None else held.unionByName(part)
-        cv = fold_mean(score(held, LABEL, "prediction", ("weighted", "rates"), ["fold"]), [], SCORES)
-        test = score(make().fit(train_side).transform(test_side), LABEL, "prediction", ("weighted", "rates"))
-        row = cv.select(*[F.col(c).alias(f"cv_{c}") for c in SCORES]).withColumn("_1", F.lit(1)).join(
-            test.select(*[F.col(c).alias(f"test_{c}") for c in SCORES]).withColumn("_1", F.lit(1)), "_1").drop("_1")
-        row = row.withColumns({"n_components": F.lit(size), "explained_variance": F.lit(float(variance[size - 1]))})
-        out = row if out is None else out.unionByName(row)
-    return out
+        sides = [(f, train_side.filter(F.col("fold") != f), train_side.filter(F.col("fold") == f)) for f in range(k)] + [(-1, train_side, test_side)]
+        cells = [confusion_counts(make().fit(learn).transform(held), LABEL, "prediction").withColumn("fold", F.lit(f)) for f, learn, held in sides]
+        return reduce(DataFrame.unionByName, cells).withColumn("n_components", F.lit(size))
+
+    with ThreadPoolExecutor(parallel) as pool:
+        cells = settle(reduce(DataFrame.unionByName, pool.map(run, usable)))
+    by = ["n_components", "fold"]
+    scored = weighted_scores(cells, by).join(error_rates(cells, "binary_or_weighted", by), by)
+    cv = fold_mean(scored.where("fold >= 0"), ["n_components"], SCORES)
+    test = scored.where("fold = -1")
+    explained = df.sparkSession.createDataFrame([(size, float(variance[size - 1])) for size in usable], "n_components int, explained_variance double")
+    return (cv.select("n_components", *[F.col(c).alias(f"cv_{c}") for c in SCORES])
+            .join(test.select("n_components", *[F.col(c).alias(f"test_{c}") for c in SCORES]), "n_components").join(explained, "n_components"))
+
+
+def best_components(sweep: DataFrame) -> DataFrame:
+    """The row of a component sweep with the highest cross-validated F1, the fewest components among equals."""
+    names = [c for c in sweep.columns]
+    return sweep.agg(F.max_by(F.struct(*names), F.struct("cv_f1", -F.col("n_components"))).alias("r")).select("r.*")

@@ -48,7 +48,7 @@ def forest(trees: int = 100, depth: int = 30, **extra):
 def boosted(classes: int = 2, rounds: int = 50, depth: int = 5, **extra):
     """Boosted trees, one against the rest when there are more than two classes."""
     gbt = GBTClassifier(**_columns(maxIter=rounds, maxDepth=depth, seed=SEED, **extra))
-    return gbt if classes <= 2 else OneVsRest(classifier=gbt, **_columns())
+    return gbt if classes <= 2 else OneVsRest(classifier=gbt, parallelism=4, **_columns())
 
 
 def penalty_weight(c: float, rows: int) -> float:
@@ -66,7 +66,7 @@ def logistic(c: float = 1.0, penalty: str | None = "l2", l1_ratio: float = 0.0,
 def linear_svc(c: float = 1.0, classes: int = 2, rows: int = 10_000, rounds: int = 100):
     """Linear support vectors, one against the rest when there are more than two classes."""
     svc = LinearSVC(**_columns(regParam=penalty_weight(c, rows), maxIter=rounds))
-    return svc if classes <= 2 else OneVsRest(classifier=svc, **_columns())
+    return svc if classes <= 2 else OneVsRest(classifier=svc, parallelism=4, **_columns())
 
 
 def perceptron(inputs: int, classes: int, hidden: Sequence[int] = (100,), rounds: int = 100):
@@ -74,9 +74,24 @@ def perceptron(inputs: int, classes: int, hidden: Sequence[int] = (100,), rounds
     return MultilayerPerceptronClassifier(**_columns(layers=[inputs, *hidden, classes], maxIter=rounds, seed=SEED))
 
 
+def nearest_centroid(metric: str = "euclidean", shrink_threshold: float | None = None):
+    """Nearest class centre."""
+    from flowspark.plans.estimators import NearestCentroid
+
+    return NearestCentroid(**_columns(metric=metric, shrink=shrink_threshold or 0.0))
+
+
+def neighbours(n_neighbors: int = 5, weights: str = "uniform", metric: str = "euclidean", p: float = 2.0):
+    """Vote of the nearest training rows."""
+    from flowspark.plans.estimators import Neighbours
+
+    return Neighbours(**_columns(k=n_neighbors, weights=weights, metric=metric, p=float(p)))
+
+
 def default_models(inputs: int, classes: int, rows: int) -> dict[str, object]:
-    """The model line-up that MLlib can fit."""
+    """The model line-up that Spark can fit."""
     return {
+        "KNN": neighbours(), "Nearest Centroid": nearest_centroid(),
         "Random Forest": forest(), "Gradient Boosting": boosted(classes), "Logistic Regression": logistic(rows=rows),
         "SVM": linear_svc(classes=classes, rows=rows), "MLP (Neural Net)": perceptron(inputs, classes),
     }

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from flowspark.operators.scoring import PENALTY, score_masks
+from flowspark.operators.scoring import PENALTY, fold_statistics, score_masks
+from flowspark.plans.fitness import FitnessStore
 
 # Rates and limits of the search.
 CROSSOVER, MUTATION, FLIP, PATIENCE, GENERATIONS, RUNS = 0.5, 0.01, 0.05, 10, 200, 10
@@ -82,28 +83,64 @@ def _children(parents: list[Mask], rng: random.Random) -> list[Mask]:
     return [flip(m) if rng.random() < MUTATION else m for m in out]
 
 
-def evolve(df: DataFrame, fold: str, label: str, features: Sequence[str], population: int = 20, generations: int = GENERATIONS,
-           patience: int = PATIENCE, seed: int = 42, scorer: str = "centroid", early_accuracy: float = 0.75) -> SearchResult:
+Fitness = Callable[[Sequence[Mask]], DataFrame]
+
+
+def statistics_fitness(df: DataFrame, fold: str, label: str, features: Sequence[str], scorer: str = "centroid", early_accuracy: float = 0.75) -> Fitness:
+    """Fitness from class statistics, which are gathered once and serve every call: one pass over `df` per call."""
+    stats = fold_statistics(df, fold, label, features)
+    return lambda masks: score_masks(df, fold, label, features, masks, scorer, early_accuracy=early_accuracy, stats=stats)
+
+
+def _state_of(rng: random.Random, masks: Sequence[Mask], best: Mask, still: int, history: list[dict]) -> dict:
+    return {"random": rng.getstate(), "masks": masks, "best": best, "still": still, "history": history}
+
+
+def evolve(df: DataFrame | None, fold: str, label: str, features: Sequence[str], population: int = 20, generations: int = GENERATIONS,
+           patience: int = PATIENCE, seed: int = 42, scorer: str = "centroid", early_accuracy: float = 0.75,
+           fitness: Fitness | None = None, store: FitnessStore | None = None, known: dict[Mask, dict[str, float]] | None = None) -> SearchResult:
     """Search for a subset with a high F1 and few features.
 
-    `df` holds a fold number and is read twice per generation: persist or settle it first.
-    Every generation is one job over all masks not seen before; the best mask always stays.
+    `df` holds a fold number and is read once per generation: persist or settle it first. Every generation is one call of
+    `fitness` over all masks not seen before (class statistics of `df` unless another is given, such as
+    `fitness.estimator_scores` of a forest); the best mask always stays.
+
+    With a store, subsets scored by any earlier search of the study are looked up instead of scored, and the population, the
+    random state and the history are kept after each generation: a search that is started again goes on behind
+    the last generation it finished, and ends as one that was never stopped. `known` shares scores between searches of one program.
     """
     rng = random.Random(seed)
     width = len(features)
-    known: dict[Mask, dict[str, float]] = {}
+    known = {} if known is None else known
+    rated_by = fitness or statistics_fitness(df, fold, label, features, scorer, early_accuracy)
 
     def rate(masks: Sequence[Mask]) -> None:
         fresh = [m for m in dict.fromkeys(masks) if m not in known]
+        if store and fresh:
+            known.update(store.known(fresh))
+            fresh = [m for m in fresh if m not in known]
         if fresh:
-            for row in score_masks(df, fold, label, features, fresh, scorer, early_accuracy=early_accuracy).collect():
-                known[fresh[row["id"]]] = {c: row[c] for c in (*PENALTY, "n_features")}
+            scored = {fresh[row["id"]]: {c: row[c] for c in (*PENALTY, "n_features")} for row in rated_by(fresh).collect()}
+            known.update(scored)
+            if store:
+                store.add(scored)
 
     point = lambda m: (known[m]["f1"], -float(known[m]["n_features"]))
-    masks = [tuple(rng.randint(0, 1) for _ in range(width)) for _ in range(population)]
-    rate(masks)
-    best, still, history = max(masks, key=point), 0, []
-    for gen in range(1, generations + 1):
+    first, saved = 1, store.load_state() if store else None
+    if saved:
+        first, state = saved[0] + 1, saved[1]
+        version, numbers, gauss = state["random"]
+        rng.setstate((version, tuple(numbers), gauss))
+        masks, best = [tuple(m) for m in state["masks"]], tuple(state["best"])
+        still, history = state["still"], state["history"]
+        rate([*masks, best])
+    else:
+        masks = [tuple(rng.randint(0, 1) for _ in range(width)) for _ in range(population)]
+        rate(masks)
+        best, still, history = max(masks, key=point), 0, []
+    for gen in range(first, generations + 1):
+        if still >= patience:
+            break
         children = _children(rng.sample(masks, len(masks)), rng)
         rate(children)
         pool = [*masks, *children]
@@ -120,16 +157,18 @@ def evolve(df: DataFrame, fold: str, label: str, features: Sequence[str], popula
             "gen": gen, "best_f1": known[best]["f1"], "avg_f1": sum(known[m]["f1"] for m in masks) / population,
             "avg_features": sum(map(sum, masks)) / population, "diversity": sum(o * (population - o) for o in ones) / pairs if pairs else 0.0,
             "pareto_size": len(set(front)), "hypervolume": known[best]["f1"] * max(0.0, 100.0 - known[best]["n_features"])})
-        if still >= patience:
-            break
+        if store:
+            store.save_state(gen, _state_of(rng, masks, best, still, history))
     return SearchResult(best, known[best], masks, history)
 
 
-def sweep(df: DataFrame, fold: str, label: str, features: Sequence[str], sizes: Sequence[int], runs: int = RUNS, **options) -> DataFrame:
-    """Several runs per population size: (size, run, f1, feature) rows for the sweep report."""
-    rows = []
+def sweep(df: DataFrame, fold: str, label: str, features: Sequence[str], sizes: Sequence[int], runs: int = RUNS, scorer: str = "centroid",
+          early_accuracy: float = 0.75, fitness: Fitness | None = None, **options) -> DataFrame:
+    """Several runs per population size: (size, run, f1, feature) rows for the sweep report. A subset is scored once for all runs."""
+    rows, known = [], {}
+    rated_by = fitness or statistics_fitness(df, fold, label, features, scorer, early_accuracy)
     for size in sizes:
         for run in range(1, runs + 1):
-            result = evolve(df, fold, label, features, size, seed=1000 * size + run, **options)
+            result = evolve(df, fold, label, features, size, seed=1000 * size + run, fitness=rated_by, known=known, **options)
             rows += [(size, run, float(result.scores["f1"]), f) for f, bit in zip(features, result.best) if bit]
     return df.sparkSession.createDataFrame(rows, "size int, run int, f1 double, feature string")

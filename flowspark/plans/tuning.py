@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from flowspark.operators.grid import best_configuration, parameter_grid, skip_cached
 from flowspark.operators.metrics import score
 from flowspark.operators.sample import class_aware_sample, stratified_folds
-from flowspark.plans.models import LABEL, vector_table
+from flowspark.plans.models import LABEL, nearest_centroid, neighbours, vector_table
 
 METRICS = ("weighted", "macro_rates", "agreement")
+OWN_MAKERS = {"KNN": neighbours, "Nearest Centroid": nearest_centroid}  # take the parameters of their grids as they are
 
 
 def grid_search(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str], grids: Mapping[str, Mapping[str, Sequence]],

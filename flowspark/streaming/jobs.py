@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,12 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that no later batch reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def keep_profile(stream: DataFrame, label: str, state_path: str, by: Sequence[str] = (), checkpoint: str | None = None) -> None:
     """Add each batch's profile state under its batch number; a repeated batch replaces itself."""
 
@@ -80,11 +86,88 @@ def class_counts_in_time(stream: DataFrame, time: str, label: str, window: str,
     return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, label, "n")
 
 
-def class_counts_in_sessions(stream: DataFrame, time: str, keys: Sequence[str], gap: str, late: str = "10 minutes") -> DataFrame:
-    """Rows per session of a key: a session ends when nothing comes for `gap`."""
-    d = stream.withWatermark(time, late) if stream.isStreaming else stream
-    counts = d.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
+def keep_class_counts(stream: DataFrame, path: str, time: str, label: str, window: str, slide: str | None = None, late: str = "10 minutes",
+                      by: Sequence[str] = (), checkpoint: str | None = None) -> DataFrame:
+    """`class_counts_in_time` of everything seen, open windows included, as a table that each batch brings up to date.
+
+    The state store holds the windows until the watermark passes them. Every batch writes the windows it changed under its own number, so
+    a batch that repeats replaces itself, and of each window the newest count holds. Rows of windows that
+    the watermark had passed before the last batch are dropped.
+    """
+    counts = class_counts_in_time(stream, time, label, window, slide, late, by)
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_batches(counts, each, checkpoint or progress_of(path), "update")
+    kept = stream.sparkSession.read.schema(f"{_ddl(counts)}, batch long").parquet(path)
+    return kept.groupBy("start", "end", *by, label).agg(F.max_by("n", "batch").alias("n"))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def class_counts_in_sessions(df: DataFrame, time: str, keys: Sequence[str], gap: str) -> DataFrame:
+    """Rows per session of a key: a session ends when nothing comes for `gap`.
+
+    Rows of one key in one stretch of time no longer than the gap belong together, so they are counted before the
+    shuffle; a key that holds most rows is a row per stretch by the time its sessions are put together.
+    """
+    return _joined_sessions(_session_parts(df, time, keys, gap), keys)
+
+
+def _session_parts(df: DataFrame, time: str, keys: Sequence[str], gap: str) -> DataFrame:
+    span = F.expr(f"INTERVAL {gap}")
+    stretch = F.window(time, gap).alias("w")
+    grouped = df.where(F.col(time).isNotNull()).groupBy(*keys, stretch)
+    return grouped.agg(F.min(time).alias("start"), (F.max(time) + span).alias("end"), F.count(F.lit(1)).alias("n")).drop("w")
+
+
+def _joined_sessions(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Parts of sessions whose spans overlap, as one."""
+    earlier = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    fresh = parts.withColumn("_fresh", F.coalesce((F.col("start") >= F.max("end").over(earlier)).cast("int"), F.lit(1)))
+    numbered = fresh.withColumn("_nr", F.sum("_fresh").over(upto))
+    return numbered.groupBy(*keys, "_nr").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).select("start", "end", *keys, "n")
+
+
+def keep_sessions(stream: DataFrame, path: str, time: str, keys: Sequence[str], gap: str, late: str = "10 minutes", checkpoint: str | None = None) -> DataFrame:
+    """`class_counts_in_sessions` of everything seen, open sessions included.
+
+    Open sessions are a table that each batch replaces: those of the batch before and the new parts, joined where
+    they overlap. Sessions that end `late` or more before the newest row are closed and move to a table that only grows; a row
+    whose own session would have ended by then is dropped. All folders of a batch carry its number and are
+    made from those of the number before, so a batch that repeats replaces itself.
+    """
+    spark = stream.sparkSession
+    kinds = dict(stream.dtypes)
+    schema = f"start {kinds[time]}, end {kinds[time]}, {''.join(f'`{k}` {kinds[k]}, ' for k in keys)}n long"
+
+    def each(batch: DataFrame, number: int) -> None:
+        first = number == 0
+        seen = None if first else spark.read.parquet(f"{path}/seen/batch={number - 1}").first()["seen"]
+        parts = _session_parts(batch, time, keys, gap)
+        if seen is not None:
+            parts = parts.where(F.col("end") > F.lit(seen) - F.expr(f"INTERVAL {late}"))
+            parts = parts.unionByName(spark.read.schema(schema).parquet(f"{path}/open/batch={number - 1}"))
+        newest = batch.agg(F.max(time).alias("seen")).select(F.greatest("seen", F.lit(seen).cast(kinds[time])).alias("seen"))
+        newest.write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+        seen = spark.read.parquet(f"{path}/seen/batch={number}").first()["seen"]
+        passed = F.lit(seen).cast(kinds[time]) - F.expr(f"INTERVAL {late}")
+        joined = _joined_sessions(parts, keys).withColumn("closed", F.coalesce(F.col("end") <= passed, F.lit(False)))
+        joined.write.mode("overwrite").parquet(f"{path}/joined/batch={number}")
+        joined = spark.read.parquet(f"{path}/joined/batch={number}")
+        for name, state in (("open", False), ("closed", True)):
+            joined.where(F.col("closed") == state).drop("closed").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        for name in ("open", "seen", "joined"):
+            drop_path(spark, f"{path}/{name}/batch={number - 2}")
+
+    run_batches(stream, each, checkpoint or progress_of(path))
+    newest = max(r["batch"] for r in spark.read.parquet(f"{path}/seen").select("batch").distinct().collect())
+    closed = spark.read.schema(schema).parquet(f"{path}/closed").drop("batch")
+    return closed.unionByName(spark.read.schema(schema).parquet(f"{path}/open/batch={newest}"))
 
 
 def score_stream(stream: DataFrame, model_path: str, keep: Sequence[str]) -> DataFrame:

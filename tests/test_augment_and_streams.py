@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowspark.operators import augment, profile, windows
 from flowspark.session import scratch_path
 from flowspark.streaming import jobs
-from flowspark.streaming.windows import stream_row_windows
+from flowspark.streaming.windows import keep_row_windows
 
 
 def test_one_source_at_half(spark):
@@ -93,6 +93,68 @@ def test_stream_windows_equal_batch(spark, landed, length, stride, minimum, mixe
     df, stream = landed
     full, flow = df.na.fill({"x": 0.0}), stream.na.fill({"x": 0.0})
     batch = windows.row_windows(full, "s", "at", [], ["x"], "label", length, stride, minimum, mixed)
-    out = jobs.run_to_files(stream_row_windows(flow, "s", "at", ["x"], "label", length, stride, minimum, mixed), scratch_path(spark, "rows"))
+    out = keep_row_windows(flow, scratch_path(spark, "rows"), "s", "at", [], ["x"], "label", length, stride, minimum, mixed)
     key = lambda r: (r["s"], r["start"])
     assert sorted(out.select(batch.columns).collect(), key=key) == sorted(batch.collect(), key=key)
+
+
+def test_stream_windows_repeat_and_forget(spark):
+    """A batch that runs again replaces itself; a source without rows for two batches counts from 0 again; null labels stay null."""
+    folder, path = scratch_path(spark, "landing"), scratch_path(spark, "rows")
+    batches = [[(0, "a", 1.0, None), (1, "a", 2.0, "x"), (2, "b", 1.0, "x")], [(3, "b", 2.0, "y")], [(4, "b", 3.0, "y")], [(5, "a", 5.0, "x"), (6, "a", 6.0, "x")]]
+    schema = "at long, s string, x double, label string"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: keep_row_windows(jobs.landing(spark, folder, spark.createDataFrame([], schema).schema, files=1), path, "s", "at", [], ["x"], "label", 2, idle=2)
+    want = [("a", 0, [[1.0], [2.0]], "x", True), ("a", 0, [[5.0], [6.0]], "x", False), ("b", 0, [[1.0], [2.0]], "y", True), ("b", 1, [[2.0], [3.0]], "y", False)]
+    assert sorted(map(tuple, run().collect())) == want
+    assert sorted(map(tuple, run().collect())) == want  # nothing new has landed
+    spark.createDataFrame([(9, "a", 7.0, "x")], schema).coalesce(1).write.mode("append").parquet(folder)
+    assert ("a", 1, [[6.0], [7.0]], "x", False) in list(map(tuple, run().collect()))
+
+
+def _minutes(spark, rows):
+    return spark.createDataFrame(rows, "m long, k string").selectExpr("timestamp_seconds(1700000000 + 60 * m) AS ts", "k")
+
+
+def test_window_counts_keep_open_windows_and_drop_late_rows(spark):
+    folder, path = scratch_path(spark, "landing"), scratch_path(spark, "windows")
+    batches = [[(0, "a"), (1, "a"), (70, "b")], [(2, "a"), (65, "b"), (130, "a")], [(131, "a"), (60, "b"), (125, "b"), (3, "a")]]
+    for rows in batches:
+        _minutes(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.landing(spark, folder, _minutes(spark, []).schema, files=1)
+    found = jobs.keep_class_counts(stream, path, "ts", "k", "60 minutes", late="10 minutes").collect()
+    base = min(r["start"] for r in found)
+    hours = {((r["start"] - base).total_seconds() // 3600, r["k"]): r["n"] for r in found}
+    want = {}
+    for m, k in sum(batches, []):
+        # 1700000000 is 13 min 20 s past the hour; the third batch knows the watermark of the first, minute 60: (3, "a") is late, (60, "b") is not
+        hour = (800 + 60 * m) // 3600
+        if (m, k) != (3, "a"):
+            want[(float(hour), k)] = want.get((float(hour), k), 0) + 1
+    assert hours == want and want[(2.0, "a")] == 2
+
+
+def _plain_sessions(rows, gap):
+    out = []
+    for k in sorted({k for _, k in rows}):
+        for m in sorted(m for m, x in rows if x == k):
+            if out and out[-1][0] == k and m < out[-1][2]:
+                out[-1] = (k, out[-1][1], m + gap, out[-1][3] + 1)
+            else:
+                out.append((k, m, m + gap, 1))
+    return out
+
+
+def test_sessions_join_over_batches(spark):
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(3000), rng.choice("aaab")) for _ in range(250)) + [(3100, "a"), (3130, "a")]
+    folder, path = scratch_path(spark, "landing"), scratch_path(spark, "sessions")
+    for part in (rows[:90], rows[90:170], rows[170:]):
+        _minutes(spark, part).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: jobs.keep_sessions(jobs.landing(spark, folder, _minutes(spark, []).schema, files=1), path, "ts", ["k"], "30 minutes")
+    plain = lambda d: sorted((r["k"], int((r["start"].timestamp() - 1700000000) // 60), int((r["end"].timestamp() - 1700000000) // 60), r["n"]) for r in d.collect())
+    want = _plain_sessions(rows, 30)
+    assert plain(run()) == want and plain(jobs.class_counts_in_sessions(_minutes(spark, rows), "ts", ["k"], "30 minutes")) == want
+    _minutes(spark, [(3135, "a"), (5, "b")]).coalesce(1).write.mode("append").parquet(folder)  # one joins an open session, one is late
+    assert plain(run()) == _plain_sessions([*rows, (3135, "a")], 30)

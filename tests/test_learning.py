@@ -180,9 +180,9 @@ def test_elimination_keeps_the_feature(blobs):
 def test_importance_needs_features_and_classes(blobs):
     coded = blobs.withColumn("y", F.lit(1))
     with pytest.raises(ValueError):
-        selection.forest_importance(coded, "y", NAMES, 20)
+        selection.tree_importance(coded, "y", NAMES, ["id"], 20)
     with pytest.raises(ValueError):
-        selection.forest_importance(coded, "y", NAMES, 2)
+        selection.tree_importance(coded, "y", NAMES, ["id"], 2)
 
 
 def test_components(blobs):
