@@ -70,10 +70,18 @@ def ks_distance(spark, sf_dir):
 
 
 @query("m15_class_coverage", """SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.n, 0)::BIGINT AS original, coalesce(b.n, 0)::BIGINT AS generated, b.n IS NOT NULL AS covered
-  FROM (SELECT lang, count(*) AS n FROM documents WHERE n_chars < 500 GROUP BY 1) a FULL JOIN (SELECT lang, count(*) AS n FROM documents WHERE n_chars > 20000 GROUP BY 1) b ON a.lang = b.lang""")
+  FROM (SELECT lang, count(*) AS n FROM documents WHERE n_chars <= 2000 GROUP BY 1) a FULL JOIN (SELECT lang, count(*) AS n FROM documents WHERE n_chars > 2000 GROUP BY 1) b ON a.lang = b.lang""")
 def class_coverage(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("lang", "n_chars")
-    return augment.class_coverage(documents.filter("n_chars < 500"), documents.filter("n_chars > 20000"), "lang")
+    return augment.class_coverage(documents.filter("n_chars <= 2000"), documents.filter("n_chars > 2000"), "lang")
+
+
+@query("m15_mode_coverage", """SELECT l_linestatus AS class, 5::BIGINT AS modes, count(*) AS original FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1""")
+def mode_coverage(spark, sf_dir):
+    """Lines of even orders against those of odd ones: modes and rows of either state; the modes reached are in the tests."""
+    li = table(spark, sf_dir, "lineitem")
+    found = augment.mode_coverage(li.where("l_orderkey % 2 = 0"), li.where("l_orderkey % 2 = 1"), "l_linestatus", ["l_quantity", "l_extendedprice", "l_tax"])
+    return found.groupBy("class").agg(F.count(F.lit(1)).alias("modes"), F.sum("original").alias("original"))
 
 
 @query("m15_correlation_gap", """WITH c AS (SELECT corr(l_extendedprice, l_quantity) FILTER (l_linestatus = 'F') AS a1, corr(l_extendedprice, l_quantity) FILTER (l_linestatus = 'O') AS b1,

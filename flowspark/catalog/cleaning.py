@@ -163,8 +163,8 @@ def one_hot(spark, sf_dir):
 @query("p13_sparse_one_hot", """WITH c AS (SELECT o_custkey::VARCHAR AS v, row_number() OVER (ORDER BY o_custkey::VARCHAR) - 1 AS i FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY o_custkey),
   p AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY o_orderpriority) - 1 AS i FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1),
   n AS (SELECT (SELECT count(*) FROM c) AS nc, (SELECT count(*) FROM p) AS np),
-  s AS (SELECT o_orderkey, list_filter([c.i, nc + p.i], lambda x: x IS NOT NULL) AS at, nc + np AS size FROM orders LEFT JOIN c ON c.v = o_custkey::VARCHAR LEFT JOIN p ON p.v = o_orderpriority, n)
-  SELECT o_orderkey, '(' || size || ',[' || array_to_string(at, ',') || '],[' || array_to_string(list_transform(at, lambda x: '1.0'), ',') || '])' AS slots FROM s""")
+  s AS (SELECT o_orderkey, list_filter([c.i, nc + p.i], lambda x: x IS NOT NULL) AS hits, nc + np AS size FROM orders LEFT JOIN c ON c.v = o_custkey::VARCHAR LEFT JOIN p ON p.v = o_orderpriority, n)
+  SELECT o_orderkey, '(' || size || ',[' || array_to_string(hits, ',') || '],[' || array_to_string(list_transform(hits, lambda x: '1.0'), ',') || '])' AS slots FROM s""")
 def sparse_one_hot(spark, sf_dir):
     """Customers and priorities of all orders as sparse vectors, numbered on three quarters of them."""
     df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"), "o_orderpriority")

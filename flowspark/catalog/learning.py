@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from flowspark.catalog.base import query, table
@@ -13,7 +15,7 @@ from flowspark.operators.metrics import confusion_counts, fold_spread, score
 from flowspark.operators.sample import stratified_folds, stratified_split
 from flowspark.operators.select import population_diversity, sweep_summary
 from flowspark.plans import features as selection
-from flowspark.plans import fitness, models, search, tuning
+from flowspark.plans import explanations, fitness, models, search, tuning
 from flowspark.plans.prepare import prepare
 from flowspark.session import scratch_path, settle
 
@@ -202,19 +204,54 @@ def partial_dependence(spark, sf_dir):
     return rounded(explain.partial_dependence(df, ["price", "cust"], "price", GRID, model.labels, model.index))
 
 
-@query("e4_permutation_importance", f"""WITH {CENTROID}, a AS (SELECT *, row_number() OVER (ORDER BY md5('42-' || o_orderkey), o_orderkey) AS r FROM o),
+PERMUTED = f"""WITH {CENTROID}, a AS (SELECT *, row_number() OVER (ORDER BY md5('42-' || o_orderkey), o_orderkey) AS r FROM o),
   b AS (SELECT price AS dp, cust AS dc, row_number() OVER (ORDER BY md5('43-' || o_orderkey), o_orderkey) AS r FROM o),
   v AS (SELECT o_orderkey, y, 'base' AS feature, price, cust FROM a UNION ALL SELECT o_orderkey, y, 'price', dp, cust FROM a JOIN b USING (r)
     UNION ALL SELECT o_orderkey, y, 'cust', price, dc FROM a JOIN b USING (r)),
   d AS (SELECT o_orderkey, feature, y, class, (price - mp) * (price - mp) + (cust - mc) * (cust - mc) AS d FROM v, c),
   pred AS (SELECT feature, any_value(y) AS y, min_by(class, (d, class)) AS yhat FROM d GROUP BY o_orderkey, feature), {score_sql('pred', 'feature')}
-  SELECT s.feature, round(z.f1 - s.f1, 9) AS drop FROM sc s, sc z WHERE z.feature = 'base' AND s.feature <> 'base'""")
+  SELECT s.feature, round(z.f1 - s.f1, 9) AS drop FROM sc s, sc z WHERE z.feature = 'base' AND s.feature <> 'base'"""
+
+
+@query("e4_permutation_importance", PERMUTED)
 def permutation_importance(spark, sf_dir):
     df = orders(spark, sf_dir)
     model = scoring.fit_centroids(df, "y", ["price", "cust"])
     return rounded(explain.permutation_importance(df, "y", ["price", "cust"], ["o_orderkey"], model.labels, model.index))
 
 
+STATUS = {"F": 0.0, "O": 1.0, "P": 2.0}
+
+
+def _status_pipeline(spark, sf_dir):
+    """Orders with the status as a number, and a fitted pipeline of assembler and nearest centroid."""
+    number = F.element_at(F.create_map(*[x for k, v in STATUS.items() for x in (F.lit(k), F.lit(v))]), F.col("y"))
+    df = settle(orders(spark, sf_dir).withColumn("y", number))
+    stages = [VectorAssembler(inputCols=["price", "cust"], outputCol=models.FEATURES, handleInvalid="skip"), models.nearest_centroid()]
+    return df, Pipeline(stages=stages).fit(df)
+
+
+AS_NUMBER = "CASE {c} WHEN 'F' THEN 0.0 WHEN 'O' THEN 1.0 ELSE 2.0 END::DOUBLE"
+
+
+@query("e4_pipeline_expectation", f"WITH {ICE} SELECT o_orderkey, value, {AS_NUMBER.format(c='prediction')} AS prediction FROM ice")
+def pipeline_expectation(spark, sf_dir):
+    df, model = _status_pipeline(spark, sf_dir)
+    return explanations.individual_expectation(model, df, ["o_orderkey"], "price", GRID)
+
+
+@query("e4_pipeline_dependence", f"WITH {ICE} SELECT value, {AS_NUMBER.format(c='prediction')} AS prediction, round(count(*) / (SELECT count(*) FROM o), 9) AS share FROM ice GROUP BY 1, 2")
+def pipeline_dependence(spark, sf_dir):
+    df, model = _status_pipeline(spark, sf_dir)
+    return rounded(explanations.partial_dependence(model, df, "price", GRID))
+
+
+@query("e4_pipeline_permutation", PERMUTED)
+def pipeline_permutation(spark, sf_dir):
+    df, model = _status_pipeline(spark, sf_dir)
+    return rounded(explanations.permutation_importance(model, df, "y", ["price", "cust"], ["o_orderkey"]))
+
+
 CONTRIBUTIONS = """m AS (SELECT avg(l_quantity) AS q, avg(l_tax) AS t FROM lineitem),
   long AS (SELECT 'a' AS output, 'l_quantity' AS feature, 0.5::DOUBLE * (l_quantity - q) AS value FROM lineitem, m UNION ALL
     SELECT 'a', 'l_tax', -2.0::DOUBLE * (l_tax - t) FROM lineitem, m UNION ALL SELECT 'b', 'l_quantity', -0.25::DOUBLE * (l_quantity - q) FROM lineitem, m

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowspark.catalog.base import predictions, query, table
@@ -14,13 +13,13 @@ from flowspark.sources import results
 
 @query("j1_selection_gain", """WITH b AS (SELECT o_custkey AS model, o_orderpriority AS dataset, max(o_totalprice) AS f1 FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
   s AS (SELECT o_custkey AS model, o_orderpriority AS dataset, o_totalprice AS selected, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS rn
-    FROM orders WHERE o_orderstatus = 'O')
+    FROM orders WHERE o_orderstatus <> 'F')
   SELECT model, dataset, f1 AS baseline, selected, round((selected - f1) / f1 * 100, 6) AS improvement FROM b JOIN s USING (model, dataset) WHERE rn = 1""")
 def selection_gain(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("model"), F.col("o_orderpriority").alias("dataset"),
                                                     F.col("o_totalprice").alias("f1"), "o_orderkey", "o_orderstatus")
     base = orders.filter("o_orderstatus = 'F'").groupBy("model", "dataset").agg(F.max("f1").alias("f1"))
-    out = compare.selection_gain(base, orders.filter("o_orderstatus = 'O'"), first_by="o_orderkey")
+    out = compare.selection_gain(base, orders.filter("o_orderstatus <> 'F'"), first_by="o_orderkey")
     return out.withColumn("improvement", F.round("improvement", 6))
 
 
@@ -118,8 +117,7 @@ def best_first(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("dataset"), F.col("o_custkey").alias("dataset_path"),
         F.when(k == 0, "best").when(k == 6, "x").otherwise((k * 2).cast("string")).alias("run_index")).distinct()
-    order = Window.orderBy("dataset", "dataset_path", results.run_index_order())
-    return results.best_first(rows).withColumn("position", F.row_number().over(order))
+    return results.best_first(rows, "position").withColumn("position", F.col("position").cast("int"))
 
 
 def _vocabulary():

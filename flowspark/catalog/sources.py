@@ -33,12 +33,14 @@ def csv_scan(spark, sf_dir):
 
 
 @query("s1_quoted_text", """SELECT 'documents' AS source, doc_id AS id, md5(text) AS digest FROM documents
-  UNION ALL SELECT 'pages', page_id, md5(html) FROM pages""")
+  UNION ALL SELECT 'pages', page_id, md5(html) FROM pages UNION ALL SELECT 'conversations', conv_id * 1000 + turn, md5(text) FROM conversations""")
 def quoted_text(spark, sf_dir):
     out = None
-    for name, key, column in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
+    for name, key, column in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "turn_id", "text")):
         path = scratch_path(spark, "quoted")
-        writers.write_csv(table(spark, sf_dir, name).select(key, F.col(column).cast("string").alias(column)), path)
+        rows = table(spark, sf_dir, name)
+        rows = rows.withColumn(key, F.col("conv_id") * 1000 + F.col("turn")) if name == "conversations" else rows
+        writers.write_csv(rows.select(key, F.col(column).cast("string").alias(column)), path)
         back = readers.read_flows(spark, path, T.StructType().add(key, T.LongType()).add(column, T.StringType()))
         part = back.select(F.lit(name).alias("source"), F.col(key).alias("id"), F.md5(F.col(column).cast("binary")).alias("digest"))
         out = part if out is None else out.unionByName(part)

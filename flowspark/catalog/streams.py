@@ -47,6 +47,20 @@ def incremental_profile(spark, sf_dir):
         "samples", "features", "original_num_rows", "removed_rows_nan", "removed_rows_inf", "classes", "missing_values")
 
 
+@query("t1_approximate_profile", """SELECT true AS distinct_close, true AS median_close, c AS "column" FROM (VALUES ('event_id'), ('user_id'), ('value')) t(c)""")
+def approximate_profile(spark, sf_dir):
+    """Sketches of a stream against exact figures of the table: distinct counts within 3 %, medians within 2 % of rank."""
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type")
+    state = scratch_path(spark, "state")
+    jobs.keep_profile(_landed(spark, *[df.where(F.col("event_id") % 3 == i) for i in range(3)]), "event_type", state, sketches=True)
+    names = ["event_id", "user_id", "value"]
+    found = {r["column"]: r for r in jobs.current_approximations(spark, state, df).where(F.col("column").isin(names)).collect()}  # a row per column
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in names], *[F.avg((F.col(c) <= found[c]["quantiles"][1]).cast("int")).alias(f"rank_{c}") for c in names])
+    rows = [exact.select(F.lit(c).alias("column"), (F.abs(F.col(c) / found[c]["distinct"] - 1) < 0.03).alias("distinct_close"),
+                         (F.abs(F.col(f"rank_{c}") - 0.5) < 0.02).alias("median_close")) for c in names]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("t2_clean_stream", f"WITH {DIRTY_EVENTS} SELECT event_id, event_type, raw AS value FROM d WHERE NOT absent AND NOT endless")
 def clean_stream(spark, sf_dir):
     cleaned = jobs.clean_stream(_landed(spark, _dirty_events(spark, sf_dir)), ["event_id", "event_type", "value"], in_range=True)

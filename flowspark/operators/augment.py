@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.operators.ordering import hash_ranked, running, split_points, with_bucket
 from flowspark.operators.sample import class_aware_sample, class_counts, synthetic_quota
-from flowspark.session import bounded
+from flowspark.session import bounded, settle
 
 TARGET = "attack_type"  # fixed value: label column of an augmented table
 RATIOS = (0.25, 0.5, 0.75, 1.0)  # fixed values: augmented-to-original row ratios
@@ -107,6 +111,41 @@ def class_coverage(original: DataFrame, generated: DataFrame, label: str) -> Dat
     return a.join(b, label, "full").na.fill({"original": 0, "generated": 0}).withColumn("covered", F.col("generated") > 0)
 
 
+def mode_coverage(original: DataFrame, generated: DataFrame, label: str, features: Sequence[str], modes: int = 5, share: float = 0.95,
+                  seed: int = 42, parallel: int = 4) -> DataFrame:
+    """(class, mode, original, generated, reached): clusters of the original rows of each class, and the generated rows that lie in them.
+
+    Columns are scaled by the original rows; rows that lack a feature are left out. Each class is clustered alone by k-means, the classes
+    side by side. A generated row lies in the nearest mode of its class if it is no farther from the centre than `share` of the
+    mode's original rows; a mode is reached if one does. Coverage is the share of modes reached.
+    """
+    names = list(features)
+    cells = [F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(names)]
+    assembler = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(names))], outputCol="_raw")
+    ready = lambda d: assembler.transform(d.select(F.col(label).alias("class"), *cells).dropna()).select("class", "_raw")
+    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(ready(original))
+    left, right = (settle(scaler.transform(ready(d)).drop("_raw")) for d in (original, generated))
+
+    def one(value) -> DataFrame:
+        rows = left.where(F.col("class") == F.lit(value))
+        model = KMeans(k=modes, seed=seed).fit(rows)
+        centers = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+        gap = F.zip_with(vector_to_array("features"), F.get(centers, F.col("prediction")), lambda x, c: (x - c) * (x - c))
+        placed = lambda d: model.transform(d).select("prediction", F.aggregate(gap, F.lit(0.0), lambda s, x: s + x).alias("far"))
+        own = placed(rows).groupBy("prediction").agg(F.count(F.lit(1)).alias("original"), F.percentile_approx("far", share, 10_000).alias("_reach"))
+        near = placed(right.where(F.col("class") == F.lit(value))).join(F.broadcast(own), "prediction").where("far <= _reach")
+        hits = near.groupBy("prediction").agg(F.count(F.lit(1)).alias("generated"))
+        return own.join(hits, "prediction", "left").select(F.lit(value).alias("class"), F.col("prediction").alias("mode"), "original",
+                                                           F.coalesce("generated", F.lit(0)).alias("generated"), F.col("generated").isNotNull().alias("reached"))
+
+    values = sorted(r["class"] for r in left.select("class").distinct().collect())
+    if not values:
+        kind = original.schema[label].dataType.simpleString()
+        return original.sparkSession.createDataFrame([], f"class {kind}, mode int, original long, generated long, reached boolean")
+    with ThreadPoolExecutor(parallel) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, values))
+
+
 def correlation_gap(original: DataFrame, generated: DataFrame, features: Sequence[str]) -> DataFrame:
     """Difference of the two correlation matrices, one row per pair of features."""
     names = list(features)

@@ -235,9 +235,10 @@ def normalize_types(df: DataFrame) -> DataFrame:
 
 
 def scale_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation per column; a zero deviation counts as one."""
-    row = df.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)],
-                 *[F.stddev_pop(f"`{c}`").alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    """Mean and population deviation of each column's present values; a zero deviation counts as one."""
+    present = lambda c: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`"))
+    row = df.agg(*[F.avg(present(c)).alias(f"m{i}") for i, c in enumerate(columns)],
+                 *[F.stddev_pop(present(c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     return {c: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.operators.ordering import ordered_positions
+from flowspark.session import bounded
+
 
 def feature_coverage(names: DataFrame, file: str, feature: str) -> DataFrame:
     """Per file: the features all files share, its own extras, and whether all headers match.
@@ -14,15 +17,13 @@ def feature_coverage(names: DataFrame, file: str, feature: str) -> DataFrame:
     Names are trimmed and lowered. The counts per feature are small (one row per name).
     """
     d = names.select(F.col(file).alias("file"), F.lower(F.trim(feature)).alias("feature")).distinct()
-    files = d.agg(F.count_distinct("file").alias("files"))
-    spread = d.groupBy("feature").agg(F.count(F.lit(1)).alias("n_files"))
-    everywhere = spread.join(files, F.col("n_files") == F.col("files"), "left")
-    marked = d.join(everywhere.select("feature", F.col("files").isNotNull().alias("common")), "feature")
+    files = d.agg(F.count_distinct("file")).first()[0]
+    spread = d.groupBy("feature").agg(F.count(F.lit(1)).alias("n_files")).withColumn("common", F.col("n_files") == files)
+    alike = spread.where("not common").isEmpty()
+    marked = d.join(spread.select("feature", "common"), "feature")
     listed = lambda flag: F.array_join(F.array_sort(F.collect_list(F.when(flag, F.col("feature")))), ", ")
-    out = marked.groupBy("file").agg(listed(F.col("common")).alias("common"), listed(~F.col("common")).alias("extra"),
-                                     F.count_if(~F.col("common")).alias("n_extra"))
-    return (out.withColumn("headers_match_all", F.max("n_extra").over(Window.partitionBy()) == 0)
-            .select("file", "common", "extra", "headers_match_all"))
+    out = marked.groupBy("file").agg(listed(F.col("common")).alias("common"), listed(~F.col("common")).alias("extra"))
+    return out.withColumn("headers_match_all", F.lit(alike))
 
 
 def feature_spread(names: DataFrame, file: str, feature: str) -> DataFrame:
@@ -34,24 +35,27 @@ def feature_spread(names: DataFrame, file: str, feature: str) -> DataFrame:
 def group_pairs(names: DataFrame, group: str, feature: str, file: str | None = None) -> DataFrame:
     """For each unordered pair of groups: shared features and the extras of either side.
 
-    A group has a bounded schema, so its feature list is an array. The pairs come from
-    numbering the groups and two equality joins.
+    Only numbers of groups travel with a pair, and how many features it shares is counted over the index from feature to
+    groups; a group's feature list, an array as small as a schema, is looked up when the texts are made.
     """
     d = names.select(F.col(group).alias("g"), F.col(feature).alias("f"), (F.col(file) if file else F.col(group)).alias("src"))
     sets = d.groupBy("g").agg(F.array_sort(F.collect_set("f")).alias("fs"), F.count_distinct("src").alias("files"))
-    sets = sets.withColumn("i", F.row_number().over(Window.orderBy("g")))
-    partners = sets.withColumn("j", F.explode(F.expr("sequence(1, i - 1)"))).filter("j >= 1 and j < i") \
-        .select("j", F.col("g").alias("g2"), F.col("fs").alias("fs2"), F.col("files").alias("files2"))
-    pairs = sets.withColumnRenamed("i", "j").join(partners, "j")
+    numbered = ordered_positions(sets.where("g is not null"), [F.asc("g")], "i")
+    index = d.where("f is not null").select("g", "f").distinct().join(numbered.select("g", "i"), "g").select("f", "i")
+    shared = (index.join(index.select("f", F.col("i").alias("j")), "f").where("j > i")
+              .groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_common")))
+    every = numbered.select(F.explode(F.sequence(F.lit(1), F.col("i"))).alias("i"), F.col("i").alias("j")).where("i < j")  # a row per pair is the report
+    pairs = every.join(shared, ["i", "j"], "left").na.fill({"n_common": 0})
+    side = lambda at, end: bounded(numbered.select(F.col("i").alias(at), *[F.col(c).alias(f"{c}_{end}") for c in ("g", "fs", "files")]))
+    full = pairs.join(side("i", "a"), "i").join(side("j", "b"), "j")
     text = lambda a: F.coalesce(F.nullif(F.array_join(F.array_sort(a), ", "), F.lit("")), F.lit("None"))
-    both, only_a, only_b = F.array_intersect("fs", "fs2"), F.array_except("fs", "fs2"), F.array_except("fs2", "fs")
-    count = lambda a: F.size(a).cast("long")
-    return pairs.select(
-        F.col("g").alias("dataset_a"), F.col("g2").alias("dataset_b"),
-        F.col("files").alias("files_in_a"), F.col("files2").alias("files_in_b"),
-        count(both).alias("n_common"), text(both).alias("common_features"),
-        count(only_a).alias("n_extra_a"), text(only_a).alias("extra_features_a"),
-        count(only_b).alias("n_extra_b"), text(only_b).alias("extra_features_b"))
+    extra = lambda end: (F.size(f"fs_{end}") - F.col("n_common")).cast("long").alias(f"n_extra_{end}")
+    return full.select(
+        F.col("g_a").alias("dataset_a"), F.col("g_b").alias("dataset_b"),
+        F.col("files_a").alias("files_in_a"), F.col("files_b").alias("files_in_b"),
+        "n_common", text(F.array_intersect("fs_a", "fs_b")).alias("common_features"),
+        extra("a"), text(F.array_except("fs_a", "fs_b")).alias("extra_features_a"),
+        extra("b"), text(F.array_except("fs_b", "fs_a")).alias("extra_features_b"))
 
 
 def pairs_seen_from(pairs: DataFrame, group: object) -> DataFrame:
@@ -67,14 +71,14 @@ def pairs_seen_from(pairs: DataFrame, group: object) -> DataFrame:
 def run_feature_sets(runs: DataFrame, run: str, feature: str) -> DataFrame:
     """Per run: features shared by all runs, features of this run alone, and the union."""
     d = runs.select(F.col(run).alias("run"), F.col(feature).alias("feature")).distinct()
-    total = d.agg(F.count_distinct("run").alias("total"))
+    total = d.agg(F.count_distinct("run")).first()[0]
     spread = d.groupBy("feature").agg(F.count(F.lit(1)).alias("k"))
-    kinds = spread.join(total, F.col("k") == F.col("total"), "left").select("feature", "k", F.col("total").isNotNull().alias("all"))
+    kinds = spread.withColumn("all", F.col("k") == total)
     out = d.join(kinds, "feature").groupBy("run").agg(
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("all"), F.col("feature")))), ", ").alias("common_features"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") == 1, F.col("feature")))), ", ").alias("unique_features"))
-    union = spread.agg(F.array_join(F.array_sort(F.collect_list("feature")), ", ").alias("union_features"))
-    return out.withColumn("_1", F.lit(1)).join(union.withColumn("_1", F.lit(1)), "_1").drop("_1")
+    union = spread.agg(F.array_join(F.array_sort(F.collect_list("feature")), ", ")).first()[0]  # as short as a schema
+    return out.withColumn("union_features", F.lit(union))
 
 
 def selection_gain(baseline: DataFrame, selected: DataFrame, keys: Sequence[str] = ("model", "dataset"), metric: str = "f1",

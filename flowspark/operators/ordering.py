@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowspark.session import bounded, parallelism
+from flowspark.session import bounded, parallelism, settle
 
 def hash_key(seed: int, keys: Sequence[str]) -> Column:
     """Seeded order of rows: md5 of the seed and the key columns as text."""
@@ -59,21 +59,24 @@ def hash_marked(df: DataFrame, groups: Sequence[str], keys: Sequence[str], seed:
                 quotas: DataFrame, quota: str = "quota", out: str = "taken") -> DataFrame:
     """Add whether a row is among the first `quota` rows of its group in seeded hash order.
 
-    A bucket before the cut is taken whole, one after it not at all: a lookup in a small
-    table decides, and those rows are not moved. Only the buckets that hold a cut, one per
-    group, are sorted. Groups without a quota are not taken.
+    One row per group names the bucket that holds the cut: a bucket before it is taken whole, one after it
+    not at all, and those rows are not moved. Only the buckets that hold a cut are sorted. Groups without a
+    quota are not taken. The table of cuts is as small as the set of groups.
     """
     d = df.withColumn("_g", group_key(groups)).withColumn("_h", hash_key(seed, keys))
     d = d.withColumn("_b", F.substring("_h", 1, hash_digits(df)))
-    wanted = quotas.select(group_key(groups).alias("_g"), F.col(quota).cast("long").alias("_q"))
-    cuts = (_bucket_offsets(d.select("_g", "_b")).join(bounded(wanted), "_g")
-            .withColumn("_take", F.least(F.col("_n"), F.col("_q") - F.col("_before")))
-            .filter("_take > 0").select("_g", "_b", (F.col("_take") < F.col("_n")).alias("_edge"), "_take"))
-    looked = d.join(bounded(cuts), ["_g", "_b"], "left")
+    wanted = quotas.select(group_key(groups).alias("_g"), F.col(quota).cast("long").alias("_q")).filter("_q > 0")
+    reached = _bucket_offsets(d.select("_g", "_b")).join(bounded(wanted), "_g")
+    here = F.when(F.col("_before") + F.col("_n") >= F.col("_q"),
+                  F.struct(F.col("_b").alias("b"), (F.col("_q") - F.col("_before")).alias("take"), F.col("_n").alias("n")))
+    cuts = reached.groupBy("_g").agg(F.min(here).alias("_cut"))  # no bucket: the quota is never reached
+    looked = d.join(bounded(cuts.withColumn("_some", F.lit(True))), "_g", "left")
+    edge = F.coalesce((F.col("_b") == F.col("_cut.b")) & (F.col("_cut.take") < F.col("_cut.n")), F.lit(False))
     inside = Window.partitionBy("_g", "_b").orderBy("_h", *keys)
-    edge = looked.filter("_edge").withColumn(out, F.row_number().over(inside) <= F.col("_take"))
-    clear = looked.filter("not coalesce(_edge, false)").withColumn(out, F.col("_take").isNotNull())
-    return clear.select(*df.columns, out).unionByName(edge.select(*df.columns, out))
+    sorted_rows = looked.filter(edge).withColumn(out, F.row_number().over(inside) <= F.col("_cut.take"))
+    whole = F.col("_some").isNotNull() & (F.col("_cut").isNull() | (F.col("_b") <= F.col("_cut.b")))
+    clear = looked.filter(~edge).withColumn(out, whole)
+    return clear.select(*df.columns, out).unionByName(sorted_rows.select(*df.columns, out))
 
 
 def hash_take(df: DataFrame, groups: Sequence[str], keys: Sequence[str], seed: int,
@@ -96,6 +99,20 @@ def numbered_copies(df: DataFrame, out: str = "copy", step: int = 10_000) -> Dat
     return spread.select(*df.columns, F.explode(F.sequence(F.col("_s") * step, last)).alias(out))
 
 
+def ordered_positions(df: DataFrame, order: Sequence[Column], out: str = "position") -> DataFrame:
+    """Number all rows from 1 in an order, without a task that holds them all.
+
+    The rows are sorted over all tasks and settled; a row's number is its place in its range plus the
+    rows of the ranges before. Rows equal in the order get numbers that another run may give otherwise.
+    """
+    spot = F.monotonically_increasing_id()
+    placed = settle(df.orderBy(*order).select("*", F.shiftright(spot, 33).alias("_range"), spot.bitwiseAND((1 << 33) - 1).alias("_place")))
+    spans = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row per range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return placed.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_place") + F.col("_before") + 1).drop("_range", "_place", "_before")
+
+
 def _as_number(df: DataFrame, order: str) -> Column:
     """The ordering column as a double; it only names the value range, ties are settled inside."""
     kind = df.schema[order].dataType

@@ -25,8 +25,12 @@ SUMMARY_COLUMNS = (
 )
 
 
-def profile_aggregates(df: DataFrame) -> list[Column]:
-    """The aggregates of a profile state; sums, minima and maxima only, so they merge.
+HLL_BITS = 14  # of the register index of a count of distinct values: some 0.8 % error
+KLL_SIZE = 800  # items a quantile sketch keeps per level: some 0.5 % of rank
+
+
+def profile_aggregates(df: DataFrame, sketches: bool = False) -> list[Column]:
+    """The aggregates of a profile state: sums, minima and maxima, and sketches if wanted, so they merge.
 
     They read the row flags `_present` and `_clean`.
     """
@@ -37,15 +41,25 @@ def profile_aggregates(df: DataFrame) -> list[Column]:
         if c in numeric_columns(df):
             value = F.when(F.col("_clean"), F.col(f"`{c}`"))
             aggregates += [F.min(value).alias(f"low_{i}"), F.max(value).alias(f"high_{i}")]
+        if sketches:
+            text = F.when(F.col("_clean"), F.col(f"`{c}`").cast("string"))
+            aggregates.append(F.hll_sketch_agg(text, HLL_BITS).alias(f"hll_{i}"))
+            if c in numeric_columns(df):
+                number = F.when(F.col("_clean"), F.col(f"`{c}`").cast("double"))
+                aggregates.append(F.kll_sketch_agg_double(number, KLL_SIZE).alias(f"kll_{i}"))
     return aggregates
 
 
-def profile_state(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per (by, class) with all a profile needs. The grouping columns are not features."""
+def profile_state(df: DataFrame, label: str, by: Sequence[str] = (), sketches: bool = False) -> DataFrame:
+    """One row per (by, class) with all a profile needs. The grouping columns are not features.
+
+    With `sketches` the state also holds, for clean rows, a sketch of distinct values per column and one of quantiles per
+    number column, each of a size that does not follow the rows.
+    """
     features = df.drop(*by)
     present = ~any_missing(features)
     return (df.withColumns({"_class": F.col(f"`{label}`").cast("string"), "_present": present, "_clean": present & ~any_infinite(features)})
-            .groupBy(*by, "_class").agg(*profile_aggregates(features)))
+            .groupBy(*by, "_class").agg(*profile_aggregates(features, sketches)))
 
 
 def merge_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -61,9 +75,34 @@ def merge_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             merged.append(F.max(c).alias(c))
         elif c.startswith(("rows", "miss_")):
             merged.append(F.sum(c).alias(c))
+        elif c.startswith("hll_"):
+            merged.append(F.hll_union_agg(c).alias(c))
+        elif c.startswith("kll_"):
+            merged.append(F.kll_merge_agg_double(c).alias(c))
     return states.groupBy(*keys).agg(*merged)
 
 
+def approximate_table(state: DataFrame, df: DataFrame, by: Sequence[str] = (), shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(by, column, distinct, quantiles) of a state with sketches, merged over classes, chunks, files or micro-batches.
+
+    `distinct` estimates the different values of the clean rows, `quantiles` their values at `shares`; null for a column that is
+    no number.
+    """
+    features = df.drop(*by)
+    names, numeric = features.columns, numeric_columns(features)
+    merged = state.groupBy(*by).agg(*[F.hll_union_agg(f"hll_{i}").alias(f"hll_{i}") for i in range(len(names))],
+                                    *[F.kll_merge_agg_double(f"kll_{i}").alias(f"kll_{i}") for i, c in enumerate(names) if c in numeric])
+    at = F.array(*[F.lit(float(s)) for s in shares])
+
+    def quantiles(i: int, c: str) -> Column:
+        if c not in numeric:
+            return F.lit(None).cast("array<double>")
+        return F.when(F.kll_sketch_get_n_double(f"kll_{i}") > 0, F.kll_sketch_get_quantile_double(f"kll_{i}", at))
+
+    cells = [F.struct(F.lit(c).alias("column"), F.hll_sketch_estimate(f"hll_{i}").alias("distinct"), quantiles(i, c).alias("quantiles")) for i, c in enumerate(names)]
+    return merged.select(*by, F.explode(F.array(*cells)).alias("e")).select(*by, "e.*")
+
+
 def percent_text(share: Column) -> Column:
     """A percentage with up to four decimals, trailing zeros cut."""
     return F.regexp_replace(F.format_string("%.4f", share), r"\.?0+$", "")

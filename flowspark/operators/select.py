@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.operators.ordering import exact_quantiles, running, split_points, value_ranked
+from flowspark.operators.ordering import exact_quantiles, ordered_positions, running, split_points, value_ranked
 from flowspark.session import bounded
 
 # The corner the hypervolume is measured from.
@@ -18,19 +18,17 @@ CONVERGED_SHARE = 0.95  # fixed value: share of the best F1 that counts as conve
 def importance_rank(scores: DataFrame, importance: str, position: str, top: int) -> DataFrame:
     """Rank by importance, ties by column position; `selected` marks the first `top`.
 
-    One row per feature, so the ordering window is as small as the schema.
+    The rows are sorted over all tasks, so features may be many.
     """
-    order = Window.orderBy(F.desc(importance), F.asc(position))
-    return scores.withColumn("rank", F.row_number().over(order)).withColumn("selected", F.col("rank") <= top)
+    ranked = ordered_positions(scores, [F.desc(importance), F.asc(position)], "rank")
+    return ranked.withColumn("rank", F.col("rank").cast("int")).withColumn("selected", F.col("rank") <= top)
 
 
 def majority_features(folds: DataFrame, feature: str, fold: str, selected: str, rank: str) -> DataFrame:
     """Features chosen in at least half the folds plus one, with their mean rank."""
-    k = folds.agg(F.count_distinct(fold).alias("k"))
+    needed = folds.agg(F.count_distinct(fold)).first()[0] // 2 + 1
     votes = folds.groupBy(feature).agg(F.sum(F.col(selected).cast("long")).alias("votes"), F.avg(rank).alias("mean_rank"))
-    needed = k.select((F.floor(F.col("k") / 2) + 1).cast("long").alias("needed"))
-    return votes.join(needed, F.col("votes") >= F.col("needed"), "left").select(
-        feature, "votes", "mean_rank", F.col("needed").isNotNull().alias("kept"))
+    return votes.withColumn("kept", F.col("votes") >= needed)
 
 
 def feature_usage(runs: DataFrame, features: str, names: Sequence[str]) -> DataFrame:
@@ -56,10 +54,8 @@ def sweep_summary(runs: DataFrame, size: str, run: str, metric: str, feature: st
     spread = runs.select(size, run, feature).distinct().groupBy(size, feature).agg(F.count(F.lit(1)).alias("k"))
     common = spread.join(scores, size).filter("k = runs").groupBy(size).agg(
         F.array_join(F.array_sort(F.collect_list(feature)), ", ").alias("common_features"))
-    best = scores.agg(F.min_by(size, F.struct(-F.col("mean_f1"), F.col(size))).alias("_best"))
-    return (scores.join(common, size, "left").na.fill({"common_features": ""})
-            .withColumn("_1", F.lit(1)).join(best.withColumn("_1", F.lit(1)), "_1")
-            .withColumn("best", F.col(size) == F.col("_best")).drop("_1", "_best"))
+    best = scores.agg(F.min_by(size, F.struct(-F.col("mean_f1"), F.col(size)))).first()[0]
+    return scores.join(common, size, "left").na.fill({"common_features": ""}).withColumn("best", F.col(size) == F.lit(best))
 
 
 def run_summary(history: DataFrame, run: str, generation: str, metric: str) -> DataFrame:
@@ -125,17 +121,18 @@ def hypervolume(points: DataFrame, gain: str, cost: str, by: Sequence[str] = (),
 
 
 def class_feature_stats(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """Mean and sample deviation of each feature per class, as `f_mean` and `f_std`."""
+    """Mean and sample deviation of each feature's present values per class, as `f_mean` and `f_std`."""
     stats = []
     for f in features:
-        stats += [F.avg(f).alias(f"{f}_mean"), F.stddev_samp(f).alias(f"{f}_std")]
+        present = F.when(~F.isnan(F.col(f).cast("double")), F.col(f))
+        stats += [F.avg(present).alias(f"{f}_mean"), F.stddev_samp(present).alias(f"{f}_std")]
     return df.groupBy(label).agg(*stats)
 
 
 def class_feature_quartiles(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
-    """Quartiles of each feature per class, exact."""
+    """Quartiles of each feature's present values per class, exact."""
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("e")
-    long = df.select(label, cells).select(label, "e.feature", "e.value")
+    long = df.select(label, cells).select(label, "e.feature", "e.value").where("not isnan(value)")
     return exact_quantiles(long, [label, "feature"], "value", [0.25, 0.5, 0.75])
 
 

@@ -19,6 +19,9 @@ ENCODINGS = ("UTF-8", "ISO-8859-1")
 ARFF_ESCAPES = (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"))
 
 
+QUOTED = "\x01?"  # stands for a quoted question mark while a row is parsed
+
+
 def trimmed(df: DataFrame) -> DataFrame:
     """The table with blanks round its column names removed."""
     return df.toDF(*[c.strip() for c in df.columns])
@@ -61,6 +64,17 @@ def stacked(tables: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select(*[column(t, c) for c in columns]) for t in tables])
 
 
+def common_types(schemas: Sequence[T.StructType]) -> T.StructType:
+    """All columns by name, each with the type of its files: double where whole and broken numbers meet, text where others do."""
+    found: dict[str, set[str]] = {}
+    for schema in schemas:
+        for f in schema.fields:
+            found.setdefault(f.name, set()).add(f.dataType.simpleString())
+    whole, numbers = {"int", "bigint"}, {"int", "bigint", "double"}
+    kind = lambda s: next(iter(s)) if len(s) == 1 else "bigint" if s <= whole else "double" if s <= numbers else "string"
+    return T.StructType([T.StructField(c, T._parse_datatype_string(kind(s))) for c, s in found.items()])
+
+
 def _group_table(spark: SparkSession, paths: list[str], sep: str, schema: T.StructType | None, encoding: str, multi_line: bool) -> DataFrame:
     # a doubled quote stands for a quote, as other programs write it
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"').option("multiLine", multi_line)
@@ -73,7 +87,8 @@ def _group_table(spark: SparkSession, paths: list[str], sep: str, schema: T.Stru
 
 def _delimited(spark: SparkSession, paths, sep: str, schema: T.StructType | None, encoding: str | None) -> DataFrame | None:
     try:
-        tables = [_group_table(spark, files, sep, schema, encoding or found, multi_line) for files, found, multi_line in file_groups(spark, paths)]
+        groups = file_groups(spark, paths)
+        tables = [_group_table(spark, files, sep, schema, encoding or found, multi_line) for files, found, multi_line in groups]
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
@@ -82,6 +97,9 @@ def _delimited(spark: SparkSession, paths, sep: str, schema: T.StructType | None
         return None
     if len(tables) == 1 and not schema:
         return tables[0]
+    if not schema:  # one type per column, decided over all files, before any value is parsed
+        schema = common_types([t.schema for t in tables])
+        tables = [_group_table(spark, files, sep, schema, encoding or found, multi_line) for files, found, multi_line in groups]
     if schema:
         lacking = [t.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in t.columns]) for t in tables]
         return stacked(lacking, schema.names)
@@ -122,7 +140,7 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     """Attribute-relation files: `@attribute` lines name and type the columns.
 
     Only the header lines reach the driver (one per column); rows are parsed on executors.
-    `?` is null. Nominal values are text, blanks round them removed.
+    `?` is null, quoted it is text. Nominal values are text, blanks round them removed.
     """
     lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at"))
     attribute = r"^@(?i:attribute)\s+('(?:[^'\\]|\\.)*'|\"[^\"]*\"|[^\s{]+)\s*(.*)$"
@@ -135,6 +153,7 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     line = F.col("line")
     for end in "\n\r":  # line ends come back before the other escapes, which an even number of backslashes tells apart
         line = F.regexp_replace(line, rf"(?<!\\)((?:\\\\)*)\\{'n' if end == chr(10) else 'r'}", "$1" + end)
+    line = F.regexp_replace(line, r"(^|,)(\s*)'\?'(?=\s*(,|$))", f"$1$2'{QUOTED}'")  # a quoted question mark is a text
     parsed = F.from_csv(line, raw.simpleString()[7:-1].replace(":", " "), {
         "quote": "'", "escape": "\\", "nullValue": "?", "multiLine": "true",
         "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
@@ -142,8 +161,8 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     marker = F.startswith("line", F.lit("@")) & F.rlike("line", F.lit(r"^@(?i:relation|attribute|data)\b"))
     data = lines.filter((F.col("line") != "") & ~F.startswith("line", F.lit("%")) & ~marker)
     rows = data.select(parsed.alias("r"))
-    return rows.select(*[F.expr(f"try_cast(r.c{i} AS {f.dataType.simpleString()})").alias(f.name)
-                         for i, f in enumerate(schema.fields)])
+    cell = lambda i: F.when(F.col(f"r.c{i}") == QUOTED, "?").otherwise(F.col(f"r.c{i}"))
+    return rows.select(*[cell(i).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)])
 
 
 def parse_key_values(lines: DataFrame, column: str = "value") -> DataFrame:

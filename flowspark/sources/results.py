@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowspark.operators.ordering import ordered_positions
+
 STAMP_FORMAT = "yyyy-MM-dd_HH_mm_ss"  # fixed value: time stamp in result tables
 MISSING_INDEX = 1e9  # fixed value: sort position of a run index that is no number
 
@@ -35,9 +37,10 @@ def run_index_order(column: str = "run_index") -> Column:
     return F.when(F.lower(text) == "best", F.lit(-1.0)).otherwise(F.coalesce(number, F.lit(MISSING_INDEX)))
 
 
-def best_first(df: DataFrame) -> DataFrame:
-    """Rows by dataset, path and run index, the best run first."""
-    return df.orderBy("dataset", "dataset_path", run_index_order())
+def best_first(df: DataFrame, position: str | None = None) -> DataFrame:
+    """Rows by dataset, path and run index, the best run first; with `position`, numbered in that order from 1."""
+    order = [F.col("dataset"), F.col("dataset_path"), run_index_order()]
+    return ordered_positions(df, order, position) if position else df.orderBy(*order)
 
 
 def swap_in(spark: SparkSession, df: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.operators.clean import drop_missing, drop_out_of_range, drop_unusable
-from flowspark.operators.profile import merge_states, profile_from_state, profile_state
+from flowspark.operators.profile import approximate_table, merge_states, profile_from_state, profile_state
 from flowspark.plans.models import predict
 
 
@@ -43,17 +43,22 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
+def current_approximations(spark: SparkSession, state_path: str, schema_of: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct counts and quantiles of everything seen so far, from the sketches of `keep_profile(..., sketches=True)`."""
+    return approximate_table(merge_states(spark.read.parquet(state_path).drop("batch"), by), schema_of, by)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder that no later batch reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def keep_profile(stream: DataFrame, label: str, state_path: str, by: Sequence[str] = (), checkpoint: str | None = None) -> None:
+def keep_profile(stream: DataFrame, label: str, state_path: str, by: Sequence[str] = (), checkpoint: str | None = None, sketches: bool = False) -> None:
     """Add each batch's profile state under its batch number; a repeated batch replaces itself."""
 
     def each(batch: DataFrame, number: int) -> None:
-        profile_state(batch, label, by).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        profile_state(batch, label, by, sketches).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
 
     run_batches(stream, each, checkpoint or progress_of(state_path))
 
