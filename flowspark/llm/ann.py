@@ -10,32 +10,35 @@ from pyspark.sql import functions as F
 from flowspark.llm.vectors import common_width, stacked, usable
 from flowspark.session import settle
 
-PROJECTIONS = 256
-THRESHOLD = 0.45  # share of the projections in which a vector must fall into the query's window
-FIRST_WINDOW, GROWTH = 0.25, 1.2  # half width of the first window; its growth per round
-VERIFIED, SPARE = 4, 0.05  # windows stop growing once this many times k vectors and this share of a block are verified
-BLOCK = 4096  # vectors in a block, and queries
+PROJECTIONS = 128
+THRESHOLD = 0.36  # share of the projections in which a vector must fall into the query's window
+FIRST_WINDOW, GROWTH = 0.6, 1.1  # half width of the first window; its growth per round
+VERIFIED, SPARE = 8, 0.2  # windows stop growing once this many times k vectors and this share of a block are verified
+BLOCK = 16_384  # vectors in a block
+QUERY_BLOCK = 1024  # queries that meet a block in one task
 
 
 class CollisionIndex:
     """The sorted projections of one block of vectors.
 
-    Inner product search becomes distance search by one more coordinate: vectors are scaled by
-    the largest norm of the table and lifted to the unit sphere, queries are scaled alone.
+    Inner product search becomes distance search by one more coordinate: vectors are scaled by the largest component of
+    the table and then by the largest norm, and lifted to the unit sphere; queries are scaled alone.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, top_norm: float, projections: int, seed: int):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, top: float, top_norm: float, projections: int, seed: int):
         self.ids, self.x = ids, x
-        lift = np.sqrt(np.maximum(0.0, 1.0 - (np.linalg.norm(x, axis=1) / top_norm) ** 2))
+        unit = x / top / top_norm
+        lift = np.sqrt(np.maximum(0.0, 1.0 - (unit ** 2).sum(axis=1)))
         self.axes = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, projections))
-        at = np.column_stack([x / top_norm, lift]) @ self.axes
-        self.order = np.argsort(at, axis=0, kind="stable").T.copy()
+        at = np.column_stack([unit, lift]) @ self.axes
+        self.order = np.argsort(at, axis=0, kind="stable").astype(np.int32).T.copy()
         self.sorted = np.take_along_axis(at.T, self.order, axis=1)
 
     def search(self, query_id: int, q: np.ndarray, k: int, threshold: float, spare: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the best k verified vectors of the block."""
         n, need = len(self.ids), threshold * len(self.order)
-        centre = (q / np.linalg.norm(q)) @ self.axes[:-1]
+        q_unit = q / np.abs(q).max()
+        centre = (q_unit / np.linalg.norm(q_unit)) @ self.axes[:-1]
         lo = hi = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre)])
         hits, half = np.zeros(n, np.int32), FIRST_WINDOW
         while True:
@@ -49,7 +52,8 @@ class CollisionIndex:
                 break
             half *= GROWTH
         found = found[self.ids[found] != query_id]
-        score = np.einsum("ij,j->i", self.x[found], q)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.einsum("ij,j->i", self.x[found], q)
         best = np.lexsort((self.ids[found], -score))[:k]
         return self.ids[found][best], score[best]
 
@@ -78,10 +82,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     data, asked = settle(rows(vectors)), rows(queries)
     width = common_width(data, "v")
     data, asked = data.where(F.size("v") == width), asked.where(F.size("v") == width)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    n, top_norm = data.agg(F.count("*"), F.max(norm)).first()
+    n, top = data.agg(F.count("*"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.lit(top)) * (x / F.lit(top))))
+    top_norm = data.agg(F.max(norm)).first()[0]
     asked = settle(asked)
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-asked.count() // block))
+    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-asked.count() // QUERY_BLOCK))
 
     def part(count: int, salt: int):
         return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(count)).cast("int")
@@ -94,7 +99,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         if not len(base) or not len(asks):
             return pd.DataFrame({c: np.zeros(0) for c in names}).astype({"query_id": "int64", "id": "int64"})
         base = base.sort_values("id")
-        index = CollisionIndex(base["id"].to_numpy(), stacked(base["v"]), top_norm, projections, seed)
+        index = CollisionIndex(base["id"].to_numpy(), stacked(base["v"]), top, top_norm, projections, seed)
         found = [(i, *index.search(i, q, k, threshold, spare)) for i, q in zip(asks["id"], stacked(asks["v"]))]
         return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
                              "id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})

@@ -129,6 +129,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
             for at in range(0, len(frame), 512):
                 part = frame.iloc[at:at + 512]
                 v = stacked(part["v"])
+                v /= np.abs(v).max(axis=1, keepdims=True)  # neither tiny nor huge components leave the range of squares
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 yield pd.DataFrame({"label": part["label"].to_numpy(), "id": part["id"].to_numpy(), "weight": part["weight"].to_numpy(),
                                     "u": list(v), "f": code.exceeded(v)})

@@ -121,11 +121,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: floa
     documents meet by an equality join on (source, block). Running offsets come from hash
     buckets whose sums are added up first, so a source that holds most rows is never one group.
 
-    Null text counts 0 words and null source is a source of its own; repeated rows are separate
-    documents; empty tables give empty results; other columns are ignored.
+    Null text counts 0 words and null source is a source of its own; every row is a document of its own, so rows of one
+    key, and rows whose key is null, are mixed each by itself; `text_hash` tells rows of one key apart. Empty tables give
+    empty results; other columns are ignored.
     """
     spark = docs.sparkSession
-    sized = settle(docs.select(F.col(key), "source", word_count(F.col("text")).alias("size")))
+    sized = settle(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key), "source", word_count(F.col("text")).alias("size"),
+                               F.xxhash64("text").alias("text_hash")))
     plan = plan_sources(sized, weights, total_share, ceiling, block)
     facts = spark.createDataFrame([tuple(p.values()) for p in plan], "nr long, source string, source_size long, target double, blocks long, slots long")
     known = sized.join(F.broadcast(facts), sized["source"].eqNullSafe(facts["source"])).drop(facts["source"])
@@ -135,7 +137,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: floa
     sums = known.groupBy("nr", "_b").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("nr").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("nr", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # HASH_BUCKETS rows a source
-    inside = Window.partitionBy("nr", "_b").orderBy(_hash(seed + 1, key), key).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("nr", "_b").orderBy(_hash(seed + 1, key), key, "_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = (known.withColumn("_run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
               .join(F.broadcast(base), ["nr", "_b"]).withColumn("offset", F.col("_base") + F.col("_run")))
 
@@ -147,17 +149,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total_share: floa
     taken = slots.select("shard", "nr", _permuted_block(seed).alias("block"))
 
     spans = placed.where("size > 0").select(
-        key, "nr", "offset", "size",
+        "_row", key, "nr", "offset", "size",
         F.explode(F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")).alias("block"))
     lo = F.greatest(F.col("offset"), F.col("block") * block)
     hi = F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block)
-    spans = spans.select(key, "nr", "offset", "block", (lo - F.col("offset")).alias("start"), (hi - lo).alias("words"))
+    spans = spans.select("_row", key, "nr", "block", (lo - F.col("offset")).alias("start"), (hi - lo).alias("words"))
     times = taken.groupBy("nr", "block").agg(F.count("*").alias("times"))
     per_doc = (spans.join(times, ["nr", "block"])
-               .groupBy(key, "nr", "offset").agg(F.sum(F.col("words") * F.col("times")).alias("taken"),
+               .groupBy("_row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"),
                                        F.array_sort(F.collect_list(F.struct("start", "words", "times"))).alias("pieces")))
-    documents = placed.join(per_doc, [key, "nr", "offset"], "left").select(
-        key, "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces")
+    documents = placed.join(per_doc, "_row", "left").select(
+        key, "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces", "text_hash")
     return documents, taken.join(spans, ["nr", "block"]).select("shard", "nr", "block", key, "start", "words")
 
 
@@ -170,11 +172,17 @@ def mixed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     """The mix as documents: all columns of `docs`, one row per document and pass that takes words of it.
 
     The text holds the words that the pass takes, in order and with the blanks after them; a
-    text that is taken whole stays as it is. Documents of which nothing is taken go.
+    text that is taken whole stays as it is. Documents of which nothing is taken go. Rows of one key, null included, are told apart by their
+    text, and rows equal in both are numbered, so each is mixed by itself.
     """
-    taken = mix(docs, key=key, **options)[0].where("taken > 0").select(F.col(key).alias("_key"), F.col("size").alias("_size"), F.col("pieces").alias("_pieces")).dropDuplicates(["_key"])
+    copy = lambda d, k, h, order: d.withColumn("_copy", F.row_number().over(Window.partitionBy(k, h).orderBy(*order)))
+    mixed = mix(docs, key=key, **options)[0].select(F.col(key).alias("_key"), F.col("text_hash").alias("_text_hash"), F.col("size").alias("_size"),
+                                                   "taken", F.col("pieces").alias("_pieces"))
+    mixed = copy(mixed, "_key", "_text_hash", ["taken", "_pieces"]).where("taken > 0").drop("taken").withColumnRenamed("_copy", "_taken_copy")
+    given = copy(docs.withColumn("_h", F.xxhash64(text)), F.col(key), "_h", [F.lit(1)])
     passes = F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_pieces", lambda p: p["times"])).cast("int")))
-    found = docs.join(taken, F.col(key) == F.col("_key")).withColumn("_pass", passes)
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_text_hash")) & (F.col("_copy") == F.col("_taken_copy"))
+    found = given.join(mixed, same).withColumn("_pass", passes)
     own = F.filter("_pieces", lambda p: p["times"] >= F.col("_pass"))
     words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.flatten(F.transform(own, lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["words"].cast("int")))), "")

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.words import slices, words_of
+from flowspark.session import settle
 
 STEMS = (4, 5, 6)  # characters of the beginnings of words that are terms besides whole words
 MOST_WORDS = 4  # a beginning counts again as a term of its own from 2, 3 and 4 different words with it
-LEXICON = 8192  # most terms kept, those with the most evidence first
 LEAST_TEXTS = 2  # labelled texts a term must occur in
-FIT_ROWS = 100_000  # most labelled texts that the label model and the classifier are fitted on
+FIT_ROWS = 100_000  # labelled texts, about, that lexicons, label model and classifier are fitted on
 LEXICONS = 6  # lexicon voters per kind of term
 ROUNDS = 40  # of expectation maximisation
 SLICE = 8 << 20
@@ -104,11 +104,10 @@ def evidence(text: str | None, watched: dict[bytes, list], voter: list[int], kno
 
 
 def induce_lexicon(labelled: DataFrame) -> tuple[dict[bytes, int], list[int]]:
-    """Terms with evidence of toxicity and their voters, from all labelled texts (`text`, `toxic`).
+    """Terms with evidence of toxicity and their voters, from labelled texts (`text`, `toxic`), each of them once.
 
-    A term is kept if at least LEAST_TEXTS toxic texts hold it and, with half a clean text added, at
-    least TRUST of its texts are toxic; of more than LEXICON terms those in most toxic texts
-    stay. Terms are dealt to the lexicons of their kind by hash, so voters differ.
+    Every term is kept that at least LEAST_TEXTS toxic texts hold and of whose texts, with half a clean text added, at
+    least TRUST are toxic. Terms are dealt to the lexicons of their kind by hash, so voters differ.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Terms()
@@ -125,7 +124,7 @@ def induce_lexicon(labelled: DataFrame) -> tuple[dict[bytes, int], list[int]]:
     counts = labelled.select("text", "toxic").mapInArrow(count, "term binary, toxic bigint, clean bigint")
     kept = (counts.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
             .where((F.col("t") >= LEAST_TEXTS) & (F.col("t") >= TRUST * (F.col("t") + F.col("c") + 0.5)))
-            .orderBy(F.desc(F.col("t") / (F.col("c") + 1)), "term").limit(LEXICON).collect())
+            .select("term").orderBy("term").collect())  # as many as about FIT_ROWS texts have
     terms = {bytes(r["term"]): i for i, r in enumerate(kept)}
     return terms, [LEXICONS * (t[:1] != b"w") + sum(t) % LEXICONS for t in terms]
 
@@ -180,17 +179,19 @@ def fit_linear(rows: list[list[int]], votes: np.ndarray, target: np.ndarray, ter
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
     """Fit on the documents named in `labels` (key, toxic 0/1); the caller leaves out held-out rows.
 
-    The lexicons come from all labelled texts. The label model and the classifier see at most
-    about `fit_rows` of them, chosen by a hash of the key. Labels reach the lexicons and the
-    prior only; the classifier's targets are the label model's posteriors. Without labels, or
+    The model is fitted on about `fit_rows` labelled texts, chosen by a hash of the key; equal texts among them count once, as
+    toxic if one of their labels says so. The chosen keys are broadcast, so no text is shuffled whatever the number of labels. Labels
+    reach the lexicons and the prior only; the classifier's targets are the label model's posteriors. Without labels, or
     without a toxic one, every text scores the same low value. A key labelled more than once is
     toxic if any label says so.
     """
     labels = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows, share = labels.agg(F.count("*"), F.avg("toxic")).first()
-    labelled = docs.select(key, "text").join(labels, key)
+    chosen = labels.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, fit_rows / max(1, rows)))))
+    hashed = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    once = hashed.select(key, "_h").join(F.broadcast(chosen), key).groupBy("_h").agg(F.min(key).alias(key), F.max("toxic").alias("toxic"))
+    labelled = hashed.join(F.broadcast(settle(once)), [key, "_h"])  # about fit_rows rows at most
     terms, voter = induce_lexicon(labelled)
-    few = labelled.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, fit_rows / max(1, rows)))))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
@@ -200,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", fit_rows: int =
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.int32())),
                                               pa.array([f[1].tobytes() for f in found], pa.binary())], ["hits", "votes"])
 
-    seen = few.select("text").mapInArrow(vote, "hits array<int>, votes binary").toPandas()
+    seen = labelled.select("text").mapInArrow(vote, "hits array<int>, votes binary").toPandas()
     width = 2 * LEXICONS + 4
     votes = np.array([np.frombuffer(v, np.int8) for v in seen["votes"]], np.int8).reshape(-1, width)
     post, right, corr = label_model(votes, share or 0.05) if len(votes) else (np.zeros(0), np.zeros(width), np.zeros((width, width)))
@@ -219,7 +220,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", keep: bool = False
     """
     kept = [c for c in docs.columns if c != "score"] if keep else [key]
     carried = docs.select(*kept, F.col("text").alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of about FIT_ROWS texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}

@@ -526,3 +526,50 @@ def test_pipeline_odd_rows(spark, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             out.write.parquet(str(tmp_path / f"{nr}{name}"))
             docs = spark.read.parquet(str(tmp_path / f"{nr}{name}"))
+
+
+def test_vectors_of_extreme_norms(spark):
+    """Components whose squares leave the range of doubles, beside usual ones: nothing hangs, links and neighbours are right."""
+    tiny, huge = [1e-200, 2e-200], [1e200, 2e200]
+    rows = [(0, [1.0, 2.0], 0), (1, tiny, 0), (2, huge, 0), (3, [2.0, -1.0], 0), (4, [-1e200, 0.0], 1), (20, [1e-300, 0.0], 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in caps.near_vectors(vectors).collect()}
+    assert links == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (0, 4), 20: (0, 20)}
+    found = ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), 3).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in sorted(found, key=lambda r: (r["query_id"], r["rank"]))][:3] == [(0, 2), (0, 1), (0, 20)]
+
+
+def test_op7_rows_of_one_key_and_of_none(spark):
+    rows = [(3, "", "a"), (3, "w1 w2 w3", "a"), (None, "n1 n2 n3 n4", "a"), (5, "x y z", "a"), (5, "x y z", "a"), (None, None, "b"), (7, "k l", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents, blocks = mixing.mix(docs, block=1)
+    got = documents.collect()
+    assert len(got) == 7 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert sum(r["taken"] for r in got) == blocks.agg(F.sum("words")).first()[0]
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+    assert all(sum(r["taken"] for r in rs) == round(rs[0]["target"]) for rs in by.values())
+    texts = mixing.mixed_texts(docs, block=1).collect()
+    words = lambda key, like: sum(len((r["text"] or "").split()) for r in texts if r["doc_id"] == key and (r["text"] or "").startswith(like))
+    assert all(r["text"] for r in texts)
+    taken = lambda key: sum(r["taken"] for r in got if r["doc_id"] == key)
+    assert words(3, "w") == taken(3) and words(None, "n") == taken(None) and words(5, "") == taken(5) > 0
+
+
+def test_near_copies_keep_texts_of_one_key(spark):
+    text = lambda seed: " ".join(f"{seed}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (2, text("c")), (2, text("c")), (9, text("e")), (9, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"] or 0), r["text"][0]) for r in corpus_pipeline.near_copies(spark, docs, SF).collect())
+    assert kept == [(0, "a"), (0, "b"), (1, "c"), (1, "d"), (9, "e")]
+
+
+def test_op2_labels_beyond_the_sample_and_equal_texts(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, fit_rows=250)
+    rows = toxicity.score(docs, model).join(labels, "doc_id").select("score", "toxic").collect()
+    assert sum((r["score"] >= 0.5) == (r["toxic"] == 1) for r in rows) >= 0.9 * len(rows)
+    copies = docs.crossJoin(spark.range(3).withColumnRenamed("id", "_n")).select((F.col("doc_id") + F.col("_n") * 10**6).alias("doc_id"), "text")
+    many = labels.crossJoin(spark.range(3).withColumnRenamed("id", "_n")).select((F.col("doc_id") + F.col("_n") * 10**6).alias("doc_id"), "toxic")
+    assert toxicity.fit(copies, many).terms == toxicity.fit(docs, labels).terms
