@@ -14,30 +14,38 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on the labels of these documents, does not reject."""
+    """Documents that the toxicity model, fitted on the labels of these documents, does not reject.
+
+    Null and empty texts score as texts without a term and stay; repeated rows score alike; without labels all stay.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, keep=True).where(F.col("score") < toxicity.REJECT).select(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that stand, exactly or nearly, in an earlier document or above. Documents stay."""
+    """Texts without lines that stand, exactly or nearly, in an earlier document or above. Documents stay, null texts null."""
     return _recounted(lines.dedup_lines(docs).select(*docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash neighbours the document with the smallest id; of its repeated rows one."""
+    """Of each group of SimHash neighbours the document with the smallest id; of rows equal in id and text one.
+
+    Rows of one id with different texts stay if one of them does; a row without an id belongs to no group and stays.
+    An empty table stays empty.
+    """
     groups = simhash.near_duplicates(docs)
     kept = groups.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    once = docs.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return once.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that a mix of the sources takes, a row per document and pass."""
+    """The words that a mix of the sources takes, a row per document and pass. Null and empty texts hold no words and go."""
     return _recounted(mixing.mixed_texts(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of all texts beside the columns of documents; passes over a document are cut apart."""
+    """Piece ids of all texts beside the columns of documents; passes over a document are cut apart. A null text has null ids."""
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     return pieces.encode(docs.withColumn("_copy", F.row_number().over(same)), copy="_copy")
 
