@@ -15,6 +15,7 @@ THRESHOLD = 0.36  # share of the projections in which a vector must fall into th
 FIRST_WINDOW, GROWTH = 0.6, 1.1  # half width of the first window; its growth per round
 VERIFIED, SPARE = 8, 0.2  # windows stop growing once this many times k vectors and this share of a block are verified
 BLOCK = 16_384  # vectors in a block
+ARRAYS = 16  # sorted arrays counted at a time
 QUERY_BLOCK = 1024  # queries that meet a block in one task
 
 
@@ -31,23 +32,31 @@ class CollisionIndex:
         lift = np.sqrt(np.maximum(0.0, 1.0 - (unit ** 2).sum(axis=1)))
         self.axes = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, projections))
         at = np.column_stack([unit, lift]) @ self.axes
-        self.order = np.argsort(at, axis=0, kind="stable").astype(np.int32).T.copy()
-        self.sorted = np.take_along_axis(at.T, self.order, axis=1)
+        order = np.argsort(at, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(at.T, order, axis=1)
+        self.rank = np.empty(order.shape, np.uint16 if len(x) < 1 << 16 else np.uint32)  # place of each vector in each sorted array
+        np.put_along_axis(self.rank, order, np.arange(len(x), dtype=self.rank.dtype)[None], axis=1)
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """In how many sorted arrays each vector lies from place `low` up to `high`."""
+        kind = self.rank.dtype
+        low, width = low.astype(kind)[:, None], (high - low).astype(kind)[:, None]
+        hits = np.zeros(self.rank.shape[1], np.uint16)
+        for at in range(0, len(self.rank), ARRAYS):
+            inside = self.rank[at:at + ARRAYS] - low[at:at + ARRAYS] < width[at:at + ARRAYS]  # places before `low` wrap round
+            hits += np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+        return hits
 
     def search(self, query_id: int, q: np.ndarray, k: int, threshold: float, spare: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the best k verified vectors of the block."""
-        n, need = len(self.ids), threshold * len(self.order)
+        n, need = len(self.ids), threshold * len(self.rank)
         q_unit = q / np.abs(q).max()
         centre = (q_unit / np.linalg.norm(q_unit)) @ self.axes[:-1]
-        lo = hi = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre)])
-        hits, half = np.zeros(n, np.int32), FIRST_WINDOW
+        half = FIRST_WINDOW
         while True:
-            new_lo = [np.searchsorted(s, c - half) for s, c in zip(self.sorted, centre)]
-            new_hi = [np.searchsorted(s, c + half, side="right") for s, c in zip(self.sorted, centre)]
-            entered = [part for o, a, b, c, d in zip(self.order, new_lo, lo, hi, new_hi) for part in (o[a:b], o[c:d])]
-            hits += np.bincount(np.concatenate(entered), minlength=n).astype(np.int32)
-            lo, hi = new_lo, new_hi
-            found = np.flatnonzero(hits >= need)
+            low = np.array([np.searchsorted(s, c - half) for s, c in zip(self.sorted, centre)])
+            high = np.array([np.searchsorted(s, c + half, side="right") for s, c in zip(self.sorted, centre)])
+            found = np.flatnonzero((self.collisions(low, high) >= need) | ((high - low) == n).all())
             if len(found) >= min(n, VERIFIED * k + 1 + spare * n):
                 break
             half *= GROWTH
@@ -67,7 +76,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     `projections` random axes. Around a query's own projection a window opens on every axis; a
     vector that lies in the windows of at least `threshold` of the axes is verified by its exact
     inner product. Until a few times k vectors and `spare` of the block are verified, all windows grow by a
-    factor, which continues the count (virtual rehashing). Blocks of queries meet blocks of
+    factor (virtual rehashing). Blocks of queries meet blocks of
     vectors in tasks of bounded memory; a task returns k rows per query, which are merged.
 
     A vector that is null, zero, of another length than most, or with null or non-finite

@@ -247,19 +247,18 @@ class Encoder:
         starts = np.cumsum(counts) - counts
         base = occurrence_bases(np.repeat(np.array(docs, np.uint64), counts), np.arange(len(words)) - np.repeat(starts, counts))
         long = {x: packed(pieces.merge(x)) for x in distinct if len(x) > SHORT} if not self.dropout else {}
-        done = [known.get(x) or long.get(x) for x in words]
+        number = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
+        done = list(map([known.get(x) or long.get(x) for x in distinct].__getitem__, number.tolist()))
         if self.dropout and words:
-            number = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
-            none = paths[""]
-            again = self._skips(number, [paths.get(x, none) for x in distinct], base).tolist()
-            again.sort(key=lambda i: len(words[i]))
+            none, sizes = paths[""], np.array([len(x) for x in distinct])
+            again = self._skips(number, [paths.get(x, none) for x in distinct], base)
+            again = again[np.argsort(sizes[number[again]], kind="stable")].tolist()
             for at in range(0, len(again), MANY):
                 some = again[at:at + MANY]
                 for i, ids in zip(some, pieces.merge_many([words[i] for i in some], self.dropout, base=base[some])):
                     done[i] = ids
-            for i, x in enumerate(words):
-                if len(x) > SHORT:
-                    done[i] = packed(pieces.merge(x, self.dropout, base=int(base[i])))
+            for i in np.flatnonzero(sizes[number] > SHORT).tolist():
+                done[i] = packed(pieces.merge(words[i], self.dropout, base=int(base[i])))
         return [None if t is None else b"".join(done[at:at + n]) for t, at, n in zip(texts, starts.tolist(), counts.tolist())]
 
 
