@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.words import slices
+from flowspark.llm.words import kept_by_worker, slices
 from flowspark.session import scratch_path
 
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"  # of public tokenizers; every node has them
@@ -57,6 +57,7 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(self.b.vocab_size())]
+        self.texts_a, self.texts_b = _decimals(len(self.bytes_a)), _decimals(len(self.bytes_b))
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in names]) for names in (self.bytes_a, self.bytes_b))
 
     @staticmethod
@@ -89,7 +90,7 @@ class Tokenizers:
 
 @lru_cache(maxsize=2)
 def load(path_a: str, path_b: str) -> Tokenizers:
-    """The tokenizers of a worker, read once in each."""
+    """The tokenizers, read once."""
     return Tokenizers(path_a, path_b)
 
 
@@ -134,7 +135,6 @@ def common_ends(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.nd
     return i.astype(np.int64), j[once].astype(np.int64)
 
 
-@lru_cache(maxsize=4)
 def _decimals(n: int) -> np.ndarray:
     """Texts of ids followed by each sign: row , | ; and none."""
     return np.array([[f"{i}{sign}" for i in range(n)] for sign in (",", "|", ";", "")], dtype=object)
@@ -167,11 +167,11 @@ def aligned(texts: list[str | None], t: Tokenizers, piece: int = PIECE) -> list[
     before_b = np.append(0, j + 1)
     place_a, place_b = np.arange(len(all_a)) + before_b[group_a], np.arange(len(all_b)) + before[group_b + 1]
     signs = np.empty(len(all_a) + len(all_b), dtype=object)
-    signs[place_a] = _decimals(len(t.bytes_a))[last_a.astype(np.int64), all_a]
+    signs[place_a] = t.texts_a[last_a.astype(np.int64), all_a]
     end_b = np.cumsum(n_b) - 1
     kind = np.where(last_b, 2, 0)
     kind[end_b] = 3
-    signs[place_b] = _decimals(len(t.bytes_b))[kind, all_b]
+    signs[place_b] = t.texts_b[kind, all_b]
     signs = signs.tolist()
     ends, cut = np.cumsum(n_a + n_b), np.searchsorted(i, np.cumsum(n_a))
     start = first = 0
@@ -193,7 +193,7 @@ def align(docs: DataFrame, key: str = "doc_id", model_a: str = MODEL_A, model_b:
     named = "groups_sha256" if digest else "groups"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(model_a, model_b)
+        t = kept_by_worker(("align", model_a, model_b), lambda: Tokenizers(model_a, model_b))
         for batch in slices(batches, "_text", SLICE):
             rows = aligned(batch.column(1).to_pylist(), t)
             offsets = np.append(0, np.cumsum([len(r[3]) for r in rows]))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm.words import slices
+from flowspark.llm.words import kept_by_worker, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # of a public tokenizer; every node has it or the driver alone
 SPACE = "▁"
@@ -289,7 +289,7 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
-        encoder = Encoder(pieces, dropout)
+        encoder = kept_by_worker(("pieces", model, dropout), lambda: Encoder(pieces, dropout))
         for batch in slices(batches, text, SLICE):
             texts = batch.column(at_text).to_pylist()
             copies = batch.column(len(kept)).to_pylist() if copy else [0] * len(texts)

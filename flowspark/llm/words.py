@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 
+T = TypeVar("T")
+
+
+def kept_by_worker(name: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker made once, for its later tasks as well.
+
+    Functions travel to workers by value, so their own globals end with a task; this hangs on a module that stays.
+    """
+    kept = sys.modules["pyspark"].__dict__.setdefault("_kept_by_worker", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
 
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text, A-Z lower-cased: bytes.split cuts at the space and U+0009 to U+000D only."""
