@@ -11,7 +11,7 @@ from flowspark.llm.components import components
 from flowspark.session import parallelism, settle
 
 SHINGLE = 5  # characters of a shingle, in signatures and in the exact comparison
-SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}))"  # one from every position
+SHINGLES = rf"(?s)(?=([^\uDC00-\uDFFF].{{{SHINGLE - 1}}}))"  # one from every character, none from inside a surrogate pair
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 5  # two lines of similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 5) ** 12 = 0.991
 CROWD = 16  # lines of a band or shingle up to which all of them become pairs
@@ -195,24 +195,26 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     component the first line of the smallest key stays and all others go. Blank lines stay.
     Lines of fewer than SHINGLE characters are one shingle, so they have only exact duplicates.
 
-    Null text stays null with 0 lines; empty text is one blank line; rows of one key are told
-    apart as one document each, so repeated rows keep the same lines; input columns called
-    n_lines or n_dropped are replaced; empty tables give empty results.
+    Null text stays null with 0 lines; empty text is one blank line. Rows of one key come at the same place: if it is the
+    first, each of them keeps the line, so different texts of one key lose nothing to each other and repeated rows keep the same
+    lines. Rows without a key come behind all others. Input columns called n_lines or n_dropped are replaced; empty tables
+    give empty results.
     """
     classes = settle(line_classes(docs, key, text))
-    own = docs.select(F.col(key).alias("_key"), F.posexplode(_line_ids(F.col(text))).alias("_at", "id"))
-    marked = settle(own.join(classes, "id").groupBy("_key").agg(F.array_distinct(F.collect_list(F.struct("_at", "root", "first"))).alias("_marks")))
+    row = F.xxhash64(key, text).alias("_doc")  # tells rows of one key apart by their text
+    own = docs.select(row, F.posexplode(_line_ids(F.col(text))).alias("_at", "id"))
+    marked = settle(own.join(classes, "id").groupBy("_doc").agg(F.array_distinct(F.collect_list(F.struct("_at", "root", "first"))).alias("_marks")))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     # documents that surely have no marked line pass by the shuffle: the filter never misses a marked one
-    words = _filter_words(marked.select(F.xxhash64("_key").alias("id")))
-    flagged = docs.select(*kept).withColumn("_id", F.xxhash64(key)).join(words.hint("broadcast"), F.expr(WORD_OF_ID.replace("id,", "_id,") + " = w"), "left")
+    words = _filter_words(marked.select(F.col("_doc").alias("id")))
+    flagged = docs.select(*kept).withColumn("_id", row).join(words.hint("broadcast"), F.expr(WORD_OF_ID.replace("id,", "_id,") + " = w"), "left")
     flagged = flagged.withColumn("_maybe", F.expr(f"coalesce(bits & {BIT_OF_ID.replace('(id', '(_id')}, 0) <> 0"))
-    through = flagged.where("_maybe").select(*kept).join(marked, F.col(key) == F.col("_key"), "left")
-    past = flagged.where("not _maybe").select(*kept, *[F.lit(None).cast(marked.schema[c].dataType).alias(c) for c in ("_key", "_marks")])
+    through = flagged.where("_maybe").select(*kept, F.col("_id").alias("_own")).join(marked, F.col("_own") == F.col("_doc"), "left").drop("_own", "_doc")
+    past = flagged.where("not _maybe").select(*kept, F.lit(None).cast(marked.schema["_marks"].dataType).alias("_marks"))
     joined = through.unionByName(past)
     marks = F.array_sort("_marks")
     roots = F.transform(marks, lambda m: m["root"])
-    dropped = F.transform(F.filter(marks, lambda m, i: (m["first"] != F.col("_key")) | (F.array_position(roots, m["root"]) != i + 1)), lambda m: m["_at"])
+    dropped = F.transform(F.filter(marks, lambda m, i: ~m["first"].eqNullSafe(F.col(key)) | (F.array_position(roots, m["root"]) != i + 1)), lambda m: m["_at"])
     lines = F.split(F.col(text), "\n")
     drops = F.coalesce(F.size("_dropped"), F.lit(0))
     cleaned = F.when(F.coalesce(F.size("_dropped"), F.lit(0)) > 0, F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_dropped", i)), "\n")).otherwise(F.col(text))

@@ -573,3 +573,19 @@ def test_op2_labels_beyond_the_sample_and_equal_texts(spark):
     copies = docs.crossJoin(spark.range(3).withColumnRenamed("id", "_n")).select((F.col("doc_id") + F.col("_n") * 10**6).alias("doc_id"), "text")
     many = labels.crossJoin(spark.range(3).withColumnRenamed("id", "_n")).select((F.col("doc_id") + F.col("_n") * 10**6).alias("doc_id"), "toxic")
     assert toxicity.fit(copies, many).terms == toxicity.fit(docs, labels).terms
+
+
+def test_op4_rows_of_one_key_and_of_none(spark):
+    line, other = "a line that several of the documents here hold", "an entirely unique sentence that nothing else resembles"
+    rows = [(1, f"{line}\n{other}"), (1, f"first comes this quite different one\n{line}"), (None, f"{line}\nof a row without any key at all"), (2, line), (None, "only rows without a key hold this sentence"),
+            (None, "only rows without a key hold this sentence\nand this")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"] or 99, r["text"]) for r in lines.dedup_lines(docs).collect())
+    assert found == [(1, f"{line}\n{other}"), (1, f"first comes this quite different one\n{line}"), (2, ""), (99, "of a row without any key at all"),
+                     (99, "only rows without a key hold this sentence"), (99, "only rows without a key hold this sentence\nand this")]
+
+
+def test_op4_shingles_beyond_the_basic_plane(spark):
+    text = "".join(chr(0x1F600 + i) for i in range(7))
+    found = spark.createDataFrame([(text,), ("ab" + text[:3],), ("abcd",)], "line string").select(F.regexp_extract_all("line", F.lit(lines.SHINGLES), F.lit(1)).alias("s")).collect()
+    assert [r["s"] for r in found] == [[text[i:i + 5] for i in range(3)], ["ab" + text[:3]], []]
