@@ -374,13 +374,13 @@ ORDER_FEATURES = ["quantity", "price", "discount", "tax", "lines", "top_line"]
 
 @query("m8_recursive_elimination")
 def recursive_elimination(spark, sf_dir):
-    votes, _, _ = selection.recursive_elimination(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], step=18)
+    votes, _, _ = selection.recursive_elimination(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], step=18, folds=3)
     return votes
 
 
 @query("m8_elimination_result")
 def elimination_result(spark, sf_dir):
-    return rounded(selection.elimination_result(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], step=27)).drop("features")
+    return rounded(selection.elimination_result(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], step=27, folds=3)).drop("features")
 
 
 @query("m9_extra_trees_importance")
@@ -396,12 +396,12 @@ def extra_trees_result(spark, sf_dir):
 
 @query("m10_component_sweep")
 def component_sweep(spark, sf_dir):
-    return rounded(selection.component_sweep(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], [8, 16, 32, 128]))
+    return rounded(selection.component_sweep(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], [8, 16, 128], 3))
 
 
 @query("m10_best_components")
 def best_components(spark, sf_dir):
-    return rounded(selection.best_components(selection.component_sweep(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], [8, 16])))
+    return rounded(selection.best_components(selection.component_sweep(vectors(spark, sf_dir), "label", NAMES, ["vec_id"], [8, 16], 3)))
 
 
 @query("m12_subset_search")
