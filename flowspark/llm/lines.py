@@ -1,23 +1,29 @@
-"""Fuzzy line dedup by MinHash: signatures of character shingles, banding, exact Jaccard, union-find (DataFrame functions only)."""
+"""Fuzzy line dedup by MinHash: character-shingle signatures, banding, exact Jaccard, union-find.
+
+Signatures and exact comparisons run in Arrow batches; everything else is DataFrame functions.
+"""
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.components import components
-from flowspark.session import parallelism, settle
+from flowspark.session import parallelism, scratch_path, settle
 
 SHINGLE = 5  # characters of a shingle, in signatures and in the exact comparison
-SHINGLES = rf"(?s)(?=([^\uDC00-\uDFFF].{{{SHINGLE - 1}}}))"  # one from every character, none from inside a surrogate pair
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 5  # two lines of similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 5) ** 12 = 0.991
-CROWD = 16  # lines of a band or shingle up to which all of them become pairs
-BLOCK = 128  # lines of a crowded shingle that meet at a time
-COUNTERS = 1 << 16  # slots in which shingles of crowds are counted, to find the rare ones
+BLOCK = 512  # lines of an unsettled band that meet at a time
 FILTER_WORDS = 1 << 16  # 64-bit words of the filter that keeps texts out of a shuffle
+CHUNK = 1 << 20  # characters hashed at a time
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def normalized(line: Column) -> Column:
@@ -29,37 +35,124 @@ def _line_ids(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.xxhash64(normalized(x)))
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, first key, n, bands): distinct lines with a hash per band of minima; lines without a full shingle have none.
-
-    Minima are over the shingles that are compared later, so a row of a band agrees with a
-    probability equal to the similarity, whatever the line's length and blanks. One 32-bit hash
-    per shingle gives all of them: each is taken over the hash of it XORed with a constant (the
-    XOR alone orders small sets alike). Partial aggregation meets equal lines on the map side first.
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written to the shared folder, and their path; the shuffles that made them are freed at once."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _discard(df: DataFrame, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, lengths): a 64-bit hash of every shingle, one line's after the other's, and how many each line has."""
+    chars = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    if len(chars) < SHINGLE:
+        return np.zeros(0, np.uint64), np.zeros(len(lines), np.int64)
+    last = len(chars) - SHINGLE + 1
+    h = chars[:last].copy()
+    for i in range(1, SHINGLE):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += chars[i:i + last]
+    for _ in range(2):  # every bit of the sum reaches every other
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    counts = np.maximum(sizes - SHINGLE + 1, 0)
+    inside = np.ones(len(chars), bool)
+    ends = np.cumsum(sizes)
+    for back in range(1, SHINGLE):  # a shingle that would start among the last characters of a line runs over its end
+        at = ends - back
+        inside[at[sizes >= back]] = False
+    return h[inside[:last]], counts
+
+
+# Bins in the order in which an empty bin asks them for their minimum.
+ASKED = np.argsort(np.random.default_rng(17).random((BANDS * ROWS, BANDS * ROWS)), axis=1)
+
+
+def band_hashes(lines: list[str]) -> np.ndarray:
+    """(lines, BANDS): a hash per band of a line's minima; zeros for a line without a full shingle.
+
+    One hash of a shingle gives its bin and its value. An empty bin takes the minimum of the first filled bin in its own
+    fixed order, so two lines agree in a bin with a probability equal to their similarity, however short they are.
     """
-    lines = docs.select(F.col(key).alias("key"), F.explode(F.split(F.col(text), "\n")).alias("line")).select("key", normalized(F.col("line")).alias("line"))
-    lines = lines.where("line <> ''").select(F.xxhash64("line").alias("id"), "key", F.regexp_extract_all("line", F.lit(SHINGLES), F.lit(1)).alias("s"))
-    marks = random.Random(17)
-    masks = [marks.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
-    hashed = lines.select("id", "key", F.posexplode_outer("s").alias("at", "shingle")).select(
-        "id", "key", F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0).alias("one"), F.when(F.col("shingle").isNotNull(), F.hash("shingle")).alias("h"))
-    least = hashed.groupBy("id").agg(F.min("key").alias("first"), F.sum("one").alias("n"), *[
-        F.min(F.when(F.col("h").isNotNull(), F.hash(F.col("h").bitwiseXOR(F.lit(m).cast("int"))))).alias(f"m{i}") for i, m in enumerate(masks)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return least.select("id", "first", "n", F.when(F.col("m0").isNotNull(), bands).alias("bands"))
+    h, counts = shingle_hashes(lines)
+    bins = BANDS * ROWS
+    least = np.full(len(lines) * bins, NONE)
+    owner = np.repeat(np.arange(len(lines)), counts)
+    np.minimum.at(least, owner * bins + (h % np.uint64(bins)).astype(np.int64), h)
+    least = least.reshape(len(lines), bins)
+    few = np.flatnonzero((least == NONE).any(axis=1) & (counts > 0))
+    if len(few):
+        given = least[few]
+        filled = given.copy()
+        for turn in range(bins):
+            empty = filled == NONE
+            if not empty.any():
+                break
+            filled[empty] = given[:, ASKED[:, turn]][empty]
+        least[few] = filled
+    band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), BANDS)).copy()
+    for row in range(ROWS):
+        band ^= least[:, row::ROWS]
+        band *= np.uint64(0x9FB21C651E98DF25)
+        band ^= band >> np.uint64(29)
+    band[counts == 0] = 0
+    return band.view(np.int64)
+
+
+def _chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of about CHUNK characters."""
+    start = size = 0
+    for i, line in enumerate(lines):
+        size += len(line)
+        if size >= CHUNK:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(lines):
+        yield start, len(lines)
+
+
+def lines_of(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
+    """(columns, line, id): every line that is not blank."""
+    lines = docs.select(*columns, F.explode(F.split(F.col(text), "\n")).alias("line"))
+    return lines.withColumn("line", normalized(F.col("line"))).where("line <> ''").withColumn("id", F.xxhash64("line"))
 
 
-def shared_bands(signed: DataFrame) -> DataFrame:
-    """(id, k, size): the bands that several lines have, with their number."""
-    keyed = signed.select("id", F.explode("bands").alias("k")).repartition("k")  # once for both uses
-    return settle(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "k"))  # most lines share no band and stop here
+def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, key, bands): every line with its bands; null for lines without a full shingle."""
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column("line").to_pylist()
+            for start, end in _chunks(lines):
+                bands = band_hashes(lines[start:end])
+                none = ~bands.any(axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()), mask=pa.array(none))
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), lists], names=["id", "key", "bands"])
+
+    lines = lines_of(docs, text, F.col(key).alias("key")).select("id", "key", "line")
+    kind = docs.schema[key].dataType.simpleString()
+    return lines.mapInArrow(sign, f"id bigint, key {kind}, bands array<bigint>")
 
 
-def all_pairs(members: DataFrame, by: str) -> DataFrame:
-    """Distinct pairs (a, b) of ids that share a value of `by`, for values of few ids."""
-    lists = members.groupBy(by).agg(F.collect_list("id").alias("ids"))
-    both = lists.select("ids", F.explode("ids").alias("id")).select("id", F.explode("ids").alias("other"))
-    return both.where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+def shared_bands(signed: DataFrame) -> DataFrame:
+    """(id, k): the bands that several different lines have."""
+    keyed = signed.select("id", F.explode("bands").alias("k"))
+    shared = keyed.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("k")
+    return keyed.join(shared, "k").distinct()
 
 
 WORD_OF_ID = f"cast(pmod(id, {FILTER_WORDS}) as int)"
@@ -72,106 +165,111 @@ def _filter_words(ids: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(id, line, size): the wanted lines, once each, with their number of shingles."""
+    """(id, line): the wanted lines, once each."""
     words = _filter_words(wanted).hint("broadcast")
-    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).select(normalized(F.col("line")).alias("line")).where("line <> ''")
-    lines = lines.withColumn("id", F.xxhash64("line"))
-    maybe = lines.join(words, F.expr(f"{WORD_OF_ID} = w")).where(f"bits & {BIT_OF_ID} <> 0")
-    return settle(maybe.select("id", "line").dropDuplicates(["id"]).join(wanted, "id", "left_semi").select("id", "line", F.size(_shingles()).alias("size")))
-
-
-def _shingles() -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(SHINGLES), F.lit(1)), lambda s: F.xxhash64(s)))
-
-
-def _alike(m: Column, n: Column) -> Column:
-    return F.least(m, n) >= THRESHOLD * F.greatest(m, n)  # too different sizes are out before sets are met
+    maybe = lines_of(docs, text).join(words, F.expr(f"{WORD_OF_ID} = w")).where(f"bits & {BIT_OF_ID} <> 0")
+    return maybe.select("id", "line").join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
-def _similar(x: Column, y: Column, m: Column, n: Column) -> Column:
-    return F.transform(F.array(F.size(F.array_intersect(x, y))), lambda c: c >= THRESHOLD * (m + n - c))[0]
+def shingle_set(line: str) -> np.ndarray:
+    return np.unique(shingle_hashes([line])[0])
 
 
 def linked_lines(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets of SHINGLE-character shingles have a Jaccard similarity of THRESHOLD or more."""
-    # texts travel, as sets are many times larger: those of `b` are built behind the shuffle, once per line
-    left = texts.select(F.col("id").alias("a"), "line", F.col("size").alias("m"))
-    right = texts.repartition("id").select(F.col("id").alias("b"), _shingles().alias("y"), F.col("size").alias("n"))
-    m, n = F.col("m"), F.col("n")
-    met = pairs.join(left, "a").join(right, "b")
-    return met.where(_alike(m, n) & _similar(_shingles(), F.col("y"), m, n)).select("a", "b")
-
-
-def rare_shingles(crowd: DataFrame) -> DataFrame:
-    """(id, t): the rarest shingles of each line, enough of them that any two similar lines share one.
-
-    Lines of similarity THRESHOLD have at least that share of either's shingles in common, so
-    whatever order the shingles have, the same for all lines, the first n * (1 - THRESHOLD) + 1
-    of both meet. The order is by the number of lines, counted in COUNTERS hash slots, so
-    what many lines share comes last.
-    """
-    slot = F.pmod("t", F.lit(COUNTERS)).cast("int").alias("w")
-    tokens = crowd.repartition("id").select("id", "size", F.explode(_shingles()).alias("t")).withColumn("w", slot)
-    often = tokens.groupBy("w").agg(F.count("*").alias("often"))
-    ranked = tokens.join(often.hint("broadcast"), "w").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("ts"))
-    first = F.floor(F.col("size") * (1 - THRESHOLD) + 1e-6).cast("int") + 1
-    return ranked.select("id", F.explode(F.slice("ts", F.lit(1), first)).alias("s")).select("id", F.col("s.t").alias("t"))
-
-
-def _spanning(xs: Column, ys: Column) -> Column:
-    """Root by member of `xs` and then of `ys`, after every member of one has met every one of the other: structs (id, root, size, y)."""
-    all_ = F.concat(xs, ys)
-
-    def meet(roots: Column, i: Column, j: Column) -> Column:
-        a, b = F.get(roots, i), F.get(roots, j)
-        x, y = F.get(all_, i), F.get(all_, j)
-        new = _alike(x["size"], y["size"]) & _similar(x["y"], y["y"], x["size"], y["size"])
-        return F.when(a == b, roots).when(new, F.transform(roots, lambda r: F.when(r == b, a).otherwise(r))).otherwise(roots)
-
-    def row(roots: Column, i: Column) -> Column:
-        return F.aggregate(F.sequence(F.size(xs), F.size(all_) - 1), roots, lambda state, j: meet(state, i, j))
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(xs) - 1), F.transform(all_, lambda m: m["root"]), row)
-
-
-def crowd_links(members: DataFrame, texts: DataFrame, stars: DataFrame) -> DataFrame:
-    """Links (a, b) that join what `stars` (id, root) leaves apart among the lines (id, t) of each crowded shingle.
-
-    A shingle whose lines all have one root is settled, and of shingles with the same lines one
-    is enough. The others' lines are dealt into blocks of BLOCK; every block meets itself and each
-    other, and a pair of blocks gives only links that join two roots.
+    """The pairs (a, b) whose sets of SHINGLE-character shingles have a Jaccard similarity of THRESHOLD or more."""
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hubs, keep = {}, []
+            for a, x, y in zip(batch["a"], batch["x"], batch["y"]):
+                if a not in hubs:
+                    hubs = {a: shingle_set(x)}  # pairs come sorted by `a`
+                s, t = hubs[a], shingle_set(y)
+                alike = min(len(s), len(t)) >= THRESHOLD * max(len(s), len(t), 1)
+                common = len(np.intersect1d(s, t, assume_unique=True)) if alike else 0
+                keep.append(alike and common >= THRESHOLD * (len(s) + len(t) - common))
+            yield batch.loc[keep, ["a", "b"]]
+
+    left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
+    right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    met = pairs.join(right, "b").join(left, "a").sortWithinPartitions("a")
+    return met.select("a", "b", "x", "y").mapInPandas(compare, "a bigint, b bigint")
+
+
+def spanning_links(ids: list[int], roots: list[int], lines: list[str], first: int) -> list[tuple[int, int]]:
+    """Links between roots that the first `first` lines make with each other and with the rest; none that joins what is joined already."""
+    h, counts = shingle_hashes(lines)
+    owner = np.repeat(np.arange(len(lines)), counts)
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[once], owner[once]
+    sizes = np.bincount(owner, minlength=len(lines))
+    by_line = np.split(h[np.argsort(owner, kind="stable")], np.cumsum(sizes)[:-1])
+    up: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while up.get(r, r) != r:
+            r = up[r]
+        return r
+
+    links = []
+    for i in range(first):
+        low, high = np.searchsorted(h, by_line[i]), np.searchsorted(h, by_line[i], side="right")
+        spans = high - low
+        at = np.repeat(low - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+        common = np.bincount(owner[at], minlength=len(lines))
+        for j in np.flatnonzero((common > 0) & (common >= THRESHOLD * (sizes[i] + sizes - common))):
+            a, b = top(roots[i]), top(roots[j])
+            if j > i and a != b:
+                up[max(a, b)] = min(a, b)
+                links.append((a, b))
+    return links
+
+
+def open_links(bands: DataFrame, roots: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links (a, b) between roots that the lines of bands (id, k) make which hold lines of several roots (id, root).
+
+    Of bands with the same lines one is enough. A band's lines are dealt into blocks of about BLOCK, and
+    every block meets itself and each other: no pair is lost, and a pair of blocks gives only links that join two roots.
     """
-    named = members.join(stars, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = named.groupBy("t").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("set"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ = open_.where("low <> high").groupBy("n", "set").agg(F.min("t").alias("t")).select("t", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    held = texts.repartition("id").select("id", "size", _shingles().alias("y"))
-    dealt = named.join(open_, "t").join(held, "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
-    blocks = settle(dealt.groupBy("t", "blocks", "block").agg(F.collect_list(F.struct("id", "root", "size", "y")).alias("xs")))
-    later = blocks.select("t", "xs", F.explode(F.expr("sequence(block, blocks - 1)")).alias("block"))
-    met = later.join(blocks.select("t", "block", F.col("xs").alias("ys")), ["t", "block"]).repartition(parallelism(blocks.sparkSession))
-    before = F.transform(F.concat("xs", "ys"), lambda m: m["root"])
-    joined = met.select(F.explode(F.arrays_zip(before.alias("a"), _spanning(F.col("xs"), F.col("ys")).alias("b"))).alias("l"))
-    return joined.select("l.a", "l.b").where("a <> b").distinct()
+    named = bands.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = named.groupBy("k").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("set"), F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = groups.where("low <> high").groupBy("n", "set").agg(F.min("k").alias("k"))
+    named = settle(named.join(groups.select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "k"))
+    texts = texts_of(docs, named.select("id").distinct(), text)
+    dealt = named.join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    member = F.struct("id", "root", "line")
+    blocks = settle(dealt.groupBy("k", "blocks", "block").agg(F.collect_list(member).alias("xs")))
+    later = blocks.select("k", "xs", F.col("block").alias("own"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("block"))
+    met = later.join(blocks.select("k", "block", F.col("xs").alias("ys")), ["k", "block"]).repartition(parallelism(bands.sparkSession))
+    met = met.select("xs", F.when(F.col("own") < F.col("block"), F.col("ys")).otherwise(F.array().cast(blocks.schema["xs"].dataType)).alias("ys"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for row in range(batch.num_rows):
+                xs, ys = batch.column("xs")[row].as_py(), batch.column("ys")[row].as_py()
+                every = xs + ys
+                links += spanning_links([m["id"] for m in every], [m["root"] for m in every], [m["line"] for m in every], len(xs))
+            yield pa.RecordBatch.from_arrays([pa.array([l[i] for l in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return met.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def components_of(bands: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(id, root): lines linked to another, directly or over others, among those that share a band.
 
-    In a band of at most CROWD lines all meet. The lines of larger bands meet over their rare
-    shingles instead, which no similar pair lacks; a shingle that is crowded itself first meets
-    over two hubs, which settles variants of one line, and the rest meets block by block.
+    The lines of a band first meet its smallest id, which settles variants of one line. Bands that
+    still hold lines of several roots meet block by block, which loses no pair.
     """
-    pairs, crowd = all_pairs(bands.where(F.col("size") <= CROWD), "k"), bands.where(F.col("size") > CROWD).select("id").distinct()
-    pairs, crowd = settle(pairs), settle(crowd)
-    texts = texts_of(docs, settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd).distinct()), text)
-    tokens = settle(rare_shingles(texts.join(crowd, "id", "left_semi")))
-    groups = tokens.groupBy("t").agg(F.count("*").alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where("size > 1")
-    shared = settle(tokens.join(groups, "t"))
-    hubs = shared.where(F.col("size") > CROWD).select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
-    hubs = hubs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    every = pairs.unionByName(all_pairs(shared.where(F.col("size") <= CROWD), "t")).unionByName(hubs).distinct()
-    stars = components(linked_lines(texts, every)).withColumnRenamed("component_id", "root")
-    more = settle(crowd_links(shared.where(F.col("size") > CROWD).select("id", "t"), texts, stars))
+    hubs = bands.groupBy("k").agg(F.min("id").alias("a"))
+    pairs = settle(bands.join(hubs, "k").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), text)
+    texts, path = _kept(texts, "lines")
+    stars = components(linked_lines(texts, pairs)).withColumnRenamed("component_id", "root")
+    _discard(texts, path)
+    more = settle(open_links(bands, stars, docs, text))
     if more.isEmpty():
         return stars
     return components(more.unionByName(stars.select(F.col("id").alias("a"), F.col("root").alias("b")))).withColumnRenamed("component_id", "root")
@@ -179,9 +277,11 @@ def components_of(bands: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, root, first): lines that occur more than once or are linked, their component and the smallest key that holds it."""
-    signed = settle(signatures(docs, key, text))
-    roots = components_of(shared_bands(signed), docs, text)
-    named = signed.select("id", "first", "n").join(roots, "id", "left").where("n > 1 or root is not null")
+    signed, path = _kept(signatures(docs, key, text), "signatures")
+    bands = _kept(shared_bands(signed), "bands")[0]
+    lines = _kept(signed.groupBy("id").agg(F.min("key").alias("first"), F.count("*").alias("n")), "firsts")[0]
+    _discard(signed, path)
+    named = lines.join(components_of(bands, docs, text), "id", "left").where("n > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "id"))
     firsts = named.groupBy("root").agg(F.min("first").alias("first"))
     return named.select("id", "root").join(firsts, "root")

@@ -585,7 +585,12 @@ def test_op4_rows_of_one_key_and_of_none(spark):
                      (99, "only rows without a key hold this sentence"), (99, "only rows without a key hold this sentence\nand this")]
 
 
-def test_op4_shingles_beyond_the_basic_plane(spark):
+def test_op4_shingles_are_of_whole_characters_and_of_one_line():
     text = "".join(chr(0x1F600 + i) for i in range(7))
-    found = spark.createDataFrame([(text,), ("ab" + text[:3],), ("abcd",)], "line string").select(F.regexp_extract_all("line", F.lit(lines.SHINGLES), F.lit(1)).alias("s")).collect()
-    assert [r["s"] for r in found] == [[text[i:i + 5] for i in range(3)], ["ab" + text[:3]], []]
+    every = [text, "abcd", "ab" + text[:3], "", "abcdefg", "xbcde"]
+    hashes, counts = lines.shingle_hashes(every)
+    plain = [x[i:i + 5] for x in every for i in range(len(x) - 4)]
+    assert counts.tolist() == [3, 0, 1, 0, 3, 1] and len(set(hashes.tolist())) == len(set(plain)) == len(hashes)
+    alone = [h for x in every for h in lines.shingle_hashes([x])[0].tolist()]
+    assert hashes.tolist() == alone
+    assert (lines.band_hashes(every) == np.concatenate([lines.band_hashes([x]) for x in every])).all() and not lines.band_hashes(["abcd", ""]).any()
