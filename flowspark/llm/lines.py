@@ -20,6 +20,7 @@ SHINGLE = 5  # characters of a shingle, in signatures and in the exact compariso
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 5  # two lines of similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 5) ** 12 = 0.991
 BLOCK = 512  # lines of an unsettled band that meet at a time
+AGREEING = 34  # bins of BANDS * ROWS in which a pair must agree to be compared; at similarity 0.8 fewer have a probability of 1e-5
 FILTER_WORDS = 1 << 16  # 64-bit words of the filter that keeps texts out of a shuffle
 CHUNK = 1 << 20  # characters hashed at a time
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -82,8 +83,8 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 ASKED = np.argsort(np.random.default_rng(17).random((BANDS * ROWS, BANDS * ROWS)), axis=1)
 
 
-def band_hashes(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS): a hash per band of a line's minima; zeros for a line without a full shingle.
+def minima(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(least, counts): the least hash of every line in each of BANDS * ROWS bins, and how many shingles it has.
 
     One hash of a shingle gives its bin and its value. An empty bin takes the minimum of the first filled bin in its own
     fixed order, so two lines agree in a bin with a probability equal to their similarity, however short they are.
@@ -104,7 +105,12 @@ def band_hashes(lines: list[str]) -> np.ndarray:
                 break
             filled[empty] = given[:, ASKED[:, turn]][empty]
         least[few] = filled
-    band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), BANDS)).copy()
+    return least, counts
+
+
+def band_hashes(least: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(lines, BANDS): a hash per band of a line's minima; zeros for a line without a full shingle."""
+    band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(least), BANDS)).copy()
     for row in range(ROWS):
         band ^= least[:, row::ROWS]
         band *= np.uint64(0x9FB21C651E98DF25)
@@ -132,20 +138,23 @@ def lines_of(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, key, bands): every line with its bands; null for lines without a full shingle."""
+    """(id, key, bands, marks): every line with its bands, null for lines without a full shingle, and a byte of each minimum."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = batch.column("line").to_pylist()
             for start, end in _chunks(lines):
-                bands = band_hashes(lines[start:end])
+                least, counts = minima(lines[start:end])
+                bands = band_hashes(least, counts)
+                marks = [row.tobytes() for row in (least >> np.uint64(32)).astype(np.uint8)]
                 none = ~bands.any(axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()), mask=pa.array(none))
                 part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), lists], names=["id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), lists, pa.array(marks, pa.binary())],
+                                                     names=["id", "key", "bands", "marks"])
 
     lines = lines_of(docs, text, F.col(key).alias("key")).select("id", "key", "line")
     kind = docs.schema[key].dataType.simpleString()
-    return lines.mapInArrow(sign, f"id bigint, key {kind}, bands array<bigint>")
+    return lines.mapInArrow(sign, f"id bigint, key {kind}, bands array<bigint>, marks binary")
 
 
 def shared_bands(signed: DataFrame) -> DataFrame:
@@ -164,6 +173,18 @@ def _filter_words(ids: DataFrame) -> DataFrame:
     return ids.groupBy(F.expr(WORD_OF_ID).alias("w")).agg(F.expr(f"bit_or({BIT_OF_ID})").alias("bits"))
 
 
+def promising(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose minima agree in AGREEING bins or more, by the marks (id, marks) of their lines."""
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("x", "y"))
+            near = pa.array((x == y).sum(axis=1) >= AGREEING)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], names=["a", "b"])
+
+    left, right = (marks.select(F.col("id").alias(i), F.col("marks").alias(m)) for i, m in (("a", "x"), ("b", "y")))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(agree, "a bigint, b bigint")
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """(id, line): the wanted lines, once each."""
     words = _filter_words(wanted).hint("broadcast")
@@ -236,11 +257,11 @@ def open_links(bands: DataFrame, roots: DataFrame, docs: DataFrame, text: str) -
     named = bands.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = named.groupBy("k").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("set"), F.min("root").alias("low"), F.max("root").alias("high"))
     groups = groups.where("low <> high").groupBy("n", "set").agg(F.min("k").alias("k"))
-    named = settle(named.join(groups.select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "k"))
+    named = _kept(named.join(groups.select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "k"), "open")[0]
     texts = texts_of(docs, named.select("id").distinct(), text)
     dealt = named.join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
     member = F.struct("id", "root", "line")
-    blocks = settle(dealt.groupBy("k", "blocks", "block").agg(F.collect_list(member).alias("xs")))
+    blocks, path = _kept(dealt.groupBy("k", "blocks", "block").agg(F.collect_list(member).alias("xs")), "blocks")
     later = blocks.select("k", "xs", F.col("block").alias("own"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("block"))
     met = later.join(blocks.select("k", "block", F.col("xs").alias("ys")), ["k", "block"]).repartition(parallelism(bands.sparkSession))
     met = met.select("xs", F.when(F.col("own") < F.col("block"), F.col("ys")).otherwise(F.array().cast(blocks.schema["xs"].dataType)).alias("ys"))
@@ -254,22 +275,27 @@ def open_links(bands: DataFrame, roots: DataFrame, docs: DataFrame, text: str) -
                 links += spanning_links([m["id"] for m in every], [m["root"] for m in every], [m["line"] for m in every], len(xs))
             yield pa.RecordBatch.from_arrays([pa.array([l[i] for l in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return met.mapInArrow(meet, "a bigint, b bigint").distinct()
+    links = _kept(met.mapInArrow(meet, "a bigint, b bigint").distinct(), "links")[0]
+    _discard(blocks, path)
+    return links
 
 
-def components_of(bands: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def components_of(bands: DataFrame, docs: DataFrame, text: str, marks: DataFrame | None = None) -> DataFrame:
     """(id, root): lines linked to another, directly or over others, among those that share a band.
 
     The lines of a band first meet its smallest id, which settles variants of one line. Bands that
-    still hold lines of several roots meet block by block, which loses no pair.
+    still hold lines of several roots meet block by block, which loses no pair. With `marks` (id, marks) only
+    pairs with a hub that agree in enough minima are compared there.
     """
     hubs = bands.groupBy("k").agg(F.min("id").alias("a"))
-    pairs = settle(bands.join(hubs, "k").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    pairs = bands.join(hubs, "k").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pairs = _kept(promising(pairs, marks) if marks is not None else pairs, "pairs")[0]
     texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), text)
     texts, path = _kept(texts, "lines")
-    stars = components(linked_lines(texts, pairs)).withColumnRenamed("component_id", "root")
+    linked = _kept(linked_lines(texts, pairs), "linked")[0]
     _discard(texts, path)
-    more = settle(open_links(bands, stars, docs, text))
+    stars = components(linked).withColumnRenamed("component_id", "root")
+    more = open_links(bands, stars, docs, text)
     if more.isEmpty():
         return stars
     return components(more.unionByName(stars.select(F.col("id").alias("a"), F.col("root").alias("b")))).withColumnRenamed("component_id", "root")
@@ -280,8 +306,9 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     signed, path = _kept(signatures(docs, key, text), "signatures")
     bands = _kept(shared_bands(signed), "bands")[0]
     lines = _kept(signed.groupBy("id").agg(F.min("key").alias("first"), F.count("*").alias("n")), "firsts")[0]
+    marks = _kept(signed.join(bands.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "marks"), "marks")[0]
     _discard(signed, path)
-    named = lines.join(components_of(bands, docs, text), "id", "left").where("n > 1 or root is not null")
+    named = lines.join(components_of(bands, docs, text, marks), "id", "left").where("n > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "id"))
     firsts = named.groupBy("root").agg(F.min("first").alias("first"))
     return named.select("id", "root").join(firsts, "root")
