@@ -6,6 +6,7 @@ Signatures and exact comparisons run in Arrow batches; everything else is DataFr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,8 @@ BANDS, ROWS = 12, 5  # two lines of similarity 0.8 share a band with probability
 BLOCK = 512  # lines of an unsettled band that meet at a time
 AGREEING = 34  # bins of BANDS * ROWS in which a pair must agree to be compared; at similarity 0.8 fewer have a probability of 1e-5
 FILTER_WORDS = 1 << 16  # 64-bit words of the filter that keeps texts out of a shuffle
-CHUNK = 1 << 20  # characters hashed at a time
+CHUNK = 1 << 16  # characters hashed at a time, so that their hashes stay in a core's cache
+SEEN = 1 << 18  # lines of which a task remembers that it has signed them
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -93,18 +95,17 @@ def minima(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     bins = BANDS * ROWS
     least = np.full(len(lines) * bins, NONE)
     owner = np.repeat(np.arange(len(lines)), counts)
-    np.minimum.at(least, owner * bins + (h % np.uint64(bins)).astype(np.int64), h)
+    bin_of = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(least, owner * bins + bin_of, h)
     least = least.reshape(len(lines), bins)
-    few = np.flatnonzero((least == NONE).any(axis=1) & (counts > 0))
-    if len(few):
-        given = least[few]
-        filled = given.copy()
-        for turn in range(bins):
-            empty = filled == NONE
-            if not empty.any():
-                break
-            filled[empty] = given[:, ASKED[:, turn]][empty]
-        least[few] = filled
+    given = least.copy()
+    row, col = np.nonzero((given == NONE) & (counts > 0)[:, None])
+    for turn in range(bins):
+        if not len(row):
+            break
+        offered = given[row, ASKED[col, turn]]
+        least[row, col] = offered
+        row, col = row[offered == NONE], col[offered == NONE]
     return least, counts
 
 
@@ -138,19 +139,32 @@ def lines_of(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, key, bands, marks): every line with its bands, null for lines without a full shingle, and a byte of each minimum."""
+    """(id, key, bands, marks): every line with its bands, null for lines without a full shingle, and a byte of each minimum.
+
+    A line that the task has signed already, as far as it remembers, has neither bands nor marks again.
+    """
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            lines = batch.column("line").to_pylist()
+            ids = batch.column("id").to_pylist()
+            fresh = np.zeros(len(ids), bool)
+            for i, x in enumerate(ids):
+                if x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            if len(seen) > SEEN:
+                seen.clear()
+            at, lines = np.flatnonzero(fresh), batch.column("line").filter(pa.array(fresh)).to_pylist()
+            bands, marks = np.zeros((len(ids), BANDS), np.int64), [None] * len(ids)
             for start, end in _chunks(lines):
                 least, counts = minima(lines[start:end])
-                bands = band_hashes(least, counts)
-                marks = [row.tobytes() for row in (least >> np.uint64(32)).astype(np.uint8)]
-                none = ~bands.any(axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()), mask=pa.array(none))
-                part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), lists, pa.array(marks, pa.binary())],
-                                                     names=["id", "key", "bands", "marks"])
+                bands[at[start:end]] = band_hashes(least, counts)
+                for i, row in zip(at[start:end].tolist(), (least >> np.uint64(32)).astype(np.uint8)):
+                    marks[i] = row.tobytes()
+            none = ~bands.any(axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()), mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), lists, pa.array(marks, pa.binary())],
+                                             names=["id", "key", "bands", "marks"])
 
     lines = lines_of(docs, text, F.col(key).alias("key")).select("id", "key", "line")
     kind = docs.schema[key].dataType.simpleString()
@@ -158,10 +172,10 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shared_bands(signed: DataFrame) -> DataFrame:
-    """(id, k): the bands that several different lines have."""
-    keyed = signed.select("id", F.explode("bands").alias("k"))
+    """(id, k): the bands that several different lines have; one shuffle serves the aggregate, the join and the distinct rows."""
+    keyed = signed.select("id", F.explode("bands").alias("k")).repartition("k")
     shared = keyed.groupBy("k").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("k")
-    return keyed.join(shared, "k").distinct()
+    return keyed.join(shared.hint("shuffle_hash"), "k").distinct()
 
 
 WORD_OF_ID = f"cast(pmod(id, {FILTER_WORDS}) as int)"
@@ -248,18 +262,51 @@ def spanning_links(ids: list[int], roots: list[int], lines: list[str], first: in
     return links
 
 
-def open_links(bands: DataFrame, roots: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Links (a, b) between roots that the lines of bands (id, k) make which hold lines of several roots (id, root).
-
-    Of bands with the same lines one is enough. A band's lines are dealt into blocks of about BLOCK, and
-    every block meets itself and each other: no pair is lost, and a pair of blocks gives only links that join two roots.
+def agreeing(named: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of one band and different roots (id, k, root) that agree in AGREEING minima or more."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "id", "root")]
+                now.append(np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS))
+                held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if held is None or not len(held[0]):
+                continue
+            cut = len(held[0]) if batch is None else int(np.flatnonzero(held[0] == held[0][-1])[0])  # the last band may go on
+            (band, line, root, mark), held = [x[:cut] for x in held], [x[cut:] for x in held]
+            at, step, links = np.arange(cut), 1, [np.zeros((0, 2), np.int64)]
+            while len(at):
+                at = at[at + step < cut]
+                at = at[band[at] == band[at + step]]
+                far = at[root[at] != root[at + step]]
+                near = far[(mark[far] == mark[far + step]).sum(axis=1) >= AGREEING]
+                links.append(np.sort(np.stack([line[near], line[near + step]], axis=1), axis=1))
+                step += 1
+            found = np.concatenate(links)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in (0, 1)], names=["a", "b"])
+
+    rows = named.join(marks, "id").select("k", "id", "root", "marks").repartition("k").sortWithinPartitions("k")
+    return rows.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def open_links(bands: DataFrame, roots: DataFrame, texts: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that the lines of bands (id, k) make which hold lines of several roots (id, root).
+
+    Of bands with the same lines one is enough. With `marks`, bands of up to BLOCK lines send pairs of different roots that
+    agree in enough minima to the exact comparison, at most BLOCK / 2 a line. The lines of a larger band are dealt into
+    blocks of about BLOCK, and every block meets itself and each other: no pair is lost, and a pair of blocks gives only
+    links that join two roots.
     """
     named = bands.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = named.groupBy("k").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("set"), F.min("root").alias("low"), F.max("root").alias("high"))
     groups = groups.where("low <> high").groupBy("n", "set").agg(F.min("k").alias("k"))
     named = _kept(named.join(groups.select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "k"), "open")[0]
-    texts = texts_of(docs, named.select("id").distinct(), text)
-    dealt = named.join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    crowds = named if marks is None else named.where("blocks > 1")
+    small = None if marks is None else _kept(linked_lines(texts, _kept(agreeing(named.where("blocks = 1"), marks), "near")[0]), "links")[0]
+    if small is not None and crowds.isEmpty():
+        return small
+    dealt = crowds.join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
     member = F.struct("id", "root", "line")
     blocks, path = _kept(dealt.groupBy("k", "blocks", "block").agg(F.collect_list(member).alias("xs")), "blocks")
     later = blocks.select("k", "xs", F.col("block").alias("own"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("block"))
@@ -277,25 +324,24 @@ def open_links(bands: DataFrame, roots: DataFrame, docs: DataFrame, text: str) -
 
     links = _kept(met.mapInArrow(meet, "a bigint, b bigint").distinct(), "links")[0]
     _discard(blocks, path)
-    return links
+    return links if small is None else links.unionByName(small)
 
 
 def components_of(bands: DataFrame, docs: DataFrame, text: str, marks: DataFrame | None = None) -> DataFrame:
     """(id, root): lines linked to another, directly or over others, among those that share a band.
 
     The lines of a band first meet its smallest id, which settles variants of one line. Bands that
-    still hold lines of several roots meet block by block, which loses no pair. With `marks` (id, marks) only
-    pairs with a hub that agree in enough minima are compared there.
+    still hold lines of several roots go to `open_links`, which loses no pair. With `marks` (id, marks) only
+    pairs that agree in enough minima are compared, but for bands of over BLOCK lines.
     """
+    texts, path = _kept(texts_of(docs, bands.select("id").distinct(), text), "lines")
     hubs = bands.groupBy("k").agg(F.min("id").alias("a"))
     pairs = bands.join(hubs, "k").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     pairs = _kept(promising(pairs, marks) if marks is not None else pairs, "pairs")[0]
-    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), text)
-    texts, path = _kept(texts, "lines")
     linked = _kept(linked_lines(texts, pairs), "linked")[0]
-    _discard(texts, path)
     stars = components(linked).withColumnRenamed("component_id", "root")
-    more = open_links(bands, stars, docs, text)
+    more = open_links(bands, stars, texts, marks)
+    _discard(texts, path)
     if more.isEmpty():
         return stars
     return components(more.unionByName(stars.select(F.col("id").alias("a"), F.col("root").alias("b")))).withColumnRenamed("component_id", "root")
@@ -306,7 +352,10 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     signed, path = _kept(signatures(docs, key, text), "signatures")
     bands = _kept(shared_bands(signed), "bands")[0]
     lines = _kept(signed.groupBy("id").agg(F.min("key").alias("first"), F.count("*").alias("n")), "firsts")[0]
-    marks = _kept(signed.join(bands.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "marks"), "marks")[0]
+    banded = bands.select("id").distinct()
+    marked = signed.where("marks is not null").select("id", "marks").join(_filter_words(banded).hint("broadcast"), F.expr(f"{WORD_OF_ID} = w"))
+    marked = marked.where(f"bits & {BIT_OF_ID} <> 0").select("id", "marks").join(banded, "id", "left_semi")
+    marks = _kept(marked.dropDuplicates(["id"]), "marks")[0]
     _discard(signed, path)
     named = lines.join(components_of(bands, docs, text, marks), "id", "left").where("n > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", "id"))

@@ -268,9 +268,10 @@ def test_op4_crowds_of_families_equal_brute_force(spark, monkeypatch):
     # one band for all: what the crowd step makes of it is then exact
     bands = docs.select(F.xxhash64("text").alias("id"), F.lit(1).alias("k"), F.lit(len(rows)).alias("size"))
     number = {r["id"]: r["doc_id"] for r in docs.select("doc_id", F.xxhash64("text").alias("id")).collect()}
-    for block in (128, 32):
+    marks = lines.signatures(docs, "doc_id", "text").select("id", "marks").cache()
+    for block, by in ((128, None), (32, None), (1024, marks), (128, marks)):
         monkeypatch.setattr(lines, "BLOCK", block)
-        found = {number[r["id"]]: number[r["root"]] for r in lines.components_of(bands, docs, "text").collect()}
+        found = {number[r["id"]]: number[r["root"]] for r in lines.components_of(bands, docs, "text", by).collect()}
         assert len({roots[i] for i in roots}) > 150 and len(found) == sum(n for n in Counter(roots.values()).values() if n > 1)
         assert {frozenset(i for i in found if found[i] == r) for r in set(found.values())} == {frozenset(i for i in found if roots[i] == r) for r in {roots[i] for i in found}}
 
