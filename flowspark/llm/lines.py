@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +23,7 @@ BLOCK = 512  # lines of an unsettled band that meet at a time
 AGREEING = 34  # bins of BANDS * ROWS in which a pair must agree to be compared; at similarity 0.8 fewer have a probability of 1e-5
 FILTER_WORDS = 1 << 16  # 64-bit words of the filter that keeps texts out of a shuffle
 CHUNK = 1 << 16  # characters hashed at a time, so that their hashes stay in a core's cache
+PAIRS = 1 << 10  # pairs compared at a time
 SEEN = 1 << 18  # lines of which a task remembers that it has signed them
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -134,8 +134,8 @@ def _chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
 
 def lines_of(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
     """(columns, line, id): every line that is not blank."""
-    lines = docs.select(*columns, F.explode(F.split(F.col(text), "\n")).alias("line"))
-    return lines.withColumn("line", normalized(F.col("line"))).where("line <> ''").withColumn("id", F.xxhash64("line"))
+    lines = docs.select(*columns, F.explode(F.split(F.col(text), "\n")).alias("line")).where("trim(line) <> ''")
+    return lines.withColumn("line", normalized(F.col("line"))).withColumn("id", F.xxhash64("line"))
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -206,28 +206,38 @@ def texts_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return maybe.select("id", "line").join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
-def shingle_set(line: str) -> np.ndarray:
-    return np.unique(shingle_hashes([line])[0])
+def similar(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Which pairs of lines have a Jaccard similarity of THRESHOLD or more, for at most PAIRS pairs.
+
+    The pair's number and 54 bits of a shingle's hash make one number, so one sort finds what every pair shares.
+    """
+    sets = []
+    for lines in (xs, ys):
+        h, counts = shingle_hashes(lines)
+        pair = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
+        sets.append(np.unique(pair << np.uint64(54) | h >> np.uint64(10)))
+    both = np.sort(np.concatenate(sets))
+    n = len(xs)
+    common, x, y = (np.bincount((v >> np.uint64(54)).astype(np.int64), minlength=n) for v in (both[1:][both[1:] == both[:-1]], *sets))
+    return (common > 0) & (common >= THRESHOLD * (x + y - common))
 
 
 def linked_lines(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets of SHINGLE-character shingles have a Jaccard similarity of THRESHOLD or more."""
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hubs, keep = {}, []
-            for a, x, y in zip(batch["a"], batch["x"], batch["y"]):
-                if a not in hubs:
-                    hubs = {a: shingle_set(x)}  # pairs come sorted by `a`
-                s, t = hubs[a], shingle_set(y)
-                alike = min(len(s), len(t)) >= THRESHOLD * max(len(s), len(t), 1)
-                common = len(np.intersect1d(s, t, assume_unique=True)) if alike else 0
-                keep.append(alike and common >= THRESHOLD * (len(s) + len(t) - common))
-            yield batch.loc[keep, ["a", "b"]]
+            xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            keep = np.zeros(len(xs), bool)
+            for low, high in _chunks(xs):
+                for start in range(low, high, PAIRS):
+                    end = min(high, start + PAIRS)
+                    keep[start:end] = similar(xs[start:end], ys[start:end])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    met = pairs.join(right, "b").join(left, "a").sortWithinPartitions("a")
-    return met.select("a", "b", "x", "y").mapInPandas(compare, "a bigint, b bigint")
+    met = pairs.join(right, "b").join(left, "a")
+    return met.select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
 def spanning_links(ids: list[int], roots: list[int], lines: list[str], first: int) -> list[tuple[int, int]]:

@@ -586,6 +586,15 @@ def test_op4_rows_of_one_key_and_of_none(spark):
                      (99, "only rows without a key hold this sentence"), (99, "only rows without a key hold this sentence\nand this")]
 
 
+def test_op4_exact_comparison_equals_sets():
+    rng = np.random.default_rng(5)
+    xs = ["".join(rng.choice(list("abcd \U0001f600é"), n)) for n in rng.choice([0, 1, 4, 5, 6, 8, 30, 200], 900)]
+    ys = ["".join(rng.choice(list("abcd")) if rng.random() < 0.02 else c for c in x) for x in xs]
+    grams = lambda t: {t[i:i + 5] for i in range(len(t) - 4)}
+    want = [bool(grams(x) & grams(y)) and len(grams(x) & grams(y)) >= 0.8 * len(grams(x) | grams(y)) for x, y in zip(xs, ys)]
+    assert lines.similar(xs, ys).tolist() == want and 100 < sum(want) < 800
+
+
 def test_op4_shingles_are_of_whole_characters_and_of_one_line():
     text = "".join(chr(0x1F600 + i) for i in range(7))
     every = [text, "abcd", "ab" + text[:3], "", "abcdefg", "xbcde"]
