@@ -141,12 +141,9 @@ def population_diversity(masks: DataFrame, mask: str, by: Sequence[str] = ()) ->
 
     Ones times zeros per position counts the differing pairs, so no pair is formed.
     """
-    lengths = masks.withColumn("_len", F.size(mask))
-    sizes = lengths.groupBy(*by, "_len").agg(F.count(F.lit(1)).alias("_n"))
-    genes = lengths.select(*by, "_len", F.posexplode(mask).alias("_pos", "_bit"))
-    ones = genes.groupBy(*by, "_len", "_pos").agg(F.sum(F.col("_bit").cast("long")).alias("_ones"))
-    keys = [*by, "_len"]
-    apart = ones.join(sizes, keys).groupBy(*keys).agg(F.sum(F.col("_ones") * (F.col("_n") - F.col("_ones"))).alias("_apart"))
-    d = sizes.join(apart, keys, "left").withColumn("_pairs", F.col("_n") * (F.col("_n") - 1) / 2)
+    genes = masks.select(*by, F.size(mask).alias("_len"), F.posexplode_outer(mask).alias("_pos", "_bit"))
+    ones = genes.groupBy(*by, "_len", "_pos").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(F.col("_bit").cast("long")), F.lit(0)).alias("_ones"))
+    sizes = ones.groupBy(*by, "_len").agg(F.max("_n").alias("_n"), F.sum(F.col("_ones") * (F.col("_n") - F.col("_ones"))).alias("_apart"))
+    d = sizes.withColumn("_pairs", F.col("_n") * (F.col("_n") - 1) / 2)
     total = F.coalesce(F.try_divide(F.sum("_apart").cast("double"), F.sum("_pairs")), F.lit(0.0))
     return d.groupBy(*by).agg(total.alias("diversity"))
