@@ -17,7 +17,9 @@ from flowspark.session import parallelism, settle
 
 DEPTH = 10  # levels; a tree has at most 2 ** DEPTH leaves, so a model's size does not follow the rows
 SEED = 42  # fixed value: seed of the draws
-ROWS = 4096  # rows routed at a time
+ROWS = 8192  # rows routed at a time
+NODES = 64  # open nodes of a tree whose counts meet in one group
+SPANS = "t int, low binary, high binary"
 
 
 @dataclass
@@ -67,7 +69,7 @@ def grow(df: DataFrame, label: str, features: Sequence[str], trees: int = 200, d
     A level takes two passes over the settled rows. The first finds the least and greatest value of the features that each open node has
     drawn (the square root of all); a threshold is drawn between them. The second counts (tree, node, feature, side,
     class), and the feature with the largest fall in Gini impurity splits the node. Tasks route their rows and send back a few
-    numbers per open node; the choice of the split is an aggregate as well, so one row per node reaches the driver. A node is
+    numbers per open node, packed by tree; the choice of the split is an aggregate as well, so one split per node reaches the driver. A node is
     a leaf once it is pure, has fewer than `least_rows` rows, or its drawn features are constant.
     """
     names, spark = list(features), df.sparkSession
@@ -93,28 +95,33 @@ def grow(df: DataFrame, label: str, features: Sequence[str], trees: int = 200, d
         open_nodes = {t: np.array([n for _, n in group]) for t, group in groupby(live, key=itemgetter(0))}
         draws = {t: drawn(t, level, len(open_nodes[t]), d, take, seed) for t in open_nodes}
         picked = {t: draws[t][0] for t in draws}
-        router = Trees(names, [], model.feature[:, :2 << level], model.threshold[:, :2 << level], model.votes[:0])
+        router = Router.of(model, level)
         now = spark.sparkContext.broadcast((router, open_nodes, picked))  # bounded by trees and depth
 
         def spans(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             router, open_nodes, picked = now.value
-            low = {t: np.full(picked[t].shape, np.inf) for t in picked}
-            high = {t: np.full(picked[t].shape, -np.inf) for t in picked}
+            low = {t: np.full(picked[t].shape[::-1], np.inf) for t in picked}
+            high = {t: np.full(picked[t].shape[::-1], -np.inf) for t in picked}
             for x, _ in _batches(parts):
                 for t in picked:
-                    at, own = _places(router.nodes_of(x, t), open_nodes[t])
-                    values = x[own[:, None], picked[t][at]]
-                    np.minimum.at(low[t], at, values)
-                    np.maximum.at(high[t], at, values)
-            yield _frame((t, open_nodes[t], low[t], high[t]) for t in picked)
+                    at, _, values = router.drawn_values(x, t, open_nodes[t], picked[t])
+                    for j in range(take):
+                        np.minimum.at(low[t][j], at, values[j])
+                        np.maximum.at(high[t][j], at, values[j])
+            yield pd.DataFrame([(t, low[t].tobytes(), high[t].tobytes()) for t in picked], columns=["t", "low", "high"])
 
-        found = rows.mapInPandas(spans, "t int, node long, j int, low double, high double").groupBy("t", "node", "j").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        def widest(group: pd.DataFrame) -> pd.DataFrame:
+            ends = (np.stack([np.frombuffer(b) for b in group[c]]) for c in ("low", "high"))
+            return pd.DataFrame([(group["t"].iloc[0], next(ends).min(axis=0).tobytes(), next(ends).max(axis=0).tobytes())], columns=["t", "low", "high"])
+
+        found = rows.mapInPandas(spans, SPANS).groupBy("t").applyInPandas(widest, SPANS)
         cuts = {t: np.full(picked[t].shape, np.nan) for t in picked}
-        place = {t: {n: i for i, n in enumerate(open_nodes[t].tolist())} for t in open_nodes}
-        for r in found.where("low < high").collect():  # take rows per open node
-            spot = place[r["t"]][r["node"]], r["j"]
-            cut = r["low"] + draws[r["t"]][1][spot] * (r["high"] - r["low"])
-            cuts[r["t"]][spot] = cut if cut < r["high"] else r["low"]
+        for r in found.collect():  # two numbers per open node and drawn feature
+            low, high = (np.frombuffer(r[c]).reshape(take, -1).T for c in ("low", "high"))
+            wide = low < high
+            with np.errstate(invalid="ignore"):
+                cut = low + draws[r["t"]][1] * (high - low)
+            cuts[r["t"]] = np.where(wide, np.where(cut < high, cut, low), np.nan)
         now = spark.sparkContext.broadcast((router, open_nodes, picked, cuts))
 
         def sides(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,56 +129,81 @@ def grow(df: DataFrame, label: str, features: Sequence[str], trees: int = 200, d
             seen = {t: np.zeros(picked[t].size * 2 * k, np.int64) for t in picked}
             for x, y in _batches(parts):
                 for t in picked:
-                    at, own = _places(router.nodes_of(x, t), open_nodes[t])
-                    right = x[own[:, None], picked[t][at]] > cuts[t][at]
-                    cell = ((at[:, None] * picked[t].shape[1] + np.arange(picked[t].shape[1])) * 2 + right) * k + y[own, None]
-                    seen[t] += np.bincount(cell.ravel(), minlength=len(seen[t]))
-            out = []
+                    at, own, values = router.drawn_values(x, t, open_nodes[t], picked[t])
+                    for j in range(take):
+                        right = values[j] > cuts[t][:, j].take(at)
+                        seen[t] += np.bincount(((at * take + j) * 2 + right) * k + y[own], minlength=len(seen[t]))
+            wide = NODES * take * 2 * k
             for t in picked:
-                counts = seen[t].reshape(*picked[t].shape, 2 * k)
-                i, j = np.nonzero(counts.sum(axis=2) * ~np.isnan(cuts[t]))
-                out.append((np.full(len(i), t), open_nodes[t][i], j, picked[t][i, j], cuts[t][i, j], counts[i, j]))
-            columns = [np.concatenate(c) for c in zip(*out)]
-            if len(columns[0]):
-                yield pd.DataFrame(dict(zip(("t", "node", "j", "f", "cut"), columns)) | {"c": list(columns[5])})
-
-        counted = rows.mapInPandas(sides, "t int, node long, j int, f int, cut double, c array<long>")
-        sums = counted.groupBy("t", "node", "j", "f", "cut").agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(2 * k)])
-        left, right = ([F.col(f"c{i + s * k}").cast("double") for i in range(k)] for s in (0, 1))
-        spread = lambda c: sum(c[1:], c[0]) - F.try_divide(sum((x * x for x in c[1:]), c[0] * c[0]), sum(c[1:], c[0]))  # rows times impurity
-        both = [a + b for a, b in zip(left, right)]
-        gain = spread(both) - F.coalesce(spread(left), F.lit(0.0)) - F.coalesce(spread(right), F.lit(0.0))
-        best = sums.withColumn("gain", gain).groupBy("t", "node").agg(
-            F.max_by(F.struct("f", "cut", "gain", F.array(*[f"c{i}" for i in range(2 * k)]).alias("c")), F.struct("gain", -F.col("j"))).alias("b"))
+                yield pd.DataFrame([(t, c, cells.tobytes(), part[cells].tobytes()) for c, part in enumerate(np.split(seen[t], range(wide, len(seen[t]), wide)))
+                                    for cells in [np.flatnonzero(part)] if len(cells)], columns=["t", "part", "cells", "n"])
+
+        def choose(group: pd.DataFrame) -> pd.DataFrame:
+            t, part = int(group["t"].iloc[0]), int(group["part"].iloc[0])
+            cut = now.value[3][t][part * NODES:(part + 1) * NODES]
+            counts = np.zeros(cut.size * 2 * k)
+            for cells, n in zip(group["cells"], group["n"]):
+                counts[np.frombuffer(cells, np.int64)] += np.frombuffer(n, np.int64)
+            counts = counts.reshape(len(cut), take, 2, k)
+            gain = _spread(counts.sum(axis=2)) - _spread(counts[:, :, 0]) - _spread(counts[:, :, 1])
+            j = np.where(np.isnan(cut), -np.inf, gain).argmax(axis=1)  # the first drawn among equals
+            i = np.arange(len(cut))
+            return pd.DataFrame([(t, part, j.tobytes(), gain[i, j].tobytes(), counts[i, j].tobytes())], columns=["t", "part", "j", "gain", "c"])
+
+        counted = rows.mapInPandas(sides, "t int, part int, cells binary, n binary")
+        best = counted.groupBy("t", "part").applyInPandas(choose, "t int, part int, j binary, gain binary, c binary")
         weight = {}
-        for r in best.collect():
-            t, n, b = r["t"], r["node"], r["b"]
-            counts = np.array(b["c"], float).reshape(2, k)
-            if (counts.sum(axis=1) == 0).any():
-                continue
-            model.feature[t, n], model.threshold[t, n] = b["f"], b["cut"]
-            gains[t, b["f"]] += b["gain"]
+        for r in best.collect():  # one split per open node
+            t, j, gain = r["t"], np.frombuffer(r["j"], np.int64), np.frombuffer(r["gain"])
+            at, counts = np.arange(len(j)) + r["part"] * NODES, np.frombuffer(r["c"]).reshape(len(j), 2, k)
+            good = ~np.isnan(cuts[t][at, j]) & (counts.sum(axis=2) > 0).all(axis=1)
+            at, j, gain, counts = at[good], j[good], gain[good], counts[good]
+            nodes, f = open_nodes[t][at], picked[t][at, j]
+            model.feature[t, nodes], model.threshold[t, nodes] = f, cuts[t][at, j]
+            np.add.at(gains[t], f, gain)
             for side in (0, 1):
-                weight[t, 2 * n + side] = counts[side]
-                model.votes[t, 2 * n + side] = counts[side] / counts[side].sum()
+                model.votes[t, 2 * nodes + side] = counts[:, side] / counts[:, side].sum(axis=1, keepdims=True)
+                weight.update(zip(((t, n) for n in (2 * nodes + side).tolist()), counts[:, side]))
     each = gains / np.maximum(gains.sum(axis=1, keepdims=True), 1e-300)
     model.importance = each.sum(axis=0) / max(1, int((gains.sum(axis=1) > 0).sum()))
     return model
 
 
-def _places(nodes: np.ndarray, open_nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the rows in an open node: its place among them, and which rows they are."""
-    at = np.minimum(np.searchsorted(open_nodes, nodes), len(open_nodes) - 1)
-    own = np.flatnonzero(open_nodes[at] == nodes)
-    return at[own], own
+def _spread(counts: np.ndarray) -> np.ndarray:
+    """Rows times Gini impurity, by the counts of classes."""
+    n = counts.sum(axis=-1)
+    return n - (counts ** 2).sum(axis=-1) / np.maximum(n, 1)
+
 
+@dataclass
+class Router:
+    """The splits above a level, with a leaf's left side being itself and its threshold infinite, so that every row takes as many steps."""
 
-def _frame(found: Iterator[tuple]) -> pd.DataFrame:
-    out = []
-    for t, nodes, low, high in found:
-        i, j = np.nonzero(np.isfinite(low))
-        out.append((np.full(len(i), t), nodes[i], j, low[i, j], high[i, j]))
-    return pd.DataFrame(dict(zip(("t", "node", "j", "low", "high"), (np.concatenate(c) for c in zip(*out)))))
+    level: int
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+
+    @classmethod
+    def of(cls, model: Trees, level: int) -> Router:
+        feature = model.feature[:, :1 << level]
+        inner, numbers = feature >= 0, np.arange(1 << level)
+        return cls(level, np.maximum(feature, 0), np.where(inner, model.threshold[:, :1 << level], np.inf), np.where(inner, 2 * numbers, numbers))
+
+    def drawn_values(self, x: np.ndarray, tree: int, open_nodes: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray | slice, list[np.ndarray]]:
+        """Of the rows in an open node: its place among them, which rows they are, and their values of each feature the node has drawn."""
+        at, first, flat = np.ones(len(x), np.int64), np.arange(len(x)) * x.shape[1], x.ravel()
+        feature, threshold, left = self.feature[tree], self.threshold[tree], self.left[tree]
+        for _ in range(self.level):
+            at = left.take(at) + (flat.take(first + feature.take(at)) > threshold.take(at))
+        slot = np.full(2 << self.level, -1)
+        slot[open_nodes] = np.arange(len(open_nodes))
+        place = slot.take(at)
+        own: np.ndarray | slice = slice(None)
+        if (place < 0).any():
+            own = np.flatnonzero(place >= 0)
+            place, first = place[own], first[own]
+        return place, own, [flat.take(first + picked[:, j].take(place)) for j in range(picked.shape[1])]
 
 
 def predict(df: DataFrame, model: Trees, out: str = "prediction") -> DataFrame:

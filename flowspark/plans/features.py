@@ -22,6 +22,27 @@ from flowspark.session import settle
 SCORES = ("accuracy", "precision", "recall", "f1", "fpr", "fnr")  # metric columns of a result row
 
 
+def _train_and_test(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str], top: int, test_share: float) -> tuple[DataFrame, DataFrame]:
+    if len(features) < top:
+        raise ValueError(f"{len(features)} features, {top} asked for")
+    if class_counts(df, label).count() < 2:
+        raise ValueError("need at least two classes")
+    split = settle(stratified_split(df, label, keys, test_share))
+    return tuple(split.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+
+
+def _ranked(df: DataFrame, features: Sequence[str], model: extra_trees.Trees, top: int) -> DataFrame:
+    rows = [(f, i, float(v)) for i, (f, v) in enumerate(zip(features, model.importance))]
+    return importance_rank(df.sparkSession.createDataFrame(rows, "feature string, position int, importance double"), "importance", "position", top)
+
+
+def tree_ranking(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str], top: int = 20, trees: int = 200,
+                 depth: int = extra_trees.DEPTH, test_share: float = 0.2) -> DataFrame:
+    """The ranking of `tree_importance` without its result row, so without the trees of the folds."""
+    train, _ = _train_and_test(df, label, features, keys, top, test_share)
+    return _ranked(df, features, extra_trees.grow(train, label, features, trees, depth), top)
+
+
 def tree_importance(df: DataFrame, label: str, features: Sequence[str], keys: Sequence[str], top: int = 20, trees: int = 200,
                     depth: int = extra_trees.DEPTH, folds: int = 3, test_share: float = 0.2, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
     """Extremely randomized trees on the train side: (importance, rank and selection flag per feature, one result row).
@@ -29,19 +50,13 @@ def tree_importance(df: DataFrame, label: str, features: Sequence[str], keys: Se
     The result row has the mean metrics `cv_*` of folds of the train side, null when a class is too small for two, and the
     metrics `test_*` of the trees of the whole train side on the test side.
     """
-    if len(features) < top:
-        raise ValueError(f"{len(features)} features, {top} asked for")
-    if class_counts(df, label).count() < 2:
-        raise ValueError("need at least two classes")
-    split = settle(stratified_split(df, label, keys, test_share))
-    train, test = (split.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+    train, test = _train_and_test(df, label, features, keys, top, test_share)
     k = fold_count(train, label, folds)
     parts = settle(stratified_folds(train, label, keys, k)) if k else train
     sides = [(-1, train, test)] + [(f, parts.where(F.col("fold") != f), parts.where(F.col("fold") == f)) for f in range(k or 0)]
     with ThreadPoolExecutor(parallel) as pool:
         models = list(pool.map(lambda side: extra_trees.grow(side[1], label, features, trees, depth), sides))
-    rows = [(f, i, float(v)) for i, (f, v) in enumerate(zip(features, models[0].importance))]
-    ranked = importance_rank(df.sparkSession.createDataFrame(rows, "feature string, position int, importance double"), "importance", "position", top)
+    ranked = _ranked(df, features, models[0], top)
     cells = [confusion_counts(extra_trees.predict(held, model).where("prediction is not null"), label, "prediction").withColumn("fold", F.lit(f))
              for (f, _, held), model in zip(sides, models)]
     counts = settle(reduce(DataFrame.unionByName, cells))

@@ -225,3 +225,23 @@ def test_text_column_absent_from_the_test_side(spark):
     ready = prepare(train, train.drop("t"), "label", keys=["id"])
     assert {"t_x", "t_y"} <= set(ready.test.columns) and ready.test.count() == 12
     assert math.isclose(ready.test.agg(F.count_distinct("t_x")).first()[0], 1)
+
+
+def test_ranking_grows_the_train_side_once(blobs, monkeypatch):
+    grown, grow = [], extra_trees.grow
+    monkeypatch.setattr(extra_trees, "grow", lambda *a: grown.append(1) or grow(*a))
+    alone = selection.tree_ranking(blobs, "y", NAMES, ["id"], 1, trees=20, depth=4).orderBy("rank").collect()
+    assert len(grown) == 1
+    assert alone == selection.tree_importance(blobs, "y", NAMES, ["id"], 1, trees=20, depth=4)[0].orderBy("rank").collect()
+
+
+def test_extra_trees_route_like_the_model(blobs):
+    """Rows pass a fixed number of levels, leaves included, and end where the grown trees say."""
+    model = extra_trees.grow(blobs, "y", NAMES, 4, 5)
+    x = np.array([[r[n] for n in NAMES] for r in blobs.collect()])
+    router = extra_trees.Router.of(model, 5)
+    for t in range(4):
+        nodes = model.nodes_of(x, t)
+        deep = np.unique(nodes[nodes >= 32])
+        at, own, values = router.drawn_values(x, t, deep, np.zeros((len(deep), 1), int))
+        assert (deep[at] == nodes[nodes >= 32]).all() and (values[0] == x[nodes >= 32, 0]).all()
