@@ -32,7 +32,6 @@ WIDE = {
 TRIGGERS = {"email": "contains(t, '@') or contains(t, 'at') and contains(t, 'dot')", "ip": "t rlike '[0-9] ?[.,] ?[0-9]'", "card": "t rlike '[0-9][0-9 -]'", "phone": "t rlike '[0-9][0-9().+ -]'"}
 CONTEXT = 24  # characters before a span that features see
 CUES = r"(?i)(mail|contact|kontakt|correo|courriel|call|phone|tel|fon|mobil|fax|card|visa|carte|karte|tarjeta|host|server|addr|login|from)"
-FIT_ROWS = 20_000  # most candidates the trees are fitted on, chosen by hash
 PRECISION = 0.95  # of weak labels among the candidates accepted on the calibration half
 FEATURES = ("length", "digits", "groups", "longest", "variety", "plus", "paren", "blank", "hyphen", "dot", "comma", "at", "disguise",
             "cue", "glued_before", "glued_after", "is_email", "is_ip", "is_card", "is_phone")
@@ -106,15 +105,13 @@ def features(spans: DataFrame) -> DataFrame:
 def accepted(candidates: DataFrame) -> DataFrame:
     """Candidates with `weak` labels (1: a base span) that the calibrated trees accept, with `p`.
 
-    Half of at most FIT_ROWS candidates, by hash, train the trees; the other half sets the
+    The candidates of half the documents, by hash, train the trees; those of the other half set the
     threshold: the lowest score, in steps of a twentieth from a half, from which PRECISION of
     the candidates are base spans. Without both labels or such a threshold nothing is added.
     """
     spans = settle(candidates)
-    rows, share = spans.agg(F.count("*"), F.avg("weak")).first()
-    few = spans.where(F.pmod(F.xxhash64("key", "start", "kind"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / max(1, rows))))
     half = F.pmod(F.xxhash64("key", F.lit("half")), F.lit(2))
-    train = settle(features(few.where(half == 0)).select("features", F.col("weak").cast("double").alias("label")))
+    train = settle(features(spans.where(half == 0)).select("features", F.col("weak").cast("double").alias("label")))
     labels = train.agg(F.countDistinct("label")).first()[0]
     none = spans.where("false").withColumn("p", F.lit(0.0))
     if labels < 2:
@@ -122,7 +119,7 @@ def accepted(candidates: DataFrame) -> DataFrame:
     model = GBTClassifier(maxIter=10, maxDepth=3, seed=1, stepSize=0.3).fit(train)
     def scored(df: DataFrame) -> DataFrame:
         return model.transform(features(df)).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
-    bins = {r["b"]: (r["n"], r["good"]) for r in scored(few.where(half == 1)).groupBy(F.floor(F.col("p") * 20).cast("int").alias("b"))
+    bins = {r["b"]: (r["n"], r["good"]) for r in scored(spans.where(half == 1)).groupBy(F.floor(F.col("p") * 20).cast("int").alias("b"))
             .agg(F.count("*").alias("n"), F.sum("weak").alias("good")).collect()}
     threshold, n, good = None, 0, 0
     for b in range(20, 9, -1):
