@@ -2,7 +2,9 @@
 
 Training rows are grouped round pivots, about the square root of their number. A group can hold a
 neighbour only if the triangle inequality allows it, so each query row visits the groups that may
-matter: first the ones that certainly cover k rows, then those the found distance does not rule out.
+matter: first the ones that certainly cover k rows, then those the found distance does not rule out. Where that rules out little, as among
+vectors of many dimensions, a row per visit would be far more than the rows themselves: blocks of query rows then meet blocks of
+training rows, each within the distance its rows have found.
 Groups are cut into blocks of bounded size. A block keeps the k best rows so far while it goes through
 its rows in chunks, and returns k rows per query row, never its pairs; the best of all blocks are
 found by a window that cuts to k rows before its shuffle as well as behind it.
@@ -19,13 +21,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.operators.ordering import hash_key
-from flowspark.session import settle
+from flowspark.session import parallelism, settle
 
 BLOCK_ROWS = 20_000  # training rows in one block
 SLICE_ROWS = 20_000  # query rows that meet a block in one task
 CHUNK_ROWS = 4096  # training rows compared at a time
 NUMBERS = 4_000_000  # doubles in a temporary array
 MOST_PIVOTS = 1024
+SINGLE_ROWS = 32  # query rows whose manhattan distances are summed up at a time, so that they stay in the processor's cache
+DENSE = 0.25  # share of all visits of query rows to groups from which every block of rows meets every other instead
 SLACK = 1e-9  # room for rounding when a bound rules a group out
 
 
@@ -55,20 +59,66 @@ def _first_k(row: np.ndarray, far: np.ndarray, at: np.ndarray, k: int) -> tuple[
     return row[rank < k], far[rank < k], at[rank < k]
 
 
-def nearest_places(asked: np.ndarray, stored: np.ndarray, k: int, metric: str, p: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pair_distances(a: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.ndarray:
+    """Distances of the rows of one array to the same rows of another, as `distances` has them."""
+    gap = np.abs(a - b)
+    if metric == "euclidean":
+        return np.sqrt((gap ** 2).sum(axis=1))
+    return gap.sum(axis=1) if metric == "manhattan" else (gap ** p).sum(axis=1) ** (1.0 / p)
+
+
+def _near(a: np.ndarray, b: np.ndarray, metric: str, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """All distances but for rounding, cheaply, and how far off each row of them may be: by a matrix product, or in single precision."""
+    if metric == "euclidean":
+        square, other = (a ** 2).sum(axis=1), (b ** 2).sum(axis=1)
+        d = a @ b.T
+        d *= -2
+        d += square[:, None]
+        d += other[None, :]
+        off = 1e-12 * (square + other.max())  # of the squares, so its root of a distance near zero
+        return np.sqrt(np.maximum(d - off[:, None], 0, out=d), out=d), np.sqrt(2 * off)
+    if metric == "manhattan":
+        x, y = a.astype(np.float32), np.ascontiguousarray(b.T, dtype=np.float32)
+        d, gap = np.zeros((len(a), len(b)), np.float32), np.empty((SINGLE_ROWS, len(b)), np.float32)
+        for at in range(0, len(a), SINGLE_ROWS):
+            out = d[at:at + SINGLE_ROWS]
+            g = gap[:len(out)]
+            for i in range(a.shape[1]):
+                np.subtract(x[at:at + SINGLE_ROWS, i, None], y[i], out=g)
+                np.abs(g, out=g)
+                out += g
+        off = 1e-7 * (a.shape[1] + 4) * (np.abs(a).sum(axis=1) + np.abs(b).sum(axis=1).max())
+        d -= off.astype(np.float32)[:, None]
+        return d, 2 * off
+    return distances(a, b, metric, p), np.zeros(len(a))
+
+
+def nearest_places(asked: np.ndarray, stored: np.ndarray, k: int, metric: str, p: float,
+                   reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of asked, distance, place in stored) of the k nearest each, ties to the smaller place.
 
-    Only a chunk of distances and the best so far are held, whatever the sizes.
+    Only a chunk of distances and the best so far are held, whatever the sizes. Cheap lower bounds leave few pairs, whose distances are
+    then computed in full; `reach` is a distance per row beyond which nothing is wanted.
     """
     parts = []
-    step = max(1, NUMBERS // max(1, min(len(stored), CHUNK_ROWS) * stored.shape[1]))
+    step = max(1, NUMBERS // max(1, min(len(stored), CHUNK_ROWS)))
     for low in range(0, len(asked), step):
+        some = asked[low:low + step]
+        bound = np.full(len(some), np.inf) if reach is None else reach[low:low + step].astype(float)
         best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         for at in range(0, len(stored), CHUNK_ROWS):
-            d = distances(asked[low:low + step], stored[at:at + CHUNK_ROWS], metric, p)
-            bound = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1:][:, :1]
-            r, c = np.nonzero(~(d > bound))
-            best = _first_k(*(np.concatenate(x) for x in zip(best, (r, d[r, c], c + at))), k)
+            chunk = stored[at:at + CHUNK_ROWS]
+            lower, off = _near(some, chunk, metric, p)
+            if len(chunk) >= k and np.isinf(bound).any():
+                bound = np.fmin(bound, np.partition(lower, k - 1, axis=1)[:, k - 1] + off)
+            r, c = np.nonzero(~(lower > (bound * (1 + SLACK) + SLACK)[:, None]))
+            pairs = max(1, NUMBERS // max(1, stored.shape[1]))
+            d = [_pair_distances(some[r[i:i + pairs]], chunk[c[i:i + pairs]], metric, p) for i in range(0, len(r), pairs)]
+            best = _first_k(*(np.concatenate(x) for x in zip(best, (r, np.concatenate(d) if d else np.zeros(0), c + at))), k)
+            full = np.flatnonzero(np.bincount(best[0], minlength=len(some)) >= k)
+            last = np.zeros(len(some))
+            np.maximum.at(last, best[0], best[1])
+            bound[full] = np.fmin(bound[full], last[full])
         parts.append((best[0] + low, best[1], best[2]))
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else best_of_none()
 
@@ -154,11 +204,12 @@ def nearest_rows(queries: DataFrame, training: DataFrame, key: str, vector: str,
     def other_cells(v: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series(_in_chunks(v, len(ids), remaining(found.to_numpy())) if len(v) else [], dtype=object)
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:  # `found`, where a query row brings it, bounds what is wanted
         if left.empty or right.empty:
             return pd.DataFrame({"qkey": [], "distance": [], "tkey": [], "tlabel": []})
         right = right.sort_values("tkey", kind="stable")
-        row, far, at = nearest_places(_stack(left["vector"]), _stack(right["vector"]), k, metric, p)
+        reach = left["found"].to_numpy() if "found" in left else None
+        row, far, at = nearest_places(_stack(left["vector"]), _stack(right["vector"]), k, metric, p, reach)
         return pd.DataFrame({"qkey": left["qkey"].to_numpy()[row], "distance": far, "tkey": right["tkey"].to_numpy()[at], "tlabel": right["tlabel"].to_numpy()[at]})
 
     nearest_first = Window.partitionBy("qkey").orderBy("distance", "tkey")
@@ -175,10 +226,26 @@ def nearest_rows(queries: DataFrame, training: DataFrame, key: str, vector: str,
         found = asked.groupBy(*spots).cogroup(held.groupBy(*spots)).applyInPandas(best, candidate_schema)
         return settle(found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k))
 
+    def meet_all(asked: DataFrame, asked_rows: int) -> DataFrame:
+        """k best rows per query row, numbered, every block of BLOCK_ROWS training rows against every slice of SLICE_ROWS query rows."""
+        blocks, slices = max(1, -(-int(sizes.sum()) // BLOCK_ROWS)), max(1, -(-asked_rows // SLICE_ROWS))
+        if blocks * slices < parallelism(spark):
+            slices = -(-parallelism(spark) // blocks)
+        dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        left = asked.withColumn("slice", dealt("qkey", slices)).withColumn("block", every(blocks))
+        right = placed.select("tkey", "vector", "tlabel").withColumn("block", dealt("tkey", blocks)).withColumn("slice", every(slices))
+        found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(best, candidate_schema)
+        return settle(found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k))
+
     first = search(q.withColumn("cells", first_cells("vector")))
     reached = first.groupBy("qkey").agg(F.when(F.count(F.lit(1)) >= need, F.max("distance")).otherwise(float("inf")).alias("found"))
-    second = search(q.join(reached, "qkey").withColumn("cells", other_cells("vector", "found")))
-    final = first.unionByName(second).withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+    todo = settle(q.join(reached, "qkey").withColumn("cells", other_cells("vector", "found")))
+    visits, asked_rows = todo.agg(F.sum(F.size("cells")), F.count(F.lit(1))).first()
+    if (visits or 0) > DENSE * len(cells) * asked_rows:
+        final = meet_all(todo.drop("cells"), asked_rows)
+    else:
+        final = first.unionByName(search(todo.drop("found"))).withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
     return final.select(F.col("qkey").alias(key), "rank", "distance", F.col("tkey").alias("neighbor"), F.col("tlabel").alias("label"))
 
 
