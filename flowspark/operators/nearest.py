@@ -152,6 +152,19 @@ def _assign(df: DataFrame, pivots: np.ndarray, metric: str, p: float) -> DataFra
     return df.withColumn("_place", place("vector")).select("*", "_place.cell", "_place.radius").drop("_place")
 
 
+def _every_block(asked: DataFrame, asked_rows: int, held: DataFrame, held_rows: int):
+    """Slices of SLICE_ROWS query rows (`qkey`) cogrouped with each block of BLOCK_ROWS training rows (`tkey`)."""
+    wide = parallelism(asked.sparkSession)
+    blocks, slices = max(1, -(-held_rows // BLOCK_ROWS)), max(1, -(-asked_rows // SLICE_ROWS))
+    if blocks * slices < wide:
+        slices = -(-wide // blocks)
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asked.withColumn("slice", dealt("qkey", slices)).withColumn("block", every(blocks))
+    right = held.withColumn("block", dealt("tkey", blocks)).withColumn("slice", every(slices))
+    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice"))
+
+
 def nearest_rows(queries: DataFrame, training: DataFrame, key: str, vector: str, label: str, k: int, metric: str = "euclidean",
                  p: float = 2.0, pivots: int | None = None, seed: int = 42, block_rows: int = BLOCK_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The k nearest training rows of each query row: (key, distance, neighbor, label), ties by neighbor key.
@@ -228,14 +241,8 @@ def nearest_rows(queries: DataFrame, training: DataFrame, key: str, vector: str,
 
     def meet_all(asked: DataFrame, asked_rows: int) -> DataFrame:
         """k best rows per query row, numbered, every block of BLOCK_ROWS training rows against every slice of SLICE_ROWS query rows."""
-        blocks, slices = max(1, -(-int(sizes.sum()) // BLOCK_ROWS)), max(1, -(-asked_rows // SLICE_ROWS))
-        if blocks * slices < parallelism(spark):
-            slices = -(-parallelism(spark) // blocks)
-        dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-        left = asked.withColumn("slice", dealt("qkey", slices)).withColumn("block", every(blocks))
-        right = placed.select("tkey", "vector", "tlabel").withColumn("block", dealt("tkey", blocks)).withColumn("slice", every(slices))
-        found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(best, candidate_schema)
+        right = placed.select("tkey", "vector", "tlabel")
+        found = _every_block(asked, asked_rows, right, int(sizes.sum())).applyInPandas(best, candidate_schema)
         return settle(found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k))
 
     first = search(q.withColumn("cells", first_cells("vector")))
@@ -272,14 +279,73 @@ def knn_classify(queries: DataFrame, training: DataFrame, key: str, vector: str,
     return vote(nearest_rows(queries, training, key, vector, label, k, metric, p, **options), key, weights)
 
 
-def approximate_rows(queries: DataFrame, training: DataFrame, key: str, vector: str, threshold: float, bucket: float, tables: int = 3,
-                     seed: int = 42) -> DataFrame:
-    """Pairs within a euclidean distance by locality-sensitive hashing, for when a miss is allowed."""
+def _lsh(training: DataFrame, bucket: float, tables: int, seed: int):
     from pyspark.ml.feature import BucketedRandomProjectionLSH
+
+    return BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(training)
+
+
+def _side(df: DataFrame, key: str, vector: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    side = lambda d: d.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed)
-    model = lsh.fit(side(training))
-    found = model.approxSimilarityJoin(side(queries), side(training), threshold, "distance")
+    return df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+
+
+def approximate_rows(queries: DataFrame, training: DataFrame, key: str, vector: str, threshold: float, bucket: float, tables: int = 3,
+                     seed: int = 42) -> DataFrame:
+    """Pairs within a euclidean distance by locality-sensitive hashing, for when a miss is allowed."""
+    left, right = _side(queries, key, vector), _side(training, key, vector)
+    found = _lsh(right, bucket, tables, seed).approxSimilarityJoin(left, right, threshold, "distance")
     return found.select(F.col(f"datasetA.{key}").alias(key), F.col(f"datasetB.{key}").alias("neighbor"), "distance")
+
+
+def _closest_sharing(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The least distance, below the threshold, of each query row to a training row with a bucket in common."""
+    if left.empty or right.empty:
+        return pd.DataFrame({"qkey": [], "nearest": []})
+    asked, stored, mine, theirs = _stack(left["vector"]), _stack(right["vector"]), _stack(left["buckets"]), _stack(right["buckets"])
+    closest, pairs = np.full(len(asked), np.inf), max(1, NUMBERS // asked.shape[1])
+    step = max(1, NUMBERS // min(len(stored), CHUNK_ROWS))
+    for low in range(0, len(asked), step):
+        best = closest[low:low + step]
+        for at in range(0, len(stored), CHUNK_ROWS):
+            chunk, theirs_now = stored[at:at + CHUNK_ROWS], theirs[at:at + CHUNK_ROWS]
+            lower, _ = _near(asked[low:low + step], chunk, "euclidean", 2.0)
+            rows, places = np.nonzero(~(lower > np.minimum(best, threshold)[:, None] * (1 + SLACK) + SLACK))
+            for i in range(0, len(rows), pairs):
+                r, c = rows[i:i + pairs], places[i:i + pairs]
+                shared = (mine[low + r] == theirs_now[c]).any(axis=1)
+                r, c = r[shared], c[shared]
+                square = np.zeros(len(r))
+                for j in range(asked.shape[1]):  # in order, as MLlib adds
+                    square += (asked[low + r, j] - chunk[c, j]) ** 2
+                far = np.sqrt(square)
+                np.minimum.at(best, r[far < threshold], far[far < threshold])
+    some = np.isfinite(closest)
+    return pd.DataFrame({"qkey": left["qkey"].to_numpy()[some], "nearest": closest[some]})
+
+
+def approximate_nearest(queries: DataFrame, training: DataFrame, key: str, vector: str, threshold: float, bucket: float, tables: int = 3,
+                        seed: int = 42) -> DataFrame:
+    """(key, nearest): least distance of the pairs of `approximate_rows`, for query rows that have one.
+
+    Where buckets hold much of the table, their pairs are never rows: blocks of query rows meet blocks of training rows, and each returns one
+    row per query row. Few pairs are joined by their buckets.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    model = _lsh(_side(training, key, vector), bucket, tables, seed)
+
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        h = F.array(*[F.get(vector_to_array(F.get("h", F.lit(i))), F.lit(0)) for i in range(tables)])
+        return settle(model.transform(_side(df, key, vector)).select(F.col(key).alias(name), vector_to_array("v").alias("vector"), h.alias("buckets")))
+
+    left, right = hashed(queries, "qkey"), hashed(training, "tkey")
+    sizes = lambda d, n: d.select(F.posexplode("buckets").alias("table", "bucket")).groupBy("table", "bucket").agg(F.count(F.lit(1)).alias(n))
+    pairs = sizes(left, "a").join(sizes(right, "b"), ["table", "bucket"]).agg(F.sum(F.col("a").cast("double") * F.col("b"))).first()[0] or 0.0
+    asked_rows, held_rows = left.count(), right.count()
+    if pairs > DENSE * asked_rows * held_rows:
+        schema = f"qkey {dict(left.dtypes)['qkey']}, nearest double"
+        found = _every_block(left, asked_rows, right, held_rows).applyInPandas(lambda a, b: _closest_sharing(a, b, threshold), schema)
+        return found.groupBy(F.col("qkey").alias(key)).agg(F.min("nearest").alias("nearest"))
+    return approximate_rows(queries, training, key, vector, threshold, bucket, tables, seed).groupBy(key).agg(F.min("distance").alias("nearest"))

@@ -34,3 +34,20 @@ def test_rows_without_clusters_are_not_sent_once_a_visit(spark, monkeypatch):
     d = nearest.distances(x[:60], x[60:], "euclidean", 2.0)
     want = {(i, n + 1): int(j) + 60 for i in range(60) for n, j in enumerate(d[i].argsort(kind="stable")[:3])}
     assert {(r["id"], r["rank"]): r["neighbor"] for r in got} == want
+
+
+@pytest.mark.parametrize("bucket", [4.0, 0.2])
+def test_nearest_by_hashing_equals_its_pairs(spark, monkeypatch, bucket):
+    """Also where buckets hold most rows, and then without a row per pair."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    sides = df.where("id < 50"), df.where("id >= 50")
+    pairs = nearest.approximate_rows(*sides, "id", "v", 3.0, bucket)
+    want = {r["id"]: r["d"] for r in pairs.groupBy("id").agg(F.min("distance").alias("d")).collect()}
+    if bucket > 1:
+        monkeypatch.setattr(nearest, "approximate_rows", None)
+    got = nearest.approximate_nearest(*sides, "id", "v", 3.0, bucket)
+    assert want and {r["id"]: r["nearest"] for r in got.collect()} == want
