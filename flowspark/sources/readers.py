@@ -153,7 +153,9 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     line = F.col("line")
     for end in "\n\r":  # line ends come back before the other escapes, which an even number of backslashes tells apart
         line = F.regexp_replace(line, rf"(?<!\\)((?:\\\\)*)\\{'n' if end == chr(10) else 'r'}", "$1" + end)
-    line = F.regexp_replace(line, r"(^|,)(\s*)'\?'(?=\s*(,|$))", f"$1$2'{QUOTED}'")  # a quoted question mark is a text
+    line = F.when(F.contains("line", F.lit("\\")), line).otherwise(F.col("line"))  # a plain search spares most lines the patterns
+    marked = F.regexp_replace(line, r"(^|,)(\s*)'\?'(?=\s*(,|$))", f"$1$2'{QUOTED}'")  # a quoted question mark is a text
+    line = F.when(F.contains("line", F.lit("'?'")), marked).otherwise(line)
     parsed = F.from_csv(line, raw.simpleString()[7:-1].replace(":", " "), {
         "quote": "'", "escape": "\\", "nullValue": "?", "multiLine": "true",
         "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})

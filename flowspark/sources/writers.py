@@ -17,6 +17,9 @@ ARFF_RELATION = "converted_data"  # fixed value: relation name written
 EXTENSIONS = {"csv": ".csv", "txt": ".txt", "parquet": ".parquet", "arff": ".arff"}
 
 
+PLAIN = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)  # types whose text holds nothing to escape
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "ignore") -> None:
     """Header row, no index; an existing target is left alone. Quotes are doubled, blanks stay."""
     (df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
@@ -40,7 +43,7 @@ def write_arff(df: DataFrame, path: str) -> None:
 
     def quoted(name: str) -> Column:
         text = F.col(f"`{name}`").cast("string")
-        for plain, escaped in ARFF_ESCAPES:
+        for plain, escaped in ARFF_ESCAPES if not isinstance(df.schema[name].dataType, PLAIN) else ():
             text = F.replace(text, F.lit(plain), F.lit(escaped))
         return F.concat(F.lit("'"), text, F.lit("'"))
 
