@@ -17,10 +17,13 @@ from flowspark.llm.words import kept_by_worker, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # of a public tokenizer; every node has it or the driver alone
 SPACE = "▁"
 DROPOUT = 0.1
-CACHED = 300_000  # segments whose merge without dropout is remembered by a task
-MANY = 20_000  # segments merged at a time
+CACHED = 500_000  # cuts of segments that a task remembers
+MANY = 5_000  # segments merged at a time
+BLOCK = 1 << 15  # occurrences whose merges are asked for at a time, so that they stay in a core's cache
 SLICE = 2 << 20  # bytes of text encoded at a time
 MASK = (1 << 64) - 1
+PAIR_BITS = 18  # of the hash that finds a pair of symbols
+LETTERS = 1 << 9  # code points whose pairs are found by a table
 SHORT = 24  # characters up to which segments are merged many at a time
 NEVER = np.iinfo(np.int32).max
 
@@ -60,10 +63,41 @@ class Pieces:
         self.of_char[[ord(p) for p in ids if len(p) == 1]] = [i for p, i in ids.items() if len(p) == 1]
         rank = dict(zip(ids, np.unique([-scores[p] for p in ids], return_inverse=True)[1].tolist()))
         joins = sorted((ids[p[:k]] << 21 | ids[p[k:]], rank[p], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
-        self.pair_codes, self.pair_ranks, self.pair_results = (np.array(x, np.int64) for x in zip(*joins))
+        codes, ranks, results = (np.array(x, np.int64) for x in zip(*joins))
+        bucket = self._bucket(codes)
+        order = np.argsort(bucket, kind="stable")
+        self.pair_codes, self.pair_ranks, self.pair_results = codes[order], ranks[order].astype(np.int32), results[order].astype(np.int32)
+        in_bucket = np.bincount(bucket, minlength=1 << PAIR_BITS)
+        self.pair_first = (np.cumsum(in_bucket) - in_bucket).astype(np.int32) % len(codes)
+        self.pair_more = np.maximum(in_bucket - 1, 0).astype(np.uint8)
+        letters = np.arange(LETTERS)
+        letters[0] = ord(SPACE)  # in the place of the character 0
+        both = self.of_char[letters][:, None] << 21 | self.of_char[letters]
+        self.letter_pairs = self.pairs(both.ravel()).astype(np.int32)
         # no piece joins what lies on two sides of these cuts, so no merge does
         self.segments = re.compile(f"{SPACE}*[^{SPACE}{cut}]+|{SPACE}+" + (f"|[{cut}]" if cut else ""))
 
+    @staticmethod
+    def _bucket(codes: np.ndarray) -> np.ndarray:
+        return (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+    def pairs(self, codes: np.ndarray) -> np.ndarray:
+        """Places of pairs of symbols among those that a merge joins, -1 for others."""
+        bucket = self._bucket(codes)
+        at = self.pair_first[bucket]
+        missed = self.pair_codes[at] != codes
+        rest = np.flatnonzero(missed & (self.pair_more[bucket] > 0))
+        at[missed] = -1
+        step = 1
+        while len(rest):
+            place = self.pair_first[bucket[rest]] + step
+            hit = self.pair_codes[place] == codes[rest]
+            at[rest[hit]] = place[hit]
+            rest = rest[~hit]
+            rest = rest[self.pair_more[bucket[rest]] > step]
+            step += 1
+        return at
+
     @classmethod
     def load(cls, path: str) -> Pieces:
         import sentencepiece
@@ -102,64 +136,91 @@ class Pieces:
     def base(segment: str, key: int) -> int:
         return xxhash.xxh64_intdigest(segment.encode("utf-8", "surrogatepass"), key)
 
-    def merge_many(self, segments: list[str], dropout: float = 0.0, key: int = 0, base: np.ndarray | None = None, path: list | None = None) -> list[bytes]:
-        """`merge` of many short segments at once, as 32-bit ids: each round takes the best merge of every segment.
+    def merge_many(self, segments: list[str], dropout: float = 0.0, key: int = 0, base: np.ndarray | None = None) -> list[bytes]:
+        """`merge` of many short segments at once, as 32-bit ids."""
+        if dropout and base is None:
+            base = np.array([self.base(x, key) for x in segments], np.uint64)
+        flat, sizes, _, _ = self.merge_rows(segments, dropout, base)
+        ends = (4 * np.cumsum(sizes)).tolist()
+        flat = flat.tobytes()
+        return [flat[x:y] for x, y in zip([0, *ends], ends)]
+
+    def merge_rows(self, segments: list[str], dropout: float = 0.0, base: np.ndarray | None = None,
+                   without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many per segment, merges made, how many per segment): each round takes the best merge of every segment.
 
         A row per segment holds its symbols (a piece's id, or beyond them the code point of a
         character that is none), links to the next and previous symbol, and as agenda the rank
-        of the merge each symbol would make with the next. The merges made go to `path`, if
-        given, as pairs of arrays (row, what `skipped` hashes of both ends).
+        of the merge each symbol would make with the next. A merge is given as what `skipped` hashes of both its ends;
+        those in the segment's row of `without` are not made.
         """
         sizes = np.array([len(x) for x in segments])
         n, width, rows = len(segments), int(sizes.max()), np.arange(len(segments))
         bar = int(dropout * (1 << 32))
-        if base is None:
-            base = np.array([self.base(x, key) for x in segments], np.uint64) if bar else np.zeros(n, np.uint64)
         inside = np.arange(width) < sizes[:, None]
-        symbol = np.zeros((n, width), np.int64)
-        symbol[inside] = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        point = np.zeros((n, width), np.int64)
+        point[inside] = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbol = self.of_char[point]
         after = np.broadcast_to(np.arange(1, width + 1), (n, width)).copy()
         before = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
         stop = after.copy()  # where the symbol ends
-        agenda, result = np.full((n, width), NEVER, np.int32), np.zeros((n, width), np.int64)
-
-        def offer(r: np.ndarray, a: np.ndarray) -> None:
-            b = after[r, a]
-            fits = b < sizes[r]
-            agenda[r[~fits], a[~fits]] = NEVER
-            r, a, b = r[fits], a[fits], b[fits]
-            code = symbol[r, a] << 21 | symbol[r, b]
-            at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
-            hit = self.pair_codes[at] == code
+        agenda, result = np.full((n, width), NEVER, np.int32), np.zeros((n, width), np.int32)
+
+        def offer(r: np.ndarray, a: np.ndarray, at: np.ndarray | None = None) -> None:
+            if at is None:
+                b = after[r, a]
+                fits = b < sizes[r]
+                agenda[r[~fits], a[~fits]] = NEVER
+                r, a, b = r[fits], a[fits], b[fits]
+                at = self.pairs(symbol[r, a] << 21 | symbol[r, b])
+                end = stop[r, b]
+            else:
+                end = a + 2
+            hit = at >= 0
+            if bar or without is not None:
+                ends = both_ends(a, end)
             if bar:
-                ends = both_ends(a, stop[r, b])
                 hit &= ((base[r] ^ ends) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) >= bar
+            if without is not None:
+                hit &= (without[r] != ends[:, None]).all(axis=1)
             agenda[r, a] = np.where(hit, self.pair_ranks[at], NEVER)
             result[r, a] = self.pair_results[at]
 
-        r, a = np.nonzero(inside)
-        offer(r, a)
-        live = rows
+        low = np.where((point > 0) & (point < LETTERS), point, np.where(point == ord(SPACE), 0, -1))
+        pair = np.where(low[:, :-1] < 0, -1, low[:, :-1] * LETTERS + low[:, 1:])
+        found = self.letter_pairs[np.maximum(pair, 0)]
+        found[~inside[:, 1:]] = -1
+        other = np.nonzero(((low[:, :-1] < 0) | (low[:, 1:] < 0)) & inside[:, 1:])
+        found[other] = self.pairs(symbol[:, :-1][other] << 21 | symbol[:, 1:][other])
+        r, a = np.nonzero(found >= 0)
+        offer(r, a, found[r, a])
+        live, made = rows, [(rows[:0], np.zeros(0, np.uint64))]
         while len(live):
             a = agenda[live].argmin(axis=1)
             live, a = live[(found := agenda[live, a] < NEVER)], a[found]
             b = after[live, a]
             symbol[live, a], stop[live, a], after[live, a] = result[live, a], stop[live, b], after[live, b]
             agenda[live, b], inside[live, b] = NEVER, False
-            if path is not None:
-                path.append((live, both_ends(a, stop[live, a])))
+            made.append((live, both_ends(a, stop[live, a])))
             has_next = after[live, a] < sizes[live]
             before[live[has_next], after[live, a][has_next]] = a[has_next]
             offer(live, a)
             has_last = before[live, a] >= 0
             offer(live[has_last], before[live, a][has_last])
-        ends = (4 * np.cumsum(inside.sum(axis=1))).tolist()
-        flat = symbol[inside].astype("<i4").tobytes()
-        out = [flat[x:y] for x, y in zip([0, *ends], ends)]
-        for i in np.flatnonzero(((symbol >= len(self.table)) & inside).any(axis=1)).tolist():  # characters that are no piece
-            out[i] = packed([y for x in symbol[i, inside[i]].tolist() for y in ([x] if x < len(self.table) else
-                             [self.byte_ids[z] for z in chr(x - len(self.table)).encode("utf-8", "surrogatepass")])])
-        return out
+        row, ends = (np.concatenate(x) for x in zip(*made))
+        flat, left = symbol[inside], inside.sum(axis=1)
+        bare = np.flatnonzero(flat >= len(self.table))  # characters that are no piece
+        if len(bare):
+            as_bytes = [[self.byte_ids[z] for z in chr(x - len(self.table)).encode("utf-8", "surrogatepass")] for x in flat[bare].tolist()]
+            each = np.ones(len(flat), np.int64)
+            each[bare] = [len(x) for x in as_bytes]
+            owner = np.repeat(rows, left)
+            left = np.bincount(owner, weights=each, minlength=n).astype(np.int64)
+            is_bare = np.zeros(len(flat), bool)
+            is_bare[bare] = True
+            flat, is_bare = np.repeat(flat, each), np.repeat(is_bare, each)
+            flat[is_bare] = list(chain.from_iterable(as_bytes))
+        return flat.astype("<i4"), left, ends[np.argsort(row, kind="stable")], np.bincount(row, minlength=n)
 
     def _merge_heap(self, segment: str, bar: int, base: int) -> list[str]:
         """Agenda as a heap, for segments of any length."""
@@ -195,71 +256,172 @@ class Pieces:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+class Grown:
+    """A vector that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.held, self.size = np.empty(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.held):
+            more = np.empty(max(end, 2 * len(self.held)), self.held.dtype)
+            more[:self.size] = self.held[:self.size]
+            self.held = more
+        self.held[self.size:end] = values
+        self.size = end
+
+
+class Cuts(dict):
+    """Cuts of segments, by number: segment -> the number of its cut without dropout.
+
+    Skipping a merge that is not made changes nothing. So a cut knows the merges it made, and for each of them, once asked
+    for, the cut that comes about without that merge and those that its own way leads round.
+    """
+
+    def __init__(self, pieces: Pieces, whole: bool):
+        super().__init__()
+        self.pieces, self.whole = pieces, whole  # whether segments of any length are cut, or those up to SHORT only
+        self.text: list[str] = []
+        self.ids, self.made, self.other = Grown(np.int32), Grown(np.uint64), Grown(np.int32)
+        self.ids_at, self.n_ids, self.made_at, self.n_made = (Grown(np.int64) for _ in range(4))
+        self.origin, self.avoided, self.before = Grown(np.int64), Grown(np.uint64), Grown(np.int64)
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = number = len(self.text)
+        self.text.append(segment)
+        return number
+
+    def settle(self) -> None:
+        """Cut the segments numbered last."""
+        n = len(self.text) - self.n_ids.size
+        if n:
+            self._append(np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.int64), None)
+
+    def without(self, cut: np.ndarray, at: np.ndarray, depth: int) -> None:
+        """Add the cuts that avoid the made merge `at` of each of these cuts, which avoid `depth` merges already."""
+        avoided, up = [self.made.held[at]], cut
+        for _ in range(depth):
+            avoided.append(self.avoided.held[up])
+            up = self.origin.held[up]
+        self.other.held[at] = np.arange(len(self.text), len(self.text) + len(at))
+        self.text += [self.text[i] for i in cut.tolist()]
+        self._append(cut, avoided[0], self.before.held[cut] + at - self.made_at.held[cut], np.stack(avoided, axis=1))
+
+    def _append(self, origin: np.ndarray, avoided: np.ndarray, before: np.ndarray, without: np.ndarray | None) -> None:
+        """`before`: made merges that are as in the cut it comes from, and known not to be skipped."""
+        texts = self.text[self.n_ids.size:]
+        sizes = np.array([len(x) for x in texts])
+        order = np.argsort(sizes, kind="stable")
+        n_ids, n_made = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        ids_at, made_at = n_ids.copy(), n_made.copy()
+        if self.whole:
+            for i in np.flatnonzero(sizes > SHORT).tolist():
+                ids = self.pieces.merge(texts[i])
+                ids_at[i], n_ids[i] = self.ids.size, len(ids)
+                self.ids.add(ids)
+        order = order[(sizes[order] > 0) & (sizes[order] <= SHORT)]
+        step = max(1, min(MANY, -(-len(order) // 2)))  # shorter ones apart from longer ones
+        for start in range(0, len(order), step):
+            some = order[start:start + step]
+            ids, each, ends, merges = self.pieces.merge_rows([texts[i] for i in some.tolist()], without=without if without is None else without[some])
+            ids_at[some], n_ids[some] = self.ids.size + np.cumsum(each) - each, each
+            self.ids.add(ids)
+            owner = np.repeat(np.arange(len(some)), merges)
+            begin = np.cumsum(merges) - merges
+            ends = ends[np.arange(len(ends)) - begin[owner] >= before[some][owner]]
+            merges = merges - before[some]
+            made_at[some], n_made[some] = self.made.size + np.cumsum(merges) - merges, merges
+            self.made.add(ends)
+            self.other.add(np.full(len(ends), -1, np.int32))
+        for i in np.flatnonzero(sizes == 0).tolist():  # a U+2581 of the text itself
+            ids_at[i], n_ids[i] = self.ids.size, len(SPACE.encode())
+            self.ids.add([self.pieces.byte_ids[x] for x in SPACE.encode()])
+        for grown, values in ((self.ids_at, ids_at), (self.n_ids, n_ids), (self.made_at, made_at), (self.n_made, n_made),
+                              (self.origin, origin), (self.avoided, avoided), (self.before, before)):
+            grown.add(values)
+
+
 class Encoder:
     """Encodes texts, every occurrence of a segment with a dropout of its own.
 
-    Short segments are remembered as merged without dropout, with the merges made. Skipping a
-    merge that is not made changes nothing, so only occurrences for which the hash skips a
-    made one are merged again.
+    An occurrence starts from its segment's cut without dropout; the first made merge that its hash skips leads on to the
+    cut without it, whose later merges are asked next, until none is skipped. Cuts are remembered, so that a merge runs
+    once for all occurrences that skip the same merges, many at a time.
     """
 
     def __init__(self, pieces: Pieces, dropout: float):
-        self.pieces, self.dropout, self.known, self.paths = pieces, dropout, {}, {}
-
-    def _remember(self, segments: list[str]) -> None:
-        for at in range(0, len(segments), MANY):
-            part = sorted(segments[at:at + MANY], key=len)
-            for some in (part[: len(part) // 2], part[len(part) // 2:]):
-                if some:
-                    path: list = []
-                    self.known.update(zip(some, self.pieces.merge_many(some, path=path)))
-                    row, ends = (np.concatenate(x) for x in zip(*path)) if path else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-                    cuts = np.cumsum(np.bincount(row, minlength=len(some)))[:-1]
-                    self.paths.update(zip(some, np.split(ends[np.argsort(row, kind="stable")], cuts)))
-
-    def _skips(self, number: np.ndarray, paths: list[np.ndarray], base: np.ndarray) -> np.ndarray:
-        """Places of the occurrences that lose a made merge."""
-        sizes = np.array([len(p) for p in paths], np.int64)
-        start, each = np.cumsum(sizes) - sizes, sizes[number]
-        owner = np.repeat(np.arange(len(number)), each)
-        at = np.arange(len(owner)) + np.repeat(start[number] - (np.cumsum(each) - each), each)
-        hashed = (base[owner] ^ np.concatenate(paths)[at]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
-        return np.unique(owner[hashed < np.uint64(int(self.dropout * (1 << 32)))])
-
-    def encode(self, texts: list[str | None], docs: list[int]) -> list[bytes | None]:
-        """32-bit ids of each text, with its document's hash in `docs`. A U+2581 of the text itself becomes bytes, so that decoding tells it from a space."""
-        pieces, known, paths = self.pieces, self.known, self.paths
-        parts = [(SPACE + t).replace(" ", SPACE) if t and SPACE not in t else None for t in texts]
-        cut = [pieces.segments.findall(p) if p else [] for p in parts]
-        for i, t in enumerate(texts):
-            if t and SPACE in t:
+        self.pieces, self.dropout, self.cuts = pieces, dropout, Cuts(pieces, not dropout)
+
+    def _settle(self, number: np.ndarray, base: np.ndarray) -> None:
+        """Replace the number of each occurrence's cut without dropout by that of its own."""
+        cuts, bar = self.cuts, np.uint64(int(self.dropout * (1 << 32)))
+        asked, depth = np.arange(len(number)), 0
+        while len(asked):
+            losing, lost = [], []
+            for start in range(0, len(asked), BLOCK):
+                some = asked[start:start + BLOCK]
+                own, at, left = base[some], cuts.made_at.held[number[some]], cuts.n_made.held[number[some]]
+                live = np.flatnonzero(left > 0)
+                while len(live):
+                    place = at[live]
+                    hit = (own[live] ^ cuts.made.held[place]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32) < bar
+                    losing.append(some[live[hit]])
+                    lost.append(place[hit])
+                    live = live[~hit]
+                    at[live] += 1
+                    left[live] -= 1
+                    live = live[left[live] > 0]
+            if not losing:
+                break
+            asked, lost = np.concatenate(losing), np.concatenate(lost)
+            fresh = cuts.other.held[lost] < 0
+            if fresh.any():
+                places, first = np.unique(lost[fresh], return_index=True)
+                cuts.without(number[asked[fresh][first]], places, depth)
+            number[asked] = cuts.other.held[lost]
+            depth += 1
+
+    def flat(self, texts: list[str | None], docs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has), with every document's hash in `docs`; a null text has none."""
+        find = self.pieces.segments.findall
+        found = []
+        for t in texts:
+            if t and SPACE in t:  # a U+2581 of the text itself becomes bytes, so that decoding tells it from a space
                 first, *rest = t.split(SPACE)
-                cut[i] = pieces.segments.findall(SPACE + first.replace(" ", SPACE))
+                found.append(find(SPACE + first.replace(" ", SPACE)))
                 for part in rest:
-                    cut[i] += [""] + pieces.segments.findall(part.replace(" ", SPACE))
-        if len(known) > CACHED:
-            known.clear()
-            paths.clear()
-        known[""], paths[""] = packed([pieces.byte_ids[x] for x in SPACE.encode()]), np.zeros(0, np.uint64)
-        words, counts = list(chain.from_iterable(cut)), np.array([len(c) for c in cut], np.int64)
-        distinct = {x: i for i, x in enumerate(dict.fromkeys(words))}
-        self._remember([x for x in distinct if len(x) <= SHORT and x not in known])
+                    found[-1] += [""] + find(part.replace(" ", SPACE))
+            else:
+                found.append(find((SPACE + t).replace(" ", SPACE)) if t else [])
+        if len(self.cuts.text) > CACHED:
+            self.cuts = Cuts(self.pieces, not self.dropout)
+        cuts, counts = self.cuts, np.array([len(x) for x in found], np.int64)
+        words = list(chain.from_iterable(found))
+        number = np.fromiter(map(cuts.__getitem__, words), np.int64, len(words))
+        cuts.settle()
         starts = np.cumsum(counts) - counts
-        base = occurrence_bases(np.repeat(np.array(docs, np.uint64), counts), np.arange(len(words)) - np.repeat(starts, counts))
-        long = {x: packed(pieces.merge(x)) for x in distinct if len(x) > SHORT} if not self.dropout else {}
-        number = np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))
-        done = list(map([known.get(x) or long.get(x) for x in distinct].__getitem__, number.tolist()))
+        at, sizes, kept = cuts.ids_at.held[number], cuts.n_ids.held[number], cuts.ids.size
         if self.dropout and words:
-            none, sizes = paths[""], np.array([len(x) for x in distinct])
-            again = self._skips(number, [paths.get(x, none) for x in distinct], base)
-            again = again[np.argsort(sizes[number[again]], kind="stable")].tolist()
-            for at in range(0, len(again), MANY):
-                some = again[at:at + MANY]
-                for i, ids in zip(some, pieces.merge_many([words[i] for i in some], self.dropout, base=base[some])):
-                    done[i] = ids
-            for i in np.flatnonzero(sizes[number] > SHORT).tolist():
-                done[i] = packed(pieces.merge(words[i], self.dropout, base=int(base[i])))
-        return [None if t is None else b"".join(done[at:at + n]) for t, at, n in zip(texts, starts.tolist(), counts.tolist())]
+            base = occurrence_bases(np.repeat(np.array(docs, np.uint64), counts), np.arange(len(words)) - np.repeat(starts, counts))
+            long = np.flatnonzero(sizes == 0).tolist()
+            self._settle(number, base)
+            at, sizes, kept = cuts.ids_at.held[number], cuts.n_ids.held[number], cuts.ids.size
+            for i in long:
+                ids = self.pieces.merge(words[i], self.dropout, base=int(base[i]))
+                at[i], sizes[i] = cuts.ids.size, len(ids)
+                cuts.ids.add(ids)
+        ends = np.cumsum(sizes)
+        ids = cuts.ids.held[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - (ends - sizes), sizes)]
+        cuts.ids.size = kept
+        before = np.concatenate([[0], ends])
+        return ids, before[starts + counts] - before[starts]
+
+    def encode(self, texts: list[str | None], docs: list[int]) -> list[bytes | None]:
+        """32-bit ids of each text, with its document's hash in `docs`."""
+        ids, sizes = self.flat(texts, docs)
+        flat, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [None if t is None else flat[x:y] for t, x, y in zip(texts, [0, *ends], ends)]
 
 
 def _pieces(spark: SparkSession, path: str):
@@ -295,14 +457,13 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
             copies = batch.column(len(kept)).to_pylist() if copy else [0] * len(texts)
             hashes = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest(f"{seed}:{k}:{c}"))
                       for t, k, c in zip(texts, batch.column(at_key).to_pylist(), copies)]
-            ids = encoder.encode(texts, hashes)
-            sizes = np.array([0 if x is None else len(x) // 4 for x in ids], np.int32)
-            flat = np.frombuffer(b"".join(x for x in ids if x), "<i4")
+            flat, sizes = encoder.flat(texts, hashes)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            missing = pa.array([x is None for x in ids]) if any(x is None for x in ids) else None
-            columns = [*batch.columns[:len(kept)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=missing), pa.array(sizes)]
+            missing = pa.array([t is None for t in texts]) if None in texts else None
+            columns = [*batch.columns[:len(kept)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=missing), pa.array(sizes.astype(np.int32))]
             if check:
-                columns.append(pa.array([x is None or pieces.decode(np.frombuffer(x, "<i4").tolist()) == t for x, t in zip(ids, texts)]))
+                ends, all_ids = offsets.tolist(), flat.tolist()
+                columns.append(pa.array([t is None or pieces.decode(all_ids[x:y]) == t for t, x, y in zip(texts, ends, ends[1:])]))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [*kept, "ids", "n_pieces"] + ["lossless"] * check
