@@ -17,10 +17,10 @@ from flowspark.llm.words import kept_by_worker, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # of a public tokenizer; every node has it or the driver alone
 SPACE = "▁"
 DROPOUT = 0.1
-CACHED = 500_000  # cuts of segments that a task remembers
+CACHED = 200_000  # cuts of segments that a task remembers
 MANY = 5_000  # segments merged at a time
 BLOCK = 1 << 15  # occurrences whose merges are asked for at a time, so that they stay in a core's cache
-SLICE = 2 << 20  # bytes of text encoded at a time
+SLICE = 1 << 20  # bytes of text encoded at a time
 MASK = (1 << 64) - 1
 PAIR_BITS = 18  # of the hash that finds a pair of symbols
 LETTERS = 1 << 9  # code points whose pairs are found by a table
@@ -284,8 +284,8 @@ class Cuts(dict):
         self.pieces, self.whole = pieces, whole  # whether segments of any length are cut, or those up to SHORT only
         self.text: list[str] = []
         self.ids, self.made, self.other = Grown(np.int32), Grown(np.uint64), Grown(np.int32)
-        self.ids_at, self.n_ids, self.made_at, self.n_made = (Grown(np.int64) for _ in range(4))
-        self.origin, self.avoided, self.before = Grown(np.int64), Grown(np.uint64), Grown(np.int64)
+        self.ids_at, self.n_ids, self.made_at, self.n_made = (Grown(np.int32) for _ in range(4))
+        self.origin, self.avoided, self.before = Grown(np.int32), Grown(np.uint64), Grown(np.int32)
 
     def __missing__(self, segment: str) -> int:
         self[segment] = number = len(self.text)
@@ -351,7 +351,11 @@ class Encoder:
     """
 
     def __init__(self, pieces: Pieces, dropout: float):
-        self.pieces, self.dropout, self.cuts = pieces, dropout, Cuts(pieces, not dropout)
+        self.pieces, self.dropout = pieces, dropout
+        self.forget()
+
+    def forget(self) -> None:
+        self.cuts = Cuts(self.pieces, not self.dropout)
 
     def _settle(self, number: np.ndarray, base: np.ndarray) -> None:
         """Replace the number of each occurrence's cut without dropout by that of its own."""
@@ -395,18 +399,18 @@ class Encoder:
             else:
                 found.append(find((SPACE + t).replace(" ", SPACE)) if t else [])
         if len(self.cuts.text) > CACHED:
-            self.cuts = Cuts(self.pieces, not self.dropout)
+            self.forget()
         cuts, counts = self.cuts, np.array([len(x) for x in found], np.int64)
         words = list(chain.from_iterable(found))
         number = np.fromiter(map(cuts.__getitem__, words), np.int64, len(words))
         cuts.settle()
         starts = np.cumsum(counts) - counts
-        at, sizes, kept = cuts.ids_at.held[number], cuts.n_ids.held[number], cuts.ids.size
+        at, sizes, kept = cuts.ids_at.held[number], cuts.n_ids.held[number].astype(np.int64), cuts.ids.size
         if self.dropout and words:
             base = occurrence_bases(np.repeat(np.array(docs, np.uint64), counts), np.arange(len(words)) - np.repeat(starts, counts))
             long = np.flatnonzero(sizes == 0).tolist()
             self._settle(number, base)
-            at, sizes, kept = cuts.ids_at.held[number], cuts.n_ids.held[number], cuts.ids.size
+            at, sizes, kept = cuts.ids_at.held[number], cuts.n_ids.held[number].astype(np.int64), cuts.ids.size
             for i in long:
                 ids = self.pieces.merge(words[i], self.dropout, base=int(base[i]))
                 at[i], sizes[i] = cuts.ids.size, len(ids)
@@ -465,6 +469,7 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
                 ends, all_ids = offsets.tolist(), flat.tolist()
                 columns.append(pa.array([t is None or pieces.decode(all_ids[x:y]) == t for t, x, y in zip(texts, ends, ends[1:])]))
             yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.forget()  # the worker goes on with other work
 
     names = [*kept, "ids", "n_pieces"] + ["lossless"] * check
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -21,9 +21,11 @@ FIT_ROWS = 100_000  # labelled texts, about, that lexicons, label model and clas
 LEXICONS = 6  # lexicon voters per kind of term
 ROUNDS = 40  # of expectation maximisation
 SLICE = 8 << 20
+KNOWN = 50_000  # words whose terms a task remembers
 EDGES = b".,;:!?\"'()[]{}<>|*-_~/\\"
 DISGUISE = bytes.maketrans(b"013457@$", b"oieastas")
 TRUST, REJECT = 0.7, 0.7
+NO_TERMS = ((), False)  # what most words are to the lexicons
 
 
 def crc_remainder(key: Column, n: int) -> Column:
@@ -37,7 +39,7 @@ class Terms(dict):
         bare = word.strip(EDGES)
         text = bare.decode("utf-8", "replace")
         terms = (b"w" + bare, *(b"s" + text[:n].encode() for n in STEMS if len(text) > n)) if bare else ()
-        if len(self) > 200_000:
+        if len(self) > KNOWN:
             self.clear()
         self[word] = terms
         return terms
@@ -84,8 +86,8 @@ def evidence(text: str | None, watched: dict[bytes, list], voter: list[int], kno
             bare = word.strip(EDGES)
             read = b"w" + bare.translate(DISGUISE)
             hidden = not plain and read[1:] != bare and read in watched and any(c.isalpha() for c in bare.decode("utf-8", "replace"))
-            found = (plain + ((read,) if hidden else ()), hidden)
-            if len(known) > 200_000:
+            found = (plain + ((read,) if hidden else ()), hidden) if plain or hidden else NO_TERMS
+            if len(known) > KNOWN:
                 known.clear()
             known[word] = found
         if found[0]:
@@ -111,7 +113,7 @@ def induce_lexicon(labelled: DataFrame) -> tuple[dict[bytes, int], list[int]]:
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Terms()
-        for batch in slices(batches, "text", 4 * SLICE):
+        for batch in slices(batches, "text", SLICE):
             toxic, clean = Counter(), Counter()
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = Counter(t for w in set(words_of(text)) for t in known[w])
@@ -219,20 +221,21 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", keep: bool = False
     repeated rows score alike, and an empty table gives an empty one.
     """
     kept = [c for c in docs.columns if c != "score"] if keep else [key]
-    carried = docs.select(*kept, F.col("text").alias("_text"))
+    carried = docs.select(*kept, *([] if "text" in kept else ["text"]))  # a text goes to the task once
+    at_text = carried.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of about FIT_ROWS texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
         watched = levels(m.terms)
         width, terms = m.voters, len(m.terms)
-        for batch in slices(batches, "_text", SLICE):
+        for batch in slices(batches, "text", SLICE):
             out = []
-            for text in batch.column(len(kept)):
+            for text in batch.column(at_text):
                 hits, votes = evidence(text.as_py(), watched, m.voter, known)
                 z = m.bias + m.weights[hits].sum() + m.weights[terms:terms + width][votes > 0].sum() + m.weights[terms + width:][votes < 0].sum()
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(out, pa.float64())], [*kept, "score"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried.schema if f.name != "_text")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried.schema if f.name in kept)
     return carried.mapInArrow(run, f"{fields}score double")

@@ -43,3 +43,11 @@ def test_occurrences_that_skip_the_same_merges_are_merged_once():
     before = vocabulary.merged
     encoder.encode(["unbelievable " * 5000], [1])
     assert vocabulary.merged == before
+
+
+def test_an_encoder_forgets_its_cuts():
+    vocabulary = Counted.load(pieces.MODEL)
+    encoder = pieces.Encoder(vocabulary, 0.1)
+    first = encoder.encode(["some words here"], [1])
+    encoder.forget()
+    assert not encoder.cuts.text and encoder.encode(["some words here"], [1]) == first
