@@ -11,13 +11,15 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.operators.nearest import knn_classify
 from flowspark.operators.ordering import exact_quantiles
 from flowspark.operators.scoring import Centroids
-from flowspark.session import settle
+from flowspark.session import bounded, settle
+
+BINS = 64  # ranges of values that cells are counted in
 
 
 def _param(name: str, doc: str, convert=None) -> Param:
@@ -31,6 +33,32 @@ class _Columns(HasFeaturesCol, HasLabelCol, HasPredictionCol):
         self._set(**{k: v for k, v in given.items() if v is not None})
 
 
+def medians(rows: DataFrame) -> DataFrame:
+    """(y, i, q): the exact median of every position of the vectors (y, x) of a class.
+
+    Cells are counted by class, position and one of BINS equal ranges of values; only those of the ranges that hold the middle
+    are shuffled, equal values once.
+    """
+    cells = rows.select("y", F.posexplode(vector_to_array("x")).alias("i", "value"))
+    ends = rows.groupBy("y").agg(vector_to_array(Summarizer.min(F.col("x"))).alias("lows"), vector_to_array(Summarizer.max(F.col("x"))).alias("highs"))
+    endless = F.exists(F.concat("lows", "highs"), lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
+    if ends.where(endless).count() or rows.select(F.exists(vector_to_array("x"), F.isnan).alias("bad")).where("bad").limit(1).count():
+        return exact_quantiles(cells, ["y", "i"], "value", [0.5])
+    span = rows.join(bounded(ends), "y").select("y", F.posexplode(F.arrays_zip(vector_to_array("x").alias("v"), "lows", "highs")).alias("i", "c"))
+    share = F.when(F.col("c.highs") > F.col("c.lows"), (F.col("c.v") / 2 - F.col("c.lows") / 2) / (F.col("c.highs") / 2 - F.col("c.lows") / 2)).otherwise(0.0)
+    binned = span.select("y", "i", F.col("c.v").alias("value"), F.least(F.lit(BINS - 1), F.floor(share * BINS)).cast("int").alias("bin"))
+    inside = Window.partitionBy("y", "i")
+    before = lambda order: inside.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = binned.groupBy("y", "i", "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("y", "i", "bin", "n", F.coalesce(F.sum("n").over(before("bin")), F.lit(0)).alias("start"), ((F.sum("n").over(inside) - 1) * 0.5).alias("at"))
+    on = (F.ceil("at") >= F.col("start")) & (F.floor("at") < F.col("start") + F.col("n"))
+    wanted = bounded(counts.where(on).select("y", "i", "bin", F.min("start").over(inside).alias("start"), "at"))
+    near = binned.join(wanted, ["y", "i", "bin"]).groupBy("y", "i", "value").agg(F.count(F.lit(1)).alias("n"), F.first("start").alias("start"), F.first("at").alias("at"))
+    near = near.withColumn("start", F.col("start") + F.coalesce(F.sum("n").over(before("value")), F.lit(0)))
+    ends = near.where(on).groupBy("y", "i").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.first("at").alias("at"))
+    return ends.select("y", "i", (F.col("lo") + (F.col("at") - F.floor("at")) * (F.col("hi") - F.col("lo"))).alias("q"))
+
+
 class NearestCentroid(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
     """Class means (medians for manhattan), optionally shrunk toward the overall mean; a row belongs to the nearest.
 
@@ -58,8 +86,7 @@ class NearestCentroid(Estimator, _Columns, DefaultParamsReadable, DefaultParamsW
         labels, n = [r["y"] for r in found], np.array([r["n"] for r in found], float)
         centers = np.array([r["m"].toArray() for r in found])
         if metric == "manhattan":
-            cells = rows.select("y", F.posexplode(vector_to_array("x")).alias("i", "value"))
-            for r in exact_quantiles(cells, ["y", "i"], "value", [0.5]).collect():
+            for r in medians(rows).collect():
                 centers[labels.index(r["y"]), r["i"]] = r["q"]
         elif shrink and len(labels) > 1:
             squares = (np.array([r["v"].toArray() for r in found]) * (n - 1)[:, None]).sum(axis=0)
