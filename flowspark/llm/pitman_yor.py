@@ -55,6 +55,16 @@ def _among(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_values[at] == x
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, each in as few bytes as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0)))).tobytes()
+
+
+def widened(packed: bytes, size: int) -> np.ndarray:
+    """The `size` numbers that `narrow` packed."""
+    return np.frombuffer(packed, np.dtype(f"u{len(packed) // size if size else 1}")).astype(np.int64)
+
+
 def _packed_chunk(ids: list, words: list[np.ndarray], train: np.ndarray, heavy: np.ndarray, chunk: int, parts: np.ndarray) -> Iterator[dict]:
     """Rows of a chunk: its documents, and per part the counted (word, context, document) entries."""
     sizes = np.array([len(w) for w in words])
@@ -78,8 +88,8 @@ def _packed_chunk(ids: list, words: list[np.ndarray], train: np.ndarray, heavy:
         if a < b:
             first = np.flatnonzero(np.concatenate([[True], flat[a + 1:b] != flat[a:b - 1]]))
             yield {"p": int(p), "chunk": chunk, "docs": False, "words": flat[a:b][first].tobytes(), "runs": np.diff(np.append(first, b - a)).astype(np.int32).tobytes(),
-                   "contexts": (inner[a:b] >> np.uint64(32)).astype(np.uint16).tobytes(), "at": (inner[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                   "n": n[a:b].tobytes(), "train": np.packbits(train).tobytes(), "ids": None}
+                   "contexts": (inner[a:b] >> np.uint64(32)).astype(np.uint16).tobytes(), "at": narrow(inner[a:b] & np.uint64(0xFFFFFFFF)),
+                   "n": narrow(n[a:b]), "train": np.packbits(train).tobytes(), "ids": None}
 
 
 PACKED = pa.schema([("p", pa.int64()), ("chunk", pa.int64()), ("docs", pa.bool_()), ("words", pa.binary()), ("runs", pa.binary()), ("contexts", pa.binary()),
@@ -201,7 +211,7 @@ class Part:
     @staticmethod
     def entries(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         words = np.repeat(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["runs"], np.int32))
-        return words, np.frombuffer(row["contexts"], np.uint16), np.frombuffer(row["at"], np.uint32), np.frombuffer(row["n"], np.int32).astype(np.int64)
+        return words, np.frombuffer(row["contexts"], np.uint16), widened(row["at"], len(words)), widened(row["n"], len(words))
 
     def seatings(self, totals: Totals, seed: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """After the burn-in, SAMPLES seatings: tables of each dish, tables of each word over all contexts, parent tables of each word.
