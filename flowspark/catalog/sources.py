@@ -9,19 +9,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowspark.catalog.base import query, table
-from flowspark.session import scratch_path
+from flowspark.session import parallelism, scratch_path
 from flowspark.sources import readers, results, writers
 
 CHECK = """SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS quantity,
   max(l_extendedprice) AS top_price, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_returnflag"""
 
 
-def check(df):
-    """Per class: rows, an exact sum, an extreme and a distinct count."""
-    return df.groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"),
-        F.max(F.col("l_extendedprice").cast("double")).alias("top_price"),
-        F.count_distinct(F.col("l_orderkey").cast("long")).alias("orders"))
+PART_ROWS = 1_000_000  # rows in one part of a distinct count
+
+
+def check(df, parts):
+    """Per class: rows, an exact sum, an extreme and a distinct count, its keys dealt into `parts`."""
+    rows = df.select("l_returnflag", F.col("l_quantity").cast("decimal(18,2)").alias("quantity"),
+                     F.col("l_extendedprice").cast("double").alias("price"), F.col("l_orderkey").cast("long").alias("order"))
+    return rows.repartition(parts, "l_returnflag", "order").groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quantity").cast("double").alias("quantity"),
+        F.max("price").alias("top_price"), F.count_distinct("order").alias("orders"))
+
+
+def parts_of(df):
+    """Parts for `check`: as many as the session asks for, and more the more rows there are, so that none grows with the table."""
+    return max(parallelism(df.sparkSession), -(-df.count() // PART_ROWS))
 
 
 @query("s1_csv_scan", CHECK)
@@ -29,7 +38,7 @@ def csv_scan(spark, sf_dir):
     path = scratch_path(spark, "csv")
     df = table(spark, sf_dir, "lineitem")
     writers.write_csv(df.toDF(*[f" {c} " for c in df.columns]), path)
-    return check(readers.read_flows(spark, path))
+    return check(readers.read_flows(spark, path), parts_of(df))
 
 
 @query("s1_quoted_text", """SELECT 'documents' AS source, doc_id AS id, md5(text) AS digest FROM documents
@@ -73,20 +82,23 @@ def mixed_encodings(spark, sf_dir):
 @query("s2_tab_scan", CHECK)
 def tab_scan(spark, sf_dir):
     path = scratch_path(spark, "tab")
-    writers.write_tabbed(table(spark, sf_dir, "lineitem"), path)
-    return check(readers.read_tabbed(spark, path))
+    df = table(spark, sf_dir, "lineitem")
+    writers.write_tabbed(df, path)
+    return check(readers.read_tabbed(spark, path), parts_of(df))
 
 
 @query("s3_parquet_scan", CHECK)
 def parquet_scan(spark, sf_dir):
-    return check(readers.read_parquet(spark, f"{sf_dir}/lineitem.parquet"))
+    df = readers.read_parquet(spark, f"{sf_dir}/lineitem.parquet")
+    return check(df, parts_of(df))
 
 
 @query("s4_s9_arff_round_trip", CHECK)
 def arff_round_trip(spark, sf_dir):
     path = scratch_path(spark, "arff")
-    writers.write_arff(table(spark, sf_dir, "lineitem"), path)
-    return check(readers.read_arff(spark, path))
+    df = table(spark, sf_dir, "lineitem")
+    writers.write_arff(df, path)
+    return check(readers.read_arff(spark, path), parts_of(df))
 
 
 @query("s5_key_value_scan", """SELECT n_name AS key, 'region ' || n_regionkey || ': ' || n_nationkey AS value FROM nation
@@ -121,12 +133,12 @@ def common_column_scan(spark, sf_dir):
        + " UNION ALL " + CHECK.replace("SELECT l_returnflag", "SELECT 'txt' AS sink, l_returnflag"))
 def sink_formats(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", "l_orderkey")
-    out = None
+    out, parts = None, parts_of(df)
     for kind in ("csv", "parquet", "txt"):
         path = scratch_path(spark, kind)
         writers.WRITERS[kind](df, path)
         writers.WRITERS[kind](df.limit(0), path)  # an existing target stays
-        back = check(writers.READERS[kind](spark, path)).withColumn("sink", F.lit(kind))
+        back = check(writers.READERS[kind](spark, path), parts).withColumn("sink", F.lit(kind))
         out = back if out is None else out.unionByName(back)
     return out
 

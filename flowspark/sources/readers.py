@@ -37,15 +37,16 @@ def file_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[l
 
     One pass over all files. A file is UTF-8 when every line is valid UTF-8, else Latin-1. A
     line with an odd number of quotes opens a quoted line end: only such files give up being
-    split. The driver gets the names of the files, no text.
+    split. The driver gets the names of the files, no text. Headers are told apart by 128 bits of hashes:
+    an aggregate that keeps text would sort all lines of a task.
     """
     lines = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"))
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"))  # the header is in a file's first block
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    files = lines.groupBy("path").agg(F.min_by("value", "place").alias("header"), F.bool_and(F.is_valid_utf8("value")).alias("valid"),
-                                      F.bool_or(quotes % 2 == 1).alias("open"))
-    groups = files.groupBy("header", "valid", "open").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    header = [F.min_by(F.xxhash64(F.lit(i), "value"), "at").alias(f"header_{i}") for i in range(2)]
+    files = lines.groupBy("path").agg(*header, F.bool_and(F.is_valid_utf8("value")).alias("valid"), F.bool_or(quotes % 2 == 1).alias("open"))
+    groups = files.groupBy("header_0", "header_1", "valid", "open").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     # names come as addresses; as paths to read they may hold no pattern
     plain = [([re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(p)) for p in g["paths"]], ENCODINGS[0 if g["valid"] else 1], g["open"])
              for g in groups.select("paths", "valid", "open").collect()]
