@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.words import kept_by_worker, slices
+from flowspark.llm.words import forgotten_by_worker, kept_by_worker, slices
 from flowspark.session import scratch_path
 
 MODEL_A = "/opt/tokenizers/byte_bpe_50k.json"  # of public tokenizers; every node has them
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE = 8192  # steps of the merge path in one piece
-SLICE = 1 << 20
+SLICE = 1 << 18  # bytes of text that a task aligns at once
+LINKS = 1 << 19  # links that a task counts at once
 # The word pattern of byte-level vocabularies, and the first character of those not left to it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SIMPLE = "\u0250"
@@ -208,6 +209,18 @@ def align(docs: DataFrame, key: str = "doc_id", model_a: str = MODEL_A, model_b:
     return rows.mapInArrow(run, f"key {kind}, n_a bigint, n_b bigint, {named} string, links array<bigint>").withColumnRenamed("key", key)
 
 
+def link_slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` links (a row of more stands alone). An engine's batch may hold ten thousand rows."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(column).value_lengths().to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def link_counts(found: DataFrame) -> DataFrame:
     """(pair, n): how many links of the whole table hold each id pair.
 
@@ -215,8 +228,9 @@ def link_counts(found: DataFrame) -> DataFrame:
     there are at most as many pairs as such endings, a bound set by the two vocabularies and not by the texts.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forgotten_by_worker("align")  # texts are encoded by now
         pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in link_slices(batches, 0, LINKS):
             seen = np.asarray(batch.column(0).flatten())
             own, n = np.unique(seen, return_counts=True)
             pairs, back = np.unique(np.concatenate([pairs, own]), return_inverse=True)
@@ -226,9 +240,9 @@ def link_counts(found: DataFrame) -> DataFrame:
     return found.select("links").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def with_counts(found: DataFrame, counts: DataFrame) -> DataFrame:
+def with_counts(found: DataFrame, counts: DataFrame, keep_links: bool = True) -> DataFrame:
     """`found` and, for each row, n_links, n_best and count_sum: its links, those whose count is the highest
-    of their B id (ties included), and the sum of their counts.
+    of their B id (ties included), and the sum of their counts. Without `keep_links` the links themselves stay in the task.
 
     The counts go to every task as two arrays, within the bound that `link_counts` states.
     """
@@ -239,29 +253,32 @@ def with_counts(found: DataFrame, counts: DataFrame) -> DataFrame:
     shared = found.sparkSession.sparkContext.broadcast((pairs, n, n == top[pairs % PAIR]))
     columns = [c for c in found.columns if c not in ("n_links", "n_best", "count_sum")]
     where = columns.index("links")
+    given = [i for i in range(len(columns)) if keep_links or i != where]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forgotten_by_worker("align")
         pairs, n, best = shared.value
-        for batch in batches:
+        for batch in link_slices(batches, where, LINKS):
             links = batch.column(where)
             at = np.searchsorted(pairs, np.asarray(links.flatten()))
             ends = np.append(0, np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False)))
             sums = [np.append(0, np.cumsum(x[at]))[ends] for x in (n, best.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.diff(ends), pa.int64()), pa.array(np.diff(sums[1])), pa.array(np.diff(sums[0]))],
-                [*columns, "n_links", "n_best", "count_sum"])
+                [*[batch.column(i) for i in given], pa.array(np.diff(ends), pa.int64()), pa.array(np.diff(sums[1])), pa.array(np.diff(sums[0]))],
+                [*[columns[i] for i in given], "n_links", "n_best", "count_sum"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in found.select(*columns).schema)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in found.select(*[columns[i] for i in given]).schema)
     return found.select(*columns).mapInArrow(run, f"{fields}n_links bigint, n_best bigint, count_sum bigint")
 
 
-def align_counted(docs: DataFrame, key: str = "doc_id", model_a: str = MODEL_A, model_b: str = MODEL_B, digest: bool = False) -> DataFrame:
+def align_counted(docs: DataFrame, key: str = "doc_id", model_a: str = MODEL_A, model_b: str = MODEL_B, digest: bool = False,
+                  keep_links: bool = True) -> DataFrame:
     """`align` with the corpus-wide counts of `with_counts`; texts are encoded once, the result waits as Parquet.
 
-    `digest` as for `align`.
+    `digest` as for `align`, `keep_links` as for `with_counts`.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "aligned")
     align(docs, key, model_a, model_b, digest).write.parquet(path)
     found = spark.read.parquet(path)
-    return with_counts(found, link_counts(found))
+    return with_counts(found, link_counts(found), keep_links)

@@ -86,7 +86,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two tokenizers grouped where both end, with corpus-wide counts of linked ids."""
-    found = align.align_counted(_table(spark, sf_dir, "documents"), digest=True)
+    found = align.align_counted(_table(spark, sf_dir, "documents"), digest=True, keep_links=False)
     return found.select("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum", "groups_sha256")
 
 

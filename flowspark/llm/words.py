@@ -22,6 +22,14 @@ def kept_by_worker(name: Hashable, make: Callable[[], T]) -> T:
     return kept[name]
 
 
+def forgotten_by_worker(kind: str) -> None:
+    """Frees what a worker keeps under names that begin with `kind`, once a later step runs that has no use for it."""
+    kept = sys.modules["pyspark"].__dict__.get("_kept_by_worker", {})
+    for name in [n for n in kept if n[0] == kind]:
+        del kept[name]
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text, A-Z lower-cased: bytes.split cuts at the space and U+0009 to U+000D only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
