@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from flowspark.llm.words import kept_by_worker, slices
+from flowspark.llm.words import kept_by_worker, slices, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # of a public tokenizer; every node has it or the driver alone
 SPACE = "▁"
@@ -473,7 +473,7 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
 
     names = [*kept, "ids", "n_pieces"] + ["lossless"] * check
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return given.mapInArrow(run, f"{fields}, ids array<int>, n_pieces int" + ", lossless boolean" * check)
+    return given.mapInArrow(tidied(run), f"{fields}, ids array<int>, n_pieces int" + ", lossless boolean" * check)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -487,4 +487,4 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", out: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*kept, out])
 
     fields = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in kept)
-    return encoded.select(*kept, ids).mapInArrow(run, f"{fields}`{out}` string")
+    return encoded.select(*kept, ids).mapInArrow(tidied(run), f"{fields}`{out}` string")

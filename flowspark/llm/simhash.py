@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.components import components
-from flowspark.llm.words import words_of
+from flowspark.llm.words import tidied, words_of
 from flowspark.session import settle
 
 BITS = 64
@@ -50,7 +50,7 @@ def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, fp bigint").withColumnRenamed("key", key)
+    return docs.select(key, text).mapInArrow(tidied(run), f"key {kind}, fp bigint").withColumnRenamed("key", key)
 
 
 def covering_masks(radius: int, seed: int, bits: int = BITS) -> list[int]:
@@ -101,7 +101,7 @@ def _links(keyed: DataFrame, radius: int) -> DataFrame:
             yield pd.DataFrame(_spanning_links(held["fp"].to_numpy(), radius), columns=["a", "b"], dtype="int64")
 
     return (keyed.repartition("h", "v", "kept").sortWithinPartitions("h", "v", "kept", "fp")
-            .mapInPandas(run, "a bigint, b bigint"))
+            .mapInPandas(tidied(run), "a bigint, b bigint"))
 
 
 def fingerprint_components(fps: DataFrame, radius: int = RADIUS, seed: int = 11, hot: int = HOT) -> DataFrame:

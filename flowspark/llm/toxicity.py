@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.llm.words import slices, words_of
+from flowspark.llm.words import slices, tidied, words_of
 from flowspark.session import settle
 
 STEMS = (4, 5, 6)  # characters of the beginnings of words that are terms besides whole words
@@ -123,7 +123,7 @@ def induce_lexicon(labelled: DataFrame) -> tuple[dict[bytes, int], list[int]]:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([toxic[t] for t in names], pa.int64()),
                                               pa.array([clean[t] for t in names], pa.int64())], ["term", "toxic", "clean"])
 
-    counts = labelled.select("text", "toxic").mapInArrow(count, "term binary, toxic bigint, clean bigint")
+    counts = labelled.select("text", "toxic").mapInArrow(tidied(count), "term binary, toxic bigint, clean bigint")
     kept = (counts.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
             .where((F.col("t") >= LEAST_TEXTS) & (F.col("t") >= TRUST * (F.col("t") + F.col("c") + 0.5)))
             .select("term").orderBy("term").collect())  # as many as about FIT_ROWS texts have
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", fit_rows: int =
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.list_(pa.int32())),
                                               pa.array([f[1].tobytes() for f in found], pa.binary())], ["hits", "votes"])
 
-    seen = labelled.select("text").mapInArrow(vote, "hits array<int>, votes binary").toPandas()
+    seen = labelled.select("text").mapInArrow(tidied(vote), "hits array<int>, votes binary").toPandas()
     width = 2 * LEXICONS + 4
     votes = np.array([np.frombuffer(v, np.int8) for v in seen["votes"]], np.int8).reshape(-1, width)
     post, right, corr = label_model(votes, share or 0.05) if len(votes) else (np.zeros(0), np.zeros(width), np.zeros((width, width)))
@@ -238,4 +238,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", keep: bool = False
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(out, pa.float64())], [*kept, "score"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in carried.schema if f.name in kept)
-    return carried.mapInArrow(run, f"{fields}score double")
+    return carried.mapInArrow(tidied(run), f"{fields}score double")
