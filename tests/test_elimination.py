@@ -26,7 +26,7 @@ def table(spark):
     return spark.createDataFrame(rows, "id long, y double, v array<double>").select("id", "y", array_to_vector("v").alias("features")).cache()
 
 
-@pytest.mark.parametrize("name", ["m8_elimination_result"])
+@pytest.mark.parametrize("name", ["m8_recursive_elimination", "m8_elimination_result"])
 def test_queries_eliminate_one_feature_a_round_in_ten_folds(spark, tmp_path, monkeypatch, name):
     catalog.load()
     draw = np.random.default_rng(1)
